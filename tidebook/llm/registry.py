@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidebook.llm.chat_format import OP9_SQL, op9_chat_format
+from tidebook.llm.media import op6_media_columns
+from tidebook.llm.secrets import op10_secret_scan
 from tidebook.llm.substring_dedup import op7_substring_dedup
+from tidebook.llm.token_output import op3_token_output
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_substring_dedup,)}
+    return {f.__name__: f for f in (op3_token_output, op6_media_columns, op7_substring_dedup, op9_chat_format, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_chat_format": OP9_SQL}
