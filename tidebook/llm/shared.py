@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebook.llm import textkit
@@ -56,8 +56,8 @@ def unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The rows (doc_id, text) of a table, packed into compressed chunks and written to the shared folder.
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, **more: Column) -> DataFrame:
+    """The rows (doc_id, text, and what `more` names) of a table, packed into compressed chunks and written to the shared folder.
 
     Chunks are named once, when they are written, so a later pass or a repeated task finds the same rows under
     the same name.  Each row keeps its place; equal or null ids are no trouble.
@@ -88,12 +88,12 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if held:
             yield flush()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(k) for k, c in more.items()))
     return materialize(rows.mapInArrow(write, CHUNK_SCHEMA), "chunks")
 
 
 def unblob(blob: bytes) -> pa.Table:
-    """The rows (doc_id, text) of a chunk."""
+    """The rows of a chunk."""
     return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 

@@ -7,7 +7,11 @@ the offset of a document without a table of 64-bit offsets.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +28,8 @@ END_ID = 1
 SHARD_IDS = 1 << 20
 #: Every so many ones of the upper bits, their place is kept.
 SELECT_STEP = 64
-#: Words whose ids a task remembers.
-WORD_CACHE = 400_000
+#: Pieces of words whose ids a task remembers.
+CACHE = 300_000
 
 SHARD = "bucket long, shard long, n_docs long, n_ids long, width int, doc_ids binary, null_ids binary, low_bits int, low binary, high binary, samples binary, ids binary"
 
@@ -93,27 +97,70 @@ def ef_select(i: int, low_bits: int, low: bytes, high: bytes, samples: bytes) ->
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
-class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space, so that it can encode each distinct word once."""
+# The normaliser and the splitting pattern under which texts fall apart into separately coded pieces.
+_NORMALISERS = ["NFC", "Replace", "Lowercase"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Printable ASCII and the precomposed letters U+00C0-U+00FF, for which lower case and letters are plain.
+_LETTERS = r"\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_PLAIN = re.compile(rf"[\x20\x09-\x0D!-~{_LETTERS}]*")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\x20\x09-\x0D]+")
 
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.known: dict[bytes, np.ndarray] = {}
 
-    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        known = self.known
-        if len(known) > WORD_CACHE:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, np.uint32).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint32) for words in split]
+class Pieces(dict):
+    """Ids of pieces of lower-case plain text, as bytes; each is coded when it is first asked for."""
+
+    def __init__(self, tokenizer, kind: str):
+        from tokenizers import pre_tokenizers
+
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = str.maketrans({chr(c): level.pre_tokenize_str(chr(c))[0][0] for c in (*range(33, 127), *range(0xC0, 0x100))})
+        self.tokenize, self.kind = tokenizer.model.tokenize, kind
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE:
+            self.clear()
+        ids = self[piece] = array(self.kind, [t.id for t in self.tokenize(piece.translate(self.as_bytes))]).tobytes()
+        return ids
+
+
+class TextEncoder:
+    """Ids of texts as bytes, equal to those of encode() on the whole text.
+
+    A tokenizer that lower-cases, drops white space and codes each piece of its splitting pattern alone gives a plain
+    text the ids of its pieces, each distinct one coded once, and other texts those of their words.  Other tokenizers
+    code whole texts.
+    """
+
+    def __init__(self, path: str, width: int):
+        self.tokenizer, self.kind = _tokenizer(path), {2: "H", 4: "I"}[width]
+        parts = json.loads(self.tokenizer.to_str())
+        normal, split = parts["normalizer"] or {}, (parts["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        by_piece = (
+            [x["type"] for x in normal.get("normalizers", [])] == _NORMALISERS
+            and split[0].get("pattern") == {"Regex": _PATTERN} and split[0].get("invert") is True and [x["type"] for x in split] == ["Split", "ByteLevel"]
+        )
+        self.pieces = Pieces(self.tokenizer, self.kind) if by_piece else None
+
+    def encode(self, text: bytes) -> bytes:
+        whole = text.decode()
+        if self.pieces is None:
+            return array(self.kind, self.tokenizer.encode(whole, add_special_tokens=False).ids).tobytes()
+        if _PLAIN.fullmatch(whole) and "<|" not in whole:
+            return b"".join(map(self.pieces.__getitem__, _PIECE.findall(whole.lower())))
+        out = []
+        for word in text.split():
+            w = word.decode()
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                out += map(self.pieces.__getitem__, _PIECE.findall(w.lower()))
+            else:
+                out.append(array(self.kind, self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes())
+        return b"".join(out)
 
 
 def default_tokenizer() -> str:
@@ -133,11 +180,11 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     width = 2 if max(_tokenizer(path).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = TextEncoder(path, width)
+        close = array(encoder.kind, [end_id]).tobytes()
         for batch in batches:
             for first, end, data, offsets in textkit.slices(batch.column("text")):
-                texts = [data[offsets[i] : offsets[i + 1]].tobytes() for i in range(end - first)]
-                ids = [np.append(x, np.uint32(end_id)).astype(f"<u{width}").tobytes() for x in encoder.encode(texts)]
+                ids = [encoder.encode(data[offsets[i] : offsets[i + 1]].tobytes()) + close for i in range(end - first)]
                 own = batch.column("doc_id").slice(first, end - first)
                 bucket = np.where(own.is_null().to_numpy(False), 0, np.searchsorted(edges, own.fill_null(0).to_numpy(), "right"))
                 yield pa.RecordBatch.from_arrays([own, pa.array(ids, pa.binary()), pa.array([width] * len(ids), pa.int32()), pa.array(bucket, pa.int64())], ["doc_id", "ids", "width", "bucket"])
