@@ -5,10 +5,12 @@ remaining bits of its shingles as a leading-zero count and some mantissa bits.
 by a fixed sequence, so that any two registers agree about as often as the sets are similar.  Documents that agree
 in all registers of a band are candidates.
 
-Documents with equal shingle sets form a class first, and only one of each class goes on.  In each band
-bucket all members are compared with one hub, not with each other; what these links leave apart within a
-bucket is then compared pair by pair.  So no link between different components is lost, and a large group of
-copies costs in proportion to its size.
+Documents with equal shingle sets form a class first, and only one of each class goes on.  In each band bucket
+all members are compared with one hub, the member with the most bucket mates, not with each other.  Two members that
+the hub does not link can still be alike, but then, as the comparison with the hub tells, they must share
+shingles that the hub lacks, or both be mostly parts of the hub, or both be far from it.  Only such pairs of
+different components are compared.  So no link between components is lost, and a large group of copies costs in
+proportion to its size.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ from pyspark.sql import functions as F
 from tidebook.llm import textkit
 from tidebook.llm.shared import materialize
 
-REGISTERS, BAND = 128, 4
+REGISTERS = 256
+#: Chance, at most, that two documents just at the threshold share no band.
+MISS = 1e-8
 MANTISSA_BITS = 10
 #: Chance that two different minima share a register value (0.17 / 2**MANTISSA_BITS).
 COLLISION = 0.16992 / (1 << MANTISSA_BITS)
@@ -85,16 +89,21 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return regs
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def band_width(share: float) -> int:
+    """The most registers per band with which the chance of MISS holds at similarity `share`."""
+    return max([1, *(r for r in range(1, 17) if (1 - share**r) ** (REGISTERS // r) <= MISS)])
+
+
+def band_keys(regs: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit key for each band of each row."""
-    r = regs.astype(_U).reshape(len(regs), -1, BAND)
+    r = regs[:, : REGISTERS // width * width].astype(_U).reshape(len(regs), -1, width)
     key = np.zeros(r.shape[:2], _U)
-    for i in range(BAND):
+    for i in range(width):
         key = textkit.mix(key * _U(0x9E3779B97F4A7C15) + r[:, :, i] + _U(1))
     return textkit.mix(key + np.arange(r.shape[1], dtype=_U) * _U(0xD6E8FEB86659FD93))
 
 
-def sketches(docs: DataFrame, k: int, lower: bool = True) -> DataFrame:
+def sketches(docs: DataFrame, k: int, width: int, lower: bool = True) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set (d1, d2), registers and band keys; the last four null for no shingles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +118,7 @@ def sketches(docs: DataFrame, k: int, lower: bool = True) -> DataFrame:
                 sums = [np.concatenate([[_U(0)], np.cumsum(textkit.mix(flat[:-1] ^ _U(x)))]) for x in (0x243F6A8885A308D3, 0x13198A2E03707344)]
                 d1, d2 = (textkit.mix(s[at[1:]] - s[at[:-1]] + sizes.astype(_U)).view(np.int64) for s in sums)
                 regs = registers(sets)
-                bands = band_keys(regs).view(np.int64)
+                bands = band_keys(regs, width).view(np.int64)
                 ends = np.concatenate([[0], np.cumsum(np.where(none, 0, bands.shape[1]))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -124,8 +133,8 @@ def sketches(docs: DataFrame, k: int, lower: bool = True) -> DataFrame:
     return rows.mapInArrow(sketch, SKETCH)
 
 
-def likely(pairs: DataFrame, regs: DataFrame, share: float) -> DataFrame:
-    """Of pairs (a, b), those whose collision-corrected estimate and sizes don't rule a similarity of `share` out."""
+def likely(pairs: DataFrame, regs: DataFrame, share: float, fit: bool = True) -> DataFrame:
+    """Of pairs (a, b), those whose collision-corrected estimate (and, if `fit`, sizes) don't rule a similarity of `share` out."""
     floor = share - MARGIN * (share * (1 - share) / REGISTERS) ** 0.5
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,15 +145,16 @@ def likely(pairs: DataFrame, regs: DataFrame, share: float) -> DataFrame:
 
     side = lambda x: regs.select(F.col("doc_id").alias(x), F.col("regs").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    fit = F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-6
-    return both.filter(fit).select("a", "b", "ra", "rb").mapInArrow(estimate, "a long, b long")
+    if fit:
+        both = both.filter(F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-6)
+    return both.select("a", "b", "ra", "rb").mapInArrow(estimate, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, lower: bool = True) -> DataFrame:
-    """Of pairs (a, b), those whose full shingle sets have 100 * intersection >= percent * union."""
+def compared(pairs: DataFrame, docs: DataFrame, k: int, lower: bool = True, added: bool = False) -> DataFrame:
+    """Pairs (a, b) with the sizes na and nb of their full shingle sets and of the intersection, and, if wanted, the
+    shingles that only b has."""
     pairs = materialize(pairs, "candidates")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    ids = materialize(ids, "candidate-ids")
+    ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = materialize(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "candidate-texts")
@@ -155,21 +165,72 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int, lower: bo
                 part = batch.slice(first, 256)
                 known: dict[int, np.ndarray] = {}
                 for side in "ab":
-                    own = part.column(side).to_pylist()
-                    at = {d: i for i, d in enumerate(own) if d not in known}
+                    at = {d: i for i, d in enumerate(part.column(side).to_pylist()) if d not in known}
                     known |= dict(zip(at, shingle_sets(part.column(f"t{side}").take(pa.array(list(at.values()), pa.int64())), k, lower), strict=True))
-                linked = []
+                sizes, more = [], []
                 for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
                     x, y = known[a], known[b]
-                    both = np.concatenate([x, y])
-                    both.sort()
-                    same = int((both[1:] == both[:-1]).sum())
-                    linked.append(100 * same >= percent * (len(both) - same))
-                yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
+                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    in_both = x[at] == y
+                    sizes.append((len(x), len(y), int(in_both.sum())))
+                    more.append(y[~in_both].view(np.int64) if added else None)
+                columns = [pa.array([z[i] for z in sizes], pa.int64()) for i in range(3)] + [pa.array(more, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *columns], ["a", "b", "na", "nb", "both", "added"])
 
     side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
     rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
-    return materialize(rows.mapInArrow(compare, "a long, b long"), "links")
+    return materialize(rows.mapInArrow(compare, "a long, b long, na long, nb long, both long, added array<long>"), "compared")
+
+
+def _alike(both, na, nb, percent: int):
+    """100 * intersection >= percent * union, from the size of the intersection and those of the sets."""
+    return (100 + percent) * both >= percent * (na + nb)
+
+
+def _self_join(rows: DataFrame, on: list[str], condition) -> DataFrame:
+    """Pairs of rows that agree in `on`, x.doc_id < y.doc_id, of different components, for which the condition holds."""
+    x, y = rows.alias("x"), rows.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
+    test = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & condition
+    for c in same:
+        test = c & test
+    return x.join(y, test)
+
+
+def _mixed(rows: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of groups that hold several components."""
+    groups = rows.groupBy(*on).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*on)
+    return rows.join(groups, on, "left_semi")
+
+
+def cross_candidates(members: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """Pairs of bucket mates of different components that can be alike although their hub does not link them.
+
+    members: (key, hub, doc_id, component, n), near: (hub, doc_id, component, nh, n, both, linked, added) of members
+    compared with the hub; members that are not in near are farther from it than twice the allowed distance.
+    With R and A what a member x lacks of the hub and has beyond it, |x & y| = |hub| - |Rx | Ry| + |Ax & Ay|
+    <= min(|x & hub|, |y & hub|) + |Ax & Ay|.
+    """
+    col = F.col
+    least = F.least(col("x.both"), col("y.both"))
+    near = materialize(_mixed(near, ["hub"]), "near")
+    rows = near.withColumn("a", col("n") - col("both"))
+    # they share shingles beyond the hub, and enough of them
+    beyond = rows.select("hub", "doc_id", "component", "n", "both", "a", F.explode("added").alias("shingle"))
+    could = _alike(least + F.least(col("x.a"), col("y.a")), col("x.n"), col("y.n"), percent)
+    shared = _self_join(materialize(_mixed(beyond, ["hub", "shingle"]), "beyond"), ["hub", "shingle"], could)
+    shared = shared.groupBy(col("x.hub").alias("hub"), col("x.doc_id").alias("a"), col("y.doc_id").alias("b"), (least).alias("least"), (col("x.n") + col("y.n")).alias("sum")).agg(F.count("*").alias("same"))
+    shared = shared.filter((100 + percent) * (col("least") + col("same")) >= percent * col("sum")).select("a", "b")
+    # both are mostly parts of the hub
+    parts = rows.filter(100 * col("both") >= percent * col("n")).drop("added")
+    parts = _self_join(parts, ["hub"], _alike(least, col("x.n"), col("y.n"), percent)).select(col("x.doc_id").alias("a"), col("y.doc_id").alias("b"))
+    # one is far from the hub, so the other is not linked to it
+    state = near.select("hub", "doc_id", "linked")
+    apart = members.filter("doc_id <> hub").join(state, ["hub", "doc_id"], "left").filter("linked is null or not linked")
+    apart = _mixed(apart.withColumn("far", col("linked").isNull()), ["key"])
+    fits = 100 * F.least(col("x.n"), col("y.n")) >= percent * F.greatest(col("x.n"), col("y.n"))
+    far = _self_join(apart, ["key"], (col("x.far") | col("y.far")) & fits).select(col("x.doc_id").alias("a"), col("y.doc_id").alias("b"))
+    return shared.union(parts).union(far).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -205,32 +266,32 @@ def link_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     Rows without doc_id are kept, with no component.  Other columns are ignored.
     """
     share = percent / 100
-    sketch = materialize(sketches(docs, k, lower), "sketches")
+    sketch = materialize(sketches(docs, k, band_width(share), lower), "sketches")
     usable = sketch.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = usable.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
     regs = reps.select("doc_id", "regs", "n_shingles").dropDuplicates(["doc_id"])
 
-    bands = reps.select("doc_id", F.explode("bands").alias("key"))
-    hubs = bands.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("far")).filter("hub <> far")
-    shared = materialize(bands.join(hubs, "key"), "band-members")
-    stars = shared.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).union(shared.select("doc_id", "far")).filter("a <> b")
-    tested = materialize(stars.distinct(), "star-pairs")
-    links = confirmed(likely(tested, regs, share), docs, k, percent, lower)
+    bands = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("mates")).filter("mates > 1")
+    shared = materialize(bands.join(sizes, "key"), "band-mates")
+    degree = shared.groupBy("doc_id").agg(F.sum("mates").alias("degree"))
+    hubs = shared.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("hub"))).alias("top"))
+    members = materialize(shared.drop("mates").join(hubs.select("key", (-F.col("top.hub")).alias("hub")), "key"), "band-members")
+
+    stars = members.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = compared(likely(materialize(stars, "star-pairs"), regs, max(0.0, 2 * share - 1), fit=False), docs, k, lower, added=True)
+    near = near.withColumn("linked", _alike(F.col("both"), F.col("na"), F.col("nb"), percent))
+    links = near.filter("linked").select("a", "b")
     found = components(links)
 
-    # what shares a bucket, but not yet a component
-    own = shared.select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    own = own.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    apart = own.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("key")
-    sized = own.join(apart, "key", "left_semi").join(regs.select("doc_id", "n_shingles"), "doc_id")
-    sized = materialize(sized, "apart")
-    left, right = sized.toDF(*(f"{c}_a" for c in sized.columns)), sized.toDF(*(f"{c}_b" for c in sized.columns))
-    fit = (F.col("component_a") != F.col("component_b")) & (F.col("doc_id_a") < F.col("doc_id_b"))
-    fit &= F.least("n_shingles_a", "n_shingles_b") >= share * F.greatest("n_shingles_a", "n_shingles_b") - 1e-6
-    rest = left.join(right, (F.col("key_a") == F.col("key_b")) & fit).select(F.col("doc_id_a").alias("a"), F.col("doc_id_b").alias("b")).distinct()
-    rest = rest.join(tested, ["a", "b"], "left_anti")
-    more = confirmed(likely(rest, regs, share), docs, k, percent, lower)
+    # bucket mates that are not yet in one component
+    labelled = lambda df: df.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    columns = [F.col(x).alias(y) for x, y in (("a", "hub"), ("b", "doc_id"), ("na", "nh"), ("nb", "n"), ("both", "both"), ("linked", "linked"), ("added", "added"))]
+    rest = cross_candidates(labelled(members), labelled(near.select(columns)), percent)
+    tested = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = compared(likely(rest.join(tested, ["a", "b"], "left_anti"), regs, share), docs, k, lower)
+    more = more.filter(_alike(F.col("both"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     if not more.isEmpty():
         found = components(links.union(more))
 
