@@ -2,8 +2,8 @@
 
 Level 1 has a context per rank: where its successors begin (monotone pointers) and its share of the backoff weight.
 Level 2 has the successors of all contexts as one ascending sequence of rank << 40 | successor, Elias-Fano coded,
-with a quantised log10 probability each.  A query is a successor search relative to its context: from the
-first entry with the same upper bits, forward to the first entry that is not smaller.
+with a quantised log10 probability each.  A query is a successor search relative to its context: among the
+entries of the context that have the same upper bits, for the first that is not smaller.
 """
 
 from __future__ import annotations
@@ -64,16 +64,21 @@ class Level:
             value |= (self.words[bit >> 3] >> (bit & 7).astype(_U)) & _U((1 << self.width) - 1)
         return value
 
-    def successor(self, wanted: np.ndarray) -> np.ndarray:
-        """For each value the first place whose entry is not smaller (n if there is none)."""
-        high = np.minimum((wanted >> _U(self.width)).astype(np.int64), len(self.first) - 1)
-        place = self.first[high].astype(np.int64)
-        moving = np.arange(len(wanted))
+    def successor(self, wanted: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """For each value the first place in [begin, end) whose entry is not smaller; end if there is none.
+
+        The upper bits narrow the range down, and halving does the rest.
+        """
+        high = np.minimum((wanted >> _U(self.width)).astype(np.int64), len(self.first) - 2)
+        low, up = np.maximum(self.first[high], begin), np.minimum(self.first[high + 1], end)
+        moving = np.flatnonzero(low < up)
         while len(moving):
-            moving = moving[place[moving] < self.n]
-            moving = moving[self.at(place[moving]) < wanted[moving]]
-            place[moving] += 1
-        return place
+            middle = (low[moving] + up[moving]) >> 1
+            less = self.at(middle) < wanted[moving]
+            low[moving[less]] = middle[less] + 1
+            up[moving[~less]] = middle[~less]
+            moving = moving[low[moving] < up[moving]]
+        return np.minimum(low, end)
 
 
 class Trie:
@@ -102,9 +107,11 @@ class Trie:
     def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """Codes of (context rank, successor); 0 where the context has no such successor."""
         wanted = context.astype(_U) << _U(SUCCESSOR_BITS) | successor.astype(_U)
-        place = self.entries.successor(wanted)
-        end = self.pointers.at(context.astype(np.int64) + 1).astype(np.int64)
+        begin, end = (self.pointers.at(context.astype(np.int64) + i).astype(np.int64) for i in (0, 1))
         out = np.zeros(len(wanted), np.uint16)
+        if not self.entries.n:
+            return out
+        place = self.entries.successor(wanted, begin, end)
         inside = np.flatnonzero(place < end)
         inside = inside[self.entries.at(place[inside]) == wanted[inside]]
         out[inside] = self.codes[place[inside]]
