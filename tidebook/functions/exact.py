@@ -96,8 +96,10 @@ def wide_low(column: str) -> Column:
 
 
 def wide_high(column: str) -> Column:
-    """Sum of the digits above the lower 18, themselves of at most 28 digits."""
-    return F.sum(F.substring(F.lpad(F.col(column), 96, "0"), 51, 28).cast("decimal(38,0)"))
+    """Sum of the digits above the lower 18, themselves of at most 28 digits; longer values are an error."""
+    c = F.col(column)
+    fits = F.when(F.length(c) <= 46, F.lpad(c, 46, "0")).when(c.isNotNull(), F.raise_error(F.lit("a value has more than 46 digits")))
+    return F.sum(F.substring(fits, 1, 28).cast("decimal(38,0)"))
 
 
 def register(spark: SparkSession) -> None:
