@@ -112,6 +112,46 @@ def register(spark: SparkSession) -> None:
         spark.udf.register(name, _arrow(f, 3))
 
 
+# ---- units of accounts
+
+
+def live_value(scaled: Column, index: Column, regime_b: Column, debt: bool, unit: int = 1_000_000) -> Column:
+    """What scaled units are worth at an index: half up in the old regime; in the new one debt up, collateral down."""
+    product = scaled * index
+    half = floor_div(product + unit // 2, F.lit(unit))
+    return F.when(~regime_b, half).otherwise(ceil_div(product, F.lit(unit)) if debt else floor_div(product, F.lit(unit)))
+
+
+def to_units(usd: Column, index: Column, up: bool, unit: int = 1_000_000) -> Column:
+    """Normalized units of an amount."""
+    return (ceil_div if up else floor_div)(usd * unit, index)
+
+
+def from_units(units: Column, index: Column, unit: int = 1_000_000) -> Column:
+    """The amount of normalized units."""
+    return floor_div(units * index, F.lit(unit))
+
+
+def age(now: Column, then: Column) -> Column:
+    """Seconds, at least 0."""
+    return F.when(then.isNotNull(), F.greatest(F.lit(0), now - then))
+
+
+def is_dust(debt: Column, collateral: Column, decimals: int, whole: int = 1) -> Column:
+    """Both sides below a whole unit of the given decimals; unknown sides are not dust."""
+    return F.coalesce(F.greatest(debt, collateral) < whole * 10**decimals, F.lit(False)) & debt.isNotNull() & collateral.isNotNull()
+
+
+def source_key(method: Column, address: Column) -> Column:
+    """Name of a source: the method without its arguments, lower case, and the address without prefix."""
+    return F.concat(F.lower(F.regexp_extract(method, r"^([A-Za-z_0-9-]+)", 1)), F.lit(":"), F.lower(F.regexp_replace(address, "^0x", "")))
+
+
+def floored_ratio(num: Column, den: Column, scale: int) -> Column:
+    """Floor of num / den at a scale; undefined stays null."""
+    return floor_div(num * scale, den)
+
+
 # ---- rationals, snaps, caps, labels
 
 

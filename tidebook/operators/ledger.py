@@ -6,6 +6,9 @@ are sums and need no order; those that do keep their order in windows per accoun
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +63,32 @@ def writeoff_before(events: DataFrame) -> DataFrame:
     return rows.select("tx", "log_index", "seq", "account", "asset", F.when(F.col("written_off"), 0).otherwise(F.col("delta")).alias("delta"), "written_off")
 
 
+def share_fold(events: DataFrame, cut: int, unit: int = 1_000_000) -> DataFrame:
+    """Scaled shares per account and asset from nominal mints (amount > 0) and burns (amount < 0) with an index.
+
+    A holder's nominal balance is floor(shares * index / unit); after an event the shares are recovered from the new nominal
+    balance, half up before the cut block and rounded up from it on.  What comes next depends on what was recovered,
+    so rows stream in order through sorted partitions.
+    """
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, shares = None, 0
+        for batch in batches:
+            out, moved = [], []
+            for account, asset, block, amount, index in zip(*(batch.column(c).to_pylist() for c in ("account", "asset", "block", "amount", "index")), strict=True):
+                if (account, asset) != own:
+                    own, shares = (account, asset), 0
+                nominal = max(0, shares * index // unit + amount)
+                after = (nominal * unit + index // 2) // index if block < cut else -(-nominal * unit // index)
+                moved.append(after - shares)
+                shares = after
+                out.append(shares)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("account", "asset", "block", "log_index", "amount")] + [pa.array(moved, pa.int64()), pa.array(out, pa.int64())], ["account", "asset", "block", "log_index", "amount", "moved", "shares"])
+
+    ordered = events.repartition("account", "asset").sortWithinPartitions("account", "asset", "block", "log_index", "seq", "amount")
+    return ordered.select("account", "asset", "block", "log_index", "amount", "index").mapInArrow(fold, "account long, asset long, block long, log_index long, amount long, moved long, shares long")
+
+
 def transfer_fan_out(events: DataFrame, recipient: Column) -> DataFrame:
     """A transfer is two rows: seq 0 takes from the sender, seq 1 gives to the recipient."""
     legs = F.array(F.struct(F.lit(0).alias("part"), F.col("account").alias("party"), (-F.col("amount")).alias("moved")), F.struct(F.lit(1).alias("part"), recipient.alias("party"), F.col("amount").alias("moved")))

@@ -12,6 +12,13 @@ def feed_page(events: DataFrame, size: int, where: Column | None = None) -> Data
     return rows.orderBy(F.desc_nulls_last("block"), F.desc("tx"), F.desc("log_index"), F.desc("seq"), "account").limit(size)
 
 
+def ranked_page(rows: DataFrame, order: list[Column], skip: int, size: int) -> DataFrame:
+    """the rows of a page with their places.  Only the first skip + size rows in the order are ranked; deep pages
+    should be asked for by cursor (after_cursor)."""
+    top = rows.orderBy(*order).limit(skip + size)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long")).filter(F.col("place") > skip)
+
+
 def after_cursor(rows: DataFrame, columns: list[str], values: list[object]) -> DataFrame:
     """Rows strictly after a cursor in descending order of the columns."""
     place = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
