@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +22,8 @@ FEATURES = 384
 RIDGE = 1e-2
 #: Labelled rows that are learned from, at most; by a hash of doc_id where there are more.
 TRAIN_ROWS = 1_000_000
-#: Partial sums that reach the driver.
-PARTS = 16
+#: Partitions of labelled rows that are summed apart, and the numbers of one block of the sums.
+PARTS, BLOCK = 16, 4096
 #: Raw scores fall into so many bins for calibration.
 BINS = 4000
 THRESHOLD = 0.3
@@ -136,20 +137,39 @@ def text_statistics(docs: DataFrame) -> DataFrame:
 
 
 def _summed(rows: DataFrame, partial) -> list[np.ndarray]:
-    """Sums over all rows of the arrays that `partial` makes of (statistics, labels); PARTS rows reach the driver."""
+    """Sums over all rows of the arrays that `partial` makes of (statistics, labels).
+
+    Each partition sums its own rows; the sums are cut into blocks that are added up per block, so the driver gets the
+    arrays once, however many partitions there are.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total, rows = None, 0
         for batch in batches:
+            rows += batch.num_rows
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 own = partial(_matrix(part.column("x")), part.column("label").to_numpy(zero_copy_only=False).astype(np.float64))
                 total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([[t.tobytes() for t in total]], pa.list_(pa.binary()))], ["sums"])
-
-    parts = rows.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id").select("x", "label").mapInArrow(add, "sums array<binary>").collect()
-    return [np.sum([np.frombuffer(p.sums[i]) for p in parts], axis=0) for i in range(len(parts[0].sums))] if parts else []
+        if rows:
+            sizes = np.array([len(t) for t in total], np.int64).tobytes()
+            flat = np.concatenate(total)
+            blocks = [flat[i : i + BLOCK].tobytes() for i in range(0, len(flat), BLOCK)]
+            part = TaskContext.get().partitionId()
+            n = len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([part] * n, pa.int64()), pa.array(blocks, pa.binary()), pa.array([sizes] * n, pa.binary())], ["block", "part", "sums", "sizes"])
+
+    def join(group: pa.Table) -> pa.Table:
+        group = group.sort_by("part")
+        total = np.sum([np.frombuffer(x) for x in group.column("sums").to_pylist()], axis=0)
+        return pa.table({"block": group.column("block").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary()), "sizes": group.column("sizes").slice(0, 1)})
+
+    parts = rows.repartition(PARTS, "doc_id").sortWithinPartitions("doc_id").select("x", "label").mapInArrow(add, "block long, part long, sums binary, sizes binary")
+    blocks = sorted(parts.groupBy("block").applyInArrow(join, "block long, sums binary, sizes binary").collect(), key=lambda r: r.block)
+    if not blocks:
+        return []
+    flat = np.concatenate([np.frombuffer(r.sums) for r in blocks])
+    return np.split(flat, np.cumsum(np.frombuffer(blocks[0].sizes, np.int64))[:-1])
 
 
 def learn(labelled: DataFrame, calibrate: Column, train_rows: int = TRAIN_ROWS, features: int = FEATURES, ridge: float = RIDGE, seed: int = 7) -> Model:
