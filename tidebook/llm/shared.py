@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ from tidebook.llm import textkit
 #: Texts of about this many bytes form a chunk, the unit that asks and is answered; a longer text stands alone.
 CHUNK_BYTES = 8 << 20
 
+#: Rows and bytes of an Arrow batch while an operator writes a table.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 CHUNK_SCHEMA = "chunk long, docs long, words long, bytes long, blob binary"
 
 
@@ -31,11 +35,32 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> dict[str, str]:
+    """Bounds the Arrow batches of a session in rows and bytes, as rows with whole texts are large; the settings before."""
+    before = {}
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        before[key] = spark.conf.get(key)
+        spark.conf.set(key, str(most))
+    return before
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Bounded batches while a table is written."""
+    before = bound_batches(spark)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: lineage is cut, and a lost executor costs no rework."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

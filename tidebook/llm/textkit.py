@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are hashed in slices of about this many bytes, which keeps the temporary arrays small.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = (1 << 20) - 1024
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
