@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm import textkit
@@ -215,12 +215,23 @@ def cross_candidates(members: DataFrame, near: DataFrame, percent: int) -> DataF
     least = F.least(col("x.both"), col("y.both"))
     near = materialize(_mixed(near, ["hub"]), "near")
     rows = near.withColumn("a", col("n") - col("both"))
-    # they share shingles beyond the hub, and enough of them
+    # they share shingles beyond the hub, and enough of them; shingles that the same members have count as one with a weight
     beyond = rows.select("hub", "doc_id", "component", "n", "both", "a", F.explode("added").alias("shingle"))
+    beyond = materialize(beyond, "beyond")
+    holders = [F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"), F.count("*").alias("holders")]
+    held = beyond.groupBy("hub", "shingle").agg(*holders, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    kept = held.groupBy("hub", "h1", "h2", "holders").agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight")).drop("h1", "h2")
+    # what a member must share at least with any other of the hub; then the first shared shingle, in order of rarity, stands
+    # before the last so many of its own
+    smallest = rows.groupBy("hub").agg(F.min("n").alias("smallest"))
+    least_n = F.greatest(col("smallest"), percent * col("n") / 100)
+    due = F.greatest(F.lit(1), F.ceil(percent * (col("n") + least_n) / (100 + percent) - col("both") - 1e-6))
+    own = Window.partitionBy("hub", "doc_id")
+    before = F.coalesce(F.sum("weight").over(own.orderBy("holders", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = beyond.join(kept, ["hub", "shingle"]).join(smallest, "hub").withColumns({"before": before, "all": F.sum("weight").over(own)})
+    first = first.filter(col("before") < col("all") - due + 1).select(beyond.columns)
     could = _alike(least + F.least(col("x.a"), col("y.a")), col("x.n"), col("y.n"), percent)
-    shared = _self_join(materialize(_mixed(beyond, ["hub", "shingle"]), "beyond"), ["hub", "shingle"], could)
-    shared = shared.groupBy(col("x.hub").alias("hub"), col("x.doc_id").alias("a"), col("y.doc_id").alias("b"), (least).alias("least"), (col("x.n") + col("y.n")).alias("sum")).agg(F.count("*").alias("same"))
-    shared = shared.filter((100 + percent) * (col("least") + col("same")) >= percent * col("sum")).select("a", "b")
+    shared = _self_join(materialize(first, "shared-beyond"), ["hub", "shingle"], could).select(col("x.doc_id").alias("a"), col("y.doc_id").alias("b"))
     # both are mostly parts of the hub
     parts = rows.filter(100 * col("both") >= percent * col("n")).drop("added")
     parts = _self_join(parts, ["hub"], _alike(least, col("x.n"), col("y.n"), percent)).select(col("x.doc_id").alias("a"), col("y.doc_id").alias("b"))
