@@ -132,6 +132,12 @@ def _(v):
     return T.consistent_inputs({"events": v.position_events}, bounds)["events"].filter("block % 3 = 0").select("engine", "account", "asset", "block", "delta")
 
 
+@query("a17_consistent_inputs_whole", "select engine, account, asset, block, delta from position_events where block <= case engine when 'pool' then 1200 else 900 end")
+def _(v):
+    bounds = v.spark.sql("select * from values ('pool', 1200L), ('debt', 900L) as t(engine, bound)")
+    return T.consistent_inputs({"events": v.position_events}, bounds)["events"].select("engine", "account", "asset", "block", "delta")
+
+
 # ---- B: logs built from the events table: topic by type, words from its numbers
 
 TOPICS = {"click": "pool.share_transfer", "view": "feed.answer_updated", "purchase": "pool.repay", "signup": "debt.collateral_token_config_set"}
@@ -344,6 +350,13 @@ def _(v):
     return R.golden(rows, rows.select(*key, (F.col("amount") + F.when(F.col("account") % 10 == 0, 1).otherwise(0)).alias("expected")), key)
 
 
+@query("l19_golden_whole", "select engine, account, asset, side, amount, amount + case when account % 10 = 0 then 1 else 0 end as expected, account % 10 <> 0 as ok from balances")
+def _(v):
+    key = ["engine", "account", "asset", "side"]
+    rows = v.balances.select(*key, "amount")
+    return R.golden(rows, rows.select(*key, (F.col("amount") + F.when(F.col("account") % 10 == 0, 1).otherwise(0)).alias("expected")), key)
+
+
 @query("l20_composition", """
 with recursive links as (select p_partkey as asset, p_partkey // 3 as base from part where p_partkey > 0), walk as (select asset, base as root, 1 as steps from links union all select w.asset, l.base, w.steps + 1 from walk w join links l on l.asset = w.root)
 select asset, arg_max(root, steps) as root, cast(max(steps) as int) as steps from walk group by asset""")
@@ -404,6 +417,11 @@ def _(v):
     return M.confirmed(v.position_events, v.position_events.select("block"), 200).filter("block > 2000").select(*EVENTS.split(", "))
 
 
+@query("m1_confirmed_whole", f"select {EVENTS} from position_events where block <= (select max(block) - 200 from position_events)")
+def _(v):
+    return M.confirmed(v.position_events, v.position_events.select("block"), 200).select(*EVENTS.split(", "))
+
+
 @query("m2_frontier", f"with {CONTROL} select 'chain' || (n_nationkey % 6) as engine, case when count(*) filter (block is null) = 0 then min(block) end as frontier from nation left join (select * from cursors where block <> 700) on engine = n_name group by 1")
 def _(v):
     required = v.table("nation").select(F.concat(F.lit("chain"), F.col("n_nationkey") % 6).alias("engine"), F.col("n_name").alias("stream"))

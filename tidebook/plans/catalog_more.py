@@ -196,11 +196,22 @@ def _(v):
     return positions(v).filter(F.col("account").between(10, 40)).join(legs, "account", "left").fillna(0, ["legs"])
 
 
+@query("n1_address_whole", f"select p.account, engine, debt, collateral, borrow_limit, liquidatable, coalesce(legs, 0) as legs from {POSITIONS} p left join (select account, count(*) as legs from legs group by account) l using (account)")
+def _(v):
+    legs = v.legs.groupBy("account").agg(F.count("*").alias("legs"))
+    return positions(v).join(legs, "account", "left").fillna(0, ["legs"])
+
+
 @query("n1_history", "select account, block // 100 as batch, cast(sum(delta) as bigint) as moved, count(*) as n from position_events where delta is not null and account < 50 group by all")
 def _(v):
     return v.position_events.filter("delta is not null and account < 50").groupBy("account", F.expr("block div 100").alias("batch")).agg(F.sum("delta").alias("moved"), F.count("*").alias("n"))
 
 
+@query("n1_history_whole", "select account, block // 100 as batch, cast(sum(delta) as bigint) as moved, count(*) as n from position_events where delta is not null group by all")
+def _(v):
+    return v.position_events.filter("delta is not null").groupBy("account", F.expr("block div 100").alias("batch")).agg(F.sum("delta").alias("moved"), F.count("*").alias("n"))
+
+
 @query("n1_scenarios", f"select scenario, string_agg(axis || ':' || percent, ',' order by axis) as shocks, count(*) as axes from {SCENARIOS} group by scenario")
 def _(v):
     return scenarios(v).groupBy("scenario").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "axis", "percent"))), ",").alias("shocks"), F.count("*").alias("axes"))
@@ -221,6 +232,11 @@ def _(v):
     return v.param_history.filter("asset < 100 and block <= 600")
 
 
+@query("n1_params_whole", "select asset, block, log_index, ltv, threshold, bonus from param_history")
+def _(v):
+    return v.param_history
+
+
 @query("n3_sql_functions", "select tx, log_index, seq, cast(amount::hugeint * 1000000007 // (asset + 1) as varchar) as x from position_events")
 def _(v):
     X.register(v.spark)

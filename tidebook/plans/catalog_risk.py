@@ -359,3 +359,8 @@ def _(v):
 @query("k20_address_stress", f"select scenario, account, engine, debt, collateral, liquidatable from {AFTER} where account % 500 = 7")
 def _(v):
     return after(v).filter("account % 500 = 7").select("scenario", "account", "engine", "debt", "collateral", "liquidatable")
+
+
+@query("k20_address_stress_whole", f"select scenario, account, engine, debt, collateral, liquidatable from {AFTER}")
+def _(v):
+    return after(v).select("scenario", "account", "engine", "debt", "collateral", "liquidatable")

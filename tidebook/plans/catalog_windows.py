@@ -297,6 +297,16 @@ def _(v):
     return H.batch_complete(declared, rows, rows.select("batch", "engine").distinct())
 
 
+@query("h1_batch_complete_whole", """
+with p as (select block // 100 as batch, list_sort(list(distinct engine)) as es from position_events group by all)
+select batch, batch % 6 <> 0 and len(es) = 2 as complete, case when len(es) = 2 then '' when es[1] = 'debt' then 'pool' else 'debt' end as missing from p""")
+def _(v):
+    rows = v.position_events.select(F.expr("block div 100").alias("batch"), "engine", F.col("amount").alias("debt"))
+    declared = rows.groupBy("batch").agg((F.count("*") + F.when(F.col("batch") % 6 == 0, 1).otherwise(0)).alias("declared"), F.sum("debt").alias("declared_debt"))
+    declared = declared.withColumn("required", F.array(F.lit("debt"), F.lit("pool")))
+    return H.batch_complete(declared, rows, rows.select("batch", "engine").distinct())
+
+
 @query("h2_timeline", """
 select asset, block, log_index, 'param' as kind, ltv, threshold, bonus, null::bigint as amount from param_history union all
 select asset, block, log_index, 'event', null, null, null, amount from position_events where event_type = 'repay'""")
