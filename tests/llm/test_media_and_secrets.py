@@ -84,3 +84,13 @@ def test_cost_is_the_least_over_segmentations():
 
     assert secrets.log10_guesses(value) == pytest.approx(least(0))
     assert secrets.log10_guesses("") == 0
+
+
+@pytest.mark.parametrize("value", ["xK9#mQ2", "q7#Zp!", "kqzwvxj"])
+def test_short_values_are_scored_by_their_guesses(value):
+    """The guess-cost threshold alone decides: no value is left out for its length."""
+    assert len(value) < 8 and secrets.log10_guesses(value) >= secrets.MIN_LOG10_GUESSES
+    text = f"pwd={value} and pwd=abc"
+    assert [(kind, text[a:b]) for kind, a, b, _ in secrets.scan(text)] == [("guess", value)]
+    nested = f"password: token: {value}"
+    assert [nested[a:b] for _, a, b, _ in secrets.scan(nested)] == [value]

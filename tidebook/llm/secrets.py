@@ -19,7 +19,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 #: Credential contexts beyond the fixed ones: more names, and any value without white space or quotes.
-_CONTEXT = re.compile(r"""(?<![a-z0-9])(pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|auth|credentials?|access_?key|private_?key)["']?\x20*[:=]\x20*["']?([^\s"'<>]{8,})""", re.IGNORECASE | re.ASCII)
+_CONTEXT = re.compile(r"""(?<![a-z0-9])(pass(?:word|wd|phrase|code)?|pwd|secret|token|api_?key|auth|credentials?|access_?key|private_?key)["']?\x20*[:=]\x20*["']?([^\s"'<>]+)""", re.IGNORECASE | re.ASCII)
 _NAMES = (b"pass", b"pwd", b"secret", b"token", b"api", b"auth", b"credential", b"key")
 
 _HEX_BYTE = np.zeros(256, bool)
@@ -113,9 +113,14 @@ def scan(text: str) -> list[tuple[str, int, int, float | None]]:
             values[m.start(2)] = m.end(2)
     found += [("access", m.start(), m.end(), None) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
-    for m in _CONTEXT.finditer(text):
-        if values.get(m.start(2)) != m.end(2) and (cost := log10_guesses(m[2])) >= MIN_LOG10_GUESSES:
-            found.append(("guess", m.start(2), m.end(2), cost))
+    at = 0
+    while m := _CONTEXT.search(text, at):
+        at = m.end()
+        if values.get(m.start(2)) != m.end(2):
+            if (cost := log10_guesses(m[2])) >= MIN_LOG10_GUESSES:
+                found.append(("guess", m.start(2), m.end(2), cost))
+            else:  # a cheap value may be the name of the next context
+                at = m.start(2)
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
