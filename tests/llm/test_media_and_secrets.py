@@ -22,6 +22,15 @@ def test_media_round_trip(hard, hard_rows, empty):
     assert media.media_features(media.with_wav(empty)).count() == 0
 
 
+def test_features_are_read_from_the_stored_column(spark, sf):
+    """The query reads a table of media from the shared folder, not the texts, and its digests are those of the stored bytes."""
+    out = media.op6_media_columns(spark, sf)
+    files = out.inputFiles()
+    assert files and all("/media-" in f and "documents" not in f for f in files)
+    stored = {hashlib.sha256(r.media).hexdigest() for r in spark.read.parquet(*files).select("media").collect()}
+    assert stored == {r.media_sha256 for r in out.select("media_sha256").collect()}
+
+
 def test_bad_media_give_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, bytearray(b"no wave")), (3, bytearray(media.to_wav(b"abc")))], "k long, media binary")
     rows = {r.k: r for r in media.media_features(df).collect()}

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.llm.shared import materialize
+
 #: Payloads are padded with zero bytes to a positive multiple of this.
 PAD = 64
 RATE = 8000
@@ -123,6 +125,6 @@ def media_features(media: DataFrame) -> DataFrame:
 
 def op6_media_columns(spark, sf_dir: str) -> DataFrame:
     """Texts of whole `documents` as WAV media, and what the stored bytes give when read back."""
-    out = media_features(with_wav(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    out = media_features(materialize(with_wav(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"))
     feature = F.sha2(F.array_join(F.col("codes").cast("array<string>"), ","), 256)
     return out.withColumn("n_pairs", F.size("codes")).withColumn("feature", feature).drop("codes")
