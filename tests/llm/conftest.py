@@ -10,6 +10,16 @@ def ascii_lower(text):
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text)
 
 
+def _morse(n):
+    """A Thue-Morse word of 2**n letters and its complement: alike for every polynomial hash modulo a power of two."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+morse = _morse(10)
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, bucket int"
 
 

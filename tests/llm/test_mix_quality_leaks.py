@@ -147,6 +147,44 @@ def test_tiling_equals_the_plain_version():
         assert decontamination.tile(item, doc, 3) == plain_tiles(item.tolist(), doc.tolist(), 3)
 
 
+def test_tiling_of_repeated_tokens_stays_small():
+    import tracemalloc
+
+    item, doc = np.ones(1000, np.uint64), np.ones(1_000_000, np.uint64)
+    doc[::50_000] = 2
+    tracemalloc.start()
+    assert decontamination.tile(item, doc, 3) == [(0, 1, 1000)]
+    assert len(decontamination.tile(np.arange(1000, dtype=np.uint64) % 2, doc % 2, 3)) == 19
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_leaks_equal_a_plain_version(spark):
+    """Reordered pieces of 3 to 8 tokens, chance overlaps, repeated tokens, and items shorter than a tile."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {k: text(rng.choice([1, 2, 3, 5, 24, 24, 40])) for k in range(30)}
+    docs = {}
+    for d in range(120):
+        own = text(rng.randint(0, 60))
+        if d % 2:
+            item, piece = items[rng.randrange(30)], rng.randint(3, 8)
+            pieces = [item[i : i + piece] for i in range(0, len(item), piece)]
+            rng.shuffle(pieces)
+            own = own[:10] + [t for p in pieces[: rng.randint(1, len(pieces))] for t in p] + own[10:]
+        docs[d] = own
+    want = []
+    for d, own in docs.items():
+        for k, item in items.items():
+            tiles = plain_tiles(item, own, min(3, len(item)))
+            if sum(n for _, _, n in tiles) >= math.ceil(0.8 * len(item) - 1e-9):
+                want.append((d, k, len(tiles)))
+    table = lambda rows, name: spark.createDataFrame([(i, " ".join(t)) for i, t in rows.items()], f"{name} long, text string")
+    found = decontamination.find_leaks(table(docs, "doc_id"), table(items, "item_id")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_tiles) for r in found) == sorted(want) and any(n > 2 for _, _, n in want)
+
+
 ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
 
 

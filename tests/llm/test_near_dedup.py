@@ -4,7 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tests.llm.conftest import SCHEMA, WORD, ascii_lower
+from tests.llm.conftest import SCHEMA, WORD, ascii_lower, morse
+from tidebook.llm import near_dedup
 from tidebook.llm.near_dedup import band_keys, band_width, components, drop_duplicates, link_duplicates, registers, shingle_sets
 
 
@@ -77,6 +78,18 @@ def test_edited_copies_of_one_text(spark):
         assert got == {d: c for d, (_, c) in want.items()}
 
 
+def test_hubs_fall_into_slots(spark, monkeypatch):
+    """A group of 300 near copies, with slots of 20 pairs, two rows that share a doc_id, and words that a weak hash confuses."""
+    monkeypatch.setattr(near_dedup, "SLOT", 20)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join([*base[: rng.randint(88, 100)], f"e{i % 40}"]), None, None, None, None, None) for i in range(300)]
+    rows += [(300, morse[0], None, None, None, None, None), (301, morse[1], None, None, None, None, None)]
+    want = plain([r[:2] for r in rows], 3, 85)
+    got = link_duplicates(spark.createDataFrame([*rows, rows[3]], SCHEMA), 3, 85).collect()
+    assert len(got) == 303 and {r.doc_id: r.component_id for r in got} == {d: c for d, (_, c) in want.items()}
+
+
 def test_bands_keep_the_chance():
     assert band_width(0.85) == 6 and band_width(0.8) == 5 and band_width(0.1) == 1
 
@@ -102,7 +115,7 @@ def test_registers_agree_as_often_as_sets_are_alike():
 
 
 def test_short_texts_are_one_shingle_and_bands_differ():
-    sets = shingle_sets(pa.array([None, "", "a", "a b", "a b c", "A b C", "a b c d"]), 3)
+    sets = shingle_sets(pa.array([None, "", "a", "a b", "a b c", "A b C", "a b c d"]), 3, key=5)
     assert [len(s) for s in sets] == [0, 0, 1, 1, 1, 1, 2]
     assert (sets[4] == sets[5]).all() and sets[3][0] != sets[4][0]
     keys = band_keys(registers(sets[2:]), 6)

@@ -33,6 +33,8 @@ MANTISSA_BITS = 10
 COLLISION = 0.16992 / (1 << MANTISSA_BITS)
 #: Standard deviations below the threshold at which an estimate rules a pair out.
 MARGIN = 6.0
+#: Pairs of a hub, about, that one task compares.
+SLOT = 500
 #: Up to so many ids are broadcast to pick texts; beyond, the join is left to Spark.
 BROADCAST_IDS = 1_000_000
 
@@ -40,22 +42,20 @@ _U = np.uint64
 SKETCH = "doc_id long, n_shingles long, d1 long, d2 long, regs binary, bands array<long>"
 
 
-def shingle_sets(texts: pa.Array, k: int, lower: bool = True) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, k: int, key: int, lower: bool = True) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its k-word shingles; a shorter text is one shingle, no words none."""
     out: list[np.ndarray] = []
     for first, end, data, offsets in textkit.slices(texts):
-        words = textkit.Words(data, offsets, lower=lower)
+        words = textkit.Words(data, offsets, lower=lower, key=key)
         counts = words.counts
         _, hashes = words.windows(k)
         at = np.concatenate([[0], np.cumsum(np.maximum(counts - k + 1, 0))])
-        sums = None
         for i in range(end - first):
             if counts[i] >= k:
                 own = np.sort(hashes[at[i] : at[i + 1]])
                 out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
             elif counts[i]:
-                sums = textkit.prefix(words.hash, "word") if sums is None else sums
-                out.append(textkit.span_hash(sums, "word", words.bounds[i : i + 1], words.bounds[i + 1 : i + 2]))
+                out.append(words.spans(words.bounds[i : i + 1], words.bounds[i + 1 : i + 2]))
             else:
                 out.append(np.zeros(0, _U))
     return out
@@ -103,14 +103,14 @@ def band_keys(regs: np.ndarray, width: int) -> np.ndarray:
     return textkit.mix(key + np.arange(r.shape[1], dtype=_U) * _U(0xD6E8FEB86659FD93))
 
 
-def sketches(docs: DataFrame, k: int, width: int, lower: bool = True) -> DataFrame:
+def sketches(docs: DataFrame, k: int, width: int, key: int, lower: bool = True) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set (d1, d2), registers and band keys; the last four null for no shingles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in textkit.slices(batch.column("text")):
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
-                sets = shingle_sets(texts, k, lower)
+                sets = shingle_sets(texts, k, key, lower)
                 sizes = np.array([len(s) for s in sets])
                 none = sizes == 0
                 at = np.concatenate([[0], np.cumsum(sizes)])
@@ -133,26 +133,41 @@ def sketches(docs: DataFrame, k: int, width: int, lower: bool = True) -> DataFra
     return rows.mapInArrow(sketch, SKETCH)
 
 
+def of_hub(pairs: DataFrame, hubs: DataFrame, hub: str = "a", member: str = "b") -> DataFrame:
+    """Pairs (hub, member, slots) with the columns that `hubs` has for the hub; pairs without a row there are left out.
+
+    The pairs of a hub fall into `slots` parts, each with a copy of the hub's row, so a hub of very many pairs is joined
+    in many tasks.
+    """
+    own = pairs.groupBy(hub).agg(F.first("slots").alias("slots")).join(hubs, hub)
+    copies = own.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).drop("slots")
+    return pairs.withColumn("_slot", F.pmod(F.xxhash64(member), F.col("slots"))).join(copies, [hub, "_slot"]).drop("_slot")
+
+
 def likely(pairs: DataFrame, regs: DataFrame, share: float, fit: bool = True) -> DataFrame:
-    """Of pairs (a, b), those whose collision-corrected estimate (and, if `fit`, sizes) don't rule a similarity of `share` out."""
+    """Of pairs (a, b, slots), those whose collision-corrected estimate (and, if `fit`, sizes) don't rule a similarity of `share` out."""
     floor = share - MARGIN * (share * (1 - share) / REGISTERS) ** 0.5
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
             j = ((a == b).mean(axis=1) - COLLISION) / (1 - COLLISION)
-            yield batch.select(["a", "b"]).filter(pa.array(j >= floor))
+            yield batch.select(["a", "b", "slots"]).filter(pa.array(j >= floor))
 
     side = lambda x: regs.select(F.col("doc_id").alias(x), F.col("regs").alias(f"r{x}"), F.col("n_shingles").alias(f"n{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = of_hub(pairs, side("a")).join(side("b"), "b")
     if fit:
         both = both.filter(F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-6)
-    return both.select("a", "b", "ra", "rb").mapInArrow(estimate, "a long, b long")
+    return both.select("a", "b", "slots", "ra", "rb").mapInArrow(estimate, "a long, b long, slots long")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, k: int, lower: bool = True, added: bool = False) -> DataFrame:
-    """Pairs (a, b) with the sizes na and nb of their full shingle sets and of the intersection, and, if wanted, the
-    shingles that only b has."""
+def compared(pairs: DataFrame, docs: DataFrame, k: int, key: int, lower: bool = True, added: bool = False) -> DataFrame:
+    """Pairs (a, b, slots) with the sizes na and nb of their full shingle sets and of the intersection, and, if wanted, the
+    shingles that only b has.
+
+    The text of a comes once before those of the b that it is compared with; an a of very many pairs has them in many
+    slots.
+    """
     pairs = materialize(pairs, "candidates")
     ids = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "candidate-ids")
     few = ids.count() <= BROADCAST_IDS
@@ -160,26 +175,32 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int, lower: bool = True, adde
     texts = materialize(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "candidate-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
-                known: dict[int, np.ndarray] = {}
-                for side in "ab":
-                    at = {d: i for i, d in enumerate(part.column(side).to_pylist()) if d not in known}
-                    known |= dict(zip(at, shingle_sets(part.column(f"t{side}").take(pa.array(list(at.values()), pa.int64())), k, lower), strict=True))
-                sizes, more = [], []
-                for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
-                    x, y = known[a], known[b]
-                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                    in_both = x[at] == y
-                    sizes.append((len(x), len(y), int(in_both.sum())))
-                    more.append(y[~in_both].view(np.int64) if added else None)
-                columns = [pa.array([z[i] for z in sizes], pa.int64()) for i in range(3)] + [pa.array(more, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *columns], ["a", "b", "na", "nb", "both", "added"])
-
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
-    return materialize(rows.mapInArrow(compare, "a long, b long, na long, nb long, both long, added array<long>"), "compared")
+            rows: list[tuple] = []
+            for first, end, data, offsets in textkit.slices(batch.column("text")):
+                part = batch.slice(first, end - first)
+                sets = shingle_sets(pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)]), k, key, lower)
+                for a, slot, b, slots, y in zip(*(part.column(c).to_pylist() for c in ("a", "slot", "b", "slots")), sets, strict=True):
+                    if (a, slot) != now:
+                        now, own = (a, slot), []
+                    if b is None:
+                        own.append(y)
+                        continue
+                    for x in own:  # more than one only if rows share a doc_id
+                        at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                        in_both = x[at] == y
+                        rows.append((a, b, slots, len(x), len(y), int(in_both.sum()), y[~in_both].view(np.int64) if added else None))
+            kinds = [pa.int64()] * 6 + [pa.list_(pa.int64())]
+            names = ["a", "b", "slots", "na", "nb", "both", "added"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+    slotted = pairs.withColumn("slot", F.pmod(F.xxhash64("b"), F.col("slots")))
+    members = slotted.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "slot", "slots", "b", "text")
+    hubs = pairs.groupBy("a").agg(F.first("slots").alias("slots")).join(texts.withColumnRenamed("doc_id", "a"), "a")
+    hubs = hubs.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1)).alias("slot"), "slots", F.lit(None).cast("long").alias("b"), "text")
+    rows = members.unionByName(hubs).repartition("a", "slot").sortWithinPartitions("a", "slot", "b")
+    return materialize(rows.mapInArrow(compare, "a long, b long, slots long, na long, nb long, both long, added array<long>"), "compared")
 
 
 def _alike(both, na, nb, percent: int):
@@ -206,29 +227,29 @@ def _mixed(rows: DataFrame, on: list[str]) -> DataFrame:
 def cross_candidates(members: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     """Pairs of bucket mates of different components that can be alike although their hub does not link them.
 
-    members: (key, hub, doc_id, component, n), near: (hub, doc_id, component, nh, n, both, linked, added) of members
+    members: (key, hub, doc_id, component, n), near: (hub, slots, doc_id, component, nh, n, both, linked, added) of members
     compared with the hub; members that are not in near are farther from it than twice the allowed distance.
     With R and A what a member x lacks of the hub and has beyond it, |x & y| = |hub| - |Rx | Ry| + |Ax & Ay|
     <= min(|x & hub|, |y & hub|) + |Ax & Ay|.
     """
     col = F.col
     least = F.least(col("x.both"), col("y.both"))
-    near = materialize(_mixed(near, ["hub"]), "near")
+    several = near.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("smallest")).filter("lo <> hi")
+    near = materialize(of_hub(near, several.drop("lo", "hi"), "hub", "doc_id"), "near")
     rows = near.withColumn("a", col("n") - col("both"))
     # they share shingles beyond the hub, and enough of them; shingles that the same members have count as one with a weight
-    beyond = rows.select("hub", "doc_id", "component", "n", "both", "a", F.explode("added").alias("shingle"))
+    beyond = rows.select("hub", "doc_id", "component", "n", "both", "a", "smallest", F.explode("added").alias("shingle"))
     beyond = materialize(beyond, "beyond")
     holders = [F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"), F.count("*").alias("holders")]
     held = beyond.groupBy("hub", "shingle").agg(*holders, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
     kept = held.groupBy("hub", "h1", "h2", "holders").agg(F.min("shingle").alias("shingle"), F.count("*").alias("weight")).drop("h1", "h2")
     # what a member must share at least with any other of the hub; then the first shared shingle, in order of rarity, stands
     # before the last so many of its own
-    smallest = rows.groupBy("hub").agg(F.min("n").alias("smallest"))
     least_n = F.greatest(col("smallest"), percent * col("n") / 100)
     due = F.greatest(F.lit(1), F.ceil(percent * (col("n") + least_n) / (100 + percent) - col("both") - 1e-6))
     own = Window.partitionBy("hub", "doc_id")
     before = F.coalesce(F.sum("weight").over(own.orderBy("holders", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = beyond.join(kept, ["hub", "shingle"]).join(smallest, "hub").withColumns({"before": before, "all": F.sum("weight").over(own)})
+    first = beyond.join(kept, ["hub", "shingle"]).withColumns({"before": before, "all": F.sum("weight").over(own)})
     first = first.filter(col("before") < col("all") - due + 1).select(beyond.columns)
     could = _alike(least + F.least(col("x.a"), col("y.a")), col("x.n"), col("y.n"), percent)
     shared = _self_join(materialize(first, "shared-beyond"), ["hub", "shingle"], could).select(col("x.doc_id").alias("a"), col("y.doc_id").alias("b"))
@@ -276,8 +297,8 @@ def link_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     doc_id that links reach, kept tells whether it is the row's own.  Rows that share a doc_id count as one document.
     Rows without doc_id are kept, with no component.  Other columns are ignored.
     """
-    share = percent / 100
-    sketch = materialize(sketches(docs, k, band_width(share), lower), "sketches")
+    share, key = percent / 100, textkit.fresh_key()
+    sketch = materialize(sketches(docs, k, band_width(share), key, lower), "sketches")
     usable = sketch.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = usable.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
@@ -288,20 +309,22 @@ def link_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     shared = materialize(bands.join(sizes, "key"), "band-mates")
     degree = shared.groupBy("doc_id").agg(F.sum("mates").alias("degree"))
     hubs = shared.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("hub"))).alias("top"))
-    members = materialize(shared.drop("mates").join(hubs.select("key", (-F.col("top.hub")).alias("hub")), "key"), "band-members")
+    slots = F.ceil(F.col("top.degree") / SLOT).alias("slots")
+    members = materialize(shared.drop("mates").join(hubs.select("key", (-F.col("top.hub")).alias("hub"), slots), "key"), "band-members")
 
-    stars = members.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near = compared(likely(materialize(stars, "star-pairs"), regs, max(0.0, 2 * share - 1), fit=False), docs, k, lower, added=True)
+    stars = members.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "slots").distinct()
+    near = compared(likely(materialize(stars, "star-pairs"), regs, max(0.0, 2 * share - 1), fit=False), docs, k, key, lower, added=True)
     near = near.withColumn("linked", _alike(F.col("both"), F.col("na"), F.col("nb"), percent))
     links = near.filter("linked").select("a", "b")
     found = components(links)
 
     # bucket mates that are not yet in one component
     labelled = lambda df: df.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    columns = [F.col(x).alias(y) for x, y in (("a", "hub"), ("b", "doc_id"), ("na", "nh"), ("nb", "n"), ("both", "both"), ("linked", "linked"), ("added", "added"))]
-    rest = cross_candidates(labelled(members), labelled(near.select(columns)), percent)
+    columns = [F.col(x).alias(y) for x, y in (("a", "hub"), ("slots", "slots"), ("b", "doc_id"), ("na", "nh"), ("nb", "n"), ("both", "both"), ("linked", "linked"), ("added", "added"))]
+    rest = cross_candidates(labelled(members.drop("slots")), labelled(near.select(columns)), percent)
     tested = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = compared(likely(rest.join(tested, ["a", "b"], "left_anti"), regs, share), docs, k, lower)
+    rest = rest.join(tested, ["a", "b"], "left_anti").withColumn("slots", F.lit(1).cast("long"))
+    more = compared(likely(rest, regs, share), docs, k, key, lower)
     more = more.filter(_alike(F.col("both"), F.col("na"), F.col("nb"), percent)).select("a", "b")
     if not more.isEmpty():
         found = components(links.union(more))
