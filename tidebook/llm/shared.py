@@ -17,6 +17,9 @@ from tidebook.llm import textkit
 
 #: Texts of about this many bytes form a chunk, the unit that asks and is answered; a longer text stands alone.
 CHUNK_BYTES = 8 << 20
+#: Bytes of text from which chunks and buckets grow with the root of the input, so that the rows that they exchange grow
+#: in proportion to it, up to chunks of MAX_GROWTH times CHUNK_BYTES.
+GROWTH_BYTES, MAX_GROWTH = 1 << 30, 8.0
 
 #: Rows and bytes of an Arrow batch while an operator writes a table.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
@@ -122,6 +125,12 @@ def unblob(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
+def growth(docs: DataFrame, most: float = MAX_GROWTH) -> float:
+    """The factor by which chunks and buckets of these texts are larger than their least size."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return min(most, max(1.0, (total / GROWTH_BYTES) ** 0.5))
+
+
 def bucket_count(spark: SparkSession, items: int, per_bucket: int) -> int:
     """Buckets of at most about per_bucket items, and enough of them for every task to have some."""
     return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-items // per_bucket))

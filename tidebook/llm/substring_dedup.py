@@ -3,7 +3,8 @@
 Every window of `window` consecutive words gets a Rabin-Karp hash.  A chunk of documents sends each of its
 distinct hashes once, with a mark if it holds it twice, to the bucket that counts this hash; the bucket answers
 one bit per hash.  A hash thus reaches a bucket at most once per chunk, however often a passage is repeated.
-The chunk merges its repeated windows into maximal removal intervals.
+What seems to be repeated is then counted once more in the same way with a second hash of another key, so windows
+count as equal only if they agree in 122 bits.  The chunk merges its repeated windows into maximal removal intervals.
 """
 
 from __future__ import annotations
@@ -13,11 +14,12 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import textkit
-from tidebook.llm.shared import bucket_count, chunked, hash_buckets, pack, unblob, unpack
+from tidebook.llm.shared import CHUNK_BYTES, bucket_count, chunked, growth, hash_buckets, materialize, pack, unblob, unpack
 
 #: Windows that one bucket counts, about.
 BUCKET_WINDOWS = 2_000_000
@@ -25,9 +27,9 @@ BUCKET_WINDOWS = 2_000_000
 OUT = "doc_id long, n_words long, removed array<struct<start:int,end:int>>, kept_text string"
 
 
-def chunk_windows(table: pa.Table, window: int) -> np.ndarray:
+def chunk_windows(table: pa.Table, window: int, key: int) -> np.ndarray:
     """Hashes of all windows of a chunk, in order."""
-    parts = [textkit.Words(d, o).windows(window)[1] for _, _, d, o in textkit.slices(table.column("text"))]
+    parts = [textkit.Words(d, o, key=key).windows(window)[1] for _, _, d, o in textkit.slices(table.column("text"))]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
@@ -37,6 +39,44 @@ def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[counts == 1], values[counts > 1]
 
 
+class Repeats:
+    """Which windows of a chunk are repeated: at first those that it holds twice, then what the buckets answer."""
+
+    def __init__(self, table: pa.Table, window: int, keys: tuple[int, int]):
+        self.table, self.window, self.keys = table, window, keys
+        self.values, self.inverse, counts = np.unique(chunk_windows(table, window, keys[0]), return_inverse=True, return_counts=True)
+        self.twice = counts > 1
+
+    def first_answers(self, marks: np.ndarray) -> np.ndarray:
+        """For each window whether its hash is repeated, given a mark for each hash that the chunk holds once."""
+        if len(marks) != int((~self.twice).sum()):
+            raise RuntimeError("the answers do not fit the chunk")
+        repeated = self.twice.copy()
+        repeated[~repeated] = marks
+        return repeated[self.inverse]
+
+    def seconds(self, hit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows that seem to be repeated, the distinct pairs of hashes, sorted: first and second hash, whether the
+        chunk holds the pair twice, and for each window its pair."""
+        first = self.values[self.inverse[hit]]
+        second = np.zeros(len(hit), np.uint64)
+        done = 0
+        for _, _, data, offsets in textkit.slices(self.table.column("text")):
+            words = textkit.Words(data, offsets, key=self.keys[1])
+            at = words.window_starts(self.window)
+            own = np.flatnonzero(hit[done : done + len(at)])
+            if len(own):
+                second[done + own] = words.spans(at[own], at[own] + self.window)
+            done += len(at)
+        second = second[hit]
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+        pair = np.empty(len(order), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        return a[new], b[new], np.bincount(pair, minlength=int(new.sum())) > 1, pair
+
+
 def remove_repeats(docs: DataFrame, window: int = 35, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
     """One row per input row: doc_id, n_words, removed (word intervals, maximal and disjoint), kept_text.
 
@@ -47,15 +87,17 @@ def remove_repeats(docs: DataFrame, window: int = 35, bucket_windows: int = BUCK
     if window < 1:
         raise ValueError("window must be positive")
     spark = docs.sparkSession
-    chunks = chunked(docs)
+    keys = textkit.fresh_key(), textkit.fresh_key()
+    factor = growth(docs)
+    chunks = chunked(docs, int(CHUNK_BYTES * factor))
     words = chunks.agg(F.sum("words")).first()[0] or 0
-    buckets = bucket_count(spark, words, bucket_windows)
+    buckets = bucket_count(spark, words, int(bucket_windows * factor))
+    edges = np.arange(buckets + 1)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
-                once, more = distinct(chunk_windows(unblob(blob.as_py()), window))
-                edges = np.arange(buckets + 1)
+                once, more = distinct(chunk_windows(unblob(blob.as_py()), window, keys[0]))
                 a, b = (np.searchsorted(hash_buckets(x, buckets), edges) for x in (once, more))
                 full = np.flatnonzero((np.diff(a) > 0) | (np.diff(b) > 0))
                 yield pa.RecordBatch.from_arrays(
@@ -66,7 +108,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, bucket_windows: int = BUCK
     def count(group: pa.Table) -> pa.Table:
         parts = [unpack(x, "u8") for x in group.column("once").to_pylist()]
         more = [unpack(x, "u8") for x in group.column("more").to_pylist()]
-        sizes = [len(x) for x in parts]
         everything = np.sort(np.concatenate([*parts, *more, *more]))  # what a chunk holds twice counts twice
         repeated = np.unique(everything[1:][everything[1:] == everything[:-1]])
         hashes = np.concatenate(parts)
@@ -75,29 +116,63 @@ def remove_repeats(docs: DataFrame, window: int = 35, bucket_windows: int = BUCK
             hit = repeated[at] == hashes
         else:
             hit = np.zeros(len(hashes), bool)
-        ends = np.cumsum(sizes)
-        bits = [np.packbits(hit[e - n : e]).tobytes() for e, n in zip(ends, sizes, strict=True)]
-        return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary())})
+        return replied(group, hit, [len(x) for x in parts])
+
+    def ask_again(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        out = []
+        for own, blob in zip(chunk.column("chunk").to_pylist(), chunk.column("blob").to_pylist(), strict=True):
+            repeats = Repeats(unblob(blob), window, keys)
+            first, second, twice, _ = repeats.seconds(repeats.first_answers(marks_of(replies)))
+            cut = np.searchsorted(hash_buckets(first, buckets), edges)
+            full = np.flatnonzero(np.diff(cut))
+            fields = [[pack(x[cut[i] : cut[i + 1]]) for i in full] for x in (first, second, twice.view(np.uint8))]
+            out.append(pa.table([pa.array(full, pa.int64()), pa.array(np.full(len(full), own), pa.int64()), *(pa.array(f, pa.binary()) for f in fields)], ["bucket", "chunk", "first", "second", "twice"]))
+        return pa.concat_tables(out)
+
+    def count_again(group: pa.Table) -> pa.Table:
+        first, second, twice = ([unpack(x, kind) for x in group.column(c).to_pylist()] for c, kind in (("first", "u8"), ("second", "u8"), ("twice", "u1")))
+        a, b, n = np.concatenate(first), np.concatenate(second), np.concatenate(twice).astype(np.int64) + 1
+        order = np.lexsort((b, a))
+        new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])
+        pair = np.empty(len(order), np.int64)
+        pair[order] = np.cumsum(new) - 1
+        return replied(group, np.bincount(pair, n)[pair] > 1, [len(x) for x in first])
 
     def answer(chunk: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
-        replies = replies.sort_by("bucket")
-        marks = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(replies.column("bits").to_pylist(), replies.column("n").to_pylist(), strict=True)]
         for blob in chunk.column("blob").to_pylist():
-            table = unblob(blob)
-            values, inverse, counts = np.unique(chunk_windows(table, window), return_inverse=True, return_counts=True)
-            repeated = counts > 1
-            mark = np.concatenate(marks).astype(bool) if marks else np.zeros(0, bool)
-            if len(mark) != int((~repeated).sum()):
+            repeats = Repeats(unblob(blob), window, keys)
+            hit = repeats.first_answers(marks_of(replies.filter(pc.equal(replies.column("turn"), 1))))
+            sure = marks_of(replies.filter(pc.equal(replies.column("turn"), 2)))
+            *_, twice, pair = repeats.seconds(hit)
+            if len(sure) != len(twice):
                 raise RuntimeError("the answers do not fit the chunk")
-            repeated[~repeated] = mark
-            hit = repeated[inverse]
-            out.append(apply_windows(table, hit, window))
+            hit[hit] = sure[pair]
+            out.append(apply_windows(repeats.table, hit, window))
         return pa.concat_tables(out)
 
-    asked = chunks.select("chunk", "blob").mapInArrow(ask, "bucket long, chunk long, once binary, more binary")
-    replies = asked.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, n long, bits binary")
-    return chunks.select("chunk", "blob").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(answer, OUT)
+    reply = "chunk long, bucket long, n long, bits binary"
+    blobs = chunks.select("chunk", "blob")
+    by_chunk = lambda df: df.groupBy("chunk")
+    asked = blobs.mapInArrow(ask, "bucket long, chunk long, once binary, more binary")
+    replies = materialize(asked.groupBy("bucket").applyInArrow(count, reply), "window-replies")
+    again = by_chunk(blobs).cogroup(by_chunk(replies)).applyInArrow(ask_again, "bucket long, chunk long, first binary, second binary, twice binary")
+    sure = again.groupBy("bucket").applyInArrow(count_again, reply)
+    both = replies.withColumn("turn", F.lit(1)).unionByName(sure.withColumn("turn", F.lit(2)))
+    return by_chunk(blobs).cogroup(by_chunk(both)).applyInArrow(answer, OUT)
+
+
+def replied(group: pa.Table, hit: np.ndarray, sizes: list[int]) -> pa.Table:
+    """A bucket's answer to each chunk: the bits of what it asked, in its order."""
+    bits = [np.packbits(hit[e - n : e]).tobytes() for e, n in zip(np.cumsum(sizes), sizes, strict=True)]
+    return pa.table({"chunk": group.column("chunk"), "bucket": group.column("bucket"), "n": pa.array(sizes, pa.int64()), "bits": pa.array(bits, pa.binary())})
+
+
+def marks_of(replies: pa.Table) -> np.ndarray:
+    """The bits of a chunk's answers, bucket after bucket."""
+    replies = replies.sort_by("bucket")
+    parts = [np.unpackbits(np.frombuffer(b, np.uint8), count=n) for b, n in zip(replies.column("bits").to_pylist(), replies.column("n").to_pylist(), strict=True)]
+    return np.concatenate([np.zeros(0, np.uint8), *parts]).astype(bool)
 
 
 def apply_windows(table: pa.Table, hit: np.ndarray, window: int) -> pa.Table:
@@ -107,7 +182,7 @@ def apply_windows(table: pa.Table, hit: np.ndarray, window: int) -> pa.Table:
     done = 0
     for first, end, data, offsets in textkit.slices(texts):
         words = textkit.Words(data, offsets)
-        at, _ = words.windows(window)
+        at = words.window_starts(window)
         mine = at[hit[done : done + len(at)]]
         done += len(at)
         change = np.zeros(len(words.start) + 1, np.int64)
