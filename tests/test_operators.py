@@ -77,6 +77,24 @@ def test_recoverable_and_seizable_by_hand(spark):
     assert take == min(1000, 1400 * 1000 * 110 // (1500 * 100)) + min(500, 1400 * 500 * 105 // (1500 * 100))
 
 
+def test_debts_without_legs_and_unknown_legs_stay_in_the_book(spark, views):
+    points = grid(spark, 2)
+    legs = spark.createDataFrame([(2, 1, 10, None, 65, 80, 105), (2, 2, 10, 100, 65, 80, 105), (3, 1, 10, 100, 65, 80, 105)], "account long, asset long, amount long, price long, ltv long, threshold long, bonus long")
+    debts = spark.createDataFrame([(1, "debt", 900), (2, "debt", 900), (3, "debt", 900)], "account long, engine string, debt long")
+    by = lambda df, *c: {r.account: tuple(r[x] for x in c) for r in df.collect()}
+    assert by(valuation.debt_positions(legs, debts), "collateral", "liquidatable", "refusal") == {1: (0, True, None), 2: (None, None, "missing_price"), 3: (1000, True, None)}
+    assert by(valuation.pool_positions(legs, debts), "eligible", "refusal") == {1: (True, None), 2: (None, "missing_price"), 3: (True, None)}
+    assert by(stress.seizable(legs, debts), "seizable", "refusal") == {1: (0, None), 2: (None, "missing_price"), 3: (945, None)}
+    assert by(stress.recoverable(legs, debts), "bad_debt") == {1: (900,), 2: (None,), 3: (0,)}
+    first = stress.waterfall(legs, debts, points).filter("grid = 0").first()
+    assert (first.cumulative, first.debt_eligible, first.bad_debt, first.refused) == (2, 1800, 900, 1)
+    market = stress.shortfall(legs, debts, spark.createDataFrame([], "asset long, ratio long")).first()
+    assert (market.at_oracle, market.bad_at_oracle, market.refused) == (1000, 900, 1)
+    # every debt of the tables is in the waterfall once prices are gone
+    gone = spark.createDataFrame([(0, 100), (1, 1)], "grid long, percent long")
+    assert stress.eligible_on_grid(views.legs, views.debts, gone).filter("grid = 0").count() == views.debts.count()
+
+
 def test_too_many_scenarios_are_refused(spark, views):
     with pytest.raises(ValueError, match="more than"):
         stress.eligible_on_grid(views.legs, views.debts, spark.range(2000).select(F.col("id").alias("grid"), F.lit(100).cast("long").alias("percent")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.exact import floor_div, half_decade, headroom_band, headroom_tenths, health_lane
-from tidebook.operators.valuation import leg_values
+from tidebook.operators.valuation import leg_values, with_sums
 
 #: Scenarios and grid points together, at most; tables beyond are refused, as they are meant to be small.
 MAX_SCENARIOS = 1000
@@ -41,51 +41,61 @@ def rescaled(factors: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def eligible_on_grid(legs: DataFrame, debts: DataFrame, grid: DataFrame) -> DataFrame:
-    """For each grid point (grid, percent of prices) and account: collateral, limit and whether debt is above it."""
-    rows = legs.join(_small(grid)).withColumn("price", floor_div(F.col("price") * F.col("percent"), F.lit(100)))
-    sums = leg_values(rows).groupBy("grid", "account").agg(F.sum("value").alias("collateral"), F.sum("limit_value").alias("borrow_limit"))
-    return sums.join(debts, "account").withColumn("eligible", F.col("debt") > F.col("borrow_limit"))
+    """For each grid point (grid, percent of prices) and account with a debt: collateral, limit and whether debt is
+    above it; an account without legs has none, one with a leg that cannot be valued is refused."""
+    points = _small(grid)
+    rows = legs.join(points).withColumn("price", floor_div(F.col("price") * F.col("percent"), F.lit(100)))
+    both = with_sums(debts.join(points.select("grid")), leg_values(rows), ("ltv",), ("grid",), collateral=F.sum("value"), borrow_limit=F.sum("limit_value"))
+    return both.withColumn("eligible", F.col("debt") > F.col("borrow_limit"))
 
 
 def waterfall(legs: DataFrame, debts: DataFrame, grid: DataFrame) -> DataFrame:
     """Per grid point and engine: newly and cumulatively eligible accounts, their debt, collateral at risk,
-    insolvent accounts and bad debt.  An account that was eligible stays counted."""
+    insolvent accounts, bad debt, and refused accounts.  An account that was eligible stays counted."""
     rows = eligible_on_grid(legs, debts, grid)
     w = Window.partitionBy("account").orderBy("grid")
-    held = F.max(F.col("eligible").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    held = F.coalesce(F.max(F.col("eligible").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
     rows = rows.withColumn("held", held).withColumn("newly", F.col("held") - F.coalesce(F.lag("held").over(w), F.lit(0)))
     bad = F.greatest(F.lit(0), F.col("debt") - F.col("collateral"))
+    total = lambda c: F.coalesce(F.sum(F.col("held") * c), F.lit(0))
     return rows.groupBy("grid", "engine").agg(
-        F.sum("newly").alias("newly"), F.sum("held").alias("cumulative"), F.sum(F.col("held") * F.col("debt")).alias("debt_eligible"), F.sum(F.col("held") * F.col("collateral")).alias("at_risk"),
-        F.count_if((F.col("held") == 1) & (bad > 0)).alias("insolvent"), F.sum(F.col("held") * bad).alias("bad_debt"),
+        F.sum("newly").alias("newly"), F.sum("held").alias("cumulative"), total(F.col("debt")).alias("debt_eligible"), total(F.col("collateral")).alias("at_risk"),
+        F.count_if((F.col("held") == 1) & (bad > 0)).alias("insolvent"), total(bad).alias("bad_debt"), F.count("refusal").alias("refused"),
     )
 
 
 def seizable(legs: DataFrame, debts: DataFrame) -> DataFrame:
-    """K4: what a liquidator may take: each leg's share of the debt with the leg's bonus, at most the leg."""
-    rows = leg_values(legs).join(debts, "account").withColumn("total", F.sum("value").over(Window.partitionBy("account")))
+    """K4: what a liquidator may take: each leg's share of the debt with the leg's bonus, at most the leg.  Nothing of an
+    account without legs; null, with the code, of a refused one."""
+    rows = leg_values(legs).withColumn("total", F.sum("value").over(Window.partitionBy("account"))).join(debts.select("account", F.col("debt").alias("owed")), "account")
     # three factors: value and debt stay below 10**15, the bonus below 10**4
-    wanted = F.col("debt").cast("decimal(19,0)") * (F.col("value") * F.col("bonus")).cast("decimal(19,0)")
-    per = (F.col("total") * 100).cast("decimal(19,0)")
+    wanted = F.col("owed").cast("decimal(19,0)") * (F.col("value") * F.col("bonus")).cast("decimal(19,0)")
+    per = F.nullif(F.col("total") * 100, F.lit(0)).cast("decimal(19,0)")
     take = ((wanted - F.pmod(wanted, per)) / per).cast("decimal(38,0)")
-    return rows.groupBy("account", "engine").agg(F.sum(F.least(F.col("value").cast("decimal(38,0)"), take)).cast("long").alias("seizable"))
+    both = with_sums(debts, rows, ("bonus",), seizable=F.sum(F.least(F.col("value").cast("decimal(38,0)"), take)).cast("long"))
+    return both.select("account", "engine", "seizable", "refusal")
 
 
 def recoverable(legs: DataFrame, debts: DataFrame) -> DataFrame:
-    """K5: debt that the legs pay back once bonuses are given, and the bad debt of accounts above their limit."""
-    rows = leg_values(legs).groupBy("account").agg(F.sum(floor_div(F.col("value") * 100, F.col("bonus"))).alias("recoverable"), F.sum("limit_value").alias("borrow_limit"))
-    both = rows.join(debts, "account")
-    bad = F.when(F.col("debt") > F.col("borrow_limit"), F.greatest(F.lit(0), F.col("debt") - F.col("recoverable"))).otherwise(0)
-    return both.select("account", "engine", "debt", "recoverable", bad.alias("bad_debt"))
+    """K5: debt that the legs pay back once bonuses are given, and the bad debt of accounts above their limit; an account
+    without legs pays nothing back."""
+    back = F.sum(floor_div(F.col("value") * 100, F.col("bonus")))
+    both = with_sums(debts, leg_values(legs), ("ltv", "bonus"), recoverable=back, borrow_limit=F.sum("limit_value"))
+    bad = F.when(F.col("debt") > F.col("borrow_limit"), F.greatest(F.lit(0), F.col("debt") - F.col("recoverable"))).when(F.col("refusal").isNull(), 0)
+    return both.select("account", "engine", "debt", "recoverable", bad.alias("bad_debt"), "refusal")
 
 
 def shortfall(legs: DataFrame, debts: DataFrame, ratios: DataFrame) -> DataFrame:
-    """K7: collateral at the oracle and at market ratios (percent, default 100), and what the market leaves unpaid."""
+    """K7: collateral at the oracle and at market ratios (percent, default 100), what the market leaves unpaid, and refused
+    accounts, which are in neither."""
     rows = leg_values(legs).join(ratios, "asset", "left").withColumn("market", floor_div(F.col("value") * F.coalesce("ratio", F.lit(100)), F.lit(100)))
-    sums = rows.groupBy("account").agg(F.sum("value").alias("at_oracle"), F.sum("market").alias("at_market"))
-    both = sums.join(debts, "account")
+    both = with_sums(debts, rows, (), at_oracle=F.sum("value"), at_market=F.sum("market"))
     gap = lambda c: F.greatest(F.lit(0), F.col("debt") - F.col(c))
-    return both.groupBy("engine").agg(F.sum("at_oracle").alias("at_oracle"), F.sum("at_market").alias("at_market"), F.sum(gap("at_oracle")).alias("bad_at_oracle"), F.sum(gap("at_market")).alias("bad_at_market"))
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("refusal").isNull(), c)), F.lit(0))
+    return both.groupBy("engine").agg(
+        total(F.col("at_oracle")).alias("at_oracle"), total(F.col("at_market")).alias("at_market"), total(gap("at_oracle")).alias("bad_at_oracle"),
+        total(gap("at_market")).alias("bad_at_market"), F.count("refusal").alias("refused"),
+    )
 
 
 def health_histogram(positions: DataFrame, lanes: DataFrame) -> DataFrame:

@@ -18,37 +18,65 @@ def leg_values(legs: DataFrame) -> DataFrame:
     return legs.withColumn("value", value).withColumn("limit_value", floor_div(value * F.col("ltv"), F.lit(100))).withColumn("weighted", floor_div(value * F.col("threshold"), F.lit(100)))
 
 
+#: Why a leg cannot be valued; the first that holds counts.
+LEG_CODES = ("missing_price", "bad_price", "missing_amount", "negative", "missing_param")
+
+
+def leg_flaw(*params: str) -> Column:
+    """Place in LEG_CODES of a leg's flaw, null if it has none; params are the weights that must be there."""
+    absent = F.lit(False)
+    for p in params:
+        absent = absent | F.col(p).isNull()
+    price, amount = F.col("price"), F.col("amount")
+    return F.when(price.isNull(), 0).when(price <= 0, 1).when(amount.isNull(), 2).when(amount < 0, 3).when(absent, 4)
+
+
+def with_sums(debts: DataFrame, legs: DataFrame, params: tuple[str, ...], by: tuple[str, ...] = (), **sums: Column) -> DataFrame:
+    """Every debt with sums over its account's legs (and `by`, which debts has too), and refusal.
+
+    An account without legs has sums of 0.  A leg without price, amount or weight refuses its account with a code, as
+    does a missing debt; the sums of a refused account are null, so no verdict is taken on a part of it.
+    """
+    rows = legs.withColumn("_flaw", leg_flaw(*params)).groupBy(*by, "account").agg(F.min("_flaw").alias("_flaw"), *(c.alias(n) for n, c in sums.items()))
+    both = debts.join(rows, [*by, "account"], "left")
+    code = F.when(F.col("debt").isNull(), "missing_debt").when(F.col("_flaw").isNotNull(), F.element_at(F.array(*map(F.lit, LEG_CODES)), F.col("_flaw") + 1))
+    both = both.withColumn("refusal", code)
+    return both.withColumns({n: F.when(F.col("refusal").isNull(), F.coalesce(n, F.lit(0))) for n in sums}).drop("_flaw")
+
+
 def debt_positions(legs: DataFrame, debts: DataFrame) -> DataFrame:
     """An account may be liquidated if its debt is strictly above the sum of its legs' limits."""
-    sums = leg_values(legs).groupBy("account").agg(F.sum("value").alias("collateral"), F.sum("limit_value").alias("borrow_limit"))
-    rows = debts.join(sums, "account", "left")
-    limit = F.coalesce("borrow_limit", F.lit(0))
-    return rows.select("account", "engine", "debt", F.coalesce("collateral", F.lit(0)).alias("collateral"), limit.alias("borrow_limit"), (F.col("debt") > limit).alias("liquidatable"))
+    rows = with_sums(debts, leg_values(legs), ("ltv",), collateral=F.sum("value"), borrow_limit=F.sum("limit_value"))
+    return rows.select("account", "engine", "debt", "collateral", "borrow_limit", (F.col("debt") > F.col("borrow_limit")).alias("liquidatable"), "refusal")
 
 
 def pool_positions(legs: DataFrame, debts: DataFrame) -> DataFrame:
     """Health as weighted collateral over debt in parts per million: half up by 1e10, then floor by 1e4.
 
-    No debt is infinite health; an account is eligible below 1.
+    No debt is infinite health; an account is eligible below 1; a refused one is neither.
     """
-    sums = leg_values(legs).groupBy("account").agg(F.sum("value").alias("collateral"), F.sum("weighted").alias("weighted"), F.min("price").alias("lowest_price"))
-    rows = debts.join(sums, "account", "left").fillna({"collateral": 0, "weighted": 0})
+    rows = with_sums(debts, leg_values(legs), ("threshold",), collateral=F.sum("value"), weighted=F.sum("weighted"))
+    lowest = legs.groupBy("account").agg(F.min("price").alias("lowest_price"))
+    rows = rows.join(lowest, "account", "left")
     scaled = F.col("weighted").cast("decimal(20,0)") * F.lit(10_000_000_000).cast("decimal(11,0)")
     debt = F.nullif(F.col("debt"), F.lit(0)).cast("decimal(20,0)")
     near = scaled + floor_div(F.col("debt"), F.lit(2)).cast("decimal(20,0)")
     fine = ((near - F.pmod(near, debt)) / debt).cast("decimal(38,0)")
     health = ((fine - fine % 10_000) / 10_000).cast("long")
-    return rows.select("account", "engine", "debt", "collateral", "weighted", health.alias("health"), (F.col("debt") == 0).alias("infinite"), F.coalesce(health < 1_000_000, F.lit(False)).alias("eligible"), "lowest_price")
+    judged = F.col("refusal").isNull()
+    return rows.select(
+        "account", "engine", "debt", "collateral", "weighted", health.alias("health"), F.when(judged, F.col("debt") == 0).alias("infinite"),
+        F.when(judged, F.coalesce(health < 1_000_000, F.lit(False))).alias("eligible"), "lowest_price", "refusal",
+    )
 
 
 def refusals(legs: DataFrame) -> DataFrame:
     """The first reason to refuse each account: price, amount, weight or duplicate."""
     twice = F.count("*").over(Window.partitionBy("account", "asset")) > 1
-    code = F.when(F.col("price").isNull(), "missing_price").when(F.col("price") <= 0, "bad_price").when(F.col("amount") < 0, "negative").when(F.col("threshold").isNull(), "missing_param").when(twice, "duplicate")
-    rank = {"missing_price": 0, "bad_price": 1, "negative": 2, "missing_param": 3, "duplicate": 4}
-    ranked = legs.withColumn("code", code).filter("code is not null").withColumn("rank", F.create_map(*(F.lit(x) for kv in rank.items() for x in kv))[F.col("code")])
-    first = ranked.groupBy("account").agg(F.min_by(F.struct("code", "asset"), F.struct("rank", "asset")).alias("f"), F.count("*").alias("legs_refused"))
-    return first.select("account", F.col("f.code").alias("refusal_code"), F.col("f.asset").alias("refusal_asset"), "legs_refused")
+    ranked = legs.withColumn("rank", F.coalesce(leg_flaw("threshold"), F.when(twice, len(LEG_CODES)))).filter("rank is not null")
+    first = ranked.groupBy("account").agg(F.min(F.struct("rank", "asset")).alias("f"), F.count("*").alias("legs_refused"))
+    code = F.element_at(F.array(*map(F.lit, (*LEG_CODES, "duplicate"))), F.col("f.rank") + 1)
+    return first.select("account", code.alias("refusal_code"), F.col("f.asset").alias("refusal_asset"), "legs_refused")
 
 
 def live_debt(balances: DataFrame, rates: DataFrame, block: int, unit: int = 1_000_000) -> DataFrame:
@@ -105,13 +133,12 @@ def next_deadline(prices: DataFrame, now: int, budget: int) -> DataFrame:
 def liquidation_scale(legs: DataFrame, debts: DataFrame, moved: Column, unit: int = 1_000_000) -> DataFrame:
     """By what factor (parts per million, rounded up) the moved assets may fall before debt meets the weights.
 
-    outcome: none (no debt), never (the rest alone covers it), breached (already), distance.
+    outcome: refused (a leg cannot be valued), none (no debt), never (the rest alone covers it), breached (already), distance.
     """
-    rows = leg_values(legs)
-    sums = rows.groupBy("account").agg(F.sum(F.when(moved, F.col("weighted")).otherwise(0)).alias("inside"), F.sum(F.when(moved, 0).otherwise(F.col("weighted"))).alias("outside"))
-    both = debts.join(sums, "account")
+    inside, outside = (F.sum(F.when(c, F.col("weighted")).otherwise(0)) for c in (moved, ~moved))
+    both = with_sums(debts, leg_values(legs), ("threshold",), inside=inside, outside=outside)
     gap = F.col("debt") - F.col("outside")
-    outcome = F.when(F.col("debt") == 0, "none").when(gap <= 0, "never").when(F.col("inside") + F.col("outside") < F.col("debt"), "breached").otherwise("distance")
+    outcome = F.when(F.col("refusal").isNotNull(), "refused").when(F.col("debt") == 0, "none").when(gap <= 0, "never").when(F.col("inside") + F.col("outside") < F.col("debt"), "breached").otherwise("distance")
     return both.select("account", outcome.alias("outcome"), F.when(outcome == "distance", ceil_div(gap * unit, F.col("inside"))).alias("scale"))
 
 

@@ -12,24 +12,54 @@ from tidebook.plans.bindings import Views, query
 from tidebook.plans.catalog_ledger import ENGINE_SQL, engines
 
 LEGS = "(select *, amount * price as value, amount * price * ltv // 100 as limit_value, amount * price * threshold // 100 as weighted from legs)"
+BROKEN_LEGS = "(select account, asset, case when asset % 50 = 3 then -amount when asset % 47 <> 0 then amount end as amount, case when asset % 40 = 0 then null when asset % 41 = 0 then 0 else price end as price, case when asset % 37 <> 0 then ltv end as ltv, case when asset % 43 = 0 then null else threshold end as threshold, bonus from legs)"
+CODES = "case {} when 0 then 'missing_price' when 1 then 'bad_price' when 2 then 'missing_amount' when 3 then 'negative' when 4 then 'missing_param' end"
+
+
+def flaw_sql(param: str) -> str:
+    return f"min(case when price is null then 0 when price <= 0 then 1 when amount is null then 2 when amount < 0 then 3 when {param} is null then 4 end)"
+
+
+def positions_sql(legs: str, param: str = "ltv") -> str:
+    """Every debt with its account's sums; refused ones with null sums."""
+    return f"""(select account, engine, debt, refusal, case when refusal is null then coalesce(c, 0) end as collateral, case when refusal is null then coalesce(l, 0) end as borrow_limit, case when refusal is null then coalesce(w, 0) end as weighted,
+  case when refusal is null then debt > coalesce(l, 0) end as liquidatable, lowest_price
+  from (select *, {CODES.format("flaw")} as refusal from debts left join (
+    select account, cast(sum(amount * price) as bigint) as c, cast(sum(amount * price * ltv // 100) as bigint) as l, cast(sum(amount * price * threshold // 100) as bigint) as w, min(price) as lowest_price, {flaw_sql(param)} as flaw
+    from {legs} group by account) using (account)))"""
+
+
 SUMS = f"(select account, cast(sum(value) as bigint) as collateral, cast(sum(limit_value) as bigint) as borrow_limit, cast(sum(weighted) as bigint) as weighted, min(price) as lowest_price from {LEGS} group by account)"
-POSITIONS = f"(select account, engine, debt, coalesce(collateral, 0) as collateral, coalesce(borrow_limit, 0) as borrow_limit, debt > coalesce(borrow_limit, 0) as liquidatable from debts left join {SUMS} using (account))"
+POSITIONS = positions_sql("legs")
+
+
+def broken_legs(v: Views):
+    """Legs of which some have no price, amount or weight, or one that cannot be."""
+    asset, none = F.col("asset"), F.lit(None).cast("long")
+    return v.legs.select(
+        "account", "asset", F.when(asset % 50 == 3, -F.col("amount")).when(asset % 47 != 0, F.col("amount")).alias("amount"), F.when(asset % 40 == 0, none).when(asset % 41 == 0, 0).otherwise(F.col("price")).alias("price"),
+        F.when(asset % 37 != 0, F.col("ltv")).alias("ltv"), F.when(asset % 43 == 0, none).otherwise(F.col("threshold")).alias("threshold"), "bonus",
+    )
 
 
 def positions(v: Views):
     return J.debt_positions(v.legs, v.debts)
 
 
-@query("j2_debt_positions", f"select * from {POSITIONS}")
-def _(v):
-    return positions(v)
+for name, source, sql in (("j2_debt_positions", lambda v: v.legs, "legs"), ("j2_refused_positions", broken_legs, BROKEN_LEGS)):
 
+    @query(name, f"select account, engine, debt, collateral, borrow_limit, liquidatable, refusal from {positions_sql(sql)}")
+    def _(v, source=source):
+        return J.debt_positions(source(v), v.debts)
 
-@query("j1_pool_positions", f"""
-select account, engine, debt, coalesce(collateral, 0) as collateral, coalesce(weighted, 0) as weighted, cast(h as bigint) as health, debt = 0 as infinite, coalesce(h < 1000000, false) as eligible, lowest_price
-from (select *, case when debt > 0 then ((coalesce(weighted, 0)::hugeint * 10000000000 + debt // 2) // debt) // 10000 end as h from debts left join {SUMS} using (account))""")
-def _(v):
-    return J.pool_positions(v.legs, v.debts)
+
+for name, source, sql in (("j1_pool_positions", lambda v: v.legs, "legs"), ("j1_refused_positions", broken_legs, BROKEN_LEGS)):
+
+    @query(name, f"""
+select account, engine, debt, collateral, weighted, cast(h as bigint) as health, case when refusal is null then debt = 0 end as infinite, case when refusal is null then coalesce(h < 1000000, false) end as eligible, lowest_price, refusal
+from (select *, case when debt > 0 then ((weighted::hugeint * 10000000000 + debt // 2) // debt) // 10000 end as h from {positions_sql(sql, "threshold")})""")
+    def _(v, source=source):
+        return J.pool_positions(source(v), v.debts)
 
 
 @query("e8_book_rollup", f"""
@@ -141,8 +171,8 @@ def _(v):
 
 @query("j12_liquidation_scale", f"""
 select account, outcome, case when outcome = 'distance' then cast(((debt - outside) * 1000000 + inside - 1) // inside as bigint) end as scale from (
-  select *, case when debt = 0 then 'none' when debt - outside <= 0 then 'never' when inside + outside < debt then 'breached' else 'distance' end as outcome
-  from debts join (select account, cast(sum(case when asset % 2 = 0 then weighted else 0 end) as bigint) as inside, cast(sum(case when asset % 2 = 0 then 0 else weighted end) as bigint) as outside from {LEGS} group by account) using (account))""")
+  select account, debt, inside, outside, case when debt = 0 then 'none' when debt - outside <= 0 then 'never' when inside + outside < debt then 'breached' else 'distance' end as outcome
+  from (select account, debt, coalesce(i, 0) as inside, coalesce(o, 0) as outside from debts left join (select account, cast(sum(case when asset % 2 = 0 then weighted else 0 end) as bigint) as i, cast(sum(case when asset % 2 = 0 then 0 else weighted end) as bigint) as o from {LEGS} group by account) using (account)))""")
 def _(v):
     return J.liquidation_scale(v.legs, v.debts, F.col("asset") % 2 == 0)
 
@@ -218,19 +248,27 @@ def grid(v: Views):
     return v.spark.range(8).select(F.col("id").alias("grid"), (100 - F.col("id") * 10).alias("percent"))
 
 
-ON_GRID = """(select grid, account, cast(sum(amount * p) as bigint) as collateral, cast(sum(amount * p * ltv // 100) as bigint) as borrow_limit from (
-  select *, price * (100 - grid * 10) // 100 as p from legs, (select unnest(range(0, 8))::bigint as grid)) group by all)"""
-HELD = f"""(select *, held - coalesce(lag(held) over (partition by account order by grid), 0) as newly from (
-  select *, max((debt > borrow_limit)::int) over (partition by account order by grid) as held from {ON_GRID} join debts using (account)))"""
+def on_grid_sql(legs: str) -> str:
+    """Every debt at every grid point, with its account's sums there."""
+    return f"""(select account, engine, debt, grid, refusal, case when refusal is null then coalesce(c, 0) end as collateral, case when refusal is null then coalesce(l, 0) end as borrow_limit, case when refusal is null then debt > coalesce(l, 0) end as eligible
+  from (select *, {CODES.format("flaw")} as refusal from (select * from debts, (select unnest(range(0, 8))::bigint as grid)) left join (
+    select grid, account, cast(sum(amount * price) as bigint) as c, cast(sum(amount * price * ltv // 100) as bigint) as l, {flaw_sql("ltv")} as flaw
+    from (select grid, account, amount, ltv, price * (100 - grid * 10) // 100 as price from {legs}, (select unnest(range(0, 8))::bigint as grid)) group by all) using (grid, account)))"""
+
 
+def waterfall_sql(legs: str) -> str:
+    return f"""(select grid, engine, cast(sum(newly) as bigint) as newly, cast(sum(held) as bigint) as cumulative, cast(coalesce(sum(held * debt), 0) as bigint) as debt_eligible, cast(coalesce(sum(held * collateral), 0) as bigint) as at_risk,
+  count(*) filter (held = 1 and debt > collateral) as insolvent, cast(coalesce(sum(held * greatest(0, debt - collateral)) filter (collateral is not null), 0) as bigint) as bad_debt, count(refusal) as refused
+  from (select *, held - coalesce(lag(held) over (partition by account order by grid), 0) as newly from (
+    select *, coalesce(max(eligible::int) over (partition by account order by grid), 0) as held from {on_grid_sql(legs)})) group by all)"""
 
-@query("d17_eligible_on_grid", f"select account, engine, debt, grid, collateral, borrow_limit, debt > borrow_limit as eligible from {ON_GRID} join debts using (account)")
+
+@query("d17_eligible_on_grid", f"select account, engine, debt, grid, collateral, borrow_limit, eligible, refusal from {on_grid_sql('legs')}")
 def _(v):
     return K.eligible_on_grid(v.legs, v.debts, grid(v))
 
 
-WATERFALL = f"""(select grid, engine, cast(sum(newly) as bigint) as newly, cast(sum(held) as bigint) as cumulative, cast(sum(held * debt) as bigint) as debt_eligible, cast(sum(held * collateral) as bigint) as at_risk,
-  count(*) filter (held = 1 and debt > collateral) as insolvent, cast(sum(held * greatest(0, debt - collateral)) as bigint) as bad_debt from {HELD} group by all)"""
+WATERFALL = waterfall_sql("legs")
 
 
 @query("k6_waterfall", f"select * from {WATERFALL}")
@@ -238,6 +276,11 @@ def _(v):
     return K.waterfall(v.legs, v.debts, grid(v))
 
 
+@query("k6_refused_waterfall", f"select * from {waterfall_sql(BROKEN_LEGS)}")
+def _(v):
+    return K.waterfall(broken_legs(v), v.debts, grid(v))
+
+
 @query("k8_unshocked_bad_debt", f"select engine, bad_debt from {WATERFALL} where grid = 0")
 def _(v):
     return K.waterfall(v.legs, v.debts, grid(v)).filter("grid = 0").select("engine", "bad_debt")
@@ -248,25 +291,35 @@ def _(v):
     return K.below_dust(K.waterfall(v.legs, v.debts, grid(v)), 500_000_000)
 
 
-@query("k4_seizable", f"""
-select account, engine, cast(sum(least(value, debt::hugeint * (value * bonus) // (total * 100))) as bigint) as seizable from (select *, cast(sum(value) over (partition by account) as bigint) as total from {LEGS} join debts using (account)) group by all""")
-def _(v):
-    return K.seizable(v.legs, v.debts)
+for name, source, sql in (("k4_seizable", lambda v: v.legs, "legs"), ("k4_refused_seizable", broken_legs, BROKEN_LEGS)):
 
+    @query(name, f"""
+select account, engine, refusal, case when refusal is null then coalesce(s, 0) end as seizable from (select *, {CODES.format("flaw")} as refusal from debts left join (
+  select account, cast(sum(least(value, debt::hugeint * (value * bonus) // nullif(total * 100, 0))) as bigint) as s, {flaw_sql("bonus")} as flaw
+  from (select *, cast(sum(value) over (partition by account) as bigint) as total from (select *, amount * price as value from {sql}) join debts using (account)) group by account) using (account))""")
+    def _(v, source=source):
+        return K.seizable(source(v), v.debts)
 
-@query("k5_recoverable", f"""
-select account, engine, debt, recoverable, case when debt > borrow_limit then greatest(0, debt - recoverable) else 0 end as bad_debt from debts join (
-  select account, cast(sum(value * 100 // bonus) as bigint) as recoverable, cast(sum(limit_value) as bigint) as borrow_limit from {LEGS} group by account) using (account)""")
-def _(v):
-    return K.recoverable(v.legs, v.debts)
 
+for name, source, sql in (("k5_recoverable", lambda v: v.legs, "legs"), ("k5_refused_recoverable", broken_legs, BROKEN_LEGS)):
 
-@query("k7_shortfall", f"""
-select engine, cast(sum(o) as bigint) as at_oracle, cast(sum(m) as bigint) as at_market, cast(sum(greatest(0, debt - o)) as bigint) as bad_at_oracle, cast(sum(greatest(0, debt - m)) as bigint) as bad_at_market from debts join (
-  select account, sum(value) as o, sum(value * case when asset % 3 = 0 then 90 - asset % 7 else 100 end // 100) as m from {LEGS} group by account) using (account) group by engine""")
-def _(v):
-    ratios = v.table("part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("asset"), (90 - F.col("p_partkey") % 7).alias("ratio"))
-    return K.shortfall(v.legs, v.debts, ratios)
+    @query(name, f"""
+select account, engine, debt, refusal, case when refusal is null then coalesce(r, 0) end as recoverable, case when refusal is null then case when debt > coalesce(l, 0) then greatest(0, debt - coalesce(r, 0)) else 0 end end as bad_debt
+from (select *, {CODES.format("flaw")} as refusal from debts left join (
+  select account, cast(sum(amount * price * 100 // bonus) as bigint) as r, cast(sum(amount * price * ltv // 100) as bigint) as l, {flaw_sql("ltv")} as flaw from {sql} group by account) using (account))""")
+    def _(v, source=source):
+        return K.recoverable(source(v), v.debts)
+
+
+for name, source, sql in (("k7_shortfall", lambda v: v.legs, "legs"), ("k7_refused_shortfall", broken_legs, BROKEN_LEGS)):
+
+    @query(name, f"""
+select engine, cast(coalesce(sum(o), 0) as bigint) as at_oracle, cast(coalesce(sum(m), 0) as bigint) as at_market, cast(coalesce(sum(greatest(0, debt - o)) filter (flaw is null), 0) as bigint) as bad_at_oracle, cast(coalesce(sum(greatest(0, debt - m)) filter (flaw is null), 0) as bigint) as bad_at_market, count(flaw) as refused
+from (select engine, debt, flaw, case when flaw is null then coalesce(o, 0) end as o, case when flaw is null then coalesce(m, 0) end as m from debts left join (
+  select account, sum(amount * price) as o, sum(amount * price * case when asset % 3 = 0 then 90 - asset % 7 else 100 end // 100) as m, {flaw_sql("0")} as flaw from {sql} group by account) using (account)) group by engine""")
+    def _(v, source=source):
+        ratios = v.table("part").filter("p_partkey % 3 = 0").select(F.col("p_partkey").alias("asset"), (90 - F.col("p_partkey") % 7).alias("ratio"))
+        return K.shortfall(source(v), v.debts, ratios)
 
 
 LANE = "case when debt = 0 then 9 else (weighted * 100 >= debt * 90)::int + (weighted * 100 >= debt * 95)::int + (weighted * 100 >= debt * 100)::int + (weighted * 100 >= debt * 105)::int + (weighted * 100 >= debt * 110)::int + (weighted * 100 >= debt * 125)::int + (weighted * 100 >= debt * 150)::int + (weighted * 100 >= debt * 200)::int end"
@@ -356,11 +409,7 @@ def _(v):
     return K.risk_map(positions(v))
 
 
-@query("k20_address_stress", f"select scenario, account, engine, debt, collateral, liquidatable from {AFTER} where account % 500 = 7")
-def _(v):
-    return after(v).filter("account % 500 = 7").select("scenario", "account", "engine", "debt", "collateral", "liquidatable")
-
-
+@query("k20_address_stress", f"select scenario, account, engine, debt, collateral, liquidatable from {AFTER}")
 @query("k20_address_stress_whole", f"select scenario, account, engine, debt, collateral, liquidatable from {AFTER}")
 def _(v):
     return after(v).select("scenario", "account", "engine", "debt", "collateral", "liquidatable")
