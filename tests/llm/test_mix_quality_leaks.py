@@ -29,40 +29,48 @@ def shared_out(sizes, weights=(5, 2, 1), cap=3):
     return target
 
 
-def test_mix_keeps_its_rules_and_sql_agrees(spark, hard, hard_rows):
-    plan = mixing.planned(hard).collect()
+def test_mix_keeps_its_rules_and_sql_agrees(hard, hard_rows, monkeypatch):
+    plan = mixing.planned(mixing.sized(hard)).collect()
     assert len(plan) == len(hard_rows)
     sizes = defaultdict(int)
     for r in hard_rows:
         sizes[r[3]] += len(WORD.findall(r[1] or ""))
     want = shared_out(sizes)
+    key = lambda d, *more: (d is None, d or 0, *more)
+    about = sorted((key(r[0], len(WORD.findall(r[1] or "")), sizes[r[3]], want[r[3]]) for r in hard_rows))
+    assert [key(r.doc_id, r.size, r.source_size, pytest.approx(r.target)) for r in sorted(plan, key=lambda r: key(r.doc_id, r.size, r.source_size))] == about
     for r in plan:
-        assert r._size == len(WORD.findall(r.text or "")) and r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
         rate = r.target / r.source_size if r.source_size else 0
-        assert math.floor(rate) <= r._copies <= math.ceil(rate) <= 3
-    again = mixing.planned(hard.repartition(7)).collect()
-    key = lambda rows: sorted((str(r.doc_id), r.text or "", r._copies) for r in rows)
-    assert key(plan) == key(again)
+        assert math.floor(rate) <= r.copies <= math.ceil(rate) <= 3
+    got = lambda rows: sorted(key(r.doc_id, r.size, r.source_size, r.target, r.copies * r.size) for r in rows)
+    assert got(plan) == got(mixing.planned(mixing.sized(hard.repartition(7))).collect())
+    monkeypatch.setattr(mixing, "CELL_ROWS", 1)  # smaller cells change nothing
+    assert got(plan) == got(mixing.planned(mixing.sized(hard)).collect())
     db = duckdb.connect()
     db.execute("create table documents (doc_id bigint, source varchar, text varchar)")
     db.executemany("insert into documents values (?, ?, ?)", [(r[0], r[3], r[1]) for r in hard_rows])
-    got = sorted((str(r.doc_id), r._size, r.source_size, r.target, r._copies * r._size) for r in plan)
-    assert got == sorted((str(r[0]), *r[1:]) for r in db.execute(mixing.OP8_SQL).fetchall())
+    assert got(plan) == sorted(key(*r) for r in db.execute(mixing.OP8_SQL).fetchall())
 
 
 def test_mix_comes_near_its_targets(spark):
     rng = random.Random(4)
     rows = [(i, "w " * int(math.exp(rng.gauss(4, 1))), rng.choice("aaabcdefg")) for i in range(4000)]
-    plan = mixing.planned(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    for r in plan.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("_copies") * F.col("_size")).alias("taken")).collect():
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan = mixing.planned(mixing.sized(docs)).join(docs.select("doc_id", "source"), "doc_id")
+    for r in plan.groupBy("source").agg(F.first("target").alias("target"), F.sum(F.col("copies") * F.col("size")).alias("taken")).collect():
         assert abs(r.taken / r.target - 1) < 0.05
 
 
-def test_mixed_rows_and_empty_tables(hard, empty):
-    rows = mixing.mixed(hard)
-    assert rows.columns == hard.columns
-    assert rows.count() == sum(r._copies for r in mixing.planned(hard).collect())
-    assert mixing.mixed(empty).count() == 0 and mixing.planned(empty).count() == 0
+def test_mixed_rows_and_empty_tables(hard, empty, monkeypatch):
+    more = hard.withColumns({"target": F.lit(1.5), "source_size": F.lit("x"), "_size": F.lit(7), "row": F.col("doc_id"), "copies": F.lit(0), "a.b": F.lit("dot"), "_tag": F.lit(None).cast("string")})
+    rows = mixing.mixed(more)
+    assert rows.dtypes == more.dtypes
+    got = rows.collect()
+    assert len(got) == sum(r.copies for r in mixing.planned(mixing.sized(hard)).collect())
+    assert {(r.target, r.source_size, r._size, r["a.b"]) for r in got} == {(1.5, "x", 7, "dot")} and all(r.row == r.doc_id for r in got)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(map(str, mixing.mixed(more).collect())) == sorted(map(str, got))
+    assert mixing.mixed(empty).count() == 0 and mixing.planned(mixing.sized(empty)).count() == 0
 
 
 # ---- quality

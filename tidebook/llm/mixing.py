@@ -2,9 +2,9 @@
 
 Within a source all documents have the same expected copies; their prefix sums plus one offset per source are
 cut at whole numbers, and a document is emitted once per number that its interval crosses.  Documents stand in
-order of size classes, so that the words taken come near the target.  The rank of a document is the number
-of those in the cells before its own, from a small table of counts, and its place within its cell; a
-large source thus falls apart into many cells.
+order of size classes, then of a hash of id and text, so that the words taken come near the target.  The rank of a
+document is the number of those in the cells before its own, from a small table of counts, and its place within its
+cell; a large source thus falls apart into many cells.  Texts are read once; ranks are made of narrow rows.
 """
 
 from __future__ import annotations
@@ -12,19 +12,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.llm.shared import materialize
+
 WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its size.
 CAP = 3
-#: Documents of a cell, about, beyond which cells are divided further.
+#: Documents of a cell, about, beyond which cells are divided further; the order of documents does not depend on it.
 CELL_ROWS = 1_000_000
+#: Up to so many rows of a plan are broadcast to pick texts; beyond, the join is left to Spark.
+BROADCAST_ROWS = 1_000_000
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def words_of(text: str = "text") -> Column:
+    """The number of words; null: 0."""
+    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
+
+
+def order_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The hash that orders the documents of a size class."""
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+
+
 def _size_class() -> Column:
     """Quarter octaves: the bit length of a size and its two bits after the first."""
-    bits = F.length(F.bin("_size"))
-    return (bits * 4 + F.expr("shiftright(_size, greatest(length(bin(_size)) - 3, 0))") % 4).cast("int")
+    bits = F.length(F.bin("size"))
+    return (bits * 4 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))") % 4).cast("int")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -46,25 +60,23 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     return rows.select("_source", "source_size", F.least((F.lit(cap) * F.col("source_size")).cast("double"), level * F.col("w")).alias("target"))
 
 
-def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
-    """All rows and columns of docs, with _size (words; null: 0), source_size, target, and _copies (0 to cap).
+def planned(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
+    """Of rows (row, doc_id, source, size, hash): row, doc_id, size, source_size, target, and copies (0 to cap).
 
-    Columns doc_id, source and text are used; column names of docs that begin with `_` must not be those named here.  A
-    null source is a source of its own; rows of a source without words get no copies; equal rows are separate
-    rows.  The random offset comes from the seed and the source's name, so reruns agree.
+    A null source is a source of its own; rows of a source without words get no copies; equal rows are separate
+    rows.  The random offset comes from the seed and the source's name, so reruns agree; of rows that agree in hash
+    and doc_id, which are interchangeable, any may be taken first.  rows should be a written table: it is read several
+    times.
     """
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long"))
-    sized = sized.withColumn("_class", _size_class())
     tag = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))  # not null, so that plain joins do
-    hashed = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    rows = docs.select(F.count(F.lit(1))).first()[0]
+    n = rows.count()
     digits = 1
-    while CELL_ROWS * 16**digits < rows:
+    while CELL_ROWS * 16**digits < n:
         digits += 1
-    sized = sized.withColumns({"_tag": tag, "_hash": hashed}).withColumn("_part", F.substring("_hash", 1, digits))
+    sized = rows.withColumns({"_class": _size_class(), "_tag": tag, "_part": F.substring("hash", 1, digits)})
 
     cell = ["_tag", "_class", "_part"]
-    counts = sized.groupBy(*cell).agg(F.first("source").alias("_source"), F.count(F.lit(1)).alias("n"), F.sum("_size").alias("_size"))
+    counts = sized.groupBy(*cell).agg(F.first("source").alias("_source"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("_size"))
     earlier = Window.partitionBy("_tag").orderBy("_class", "_part").rowsBetween(Window.unboundedPreceding, -1)
     cells = counts.select(*cell, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
     sources = counts.groupBy("_tag").agg(F.first("_source").alias("_source"), F.sum("_size").alias("_size"))
@@ -72,35 +84,52 @@ def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP,
     goals = goals.select(F.coalesce(F.concat(F.lit("="), F.col("_source")), F.lit("")).alias("_tag"), "source_size", "target")
     cells = cells.join(goals, "_tag")
 
-    within = F.row_number().over(Window.partitionBy(*cell).orderBy("_size", "_hash", "doc_id"))
+    within = F.row_number().over(Window.partitionBy(*cell).orderBy("hash", "doc_id"))
     ranked = sized.withColumn("_within", within).join(cells, cell)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("_tag")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rank = F.col("_before") + F.col("_within")
     crossed = F.floor(rate * rank + offset) - F.floor(rate * (rank - 1) + offset)
-    return ranked.select(*docs.columns, "_size", "source_size", "target", crossed.cast("long").alias("_copies"))
+    return ranked.select("row", "doc_id", "size", "source_size", "target", crossed.cast("long").alias("copies"))
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """A narrow table (row, doc_id, source, size, hash) of documents, written once; other columns are ignored."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", words_of().alias("size"), order_of().alias("hash")), "sizes")
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = "mix") -> DataFrame:
-    """The rows of the mix, each as often as it is emitted; the columns of docs."""
-    rows = planned(docs, weights, cap, seed).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))).select(docs.columns)
+    """The rows of the mix, each as often as it is emitted; the columns of docs, whatever their names.
+
+    The documents are written once under row numbers, so that the plan meets the rows that it was made of.
+    """
+    columns = docs.columns
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
+    numbered = packed.select("doc", F.monotonically_increasing_id().alias("row"), "doc_id", "source", words_of().alias("size"), order_of().alias("hash"))
+    numbered = materialize(numbered, "mix-input")
+    plan = planned(numbered.drop("doc"), weights, cap, seed).filter("copies > 0").select("row", "copies")
+    plan = materialize(plan, "mix-plan")
+    few = plan.count() <= BROADCAST_ROWS
+    taken = numbered.select("row", "doc").join(F.broadcast(plan) if few else plan, "row")
+    copies = taken.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
+    return copies.select(*(F.col(f"doc.`{c}`").alias(c) for c in columns))
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:
     """The mix of whole `documents`: what each document gives."""
-    plan = planned(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
-    return plan.select("doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_copies") * F.col("_size")).alias("taken"))
+    plan = planned(sized(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 OP8_SQL = r"""
 with sized as (
   select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-         coalesce('=' || source, '') as tag, md5(coalesce(cast(doc_id as varchar), '')) as h from documents),
+         coalesce('=' || source, '') as tag, md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')) as h from documents),
 celled as (
-  select *, length(bin(size)) * 4 + (size >> greatest(length(bin(size)) - 3, 0)) % 4 as class, substr(h, 1, 1) as part from sized),
+  select *, length(bin(size)) * 4 + (size >> greatest(length(bin(size)) - 3, 0)) % 4 as class from sized),
 ranked as (
-  select *, row_number() over (partition by tag order by class, part, size, h, doc_id) as rn from celled),
+  select *, row_number() over (partition by tag order by class, h, doc_id) as rn from celled),
 sources as (
   select tag, any_value(source) as source, cast(sum(size) as bigint) as source_size from sized group by tag),
 weighed as (
