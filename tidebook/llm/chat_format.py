@@ -85,50 +85,76 @@ def format_turns(conversations: DataFrame, template: Template = CHATML) -> DataF
     return ordered.mapInArrow(write, "conv_id long, pos long, valid boolean, segments array<struct<text:string,loss:boolean>>")
 
 
+class _Conversation:
+    """What was read so far of one conversation: the text that no turn was found in yet, and the digests."""
+
+    def __init__(self, conv_id: int | None, template: Template):
+        self.conv_id, self.template = conv_id, template
+        self.ahead = ""
+        self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.chars = 0
+        self.valid = True
+
+    def add(self, segments: list[dict], valid: bool) -> None:
+        """Takes a row's segments, and every turn that is now complete, from its opening to its closing control string."""
+        t = self.template
+        text = "".join(s["text"] for s in segments)
+        self.chars += len(text)
+        self.valid = self.valid and valid
+        self.ahead += text
+        for s in segments:
+            if s["loss"]:
+                learned = unescape(s["text"])
+                self.loss.update(learned.encode())
+                self.loss_chars += len(learned)
+        done = 0
+        while done < len(self.ahead) and (end := self.ahead.find(t.close, done)) >= 0:
+            if not self.ahead.startswith(t.open, done):
+                raise ValueError("no formatted turn")
+            role, _, own = self.ahead[done + len(t.open) : end].partition(t.after_role)
+            self.turns.update(f"{unescape(role.replace('<|nl|>', t.after_role))}\n{unescape(own)}\n".encode())
+            self.n_turns += 1
+            done = end + len(t.close)
+        self.ahead = self.ahead[done:]
+
+    def row(self) -> list:
+        if self.ahead:
+            raise ValueError("the text ends within a formatted turn")
+        return [self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid]
+
+
 def read_turns(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
     """Reads formatted turns (in order, as format_turns gives them) back: one row per conversation.
 
     n_turns, turns_sha256 (role, newline, text, newline of each turn), loss_chars and loss_sha256 (unescaped text
-    under the loss mask), formatted_chars, valid (all turns).  Digests are carried on from turn to turn.
+    under the loss mask), formatted_chars, valid (all turns).  Turns are found in the joined text of a conversation by
+    their control strings, not by the limits of rows; other text between them, or a turn without end, is an error.
+    Digests are carried on from turn to turn, so a task holds a turn at a time.
     """
-    close = template.close
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
 
-    def parse(whole: str) -> tuple[str, str]:
-        if not (whole.startswith(template.open) and whole.endswith(close)):
-            raise ValueError("no formatted turn")
-        role, _, text = whole[len(template.open) : len(whole) - len(close)].partition(template.after_role)
-        return unescape(role.replace("<|nl|>", template.after_role)), unescape(text)
-
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: list | None = None
-        turns = loss = hashlib.sha256()
+        now: _Conversation | None = None
         done: list[list] = []
 
-        def close_conversation() -> None:
-            if now:
-                done.append([*now[:2], turns.hexdigest(), now[2], loss.hexdigest(), *now[3:]])
+        def flush() -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*done), kinds, strict=True)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             for conv, pos, valid, segments in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "pos", "valid", "segments")), strict=True):
                 if pos == 0:
-                    close_conversation()
-                    now, turns, loss = [conv, 0, 0, 0, True], hashlib.sha256(), hashlib.sha256()
-                role, text = parse("".join(s["text"] for s in segments))
-                turns.update(f"{role}\n{text}\n".encode())
-                learned = unescape("".join(s["text"] for s in segments if s["loss"]))
-                loss.update(learned.encode())
-                now[1] += 1
-                now[2] += len(learned)
-                now[3] += sum(len(s["text"]) for s in segments)
-                now[4] = now[4] and valid
+                    if now:
+                        done.append(now.row())
+                    now = _Conversation(conv, template)
+                now.add(segments, valid)
             if done:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds, strict=True)], names)
-                done.clear()
-        close_conversation()
-        if done:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds, strict=True)], names)
+                yield flush()
+        if now:
+            done.append(now.row())
+            yield flush()
 
     return formatted.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
@@ -137,7 +163,8 @@ _PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
-    """All `conversations` and one whose texts try to forge turns, formatted and read back."""
+    """All `conversations` and one, -1, whose texts try to forge turns, formatted and read back; rows that the table has
+    under -1 are turns of the same conversation."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.sql(f"select -1L conv_id, turn, role, '{_PROBE}' text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
     return read_turns(format_turns(table.unionByName(probe)))

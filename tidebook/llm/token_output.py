@@ -28,6 +28,8 @@ END_ID = 1
 SHARD_IDS = 1 << 20
 #: Every so many ones of the upper bits, their place is kept.
 SELECT_STEP = 64
+#: Documents whose boundaries are selected at once.
+READ_DOCS = 4096
 #: Pieces of words whose ids a task remembers.
 CACHE = 300_000
 
@@ -53,43 +55,43 @@ def ef_encode(values: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
     return low_bits, low, high.tobytes(), places[::SELECT_STEP].astype("<u4").tobytes()
 
 
-def ef_decode(n: int, low_bits: int, low: bytes, high: bytes) -> np.ndarray:
-    """All values."""
-    places = np.flatnonzero(np.unpackbits(np.frombuffer(high, np.uint8), bitorder="little"))[:n]
-    out = (places - np.arange(n)) << low_bits
-    if low_bits:
-        bits = np.unpackbits(np.frombuffer(low, np.uint8), count=n * low_bits, bitorder="little").reshape(n, low_bits)
-        out = out + bits.astype(np.int64) @ (np.int64(1) << np.arange(low_bits))
-    return out
-
-
-def ef_select(i: int, low_bits: int, low: bytes, high: bytes, samples: bytes) -> int:
-    """Value i alone: from the nearest sample, over the bytes of the upper bits."""
-    at = int(np.frombuffer(samples, "<u4")[i // SELECT_STEP])
-    left = i % SELECT_STEP
-    byte, ahead = at >> 3, high[at >> 3] >> (at & 7)
-    place = at
-    while True:
-        ones = ahead.bit_count()
-        if left < ones:
-            while True:
-                if ahead & 1:
-                    if not left:
-                        break
-                    left -= 1
-                ahead >>= 1
-                place += 1
-            break
-        left -= ones
-        byte += 1
-        place = byte << 3
-        ahead = high[byte]
-    value = (place - i) << low_bits
-    if low_bits:
-        first = i * low_bits
-        window = int.from_bytes(low[first >> 3 : (first + low_bits + 7) >> 3], "little") >> (first & 7)
-        value |= window & ((1 << low_bits) - 1)
-    return value
+class Boundaries:
+    """The coded boundaries of a shard, read in place: select finds any of them from the samples, without decoding the rest."""
+
+    def __init__(self, low_bits: int, low: bytes, high: bytes, samples: bytes):
+        pad = b"\0" * 16
+        self.low_bits = low_bits
+        self.low = np.ndarray((len(low) + 9,), "<u8", low + pad, strides=(1,))
+        self.high = np.frombuffer(high + pad[: 16 - len(high) % 8], "<u8")
+        self.samples = np.frombuffer(samples, "<u4")
+
+    def select(self, i: np.ndarray) -> np.ndarray:
+        """Values i: from the nearest sample over words of the upper bits, by counts of ones, and inside a word by halving."""
+        place = self.samples[i // SELECT_STEP].astype(np.int64)
+        left = (i % SELECT_STEP).astype(np.uint64)
+        out = np.zeros(len(i), np.int64)
+        open_ = np.arange(len(i))
+        while len(open_):
+            at = place[open_]
+            word = self.high[at >> 6] >> (at & 63).astype(np.uint64)
+            ones = np.bitwise_count(word).astype(np.uint64)
+            here = left[open_] < ones
+            inside, rest = word[here], left[open_[here]]
+            shift = np.zeros(len(inside), np.uint64)
+            for width in (32, 16, 8, 4, 2, 1):
+                part = np.bitwise_count((inside >> shift) & np.uint64((1 << width) - 1)).astype(np.uint64)
+                beyond = rest >= part
+                rest = rest - part * beyond
+                shift = shift + np.uint64(width) * beyond
+            out[open_[here]] = at[here] + shift.astype(np.int64)
+            open_ = open_[~here]
+            left[open_] -= ones[~here]
+            place[open_] = ((place[open_] >> 6) + 1) << 6
+        out = (out - i) << self.low_bits
+        if self.low_bits:
+            first = i.astype(np.int64) * self.low_bits
+            out |= ((self.low[first >> 3] >> (first & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        return out
 
 
 # ---- Tokens
@@ -257,16 +259,18 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                n = x["n_docs"]
-                ends = ef_decode(n, x["low_bits"], x["low"], x["high"])
-                begins = np.concatenate([[0], ends[:-1]])
-                ids = np.frombuffer(x["ids"], f"<u{x['width']}").astype("<u4")
-                null = np.unpackbits(np.frombuffer(x["null_ids"], np.uint8), count=n).astype(bool)
-                crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(x["doc_ids"], "<i8"), pa.int64(), mask=null), pa.array(begins + x["first_id"], pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                boundaries = Boundaries(x["low_bits"], x["low"], x["high"], x["samples"])
+                ids, names = np.frombuffer(x["ids"], f"<u{x['width']}"), np.frombuffer(x["doc_ids"], "<i8")
+                null = np.unpackbits(np.frombuffer(x["null_ids"], np.uint8), count=x["n_docs"]).astype(bool)
+                for first in range(0, x["n_docs"], READ_DOCS):
+                    own = np.arange(first, min(first + READ_DOCS, x["n_docs"]))
+                    ends = boundaries.select(own)
+                    begins = np.where(own > 0, boundaries.select(np.maximum(own - 1, 0)), 0)
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(names[own], pa.int64(), mask=null[own]), pa.array(begins + x["first_id"], pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())],
+                        ["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
 
     return with_starts(shards).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
