@@ -6,20 +6,22 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidebook.llm import chat_format, token_output
+from tidebook.llm import chat_format, elias_fano, token_output
 
 
 def test_elias_fano():
     rng = np.random.default_rng(1)
-    for n in (1, 2, 63, 64, 65, 1000, 5000):
-        for spread in (1, 37, 100_000):
-            values = np.sort(rng.integers(0, n * spread + 1, n))
-            values[n // 2 :] += spread * 3000  # a long gap
-            boundaries = token_output.Boundaries(*token_output.ef_encode(values))
-            assert (boundaries.select(np.arange(n)) == values).all()
-            some = rng.integers(0, n, 50)
-            assert (boundaries.select(some) == values[some]).all()
-    assert token_output.ef_encode(np.zeros(0, np.int64)) == (0, b"", b"", b"")
+    for n in (0, 1, 2, 7, 8, 9, 63, 64, 65, 1000, 5000):
+        for spread in (1, 37, 10**9):
+            values = np.sort(rng.integers(0, n * spread + 1, n)).astype(np.uint64)
+            values[n // 2 :] += np.uint64(spread * 3000)  # a long gap
+            coded = elias_fano.Sequence(elias_fano.encode(values))
+            some = rng.integers(0, n, 50 if n else 0)
+            assert (coded.at(np.arange(n)) == values).all() and (coded.at(some) == values[some]).all()
+            wanted = np.concatenate([values, values + np.uint64(1), rng.integers(0, n * spread + 9, 50).astype(np.uint64)])
+            assert (coded.successor(wanted) == np.searchsorted(values, wanted)).all()
+            size = sum(len(elias_fano.encode(values)[p]) for p in ("low", "high", "ones", "zeros"))
+            assert n < 1000 or size * 8 < n * (4 + np.log2(max(1, int(values[-1]) / n)))
 
 
 def test_pieces_equal_whole_texts():

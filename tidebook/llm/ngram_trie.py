@@ -1,20 +1,20 @@
-"""A two-level n-gram trie in Elias-Fano levels, kept in one memory-mapped file.
+"""A three-level n-gram trie in Elias-Fano levels on one memory map.
 
-Level 1 has a context per rank: where its successors begin (monotone pointers) and its share of the backoff weight.
-Level 2 has the successors of all contexts as one ascending sequence of rank << 40 | successor, Elias-Fano coded,
-with a quantised log10 probability each.  A query is a successor search relative to its context: among the
-entries of the context that have the same upper bits, for the first that is not smaller.
+Level 1 has the first words by rank, with the place where each one's successors begin (monotone pointers).  Level 2 has
+the pairs as one ascending sequence of rank << bits | second word, with a quantised probability each and the place where
+the third words begin; level 3 the same of place << bits | third word.  A query goes down the levels by successor
+search relative to its context: the first entry that is not smaller than context << bits | word must be equal to it.
 """
 
 from __future__ import annotations
 
 import mmap
-import tempfile
+import pickle
 
 import numpy as np
 
-#: Bits that tell successors of one context apart.
-SUCCESSOR_BITS = 40
+from tidebook.llm import elias_fano
+
 #: Codes per decade of a quantised probability; code 0 means absent.
 STEPS = 4096
 
@@ -29,98 +29,74 @@ def log10_of(codes: np.ndarray) -> np.ndarray:
     return -(codes.astype(np.float64) - 1) / STEPS
 
 
-class Level:
-    """An ascending sequence of 64-bit integers as Elias-Fano levels."""
-
-    @staticmethod
-    def build(values: np.ndarray) -> tuple[dict, list[np.ndarray]]:
-        n = len(values)
-        top = int(values[-1]) if n else 0
-        width = min(56, max(0, (top // n).bit_length() - 1)) if n else 0
-        if width:
-            bits = ((values[:, None] >> np.arange(width, dtype=_U)) & _U(1)).astype(np.uint8)
-            low = np.packbits(bits.ravel(), bitorder="little")
-        else:
-            low = np.zeros(0, np.uint8)
-        low = np.concatenate([low, np.zeros(8, np.uint8)])  # a read takes 8 bytes
-        places = (values >> _U(width)).astype(np.int64) + np.arange(n)
-        high = np.zeros(int(places[-1]) // 8 + 1 if n else 1, np.uint8)
-        np.bitwise_or.at(high, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
-        return {"n": n, "width": width}, [low, high]
-
-    def __init__(self, head: dict, low: np.ndarray, high: np.ndarray):
-        self.n, self.width = head["n"], head["width"]
-        self.words = np.ndarray((len(low) - 7,), "<u8", low, strides=(1,))
-        bits = np.unpackbits(high, bitorder="little")
-        ones = np.flatnonzero(bits)[: self.n]
-        self.high = ones - np.arange(self.n)
-        #: entries with upper bits below h begin before first[h]
-        self.first = np.searchsorted(self.high, np.arange((int(self.high[-1]) if self.n else 0) + 2))
-
-    def at(self, i: np.ndarray) -> np.ndarray:
-        value = self.high[i].astype(_U) << _U(self.width)
-        if self.width:
-            bit = i.astype(np.int64) * self.width
-            value |= (self.words[bit >> 3] >> (bit & 7).astype(_U)) & _U((1 << self.width) - 1)
-        return value
-
-    def successor(self, wanted: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """For each value the first place in [begin, end) whose entry is not smaller; end if there is none.
-
-        The upper bits narrow the range down, and halving does the rest.
-        """
-        high = np.minimum((wanted >> _U(self.width)).astype(np.int64), len(self.first) - 2)
-        low, up = np.maximum(self.first[high], begin), np.minimum(self.first[high + 1], end)
-        moving = np.flatnonzero(low < up)
-        while len(moving):
-            middle = (low[moving] + up[moving]) >> 1
-            less = self.at(middle) < wanted[moving]
-            low[moving[less]] = middle[less] + 1
-            up[moving[~less]] = middle[~less]
-            moving = moving[low[moving] < up[moving]]
-        return np.minimum(low, end)
+def build(first: np.ndarray, pairs: np.ndarray, pair_codes: np.ndarray, triples: np.ndarray, triple_codes: np.ndarray, bits: int) -> bytes:
+    """The levels as bytes.
+
+    first: ascending first words; pairs: ascending rank << bits | word; triples: ascending place of the pair << bits | word.
+    """
+    shift = _U(bits)
+    begins = np.searchsorted(pairs >> shift, np.arange(len(first) + 1, dtype=_U))
+    thirds = np.searchsorted(triples >> shift, np.arange(len(pairs) + 1, dtype=_U))
+    heads, blobs, at = [], [], 0
+    for values in (first, begins, pairs, thirds, triples):
+        parts = elias_fano.encode(values)
+        head = {"n": parts["n"], "width": parts["width"]}
+        for name in ("low", "high", "ones", "zeros"):
+            head[name] = (at, len(parts[name]))
+            blobs.append(parts[name])
+            at += len(parts[name])
+        heads.append(head)
+    for codes in (pair_codes, triple_codes):
+        blob = codes.astype("<u2").tobytes()
+        blob += b"\0" * (-len(blob) % 8)
+        heads.append((at, 2 * len(codes)))
+        blobs.append(blob)
+        at += len(blob)
+    head = pickle.dumps((bits, heads))
+    head += b"\0" * (-len(head) % 8)
+    return len(head).to_bytes(8, "little") + head + b"".join(blobs)
 
 
 class Trie:
-    """Built from parallel arrays, written to a temporary file and read through a memory map; close() removes it."""
-
-    def __init__(self, contexts: int, entries: np.ndarray, codes: np.ndarray):
-        begins = np.searchsorted(entries >> _U(SUCCESSOR_BITS), np.arange(contexts + 1, dtype=_U)).astype(_U)
-        parts, heads = [], []
-        for values in (begins, entries):
-            head, arrays = Level.build(values)
-            heads.append(head)
-            parts += arrays
-        parts.append(codes.astype("<u2"))
-        self.file = tempfile.TemporaryFile()
-        at = []
-        for p in parts:
-            at.append((self.file.tell(), len(p), p.dtype))
-            self.file.write(p.tobytes())
-        self.file.write(b"\0")
-        self.file.flush()
-        self.map = mmap.mmap(self.file.fileno(), 0, access=mmap.ACCESS_READ)
-        mapped = [np.frombuffer(self.map, kind, n, start) for start, n, kind in at]
-        self.pointers, self.entries = Level(heads[0], *mapped[:2]), Level(heads[1], *mapped[2:4])
-        self.codes = mapped[4]
-
-    def find(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Codes of (context rank, successor); 0 where the context has no such successor."""
-        wanted = context.astype(_U) << _U(SUCCESSOR_BITS) | successor.astype(_U)
-        begin, end = (self.pointers.at(context.astype(np.int64) + i).astype(np.int64) for i in (0, 1))
-        out = np.zeros(len(wanted), np.uint16)
-        if not self.entries.n:
-            return out
-        place = self.entries.successor(wanted, begin, end)
-        inside = np.flatnonzero(place < end)
-        inside = inside[self.entries.at(place[inside]) == wanted[inside]]
-        out[inside] = self.codes[place[inside]]
+    """The levels of build(), mapped into memory and read in place."""
+
+    def __init__(self, levels: bytes):
+        self.map = mmap.mmap(-1, max(1, len(levels)))
+        self.map.write(levels)
+        view = memoryview(self.map)
+        start = 8 + int.from_bytes(levels[:8], "little")
+        self.bits, heads = pickle.loads(view[8:start])
+        piece = lambda at: view[start + at[0] : start + at[0] + at[1]]
+        levels_ = [elias_fano.Sequence({k: piece(v) if isinstance(v, tuple) else v for k, v in head.items()}) for head in heads[:5]]
+        self.first, self.begins, self.pairs, self.thirds, self.triples = levels_
+        self.pair_codes, self.triple_codes = (np.frombuffer(piece(h), "<u2") for h in heads[5:])
+
+    def _find(self, level: elias_fano.Sequence, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place of each (context, word) on a level; -1 where the context is -1 or has no such word."""
+        out = np.full(len(context), -1, np.int64)
+        asked = np.flatnonzero(context >= 0)
+        wanted = context[asked].astype(_U) << _U(self.bits) | word[asked]
+        place = level.successor(wanted)
+        there = np.flatnonzero(place < level.n)
+        there = there[level.at(place[there]) == wanted[there]]
+        out[asked[there]] = place[there]
         return out
 
-    def close(self) -> None:
-        self.pointers = self.entries = self.codes = None
-        try:
-            self.map.close()
-        except BufferError:  # an array still looks into it; the file goes with the last one
-            pass
-        self.file.close()
+    def find_first(self, word: np.ndarray) -> np.ndarray:
+        return self._find(self.first, np.zeros(len(word), np.int64), word)
+
+    def find_pair(self, rank: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and code of each pair; -1 and 0 if it is absent."""
+        place = self._find(self.pairs, rank, word)
+        return place, np.where(place >= 0, self.pair_codes[np.maximum(place, 0)] if self.pairs.n else 0, 0).astype(np.uint16)
+
+    def find_triple(self, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The code of each triple, given the place of its pair; 0 if it is absent."""
+        place = self._find(self.triples, pair, word)
+        return np.where(place >= 0, self.triple_codes[np.maximum(place, 0)] if self.triples.n else 0, 0).astype(np.uint16)
+
+    def successors(self, rank: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words after a first word, ascending, and their codes: a walk from one pointer to the next."""
+        a, b = self.begins.at(np.array([rank, rank + 1])).astype(np.int64)
+        own = np.arange(a, b)
+        return self.pairs.at(own) & _U((1 << self.bits) - 1), self.pair_codes[a:b]

@@ -84,6 +84,17 @@ def unpack(data: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """pack() and compressed: for numbers that are mostly small."""
+    plain = pack(values)
+    return len(plain).to_bytes(8, "little") + (pa.compress(plain, "zstd", asbytes=True) if plain else b"")
+
+
+def unsqueeze(data: bytes, dtype: str) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return unpack(pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b"", dtype)
+
+
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, **more: Column) -> DataFrame:
     """The rows (doc_id, text, and what `more` names) of a table, packed into compressed chunks and written to the shared folder.
 

@@ -20,14 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm import textkit
+from tidebook.llm import elias_fano, textkit
 from tidebook.llm.shared import materialize
 
 END_ID = 1
 #: A shard is closed when it has this many ids.
 SHARD_IDS = 1 << 20
-#: Every so many ones of the upper bits, their place is kept.
-SELECT_STEP = 64
 #: Documents whose boundaries are selected at once.
 READ_DOCS = 4096
 #: Pieces of words whose ids a task remembers.
@@ -36,64 +34,6 @@ CACHE = 300_000
 SHARD = "bucket long, shard long, n_docs long, n_ids long, width int, doc_ids binary, null_ids binary, low_bits int, low binary, high binary, samples binary, ids binary"
 
 
-# ---- Elias-Fano
-
-
-def ef_encode(values: np.ndarray) -> tuple[int, bytes, bytes, bytes]:
-    """Codes an ascending sequence of integers from 0: low bits per value, low and high bits, select samples."""
-    n, top = len(values), int(values[-1]) if len(values) else 0
-    low_bits = max(0, (top // n).bit_length() - 1) if n else 0
-    values = values.astype(np.uint64)
-    if low_bits:
-        bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-    else:
-        low = b""
-    places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-    high = np.zeros((int(places[-1]) >> 3) + 1 if n else 0, np.uint8)
-    np.bitwise_or.at(high, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
-    return low_bits, low, high.tobytes(), places[::SELECT_STEP].astype("<u4").tobytes()
-
-
-class Boundaries:
-    """The coded boundaries of a shard, read in place: select finds any of them from the samples, without decoding the rest."""
-
-    def __init__(self, low_bits: int, low: bytes, high: bytes, samples: bytes):
-        pad = b"\0" * 16
-        self.low_bits = low_bits
-        self.low = np.ndarray((len(low) + 9,), "<u8", low + pad, strides=(1,))
-        self.high = np.frombuffer(high + pad[: 16 - len(high) % 8], "<u8")
-        self.samples = np.frombuffer(samples, "<u4")
-
-    def select(self, i: np.ndarray) -> np.ndarray:
-        """Values i: from the nearest sample over words of the upper bits, by counts of ones, and inside a word by halving."""
-        place = self.samples[i // SELECT_STEP].astype(np.int64)
-        left = (i % SELECT_STEP).astype(np.uint64)
-        out = np.zeros(len(i), np.int64)
-        open_ = np.arange(len(i))
-        while len(open_):
-            at = place[open_]
-            word = self.high[at >> 6] >> (at & 63).astype(np.uint64)
-            ones = np.bitwise_count(word).astype(np.uint64)
-            here = left[open_] < ones
-            inside, rest = word[here], left[open_[here]]
-            shift = np.zeros(len(inside), np.uint64)
-            for width in (32, 16, 8, 4, 2, 1):
-                part = np.bitwise_count((inside >> shift) & np.uint64((1 << width) - 1)).astype(np.uint64)
-                beyond = rest >= part
-                rest = rest - part * beyond
-                shift = shift + np.uint64(width) * beyond
-            out[open_[here]] = at[here] + shift.astype(np.int64)
-            open_ = open_[~here]
-            left[open_] -= ones[~here]
-            place[open_] = ((place[open_] >> 6) + 1) << 6
-        out = (out - i) << self.low_bits
-        if self.low_bits:
-            first = i.astype(np.int64) * self.low_bits
-            out |= ((self.low[first >> 3] >> (first & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
-        return out
-
-
 # ---- Tokens
 
 
@@ -211,10 +151,10 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_ids: int =
 
         def flush() -> pa.RecordBatch:
             ends = np.cumsum([len(x) // width for x in ids])
-            low_bits, low, high, samples = ef_encode(ends)
+            coded = elias_fano.encode(ends)
             nulls = np.packbits([d is None for d in doc_ids]).tobytes()
             names = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
-            row = [now, shard, len(ids), int(ends[-1]), width, names, nulls, low_bits, low, high, samples, b"".join(ids)]
+            row = [now, shard, len(ids), int(ends[-1]), width, names, nulls, coded["width"], coded["low"], coded["high"], coded["ones"], b"".join(ids)]
             kinds = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary(), pa.int32()] + [pa.binary()] * 4
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [x.split()[0] for x in SHARD.split(", ")])
 
@@ -259,13 +199,13 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
-                boundaries = Boundaries(x["low_bits"], x["low"], x["high"], x["samples"])
+                boundaries = elias_fano.Sequence({"n": x["n_docs"], "width": x["low_bits"], "low": x["low"], "high": x["high"], "ones": x["samples"], "zeros": b""})
                 ids, names = np.frombuffer(x["ids"], f"<u{x['width']}"), np.frombuffer(x["doc_ids"], "<i8")
                 null = np.unpackbits(np.frombuffer(x["null_ids"], np.uint8), count=x["n_docs"]).astype(bool)
                 for first in range(0, x["n_docs"], READ_DOCS):
                     own = np.arange(first, min(first + READ_DOCS, x["n_docs"]))
-                    ends = boundaries.select(own)
-                    begins = np.where(own > 0, boundaries.select(np.maximum(own - 1, 0)), 0)
+                    ends = boundaries.at(own).astype(np.int64)
+                    begins = np.where(own > 0, boundaries.at(np.maximum(own - 1, 0)).astype(np.int64), 0)
                     crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(names[own], pa.int64(), mask=null[own]), pa.array(begins + x["first_id"], pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(crc, pa.int64())],
