@@ -48,6 +48,25 @@ def test_peaks_find_a_tone_and_codes_are_timed():
     assert len(media.fingerprint(bytes([128]) * 1000)) == 0 and len(media.fingerprint(b"")) == 0
 
 
+def test_fingerprint_equals_a_plain_transform():
+    """Frames, window, transform, one peak a frame and its pairs, written out without arrays of frames."""
+    rng = np.random.default_rng(9)
+    for n in (0, 64, 256, 1000, 5000):
+        samples = bytes(rng.integers(90, 170, n).astype(np.uint8))
+        whole = list(samples) + [128] * max(0, media.FRAME - n)
+        whole += [128] * (-(len(whole) - media.FRAME) % media.HOP)
+        best = []
+        for at in range(0, len(whole) - media.FRAME + 1, media.HOP):
+            frame = np.array(whole[at : at + media.FRAME], float) - 128
+            frame = (frame - frame.mean()) * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(media.FRAME) / (media.FRAME - 1)))
+            turns = np.outer(np.arange(1, media.FRAME // 2 + 1), np.arange(media.FRAME)) * 2 * np.pi / media.FRAME
+            loud = (frame @ np.cos(turns).T) ** 2 + (frame @ np.sin(turns).T) ** 2
+            best.append((loud.max(), int(loud.argmax()) + 1))
+        tops = [(i, b) for i, (p, b) in enumerate(best) if p > 1e-3 and (i == 0 or p >= best[i - 1][0]) and (i + 1 == len(best) or p > best[i + 1][0])]
+        pairs = [(a[0], a[1], b[1], b[0] - a[0]) for k, a in enumerate(tops) for b in tops[k + 1 : k + 1 + media.FAN_OUT] if b[0] - a[0] <= media.REACH]
+        assert media.fingerprint(samples).tolist() == sorted(t << 32 | a << 20 | b << 8 | d for t, a, b, d in pairs)
+
+
 def base(text):
     found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.I | re.A) if len(m[2]) >= 12]
     found += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
@@ -95,6 +114,26 @@ def test_cost_is_the_least_over_segmentations():
     assert secrets.log10_guesses("") == 0
 
 
+def test_words_of_the_corpus_are_cheap_and_those_of_secrets_are_not(spark):
+    rows = [(i, "The correct horse, a BATTERY staple; x" if i % 2 else f"horse number{i} correct") for i in range(60)]
+    rows += [(100 + i, "horse password: zquvwkyx token=zquvwkyx") for i in range(60)] + [(200, None), (201, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    words = secrets.corpus_words(docs)
+    assert words == ["correct", "horse", "battery", "number", "staple", "the"]
+    ranks = secrets.ranks_of(words)
+    phrase = "correcthorsebatterystaple"
+    assert secrets.log10_guesses(phrase, ranks) < secrets.log10_guesses("Xq7$kP2!vT9z", ranks) < secrets.log10_guesses(phrase)
+    assert secrets.corpus_words(docs.limit(0)) == []
+    found = {r.doc_id: r.secrets for r in secrets.find_secrets(docs).collect()}
+    assert [s.kind for s in found[100]] == ["guess", "guess"] and not found[0] and not found[200] and not found[201]
+
+
+def test_walks_follow_slanted_neighbours():
+    """Walks over several rows cost more with each turn, and less than the same keys in no order."""
+    cost = secrets.log10_guesses
+    assert cost("1qaz2wsx") < cost("1zq2asxw") and cost("qwertyui") < cost("qazxswed") < cost("qpzmwoxn") and cost("ijkl") == cost("lkji")
+
+
 @pytest.mark.parametrize("value", ["xK9#mQ2", "q7#Zp!", "kqzwvxj"])
 def test_short_values_are_scored_by_their_guesses(value):
     """The guess-cost threshold alone decides: no value is left out for its length."""

@@ -1,4 +1,8 @@
-"""Secret scans: patterns over whole texts, and a guess-cost model for values in credential contexts."""
+"""Secret scans: patterns over whole texts, and a guess-cost model for values in credential contexts.
+
+The model knows the words that guessers try first and, after them, those that stand in most documents of the corpus; both
+in the order of their ranks.
+"""
 
 from __future__ import annotations
 
@@ -36,11 +40,36 @@ WORDS = (
     "example sample demo temp token access service account office company house family flower cookie orange "
     "purple silver golden black white green yellow blue red star light night power magic tiger eagle"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _LEET = str.maketrans("013457@$!", "oieastasi")
-_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-_NEXT = {(a, b) for row in _ROWS for a, b in zip(row, row[1:])} | {(b, a) for row in _ROWS for a, b in zip(row, row[1:])}
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+# Rows of a keyboard; each is set half a key to the right of the one above.
+_ROWS = ("1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+
+
+def _neighbours() -> dict[tuple[str, str], tuple[int, int]]:
+    """The direction from a key to each key beside it, slanted rows taken into account."""
+    at = {key: (r, c) for r, row in enumerate(_ROWS) for c, key in enumerate(row)}
+    steps = ((0, 1), (0, -1), (-1, 0), (-1, 1), (1, -1), (1, 0))
+    return {(a, b): (x[0] - r, x[1] - c) for a, (r, c) in at.items() for b, x in at.items() if (x[0] - r, x[1] - c) in steps}
+
+
+_NEXT = _neighbours()
+#: Keys that a walk may start from, and directions that it may take at each turn.
+_KEYS, _WAYS = sum(map(len, _ROWS)), 4.5
+
+#: Words of the corpus that the model knows, and documents that each must stand in at least.
+CORPUS_WORDS, LEAST_DOCUMENTS = 20_000, 20
+_LONGEST = 20
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(65, 91), *range(97, 123)]] = False
+
+
+def ranks_of(words: list[str]) -> dict[str, int]:
+    """Rank of each word: first WORDS, then the others in order."""
+    return {w: i + 1 for i, w in enumerate(dict.fromkeys([*WORDS, *words]))}
+
+
+_RANK = ranks_of([])
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)\d\d")
 
 
@@ -49,13 +78,13 @@ def _pool(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 1000)
 
 
-def spans_of(value: str) -> Iterator[tuple[int, int, float]]:
+def spans_of(value: str, ranks: dict[str, int] = _RANK) -> Iterator[tuple[int, int, float]]:
     """Spans that are cheaper to guess than by brute force: start, end, log10 of the guesses."""
     low = value.lower()
     plain = low.translate(_LEET)
     for i in range(len(value)):
         for j in range(i + 3, min(len(value), i + _LONGEST) + 1):
-            if rank := _RANK.get(plain[i:j]):
+            if rank := ranks.get(plain[i:j]):
                 variants = (2 if value[i:j] != low[i:j] else 1) * (4 if low[i:j] != plain[i:j] else 1)
                 yield i, j, math.log10(rank * variants)
         if m := _DATE.match(value, i):
@@ -70,12 +99,22 @@ def spans_of(value: str) -> Iterator[tuple[int, int, float]]:
         i = j
     i = 0
     while i < len(value) - 1:
-        j = i + 1
-        while j < len(value) and (low[j - 1], low[j]) in _NEXT:
-            j += 1
+        j, turns, way = i + 1, 0, None
+        while j < len(value) and (step := _NEXT.get((low[j - 1], low[j]))):
+            turns += step != way
+            j, way = j + 1, step
         if j - i >= 3:
-            yield i, j, math.log10(47 * (j - i))
-        i = max(j, i + 1)
+            yield i, j, math.log10(_KEYS * (j - i)) + turns * math.log10(_WAYS)
+        i = max(j - 1, i + 1)
+    for sign in (1, -1):
+        i = 0
+        while i < len(value) - 1:
+            j = i + 1
+            while j < len(value) and low[j] in _ALPHABET and ord(low[j]) - ord(low[j - 1]) == sign:
+                j += 1
+            if j - i >= 3:
+                yield i, j, math.log10(2 * len(_ALPHABET) * (j - i))
+            i = max(j - 1, i + 1)
     for size in (2, 3, 4):
         i = 0
         while i + 2 * size <= len(value):
@@ -89,11 +128,11 @@ def spans_of(value: str) -> Iterator[tuple[int, int, float]]:
                 i += 1
 
 
-def log10_guesses(value: str) -> float:
+def log10_guesses(value: str, ranks: dict[str, int] = _RANK) -> float:
     """log10 of the least guesses over all segmentations of a value into words, dates, repeats, keyboard walks and
     brute-force spans; each change of segment doubles the guesses."""
     ends: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in spans_of(value):
+    for i, j, cost in spans_of(value, ranks):
         ends.setdefault(j, []).append((i, cost))
     turn = math.log10(2)
     free, brute = [0.0] * (len(value) + 1), [0.0] + [math.inf] * len(value)  # least cost, and of those that end in brute force
@@ -103,13 +142,13 @@ def log10_guesses(value: str) -> float:
     return free[-1]
 
 
-def scan(text: str) -> list[tuple[str, int, int, float | None]]:
+def scan(text: str, ranks: dict[str, int] = _RANK) -> list[tuple[str, int, int, float | None]]:
     """All spans of a text by start, then kind: (kind, start, end, log10 guesses of the value or None)."""
     found: list[tuple[str, int, int, float | None]] = []
     values = {}
     for m in _ASSIGN.finditer(text):
         if m.end(2) - m.start(2) >= 12:
-            found.append(("assign", m.start(), m.end(), log10_guesses(m[2])))
+            found.append(("assign", m.start(), m.end(), log10_guesses(m[2], ranks)))
             values[m.start(2)] = m.end(2)
     found += [("access", m.start(), m.end(), None) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [("hex", m.start(), m.end(), None) for m in _HEX.finditer(text)]
@@ -117,7 +156,7 @@ def scan(text: str) -> list[tuple[str, int, int, float | None]]:
     while m := _CONTEXT.search(text, at):
         at = m.end()
         if values.get(m.start(2)) != m.end(2):
-            if (cost := log10_guesses(m[2])) >= MIN_LOG10_GUESSES:
+            if (cost := log10_guesses(m[2], ranks)) >= MIN_LOG10_GUESSES:
                 found.append(("guess", m.start(2), m.end(2), cost))
             else:  # a cheap value may be the name of the next context
                 at = m.start(2)
@@ -146,12 +185,56 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("log10_guesses", pa.float64())])
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
+def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS, least: int = LEAST_DOCUMENTS) -> list[str]:
+    """The words (3 to 20 letters A-Z, lower-cased) that stand in most documents, the most frequent first; ties by name.
+
+    All documents are counted, but those in which a credential or a long hexadecimal number may stand: the words of secrets
+    must not make them cheap.  A word stands in `least` documents or more.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, int] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in seen], pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+            seen.clear()
+            return out
+
+        for batch in batches:
+            for _, _, data, offsets in textkit.slices(batch.column("text")):
+                words = textkit.Words(data, offsets, lower=True, separators=_NO_LETTER)
+                size = words.end - words.start
+                text = np.repeat(np.arange(len(offsets) - 1), words.counts)
+                own = np.flatnonzero((size >= 3) & (size <= _LONGEST) & ~suspects(data, offsets)[text])
+                if not len(own):
+                    continue
+                hashes = words.hash[own]
+                order = np.lexsort((text[own], hashes))
+                h, t = hashes[order], text[own][order]
+                new_word = np.concatenate([[True], h[1:] != h[:-1]])
+                new_text = new_word | np.concatenate([[True], t[1:] != t[:-1]])
+                n = np.bincount(np.cumsum(new_word) - 1, new_text).astype(np.int64)
+                first = own[order[new_word]]
+                for a, b, times in zip(words.start[first].tolist(), words.end[first].tolist(), n.tolist(), strict=True):
+                    word = words.data[a:b].tobytes()
+                    seen[word] = seen.get(word, 0) + times
+            if len(seen) > 200_000:
+                yield flush()
+        if seen:
+            yield flush()
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+
+
+def find_secrets(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
     """doc_id and secrets, an array of (kind, start, end, log10_guesses) with positions in code points, end exclusive.
 
     Kinds: assign (a credential name with a value of 12 or more), access (key ids), hex (16 or more digits), and
-    guess: other values in credential contexts that take 10**8 guesses or more.  Null and empty texts have none.
+    guess: other values in credential contexts that take 10**8 guesses or more.  words: what the guess-cost model knows
+    besides WORDS, most common first; corpus_words(docs) if none are given.  Null and empty texts have no secrets.
     """
+    ranks = docs.sparkSession.sparkContext.broadcast(ranks_of(corpus_words(docs) if words is None else words))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,7 +242,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             for first, end, data, offsets in textkit.slices(batch.column("text")):
                 maybe = suspects(data, offsets)
                 for i in range(end - first):
-                    spans = scan(data[offsets[i] : offsets[i + 1]].tobytes().decode()) if maybe[i] else []
+                    spans = scan(data[offsets[i] : offsets[i + 1]].tobytes().decode(), ranks.value) if maybe[i] else []
                     found.append([dict(zip(("kind", "start", "end", "log10_guesses"), s, strict=True)) for s in spans])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(SPAN))], ["doc_id", "secrets"])
 
