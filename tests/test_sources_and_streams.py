@@ -91,9 +91,33 @@ def test_upserts_keep_the_newest(spark, tmp_path):
     for part in ([(1, 1, "a"), (2, 5, "b")], [(1, 3, "c"), (2, 4, "old")], [(3, 1, "d"), (1, 3, "c")]):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    M.upsert_stream(stream, str(tmp_path / "t"), ["k"], "version", str(tmp_path / "c")).awaitTermination()
-    last = max((tmp_path / "t").glob("generation=*"), key=lambda p: int(p.name.split("=")[1]))
-    assert sorted(map(tuple, spark.read.parquet(str(last)).collect())) == [(1, 3, "c"), (2, 5, "b"), (3, 1, "d")]
+    table = str(tmp_path / "t")
+    assert M.upserted(spark, table, schema).isEmpty()
+    M.upsert_stream(stream, table, ["k"], "version", str(tmp_path / "c"), buckets=4).awaitTermination()
+    want = [(1, 3, "c"), (2, 5, "b"), (3, 1, "d")]
+    assert sorted(map(tuple, M.upserted(spark, table, schema).collect())) == want
+    # a restart goes on; another checkpoint on the same table is refused and changes nothing
+    spark.createDataFrame([(2, 9, "new")], schema).coalesce(1).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="another checkpoint"):
+        M.upsert_stream(stream, table, ["k"], "version", str(tmp_path / "c2"), buckets=4).awaitTermination()
+    assert sorted(map(tuple, M.upserted(spark, table, schema).collect())) == want
+    M.upsert_stream(stream, table, ["k"], "version", str(tmp_path / "c"), buckets=4).awaitTermination()
+    assert sorted(map(tuple, M.upserted(spark, table, schema).collect())) == [(1, 3, "c"), (2, 9, "new"), (3, 1, "d")]
+
+
+def test_an_unacknowledged_rewind_closes_the_gate(spark, tmp_path):
+    control, source, target = (str(tmp_path / x) for x in ("control", "in", "out"))
+    rows = spark.createDataFrame([(1, 5)], "k long, block long")
+    rows.write.parquet(source)
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(source)
+    run = lambda: M.append_stream(stream(), target, ["k"], str(tmp_path / "c"), gate=M.rewind_gate(spark, control)).awaitTermination()
+    spark.createDataFrame([("pool", 3, 4)], "engine string, epoch long, target long").write.parquet(f"{control}/epochs")
+    spark.createDataFrame([("pool", 2)], "engine string, acked long").write.parquet(f"{control}/acks")
+    with pytest.raises(Exception, match="acknowledged"):
+        run()
+    spark.createDataFrame([("pool", 3)], "engine string, acked long").write.mode("append").parquet(f"{control}/acks")
+    run()
+    assert spark.read.parquet(target).count() == 1
 
 
 def test_streamed_fold_equals_the_batch_fold(spark, views, tmp_path):

@@ -178,6 +178,8 @@ def with_views(sql: str) -> str:
         return sql.strip()
     views = ",\n".join(f"{n} as ({SQL_VIEWS[n]})" for n in needed)
     rest = sql.strip()
+    if rest[:15].lower() == "with recursive ":
+        return f"with recursive {views}, {rest[15:]}"
     return f"with {views}{', ' + rest[5:] if rest[:5].lower() == 'with ' else chr(10) + rest}"
 
 

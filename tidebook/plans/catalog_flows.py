@@ -56,7 +56,9 @@ def _(v):
 
 
 def sweep_results(v: Views):
-    amounts = v.legs.groupBy("account").agg(F.map_from_entries(F.collect_list(F.struct("asset", "amount"))).alias("amounts"))
+    """What sweeps found: some assets are gone, the others have other amounts; some sweeps failed, some are stale."""
+    found = F.when((F.col("account") + F.col("asset")) % 5 != 0, F.struct("asset", (F.col("amount") * 2 + 1).alias("amount")))
+    amounts = v.legs.groupBy("account").agg(F.map_from_entries(F.collect_list(found)).alias("amounts"))
     return v.sweeps.filter("last_attempt is not null").select("account", "last_attempt", "status").join(amounts, "account").select("account", (F.col("last_attempt") - F.when(F.col("account") % 5 == 0, 10).otherwise(0)).alias("block"), (F.col("status") == "success").alias("ok"), "amounts")
 
 
@@ -70,7 +72,10 @@ def _(v):
     return T.sweep_applied(v.legs.select("account", "asset", "amount"), state, sweep_results(v))[1].select("account", "last_success", "attempts")
 
 
-@query("a7_swept_balances", "select account, asset, amount from legs")
+@query("a7_swept_balances", """
+with won as (select account from sweeps where status = 'success' and last_attempt is not null and last_attempt - case when account % 5 = 0 then 10 else 0 end >= coalesce(last_success, -1))
+select account, asset, amount from legs where account not in (select account from won) union all
+select account, asset, amount * 2 + 1 from legs where account in (select account from won) and (account + asset) % 5 <> 0""")
 def _(v):
     state = v.sweeps.select("account", "last_success", "attempts")
     return T.sweep_applied(v.legs.select("account", "asset", "amount"), state, sweep_results(v))[0]
@@ -108,6 +113,40 @@ def _(v):
     return T.missing_span(v.prices.withColumn("as_of", F.when(F.col("log_index") % 4 != 0, F.col("as_of"))), "as_of")
 
 
+@query("a11_registry", """
+with a as (select p_partkey, case p_size % 2 when 0 then 'pool' else 'debt' end as engine, p_name as symbol, p_size % 19 as decimals, p_size from part)
+select 'c' || p_partkey % 3 as chain, engine, '0x' || lpad(lower(to_hex(p_partkey)), 40, '0') as address, symbol, cast(decimals as int) as decimals, role, case when p_size % 3 <> 0 then 'feed' end as oracle, case when p_size % 3 <> 0 then cast(p_size * 60 as bigint) end as heartbeat, case when p_size % 3 <> 0 then 60::bigint end as grace
+from a, (select unnest(['collateral', 'debt', 'none']) as r), lateral (select case when p_size % 5 = 0 then case r when 'none' then null else 'skip' end else case when r <> 'none' and (r = 'collateral' or p_size % 7 = 0) then r else 'skip' end end as role) where role is distinct from 'skip'""")
+def _(v):
+    """Registry files of a thousand assets each, written from `part` and read back."""
+    size, key = F.col("p_size").cast("long"), F.col("p_partkey")
+    roles = F.when(size % 5 != 0, F.when(size % 7 == 0, F.array(F.lit("collateral"), F.lit("debt"))).otherwise(F.array(F.lit("collateral"))))
+    oracle = F.when(size % 3 != 0, F.struct(F.lit("feed").alias("kind"), (size * 60).alias("heartbeatSeconds"), F.lit(60).cast("long").alias("graceSeconds")))
+    asset = F.struct(
+        F.concat(F.lit("c"), key % 3).alias("chain"), F.when(size % 2 == 0, "pool").otherwise("debt").alias("engine"), F.concat(F.lit("0x"), F.lpad(F.hex(key), 40, "0")).alias("address"),
+        F.col("p_name").alias("symbol"), (size % 19).cast("int").alias("decimals"), roles.alias("roles"), oracle.alias("oracle"),
+    )
+    folder = f"{_shared(v)}/registry-{uuid.uuid4().hex}"
+    v.table("part").groupBy(F.expr("p_partkey div 1000").alias("file")).agg(F.collect_list(asset).alias("assets")).select("assets").write.option("maxRecordsPerFile", 1).json(folder)
+    return T.registry(v.spark, folder)
+
+
+@query("a12_scenarios", """
+select 's' || s_suppkey as scenario, 'n' || s_nationkey as axis, cast((50 + s_suppkey % 50) * 100 // 100 as bigint) as percent, 'a' || s_suppkey * k as asset from supplier, (select unnest([1, 2])::bigint as k) where k = 1 or s_suppkey % 2 = 0""")
+def _(v):
+    """Scenario files of five hundred scenarios each, written from `supplier` and read back."""
+    key, axis = F.col("s_suppkey"), F.concat(F.lit("n"), F.col("s_nationkey"))
+    answers = lambda k: F.struct(F.concat(F.lit("a"), key * k).alias("asset"), F.array(F.struct(axis.alias("axis"))).alias("responds_to"))
+    one = F.struct(
+        F.concat(F.lit("s"), key).alias("id"), F.lit("1").alias("version"), F.array(F.struct(axis.alias("axis"), (50 + key % 50).alias("factor_num"), F.lit(100).alias("factor_den"))).alias("shocks"),
+        F.when(key % 2 == 0, F.array(answers(1), answers(2))).otherwise(F.array(answers(1))).alias("propagation"),
+    )
+    folder = f"{_shared(v)}/scenarios-{uuid.uuid4().hex}"
+    v.table("supplier").groupBy(F.expr("s_suppkey div 500").alias("file")).agg(F.to_json(F.collect_list(one)).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    shocks, responses = T.scenario_files(v.spark, folder)
+    return shocks.join(responses, ["scenario", "axis"])
+
+
 @query("a13_filtered_legs", "select account, asset, amount from balances where engine = 'pool' and source = 'event' and side = 'debt' and updated_block <= 1500 and amount > 0")
 def _(v):
     return T.filtered_legs(v.balances, "pool", "event", "debt", 1500).select("account", "asset", "amount")
@@ -126,13 +165,11 @@ def _(v):
     return nested.select("account", F.array_join(F.transform("l", lambda x: F.concat(x["asset"], F.lit(":"), x["amount"], F.lit("@"), x["price"])), ",").alias("legs"), F.size("l").cast("long").alias("n"))
 
 
-@query("a17_consistent_inputs", "select engine, account, asset, block, delta from position_events where block <= case engine when 'pool' then 1200 else 900 end and block % 3 = 0")
-def _(v):
-    bounds = v.spark.sql("select * from values ('pool', 1200L), ('debt', 900L) as t(engine, bound)")
-    return T.consistent_inputs({"events": v.position_events}, bounds)["events"].filter("block % 3 = 0").select("engine", "account", "asset", "block", "delta")
+A17 = "select engine, account, asset, block, delta from position_events where block <= case engine when 'pool' then 1200 else 900 end"
 
 
-@query("a17_consistent_inputs_whole", "select engine, account, asset, block, delta from position_events where block <= case engine when 'pool' then 1200 else 900 end")
+@query("a17_consistent_inputs", A17)
+@query("a17_consistent_inputs_whole", A17)
 def _(v):
     bounds = v.spark.sql("select * from values ('pool', 1200L), ('debt', 900L) as t(engine, bound)")
     return T.consistent_inputs({"events": v.position_events}, bounds)["events"].select("engine", "account", "asset", "block", "delta")
@@ -186,6 +223,70 @@ def _(v):
     return rows.select("log_index", flat.alias("fields"))
 
 
+def kinds_of(prefix: str) -> list[str]:
+    return [k for k in E.LAYOUTS if k.startswith(prefix)]
+
+
+def every_kind(v: Views, prefix: str):
+    """A log for each event, of one kind after the other; field i of event e is built from e * (i + 3) + user."""
+    kinds, w = kinds_of(prefix), lambda c: F.lpad(F.hex(c), 64, "0")
+    at = F.col("event_id") % len(kinds)
+
+    def words(kind: str, in_topics: bool):
+        out = []
+        for i, (_, type_, topic) in enumerate(E.fields_of(E.LAYOUTS[kind])):
+            n = F.col("event_id") * (i + 3) + F.col("user_id")
+            if topic == in_topics:
+                if type_ == "bytes":
+                    out.append(F.concat(w(F.lit(32)), w(F.lit(20)), F.rpad(F.lpad(F.hex(n), 40, "0"), 64, "0")))
+                else:
+                    out.append(w(n % 2) if type_ == "bool" else w(n % 256) if type_ == "uint8" else F.concat(F.lit("F" * 48), F.hex(-n)) if type_ == "int" else w(n))
+        return out
+
+    def case(make):
+        out = F
+        for i, kind in enumerate(kinds):
+            out = out.when(at == i, make(kind))
+        return out
+
+    kind = case(F.lit)
+    logs = v.table("events").withColumn("kind", kind).select(
+        F.lit("all").alias("engine"), F.col("event_id").alias("block"), F.col("user_id").alias("tx"), F.col("event_id").alias("log_index"),
+        case(lambda k: F.array(topic_of(F.col("kind")), *map(F.unhex, words(k, True)))).alias("topics"), F.unhex(case(lambda k: F.concat(F.lit(""), *words(k, False)))).alias("data"),
+    )
+    registry = v.spark.createDataFrame([(k,) for k in kinds], "kind string").select(F.lit("all").alias("engine"), topic_of(F.col("kind")).alias("topic0"), "kind")
+    rows = E.typed_events(logs, registry)
+    flat = F.array_join(F.transform(F.map_entries("fields"), lambda x: F.concat_ws("|", x["key"], x["value"])), "|")
+    return rows.select("log_index", "kind", flat.alias("fields"))
+
+
+def every_kind_sql(prefix: str) -> str:
+    kinds = kinds_of(prefix)
+    cases = []
+    for k, kind in enumerate(kinds):
+        parts = []
+        for i, (name, type_, _) in enumerate(E.fields_of(E.LAYOUTS[kind])):
+            n = f"(event_id * {i + 3} + user_id)"
+            value = {"address": ADDRESS.format(n), "bytes": ADDRESS.format(n), "bool": f"case when {n} % 2 = 1 then 'true' else 'false' end", "uint8": f"{n} % 256", "int": f"-{n}"}.get(type_, n)
+            parts.append(f"'{name}', {value}")
+        cases.append(f"when {k} then concat_ws('|', {', '.join(parts)})")
+    return f"select event_id as log_index, ['{chr(39).join([chr(39) + ', ' + chr(39)]).join(kinds)}'][event_id % {len(kinds)} + 1] as kind, case event_id % {len(kinds)} {' '.join(cases)} end as fields from events"
+
+
+for name, prefix in (("b4_debt_events", "debt."), ("b5_pool_events", "pool."), ("b6_share_events", "pool.share_"), ("b7_feed_events", "feed."), ("b8_config_events", "config.")):
+
+    @query(name, every_kind_sql(prefix))
+    def _(v, prefix=prefix):
+        return every_kind(v, prefix)
+
+
+@query("b2_strict", "select event_id as log_index, case event_type when 'click' then 'pool.share_transfer' when 'view' then 'feed.answer_updated' when 'purchase' then 'pool.repay' when 'signup' then 'debt.collateral_token_config_set' else 'pool.borrow' end as kind from events")
+def _(v):
+    """Every topic is known, so the strict form skips nothing."""
+    more = v.spark.createDataFrame([("error", "pool.borrow")], "type string, kind string")
+    return E.routed(raw_logs(v), kinds(v).unionByName(more.select(F.lit("all").alias("engine"), topic_of(F.col("type")).alias("topic0"), "kind")), strict=True).select("log_index", "kind")
+
+
 @query("b4_seizures", "select event_id as tx, i as element, '0x' || lpad(lower(to_hex(user_id + i)), 40, '0') as token, cast(cast(round(value * 100) as bigint) * (i + 1) as varchar) as amount, cast(event_id as varchar) as bonus from events, (select unnest([0, 1, 2])::int as i) where i < event_id % 4")
 def _(v):
     w = lambda c: F.lpad(F.hex(c), 64, "0")
@@ -343,14 +444,11 @@ def _(v):
     return R.basket_continuity(*baskets(v))
 
 
-@query("l19_golden", "select engine, account, asset, side, amount, amount + case when account % 10 = 0 then 1 else 0 end as expected, account % 10 <> 0 as ok from balances where account % 5 = 0")
-def _(v):
-    key = ["engine", "account", "asset", "side"]
-    rows = v.balances.filter("account % 5 = 0").select(*key, "amount")
-    return R.golden(rows, rows.select(*key, (F.col("amount") + F.when(F.col("account") % 10 == 0, 1).otherwise(0)).alias("expected")), key)
+L19 = "select engine, account, asset, side, amount, amount + case when account % 10 = 0 then 1 else 0 end as expected, account % 10 <> 0 as ok from balances"
 
 
-@query("l19_golden_whole", "select engine, account, asset, side, amount, amount + case when account % 10 = 0 then 1 else 0 end as expected, account % 10 <> 0 as ok from balances")
+@query("l19_golden", L19)
+@query("l19_golden_whole", L19)
 def _(v):
     key = ["engine", "account", "asset", "side"]
     rows = v.balances.select(*key, "amount")
@@ -412,12 +510,11 @@ def _(v):
 # ---- M
 
 
-@query("m1_confirmed", f"select {EVENTS} from position_events where block <= (select max(block) - 200 from position_events) and block > 2000")
-def _(v):
-    return M.confirmed(v.position_events, v.position_events.select("block"), 200).filter("block > 2000").select(*EVENTS.split(", "))
+M1 = f"select {EVENTS} from position_events where block <= (select max(block) - 200 from position_events)"
 
 
-@query("m1_confirmed_whole", f"select {EVENTS} from position_events where block <= (select max(block) - 200 from position_events)")
+@query("m1_confirmed", M1)
+@query("m1_confirmed_whole", M1)
 def _(v):
     return M.confirmed(v.position_events, v.position_events.select("block"), 200).select(*EVENTS.split(", "))
 
@@ -438,12 +535,29 @@ def _(v):
     return M.running_balances(v.position_events)
 
 
-@query("c6_write_off_fold")
+@query("c6_write_off_fold", """
+with recursive o as (select account, asset % 10 as asset, block, log_index, event_type, delta, row_number() over (partition by account, asset % 10 order by block, log_index, tx * 10 + seq) as rn from position_events),
+r as (select account, asset, block, log_index, rn, case event_type when 'record' then 0 else delta end as moved, case event_type when 'record' then 0 else delta end as balance from o where rn = 1 union all
+  select o.account, o.asset, o.block, o.log_index, o.rn, case o.event_type when 'record' then -r.balance else o.delta end, case o.event_type when 'record' then 0 else r.balance + o.delta end
+  from r join o on o.account = r.account and o.asset = r.asset and o.rn = r.rn + 1)
+select account, asset, block, log_index, moved, balance from r""")
 def _(v):
-    rows = v.position_events.select("account", (F.col("asset") % 10).alias("asset"), "block", "log_index", "seq", "event_type", "delta")
+    rows = v.position_events.select("account", (F.col("asset") % 10).alias("asset"), "block", "log_index", (F.col("tx") * 10 + F.col("seq")).alias("seq"), "event_type", "delta")
     return M.write_off_fold_batch(rows)
 
 
+@query("m4_retracted", """
+with epochs as (select engine, epoch, top - 100 * (1 + epoch) as target from (select engine, tx % 4 as epoch, max(block) as top from position_events group by all)), acks as (select 'pool' as engine, 1 as acked),
+unacked as (select engine, min(target) as target from epochs left join acks using (engine) where epoch > coalesce(acked, -1) group by engine)
+select tx, log_index, seq, e.engine, block from position_events e left join unacked o using (engine) where target is null or block <= target""")
+def _(v):
+    """Rows above the target of a rewind that nobody has acknowledged are out."""
+    epoch = F.col("tx") % 4
+    epochs = v.position_events.groupBy("engine", epoch.alias("epoch")).agg(F.max("block").alias("top")).select("engine", "epoch", (F.col("top") - 100 * (1 + F.col("epoch"))).alias("target"))
+    acks = v.spark.sql("select 'pool' engine, 1L acked")
+    return M.retracted(v.position_events, epochs, acks).select("tx", "log_index", "seq", "engine", "block")
+
+
 @query("m6_neutralized", "select asset, source, block, log_index, price, valid and block <= 30000 as valid, case when block <= 30000 then 'kept' when block in (select block from prices where source = 'view') then 'anchored' else 'dangling' end as class from prices")
 def _(v):
     return M.neutralized(v.prices, v.prices.filter("source = 'view'"), 30000)

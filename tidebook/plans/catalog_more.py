@@ -48,7 +48,14 @@ def _(v):
     return d.select("event_id", first.alias("first_word"), E.as_integer(E.word(F.col("data"), 1)).alias("second_word"), E.as_bool(E.word(F.col("data"), 2)).alias("third_word"))
 
 
-@query("c7_share_fold")
+@query("c7_share_fold", """
+with recursive rate as (select asset, block, max(value) as idx from rate_indexes group by all),
+o as (select account, e.asset, e.block, log_index, delta as amount, idx, row_number() over (partition by account, e.asset order by e.block, log_index, seq, delta) as rn from position_events e join rate on rate.asset = e.asset and rate.block = e.block where delta is not null),
+r as (select account, asset, block, log_index, amount, rn, case when block < 1200 then (greatest(0, amount) * 1000000 + idx // 2) // idx else (greatest(0, amount) * 1000000 + idx - 1) // idx end as shares, 0::bigint as was from o where rn = 1 union all
+  select o.account, o.asset, o.block, o.log_index, o.amount, o.rn,
+    case when o.block < 1200 then (greatest(0, r.shares * o.idx // 1000000 + o.amount) * 1000000 + o.idx // 2) // o.idx else (greatest(0, r.shares * o.idx // 1000000 + o.amount) * 1000000 + o.idx - 1) // o.idx end, r.shares
+  from r join o on o.account = r.account and o.asset = r.asset and o.rn = r.rn + 1)
+select account, asset, block, log_index, amount, shares - was as moved, shares from r""")
 def _(v):
     rate = v.rate_indexes.groupBy("asset", "block").agg(F.max("value").alias("index"))
     rows = v.position_events.filter("delta is not null").join(rate, ["asset", "block"])
@@ -190,24 +197,21 @@ def _(v):
 # ---- N1: read shapes
 
 
-@query("n1_address", f"select p.account, engine, debt, collateral, borrow_limit, liquidatable, coalesce(legs, 0) as legs from {POSITIONS} p left join (select account, count(*) as legs from legs group by account) l using (account) where p.account between 10 and 40")
-def _(v):
-    legs = v.legs.groupBy("account").agg(F.count("*").alias("legs"))
-    return positions(v).filter(F.col("account").between(10, 40)).join(legs, "account", "left").fillna(0, ["legs"])
+N1_ADDRESS = f"select p.account, engine, debt, collateral, borrow_limit, liquidatable, refusal, coalesce(legs, 0) as legs from {POSITIONS} p left join (select account, count(*) as legs from legs group by account) l using (account)"
 
 
-@query("n1_address_whole", f"select p.account, engine, debt, collateral, borrow_limit, liquidatable, coalesce(legs, 0) as legs from {POSITIONS} p left join (select account, count(*) as legs from legs group by account) l using (account)")
+@query("n1_address", N1_ADDRESS)
+@query("n1_address_whole", N1_ADDRESS)
 def _(v):
     legs = v.legs.groupBy("account").agg(F.count("*").alias("legs"))
     return positions(v).join(legs, "account", "left").fillna(0, ["legs"])
 
 
-@query("n1_history", "select account, block // 100 as batch, cast(sum(delta) as bigint) as moved, count(*) as n from position_events where delta is not null and account < 50 group by all")
-def _(v):
-    return v.position_events.filter("delta is not null and account < 50").groupBy("account", F.expr("block div 100").alias("batch")).agg(F.sum("delta").alias("moved"), F.count("*").alias("n"))
+N1_HISTORY = "select account, block // 100 as batch, cast(sum(delta) as bigint) as moved, count(*) as n from position_events where delta is not null group by all"
 
 
-@query("n1_history_whole", "select account, block // 100 as batch, cast(sum(delta) as bigint) as moved, count(*) as n from position_events where delta is not null group by all")
+@query("n1_history", N1_HISTORY)
+@query("n1_history_whole", N1_HISTORY)
 def _(v):
     return v.position_events.filter("delta is not null").groupBy("account", F.expr("block div 100").alias("batch")).agg(F.sum("delta").alias("moved"), F.count("*").alias("n"))
 
@@ -227,12 +231,11 @@ def _(v):
     return out
 
 
-@query("n1_params", "select asset, block, log_index, ltv, threshold, bonus from param_history where asset < 100 and block <= 600")
-def _(v):
-    return v.param_history.filter("asset < 100 and block <= 600")
+N1_PARAMS = "select asset, block, log_index, ltv, threshold, bonus from param_history"
 
 
-@query("n1_params_whole", "select asset, block, log_index, ltv, threshold, bonus from param_history")
+@query("n1_params", N1_PARAMS)
+@query("n1_params_whole", N1_PARAMS)
 def _(v):
     return v.param_history
 

@@ -40,7 +40,12 @@ def _(v):
     return S.invalid_ranges(v.prices)
 
 
-@query("f5_strided")
+@query("f5_strided", """
+with recursive o as (select *, row_number() over (partition by asset, source order by block, log_index) as rn from prices),
+r as (select asset, source, block, log_index, price, valid, rn, true as kept, block as last from o where rn = 1 union all
+  select o.asset, o.source, o.block, o.log_index, o.price, o.valid, o.rn, o.valid <> r.valid or o.block >= r.last + 1440, case when o.valid <> r.valid or o.block >= r.last + 1440 then o.block else r.last end
+  from r join o on o.asset = r.asset and o.source = r.source and o.rn = r.rn + 1)
+select asset, source, block, log_index, price, valid from r where kept""")
 def _(v):
     return S.strided(v.prices.select("asset", "source", "block", "log_index", "price", "valid"), ["asset", "source"], "block", 1440, "valid")
 
@@ -135,7 +140,11 @@ def _(v):
     return S.extremes(days(v), ["asset"], "batch", "value")
 
 
-@query("f18_strided_points")
+@query("f18_strided_points", f"""
+with recursive o as (select *, row_number() over (partition by asset order by batch) as rn from {DAYS}),
+r as (select asset, batch, value, rn, true as kept, batch as last from o where rn = 1 union all
+  select o.asset, o.batch, o.value, o.rn, o.batch >= r.last + 3, case when o.batch >= r.last + 3 then o.batch else r.last end from r join o on o.asset = r.asset and o.rn = r.rn + 1)
+select asset, batch, value from r where kept""")
 def _(v):
     return S.strided(days(v), ["asset"], "batch", 3)
 
@@ -287,19 +296,13 @@ def _(v):
 # ---- H
 
 
-@query("h1_batch_complete", """
-with p as (select block // 100 as batch, count(*) as actual, cast(sum(amount) as bigint) as d, list_sort(list(distinct engine)) as es from position_events where log_index <= 3 group by all)
-select batch, batch % 6 <> 0 and len(es) = 2 as complete, case when len(es) = 2 then '' when es[1] = 'debt' then 'pool' else 'debt' end as missing from p""")
-def _(v):
-    rows = v.position_events.filter("log_index <= 3").select(F.expr("block div 100").alias("batch"), "engine", F.col("amount").alias("debt"))
-    declared = rows.groupBy("batch").agg((F.count("*") + F.when(F.col("batch") % 6 == 0, 1).otherwise(0)).alias("declared"), F.sum("debt").alias("declared_debt"))
-    declared = declared.withColumn("required", F.array(F.lit("debt"), F.lit("pool")))
-    return H.batch_complete(declared, rows, rows.select("batch", "engine").distinct())
+H1 = """
+with p as (select block // 100 as batch, list_sort(list(distinct engine)) as es from position_events group by all)
+select batch, batch % 6 <> 0 and len(es) = 2 as complete, case when len(es) = 2 then '' when es[1] = 'debt' then 'pool' else 'debt' end as missing from p"""
 
 
-@query("h1_batch_complete_whole", """
-with p as (select block // 100 as batch, list_sort(list(distinct engine)) as es from position_events group by all)
-select batch, batch % 6 <> 0 and len(es) = 2 as complete, case when len(es) = 2 then '' when es[1] = 'debt' then 'pool' else 'debt' end as missing from p""")
+@query("h1_batch_complete", H1)
+@query("h1_batch_complete_whole", H1)
 def _(v):
     rows = v.position_events.select(F.expr("block div 100").alias("batch"), "engine", F.col("amount").alias("debt"))
     declared = rows.groupBy("batch").agg((F.count("*") + F.when(F.col("batch") % 6 == 0, 1).otherwise(0)).alias("declared"), F.sum("debt").alias("declared_debt"))

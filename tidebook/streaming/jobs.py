@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,17 +41,69 @@ def append_stream(events: DataFrame, path: str, key: list[str], checkpoint: str,
     return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upsert_stream(rows: DataFrame, path: str, key: list[str], version: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the newest row of each key; a finished generation is a folder, the last one is the table."""
+def unacknowledged(epochs: DataFrame, acks: DataFrame) -> DataFrame:
+    """M4: the lowest target per engine of the rewinds (engine, epoch, target) beyond its acknowledged epoch (engine, acked)."""
+    open_ = epochs.join(acks, "engine", "left").filter(F.col("epoch") > F.coalesce("acked", F.lit(-1)))
+    return open_.groupBy("engine").agg(F.min("target").alias("target"))
+
+
+def retracted(events: DataFrame, epochs: DataFrame, acks: DataFrame) -> DataFrame:
+    """M4: the rows that stand; those above the target of an unacknowledged rewind of their engine are out."""
+    return events.join(unacknowledged(epochs, acks), "engine", "left").filter("target is null or block <= target").drop("target")
+
+
+def rewind_gate(spark: SparkSession, control: str) -> Callable[[], bool]:
+    """M4: a gate for append_stream that reads the tables `epochs` and `acks` under a folder at each micro-batch: it is closed
+    while a rewind is not acknowledged."""
+
+    def is_open() -> bool:
+        epochs = read_or_empty(spark, f"{control}/epochs", "engine string, epoch long, target long")
+        acks = read_or_empty(spark, f"{control}/acks", "engine string, acked long").groupBy("engine").agg(F.max("acked").alias("acked"))
+        return unacknowledged(epochs, acks).isEmpty()
+
+    return is_open
+
+
+_MANIFEST = "bucket int, folder long, checkpoint string, batch long"
+
+
+def upsert_stream(rows: DataFrame, path: str, key: list[str], version: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the newest row of each key.
+
+    Keys fall into buckets; a micro-batch rewrites the buckets that it touches and then writes a manifest of where each
+    bucket lies, so readers (see upserted) find whole states only, and a repeated micro-batch writes the same folders.
+    The manifest names the stream's checkpoint: a stream with another one is refused, as its numbers begin anew.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = read_or_empty(spark, f"{path}/generation={number - 1}", batch.schema) if number else spark.createDataFrame([], batch.schema)
-        newest_wins(before, batch, key, version).write.mode("overwrite").parquet(f"{path}/generation={number}")
+        log = read_or_empty(spark, f"{path}/manifest", _MANIFEST)
+        if not log.filter(F.col("checkpoint") != checkpoint).isEmpty():
+            raise ValueError(f"{path} belongs to a stream with another checkpoint")
+        base = {r.bucket: r.folder for r in log.filter(F.col("batch") == number - 1).collect()}
+        if not base and not log.filter(F.col("batch") < number).isEmpty():
+            raise ValueError(f"the state before batch {number} is not there")
+        placed = batch.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in placed.select("_bucket").distinct().collect()]
+        known = [f"{path}/data/batch={base[b]}/_bucket={b}" for b in touched if b in base]
+        before = spark.read.schema(batch.schema).parquet(*known) if known else spark.createDataFrame([], batch.schema)
+        merged = newest_wins(before, batch, key, version).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/batch={number}")
+        base |= dict.fromkeys(touched, number)
+        rows = [(b, f, checkpoint) for b, f in sorted(base.items())] or [(-1, number, checkpoint)]
+        spark.createDataFrame(rows, "bucket int, folder long, checkpoint string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={number}")
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def upserted(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table that upsert_stream keeps, as of its last complete micro-batch."""
+    log = read_or_empty(spark, f"{path}/manifest", _MANIFEST)
+    last = log.agg(F.max("batch")).first()[0]
+    places = [f"{path}/data/batch={r.folder}/_bucket={r.bucket}" for r in log.filter((F.col("batch") == last) & (F.col("bucket") >= 0)).collect()] if last is not None else []
+    return spark.read.schema(schema).parquet(*places) if places else spark.createDataFrame([], schema)
+
+
 def running_balances(events: DataFrame) -> DataFrame:
     """M5: balances per account and asset as a streaming aggregation."""
     return events.filter("delta is not null").groupBy("account", "asset").agg(F.sum("delta").alias("amount"), F.max("block").alias("block"))
