@@ -1,5 +1,6 @@
 import math
 import random
+import zlib
 from collections import defaultdict
 
 import duckdb
@@ -109,6 +110,35 @@ def test_every_row_has_a_score(spark, hard, hard_rows, empty):
     assert quality.keep_good(hard, labels).columns == hard.columns
 
 
+def test_scores_equal_a_plain_model(spark):
+    """Features, normal equations, ridge and calibration on whole arrays, without partial sums."""
+    docs, labels = labelled(spark, 300)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    fold = {d: zlib.crc32(str(d).encode()) % 5 for d in texts}
+    ids = sorted(texts)
+    x = quality.statistics(pa.array([texts[d] for d in ids], pa.string())).astype(np.float32).astype(float)
+    fit = np.array([fold[d] > 1 for d in ids])
+    check = np.array([fold[d] == 1 for d in ids])
+    y = np.array([label[d] for d in ids], float)
+    rng = np.random.default_rng(7)
+    directions = rng.normal(size=(quality.STATISTICS, quality.FEATURES)) / np.sqrt(quality.STATISTICS)
+    phases = rng.uniform(0, 2 * np.pi, quality.FEATURES)
+    mean, scale = x[fit].mean(axis=0), np.sqrt(np.maximum((x[fit] ** 2).mean(axis=0) - x[fit].mean(axis=0) ** 2, 1e-12))
+    z = np.cos(np.clip((x - mean) / scale, -8, 8) @ directions + phases) * np.sqrt(2 / quality.FEATURES)
+    z = np.c_[z, np.ones(len(z))]
+    penalty = np.r_[np.full(quality.FEATURES, quality.RIDGE * fit.sum() / quality.FEATURES), 1e-9]
+    raw = z @ np.linalg.solve(z[fit].T @ z[fit] + np.diag(penalty), z[fit].T @ y[fit])
+    bins = defaultdict(list)
+    for r, t in zip(raw[check], y[check]):
+        bins[math.floor((min(1.5, max(-0.5, r)) + 0.5) * (quality.BINS // 2))].append((r, t))
+    points = [(*np.mean(bins[b], axis=0), len(bins[b])) for b in sorted(bins)]
+    levels = quality.isotonic(np.array([p[1] for p in points]), np.array([float(p[2]) for p in points]))
+    want = np.clip(0.999 * np.interp(raw, [p[0] for p in points], np.clip(levels, 1e-3, 1 - 1e-3)) + 0.001 / (1 + np.exp(-raw)), 0, 1)
+    got = {r.doc_id: r.score for r in quality.documents_scored(docs, labels).collect()}
+    assert np.allclose([got[d] for d in ids], want, atol=2e-3)
+
+
 def test_isotonic_is_ascending_and_nearest():
     rng = np.random.default_rng(0)
     y, w = rng.random(40), rng.integers(1, 9, 40).astype(float)

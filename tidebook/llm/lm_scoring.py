@@ -27,9 +27,9 @@ from tidebook.llm.shared import CHUNK_BYTES, bucket_count, chunked, growth, hash
 #: Weights of the lower order in counts, for pairs and triples.
 PAIR, TRIPLE = 10.0, 2.0
 #: Word tokens that one bucket serves, about.
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 700_000
 #: Occurrences of a context from which what follows it is split over buckets.
-SPLIT_CONTEXT = 200_000
+SPLIT_CONTEXT = 100_000
 #: Chunks of this operator grow less, as a task holds several numbers for each token of a chunk.
 MAX_GROWTH = 4.0
 
@@ -41,6 +41,18 @@ OUT = "doc_id long, train boolean, n_tokens long, n_known long, base_score doubl
 REPLY = "chunk long, kind int, bucket long, a binary, b binary"
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values, and the place of each value in them; places take 4 bytes, as most memory is theirs."""
+    order = np.argsort(values, kind="stable")
+    ordered = values[order]
+    new = np.empty(len(values), bool)
+    new[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=new[1:])
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    return ordered[new], place
+
+
 class Tokens:
     """The tokens of a chunk: words of each text, then one end.  vocab: sorted distinct hashes, with START."""
 
@@ -50,20 +62,15 @@ class Tokens:
             words = textkit.Words(data, offsets, lower=True, key=key)
             parts.append(np.insert(words.hash, words.bounds[1:], END))
             counts.append(words.counts + 1)
-        hashes = np.concatenate([*parts, [START]])
         self.counts = np.concatenate(counts)
         self.first = np.concatenate([[0], np.cumsum(self.counts)[:-1]])
-        self.vocab, inverse = np.unique(hashes, return_inverse=True)
-        self.word, self.start = inverse[:-1], inverse[-1]
+        self.vocab, place = _distinct(np.concatenate([*parts, [START]]))
+        self.word, self.start = place[:-1], int(place[-1])
         self.end = int(np.searchsorted(self.vocab, END))
         train = table.column("train").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False)
         self.train = np.repeat(train, self.counts)
 
 
-def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(values, return_inverse=True)
-
-
 class Grams:
     """The distinct pairs and triples of a chunk whose words are known, as nodes in the order of buckets.
 
@@ -77,32 +84,34 @@ class Grams:
         known = np.flatnonzero(occurs > 0)
         known = known[np.argsort(number[known])]
         self.number, self.occurs = number[known], occurs[known]
-        local = np.full(len(occurs), -1, np.int64)
+        local = np.full(len(occurs), -1, np.int32)
         local[known] = np.arange(len(known))
-        m = max(1, len(known))
+        m = np.int64(max(1, len(known)))
         word = local[tokens.word]
         context = np.empty_like(word)
         context[1:] = word[:-1]
         context[tokens.first] = local[tokens.start]
         self.context = context
         # pairs, and for each token its pair or -1
-        at = np.flatnonzero((word >= 0) & (context >= 0))
+        at = np.flatnonzero((word >= 0) & (context >= 0)).astype(np.int32)
         pairs, inverse = _distinct(context[at] * m + word[at])
-        self.pair = np.full(len(word), -1, np.int64)
+        self.pair = np.full(len(word), -1, np.int32)
         self.pair[at] = inverse
         self.seen_pair = np.bincount(inverse[tokens.train[at]], minlength=len(pairs))
-        self.u, self.v = pairs // m, pairs % m
+        self.u, self.v = (pairs // m).astype(np.int32), (pairs % m).astype(np.int32)
+        del pairs, inverse
         # triples: the pair that ends before a token, and the token
         before = np.empty_like(self.pair)
         before[1:] = self.pair[:-1]
         before[tokens.first] = -1
         self.before = before
-        at = np.flatnonzero((word >= 0) & (before >= 0))
+        at = np.flatnonzero((word >= 0) & (before >= 0)).astype(np.int32)
         triples, inverse = _distinct(before[at] * m + word[at])
-        self.triple = np.full(len(word), -1, np.int64)
+        self.triple = np.full(len(word), -1, np.int32)
         self.triple[at] = inverse
         self.seen_triple = np.bincount(inverse[tokens.train[at]], minlength=len(triples))
-        prefix, self.w = triples // m, triples % m
+        prefix, self.w = (triples // m).astype(np.int32), (triples % m).astype(np.int32)
+        del triples, inverse, at, word
         # buckets
         spread = textkit.mix(self.number + _U(1))
         parts = -(-self.occurs[self.u] // SPLIT_CONTEXT)
@@ -114,13 +123,15 @@ class Grams:
         both = textkit.mix(spread[self.u[prefix[split]]] ^ textkit.mix(spread[self.v[prefix[split]]]))
         triple_bucket[split] = hash_buckets(textkit.mix(both + spread[self.w[split]] % parts[split].astype(_U)), buckets)
         # nodes
-        n = max(1, len(pairs))
-        nodes, place = _distinct(np.concatenate([pair_bucket * n + np.arange(len(pairs)), triple_bucket * n + prefix]))
-        self.bucket, self.of = nodes // n, nodes % n
+        n = max(1, len(self.u))
+        del parts, part, split, both, spread
+        nodes, place = _distinct(np.concatenate([pair_bucket * n + np.arange(len(self.u)), triple_bucket * n + prefix]))
+        del pair_bucket, triple_bucket, prefix
+        self.bucket, self.of = (nodes // n).astype(np.int32), (nodes % n).astype(np.int32)
         self.asks_pair = np.zeros(len(nodes), bool)
-        self.asks_pair[place[: len(pairs)]] = True
-        node = place[len(pairs) :]
-        self.triples_by_node = np.argsort(node, kind="stable")
+        self.asks_pair[place[: len(self.u)]] = True
+        node = place[len(self.u) :]
+        self.triples_by_node = np.argsort(node, kind="stable").astype(np.int32)
         self.per_node = np.bincount(node, minlength=len(nodes))
         #: pairs and triples in the order in which they are asked for
         self.pairs_asked = self.of[self.asks_pair]
