@@ -208,29 +208,25 @@ def _alike(both, na, nb, percent: int):
     return (100 + percent) * both >= percent * (na + nb)
 
 
-def _self_join(rows: DataFrame, on: list[str], condition) -> DataFrame:
-    """Pairs of rows that agree in `on`, x.doc_id < y.doc_id, of different components, for which the condition holds."""
-    x, y = rows.alias("x"), rows.alias("y")
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in on]
-    test = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & condition
-    for c in same:
-        test = c & test
-    return x.join(y, test)
-
-
-def _mixed(rows: DataFrame, on: list[str]) -> DataFrame:
-    """The rows of groups that hold several components."""
-    groups = rows.groupBy(*on).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select(*on)
-    return rows.join(groups, on, "left_semi")
+def _crossed(some: DataFrame, every: DataFrame, on: list[str], condition) -> DataFrame:
+    """Pairs (a, b) of a row x of `some` and a row y of `every` that agree in `on`, of different components, for which the
+    condition holds.  The rows of `every` fall into `slots` parts, each with a copy of `some`."""
+    x = some.withColumn("_slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slots") - 1))).alias("x")
+    y = every.withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.col("slots"))).alias("y")
+    test = (F.col("x.doc_id") != F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & condition
+    for c in [*on, "_slot"]:
+        test = (F.col(f"x.{c}") == F.col(f"y.{c}")) & test
+    return x.join(y, test).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
 
 def cross_candidates(members: DataFrame, near: DataFrame, percent: int) -> DataFrame:
     """Pairs of bucket mates of different components that can be alike although their hub does not link them.
 
-    members: (key, hub, doc_id, component, n), near: (hub, slots, doc_id, component, nh, n, both, linked, added) of members
-    compared with the hub; members that are not in near are farther from it than twice the allowed distance.
+    members: (key, hub, slots, doc_id, component, n), near: (hub, slots, doc_id, component, nh, n, both, linked, added) of
+    members compared with the hub; members that are not in near are farther from it than twice the allowed distance.
     With R and A what a member x lacks of the hub and has beyond it, |x & y| = |hub| - |Rx | Ry| + |Ax & Ay|
-    <= min(|x & hub|, |y & hub|) + |Ax & Ay|.
+    <= min(|x & hub|, |y & hub|) + |Ax & Ay|.  Two members that the hub links are in one component, so one of each pair
+    is not linked to it.
     """
     col = F.col
     least = F.least(col("x.both"), col("y.both"))
@@ -238,7 +234,7 @@ def cross_candidates(members: DataFrame, near: DataFrame, percent: int) -> DataF
     near = materialize(of_hub(near, several.drop("lo", "hi"), "hub", "doc_id"), "near")
     rows = near.withColumn("a", col("n") - col("both"))
     # they share shingles beyond the hub, and enough of them; shingles that the same members have count as one with a weight
-    beyond = rows.select("hub", "doc_id", "component", "n", "both", "a", "smallest", F.explode("added").alias("shingle"))
+    beyond = rows.select("hub", "slots", "doc_id", "component", "n", "both", "a", "linked", "smallest", F.explode("added").alias("shingle"))
     beyond = materialize(beyond, "beyond")
     holders = [F.bit_xor(F.xxhash64("doc_id")).alias("h1"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("h2"), F.count("*").alias("holders")]
     held = beyond.groupBy("hub", "shingle").agg(*holders, F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
@@ -250,18 +246,19 @@ def cross_candidates(members: DataFrame, near: DataFrame, percent: int) -> DataF
     own = Window.partitionBy("hub", "doc_id")
     before = F.coalesce(F.sum("weight").over(own.orderBy("holders", "shingle").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     first = beyond.join(kept, ["hub", "shingle"]).withColumns({"before": before, "all": F.sum("weight").over(own)})
-    first = first.filter(col("before") < col("all") - due + 1).select(beyond.columns)
+    first = materialize(first.filter(col("before") < col("all") - due + 1).select(beyond.columns), "shared-beyond")
     could = _alike(least + F.least(col("x.a"), col("y.a")), col("x.n"), col("y.n"), percent)
-    shared = _self_join(materialize(first, "shared-beyond"), ["hub", "shingle"], could).select(col("x.doc_id").alias("a"), col("y.doc_id").alias("b"))
+    shared = _crossed(first.filter("not linked"), first, ["hub", "shingle"], could)
     # both are mostly parts of the hub
     parts = rows.filter(100 * col("both") >= percent * col("n")).drop("added")
-    parts = _self_join(parts, ["hub"], _alike(least, col("x.n"), col("y.n"), percent)).select(col("x.doc_id").alias("a"), col("y.doc_id").alias("b"))
+    parts = _crossed(parts.filter("not linked"), parts, ["hub"], _alike(least, col("x.n"), col("y.n"), percent))
     # one is far from the hub, so the other is not linked to it
     state = near.select("hub", "doc_id", "linked")
     apart = members.filter("doc_id <> hub").join(state, ["hub", "doc_id"], "left").filter("linked is null or not linked")
-    apart = _mixed(apart.withColumn("far", col("linked").isNull()), ["key"])
+    several = apart.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(col("linked").isNull()).alias("any")).filter("lo <> hi and any")
+    apart = materialize(of_hub(apart, several.select("key"), "key", "doc_id"), "apart")
     fits = 100 * F.least(col("x.n"), col("y.n")) >= percent * F.greatest(col("x.n"), col("y.n"))
-    far = _self_join(apart, ["key"], (col("x.far") | col("y.far")) & fits).select(col("x.doc_id").alias("a"), col("y.doc_id").alias("b"))
+    far = _crossed(apart.filter("linked is null"), apart, ["key"], fits)
     return shared.union(parts).union(far).distinct()
 
 
@@ -307,9 +304,9 @@ def link_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     bands = reps.select("doc_id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("mates")).filter("mates > 1")
     shared = materialize(bands.join(sizes, "key"), "band-mates")
-    degree = shared.groupBy("doc_id").agg(F.sum("mates").alias("degree"))
-    hubs = shared.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("hub"))).alias("top"))
-    slots = F.ceil(F.col("top.degree") / SLOT).alias("slots")
+    degree = shared.groupBy("doc_id").agg(F.sum("mates").alias("degree"), F.max("mates").alias("most"))
+    hubs = shared.join(degree, "doc_id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("doc_id")).alias("hub"), "most")).alias("top"))
+    slots = F.ceil(F.col("top.most") / SLOT).alias("slots")
     members = materialize(shared.drop("mates").join(hubs.select("key", (-F.col("top.hub")).alias("hub"), slots), "key"), "band-members")
 
     stars = members.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "slots").distinct()
@@ -321,7 +318,7 @@ def link_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
     # bucket mates that are not yet in one component
     labelled = lambda df: df.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     columns = [F.col(x).alias(y) for x, y in (("a", "hub"), ("slots", "slots"), ("b", "doc_id"), ("na", "nh"), ("nb", "n"), ("both", "both"), ("linked", "linked"), ("added", "added"))]
-    rest = cross_candidates(labelled(members.drop("slots")), labelled(near.select(columns)), percent)
+    rest = cross_candidates(labelled(members), labelled(near.select(columns)), percent)
     tested = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = rest.join(tested, ["a", "b"], "left_anti").withColumn("slots", F.lit(1).cast("long"))
     more = compared(likely(rest, regs, share), docs, k, key, lower)

@@ -26,6 +26,8 @@ from tidebook.llm.shared import materialize
 END_ID = 1
 #: A shard is closed when it has this many ids.
 SHARD_IDS = 1 << 20
+#: Up to so many shards their starts are broadcast; beyond, the join is left to Spark.
+BROADCAST_SHARDS = 1_000_000
 #: Documents whose boundaries are selected at once.
 READ_DOCS = 4096
 #: Pieces of words whose ids a task remembers.
@@ -180,7 +182,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_ids: int =
 def with_starts(shards: DataFrame) -> DataFrame:
     """Adds first_id to each shard: the ids of all shards before it.  Only one row per bucket reaches the driver."""
     spark = shards.sparkSession
-    sums = shards.groupBy("bucket").agg(F.sum("n_ids").alias("n")).orderBy("bucket").collect()
+    sums = shards.groupBy("bucket").agg(F.sum("n_ids").alias("n"), F.count("*").alias("shards")).orderBy("bucket").collect()
     before, rows = 0, []
     for r in sums:
         rows.append((r.bucket, before))
@@ -189,7 +191,8 @@ def with_starts(shards: DataFrame) -> DataFrame:
     inside = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = shards.select("bucket", "shard", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("within")).join(starts, "bucket")
     offsets = offsets.select("bucket", "shard", (F.col("within") + F.col("base")).alias("first_id"))
-    return shards.join(offsets, ["bucket", "shard"])
+    few = sum(r.shards for r in sums) <= BROADCAST_SHARDS
+    return shards.join(F.broadcast(offsets) if few else offsets, ["bucket", "shard"])
 
 
 def read_shards(shards: DataFrame) -> DataFrame:
