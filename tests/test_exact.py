@@ -23,6 +23,29 @@ def test_wide_functions_on_256_bit_integers(spark):
         assert int(r.wad) == (x * 10**18 + z // 2) // z
 
 
+def test_narrow_and_wide_rows_agree(spark):
+    """Rows on both sides of the limit of decimals, in one table."""
+    rng = random.Random(2)
+    data = [(rng.getrandbits(rng.randint(1, 90)), rng.getrandbits(rng.randint(1, 90)), rng.getrandbits(rng.randint(1, 130)) + 1) for _ in range(400)]
+    data += [(10**36, 9, 1), (10**36, 10, 1), (10**18 - 1, 10**18 - 1, 3), (1, 1, 10**38), (0, 0, 1)]
+    a, b, d = map(F.col, "abd")
+    names = {"mul_div_floor": 3, "mul_div_ceil": 3, "ray_mul_floor": 2, "ray_mul_ceil": 2, "ray_mul_half_up": 2, "percent_mul_floor": 2, "percent_mul_half_up": 2}
+    by_d = ["ray_div_floor", "ray_div_ceil", "ray_div_half_up", "wad_div_floor", "wad_div_half_up", "health_wad"]
+    data += [(10**18 - 1, 1, 10**12 - 1), (10**18 - 1, 1, 10**9 - 1), (10**10 - 1, 1, 1), (10**18, 1, 7), (9, 1, 10**12), (7, 5, 2)]
+    df = rows(spark, data, "abd").coalesce(1).persist()
+    for n, k in names.items():
+        for r in df.select("a", "b", "d", getattr(X, n)(*(a, b, d)[:k]).alias("x")).collect():
+            assert int(r.x) == getattr(X, n).exact(*map(int, (r.a, r.b, r.d)[:k])), (n, r)
+    for n in by_d:
+        for r in df.select("a", "d", getattr(X, n)(a, d).alias("x")).collect():
+            assert int(r.x) == getattr(X, n).exact(int(r.a), int(r.d)), (n, r)
+    for r in df.select("a", "b", "d", X.index_growth(a, b, d).alias("g")).collect():
+        assert int(r.g) == int(r.a) + int(r.a) * int(r.b) * int(r.d) // 10**20
+    assert [X.mul_div_floor.exact(-7, 1, 2), X.mul_div_ceil.exact(7, 1, 2), X.wad_div_half_up.exact(1, 3)] == [-4, 4, (10**18 + 1) // 3]
+    signed = rows(spark, [(-7, 3, 2), (-(10**30), 10**30, 7), (5, 3, -2)], "abd").select(X.mul_div_floor(a, b, d), X.mul_div_ceil(a, b, d)).collect()
+    assert [tuple(map(int, r)) for r in signed] == [(-11, -10), (-(10**60) // 7, -(10**60 // 7)), (-8, -7)]
+
+
 def test_nulls_and_zero_divisors_give_null(spark):
     df = spark.createDataFrame([("1", None, "3"), ("1", "2", "0")], "a string, b string, d string")
     got = df.select(X.mul_div_floor(F.col("a"), F.col("b"), F.col("d")).alias("x"), X.floor_div(F.col("a").cast("long"), F.lit(0)).alias("y")).collect()
@@ -78,3 +101,5 @@ def test_functions_in_sql(spark):
     X.register(spark)
     r = spark.sql("select mul_div_floor('100000000000000000000000000000000000000000', '3', '7') as x").first()
     assert int(r.x) == 10**41 * 3 // 7
+    r = spark.sql("select ray_mul_half_up('5', '100000000000000000000000000') as a, health_wad('3', '7') as b, index_growth('1000000', '31709791983', '3600') as c, wide_add('1', '-2') as d, wad_div_floor('1', '0') as e").first()
+    assert (r.a, int(r.b), int(r.c), r.d, r.e) == ("1", (3 * 10**18 + 3) // 7 // 10_000, 10**6 + 10**6 * 31709791983 * 3600 // 10**20, "-1", None)

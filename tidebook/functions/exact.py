@@ -1,11 +1,13 @@
 """Exact integer arithmetic with the rounding direction as part of the operator.
 
-Columns that fit 18 digits use `div` on longs; those that fit 38 digits the remainder form on decimals; wider ones are
-decimal strings, computed on Python integers in Arrow batches, several results of a row in one call.
+Columns that fit 18 digits use `div` on longs; those that fit 38 digits the remainder form on decimals.  Products of any
+width are decimal strings: rows whose product fits 37 digits are computed on decimals inside the JVM, the others on Python
+integers in Arrow batches, which get nulls for the rows before.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -27,31 +29,53 @@ def ceil_div(a: Column, b: Column) -> Column:
     return -floor_div(-a.cast("long"), b)
 
 
-def floor_div_decimal(a: Column, b: Column) -> Column:
-    """Floor of a / b for whole decimals of up to 31 digits with b > 0."""
-    a, b = a.cast("decimal(38,0)"), F.nullif(b.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+def _whole(c: Column | int) -> Column:
+    return F.lit(str(c)).cast("decimal(38,0)") if isinstance(c, int) else c.cast("decimal(38,0)")
+
+
+def _over(a: Column, b: Column) -> Column:
+    """Floor of a / b for quotients of up to 31 digits: the division has six digits after the point, which are zeros here."""
     return ((a - F.pmod(a, b)) / b).cast("decimal(38,0)")
 
 
+def floor_div_decimal(a: Column, b: Column) -> Column:
+    """Floor of a / b for whole decimals with b > 0 and a quotient of up to 31 digits; null for b = 0."""
+    return _over(_whole(a), F.nullif(_whole(b), _whole(0)))
+
+
+def _scaled(a: Column, b: Column, power: int) -> tuple[Column, Column]:
+    """Floor and remainder of a * 10**power / b (power 18 or 27), digit group by digit group as on paper, on longs: a of up
+    to 18 digits, b > 0 of up to 12 digits (power 18) or 9 (power 27)."""
+    group = {18: 6, 27: 9}[power]
+    a, b, step = a.cast("long"), F.nullif(b.cast("long"), F.lit(0).cast("long")), F.lit(10**group).cast("long")
+    div = lambda x: F.call_function("div", x, b)
+    parts, rest = [div(a)], a % b
+    for _ in range(power // group):
+        parts.append(div(rest * step))
+        rest = (rest * step) % b
+    total = _whole(parts[0]) * _whole(10**power)
+    for k, part in enumerate(parts[1:], 1):
+        total = (total + _whole(part) * _whole(10 ** (power - group * k))).cast("decimal(38,0)")
+    return total, rest
+
+
 # ---- wide integers as decimal strings
 
 
-def _integers(f: Callable[..., int | None]) -> Callable[..., pa.Array]:
-    """A function of Python integers on Arrow arrays of decimal strings; null gives null."""
+def _arrow(f: Callable[..., int | None], n: int):
+    """An Arrow UDF of n columns of decimal strings that computes on Python integers; null gives null."""
 
-    def run(first: pa.Array, *rest: pa.Array) -> pa.Array:
+    def run(*columns: pa.Array) -> pa.Array:
+        if columns[0].null_count == len(columns[0]):
+            return pa.nulls(len(columns[0]), pa.string())
         out = []
-        for row in zip(first.to_pylist(), *(r.to_pylist() for r in rest), strict=True):
+        for row in zip(*(c.to_pylist() for c in columns), strict=True):
             value = None if any(x is None for x in row) else f(*map(int, row))
             out.append(None if value is None else str(value))
         return pa.array(out, pa.string())
 
-    return run
-
-
-def _arrow(f: Callable[..., int | None], n: int):
-    """An Arrow UDF of n columns."""
-    run = _integers(f)
+    def of_one(a: pa.Array) -> pa.Array:
+        return run(a)
 
     def of_two(a: pa.Array, b: pa.Array) -> pa.Array:
         return run(a, b)
@@ -59,35 +83,91 @@ def _arrow(f: Callable[..., int | None], n: int):
     def of_three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         return run(a, b, c)
 
-    return arrow_udf({2: of_two, 3: of_three}[n], "string")
-
+    return arrow_udf({1: of_one, 2: of_two, 3: of_three}[n], "string")
+
+
+#: Quotients of integers by their rounding.
+_ROUNDED = {"floor": lambda x, d: x // d, "ceil": lambda x, d: -(-x // d), "half_up": lambda x, d: (x + d // 2) // d}
+_ROUNDED_DECIMAL = {"floor": floor_div_decimal, "ceil": lambda x, d: -floor_div_decimal(-x, d), "half_up": lambda x, d: floor_div_decimal(x + floor_div_decimal(d, _whole(2)), d)}
+
+
+class Quotient:
+    """A product over a divisor, rounded, and then floored by `then`: a function of columns of whole numbers or of decimal
+    strings that gives a decimal string; null for nulls and for a divisor of 0.
+
+    shape has the factors and, last, the divisor: None for a column, a number for itself.  A column times 10**18 or 10**27
+    over a column is divided in groups of digits, other products on decimals.
+    """
+
+    def __init__(self, shape: tuple[int | None, ...], rounding: str = "floor", then: int = 1):
+        self.shape, self.rounding, self.then = shape, rounding, then
+        self.columns = sum(s is None for s in shape)
+
+    def exact(self, *values: int) -> int | None:
+        """The same on Python integers."""
+        left = iter(values)
+        *factors, d = (next(left) if s is None else s for s in self.shape)
+        return _ROUNDED[self.rounding](math.prod(factors), d) // self.then if d else None
+
+    def udf(self):
+        return _arrow(self.exact, self.columns)
+
+    def _on_decimals(self, strings: list[Column]) -> tuple[Column, Column]:
+        """Whether a row fits, and its result if it does."""
+        left = iter(strings)
+        *factors, d = (next(left) if s is None else s for s in self.shape)
+        digits = F.lit(0)
+        for f in factors:
+            digits = digits + (len(str(f)) if isinstance(f, int) else F.length(f))
+        if isinstance(d, Column):
+            fits = (digits <= 37) & (digits - F.length(d) <= 29) & (F.length(d) <= 36) & ~d.startswith("-")
+        else:
+            fits = (digits <= 37) & (digits - len(str(d)) <= 29)
+        product = None
+        for f in factors:
+            product = _whole(f) if product is None else (product * _whole(f)).cast("decimal(38,0)")
+        return fits, _ROUNDED_DECIMAL[self.rounding](product, _whole(d))
+
+    def _on_longs(self, a: Column, d: Column) -> tuple[Column, Column]:
+        power = len(str(self.shape[1])) - 1
+        fits = (F.length(a) <= (18 if power == 18 else 10)) & (F.length(d) <= (12 if power == 18 else 9)) & ~a.startswith("-") & ~d.startswith("-")
+        total, rest = _scaled(a, d, power)
+        d = d.cast("long")
+        more = {"floor": F.lit(False), "ceil": rest > 0, "half_up": rest + F.call_function("div", d, F.lit(2).cast("long")) >= d}[self.rounding]
+        return fits, total + _whole(more.cast("int"))
+
+    def __call__(self, *columns: Column) -> Column:
+        strings = [c.cast("string") for c in columns]
+        fits, small = self._on_longs(*strings) if self.shape in ((None, WAD, None), (None, RAY, None)) else self._on_decimals(strings)
+        small = (floor_div_decimal(small, _whole(self.then)) if self.then > 1 else small).cast("string")
+        return F.when(fits, small).otherwise(self.udf()(*(F.when(~fits, c) for c in strings)))
+
+
+mul_div_floor, mul_div_ceil = (Quotient((None, None, None), r) for r in ("floor", "ceil"))
+ray_mul_floor, ray_mul_ceil, ray_mul_half_up = (Quotient((None, None, RAY), r) for r in ("floor", "ceil", "half_up"))
+ray_div_floor, ray_div_ceil, ray_div_half_up = (Quotient((None, RAY, None), r) for r in ("floor", "ceil", "half_up"))
+wad_div_floor, wad_div_half_up = (Quotient((None, WAD, None), r) for r in ("floor", "half_up"))
+percent_mul_floor, percent_mul_half_up = (Quotient((None, None, 10_000), r) for r in ("floor", "half_up"))
+#: wad health factor: half-up division by the debt, then floor by 1e4; the two steps differ from one on rare carries
+health_wad = Quotient((None, WAD, None), "half_up", 10_000)
+_growth = Quotient((None, None, None, 100 * WAD))
 
-def _wide(f: Callable[..., int | None]) -> Callable[..., Column]:
-    """The same as a function of columns.  The UDF is made when it is used: workers import this module, too."""
 
-    return lambda *columns: _arrow(f, len(columns))(*(c.cast("string") for c in columns))
+def wide_add(a: Column, b: Column) -> Column:
+    """Sum of two whole numbers as decimal strings."""
+    a, b = a.cast("string"), b.cast("string")
+    fits = (F.length(a) <= 37) & (F.length(b) <= 37)
+    return F.when(fits, (_whole(a) + _whole(b)).cast("decimal(38,0)").cast("string")).otherwise(_arrow(lambda x, y: x + y, 2)(F.when(~fits, a), F.when(~fits, b)))
 
 
-def _half_up(a: int, d: int) -> int:
-    return (a + d // 2) // d
+def index_growth(index: Column, apy: Column, seconds: Column) -> Column:
+    """An index after some seconds at a rate per second in percent of 1e18."""
+    return wide_add(index, _growth(index, apy, seconds))
 
 
-mul_div_floor = _wide(lambda a, b, d: a * b // d if d else None)
-mul_div_ceil = _wide(lambda a, b, d: -(-a * b // d) if d else None)
-ray_mul_floor = _wide(lambda a, b: a * b // RAY)
-ray_mul_ceil = _wide(lambda a, b: -(-a * b // RAY))
-ray_mul_half_up = _wide(lambda a, b: (a * b + HALF_RAY) // RAY)
-ray_div_floor = _wide(lambda a, b: a * RAY // b if b else None)
-ray_div_ceil = _wide(lambda a, b: -(-a * RAY // b) if b else None)
-ray_div_half_up = _wide(lambda a, b: _half_up(a * RAY, b) if b else None)
-wad_div_floor = _wide(lambda a, b: a * WAD // b if b else None)
-wad_div_half_up = _wide(lambda a, b: _half_up(a * WAD, b) if b else None)
-percent_mul_floor = _wide(lambda a, bps: a * bps // 10_000)
-percent_mul_half_up = _wide(lambda a, bps: (a * bps + 5_000) // 10_000)
-#: wad health factor: half-up division by the debt, then floor by 1e4; the two steps differ from one on rare carries
-health_wad = _wide(lambda weighted, debt: _half_up(weighted * WAD, debt) // 10_000 if debt else None)
-index_growth = _wide(lambda index, apy, seconds: index + index * apy * seconds // (100 * WAD))
-scaled_sum = _wide(lambda high, low: high * 10**18 + low)
+def scaled_sum(high: Column, low: Column) -> Column:
+    """high * 1e18 + low as a decimal string."""
+    return wide_add(Quotient((None, 10**18, 1))(high), low)
 
 
 def wide_low(column: str) -> Column:
@@ -103,13 +183,15 @@ def wide_high(column: str) -> Column:
 
 
 def register(spark: SparkSession) -> None:
-    """The wide functions under their names in SQL."""
-    functions = {
-        "mul_div_floor": lambda a, b, d: a * b // d if d else None,
-        "mul_div_ceil": lambda a, b, d: -(-a * b // d) if d else None,
-    }
-    for name, f in functions.items():
-        spark.udf.register(name, _arrow(f, 3))
+    """The wide functions under their names in SQL, on decimal strings."""
+    names = (
+        "mul_div_floor mul_div_ceil ray_mul_floor ray_mul_ceil ray_mul_half_up ray_div_floor ray_div_ceil ray_div_half_up "
+        "wad_div_floor wad_div_half_up percent_mul_floor percent_mul_half_up health_wad"
+    ).split()
+    for name in names:
+        spark.udf.register(name, globals()[name].udf())
+    spark.udf.register("index_growth", _arrow(lambda index, apy, seconds: index + _growth.exact(index, apy, seconds), 3))
+    spark.udf.register("wide_add", _arrow(lambda a, b: a + b, 2))
 
 
 # ---- units of accounts

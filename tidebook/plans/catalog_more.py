@@ -240,10 +240,14 @@ def _(v):
     return v.param_history
 
 
-@query("n3_sql_functions", "select tx, log_index, seq, cast(amount::hugeint * 1000000007 // (asset + 1) as varchar) as x from position_events")
+@query("n3_sql_functions", """select tx, log_index, seq, cast(amount::hugeint * 1000000007 // (asset + 1) as varchar) as x, cast((amount::hugeint * 1000000000000000000 + (asset + 1) // 2) // (asset + 1) as varchar) as wad, cast((amount::hugeint * (asset + 1) + 9999) // 10000 as varchar) as part,
+ cast(((amount::hugeint * 1000000000000000000 + (asset + 1) // 2) // (asset + 1)) // 10000 as varchar) as health, cast(amount::hugeint + asset as varchar) as total from position_events""")
 def _(v):
     X.register(v.spark)
-    return v.position_events.selectExpr("tx", "log_index", "seq", "mul_div_floor(cast(amount as string), '1000000007', cast(asset + 1 as string)) as x")
+    a, b = "cast(amount as string)", "cast(asset + 1 as string)"
+    return v.position_events.selectExpr(
+        "tx", "log_index", "seq", f"mul_div_floor({a}, '1000000007', {b}) as x", f"wad_div_half_up({a}, {b}) as wad", f"mul_div_ceil({a}, {b}, '10000') as part", f"health_wad({a}, {b}) as health", f"wide_add({a}, cast(asset as string)) as total",
+    )
 
 
 @query("n5_reach_rows", f"select scenario, kind, count(*) as n from (select scenario, case when held_flat then 'held' when shocked = price then 'unmoved' else 'moved' end as kind from {SHOCKED}) group by all")
