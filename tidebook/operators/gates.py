@@ -109,6 +109,6 @@ def scale_violations(rows: DataFrame, scales: dict[str, int]) -> DataFrame:
 
 def newest_label(batches: DataFrame) -> DataFrame:
     """Whether a batch is the newest complete one, superseded, or newer than it but incomplete."""
-    top = F.max(F.when(F.col("complete"), F.col("batch"))).over(Window.partitionBy())
-    label = F.when(F.col("batch") == top, "newest").when(F.col("batch") < top, "superseded").otherwise("pending")
-    return batches.select("batch", "complete", label.alias("label"))
+    top = batches.agg(F.max(F.when(F.col("complete"), F.col("batch"))).alias("top"))  # one row
+    label = F.when(F.col("batch") == F.col("top"), "newest").when(F.col("batch") < F.col("top"), "superseded").otherwise("pending")
+    return batches.join(F.broadcast(top)).select("batch", "complete", label.alias("label"))

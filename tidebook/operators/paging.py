@@ -36,6 +36,32 @@ def position_order(engine: str, by: str, descending: bool) -> list[Column]:
     return [F.asc("refused"), turn(keys[by]), F.asc("account")]
 
 
+def placed(rows: DataFrame, cell: list[Column], order: list[Column], by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows with their place in an order, within `by` or in all, without a task that gets all rows.
+
+    The columns of `cell` must be the first keys of the order, ascending, or steps of them; each cell is ranked by itself and
+    starts after the rows of the cells before it, of which there is one count each.
+    """
+    names = [f"_cell{i}" for i in range(len(cell))]
+    celled = rows.withColumns(dict(zip(names, cell, strict=True)))
+    counts = celled.groupBy(*by, *names).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy(*(F.asc_nulls_last(n) for n in names)).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*by, *names).orderBy(*order))
+    a, b = celled.withColumn("_within", within).alias("a"), starts.alias("b")
+    same = F.lit(True)
+    for c in (*by, *names):
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    return a.join(b, same).select(*(F.col(f"a.`{c}`") for c in rows.columns), (F.col("_before") + F.col("_within")).cast("long").alias("place"))
+
+
+def steps(rows: DataFrame, column: str, parts: int = 64) -> Column:
+    """The step of a numeric column among about `parts` steps of equal numbers of rows; null stays null."""
+    cuts = rows.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] or []
+    known = F.array(*(F.lit(c) for c in sorted(set(cuts)))) if cuts else F.array().cast("array<double>")
+    return F.when(F.col(column).isNotNull(), F.size(F.filter(known, lambda c: c <= F.col(column))))
+
+
 def at_least(positions: DataFrame, least: int) -> DataFrame:
     """Drops computed rows whose larger side is below the least value; refused and unknown rows stay."""
     small = (F.col("status") == "computed") & F.col("debt").isNotNull() & F.col("collateral").isNotNull() & (F.greatest("debt", "collateral") < least)
@@ -67,8 +93,8 @@ def work_queue(sweeps: DataFrame, debts: DataFrame, generation: int, n: int) ->
 def seeded_order(accounts: DataFrame, seed: str) -> DataFrame:
     """Place of each account in its stratum: live ones first, then by a hash of the seed and the account."""
     h = F.md5(F.concat(F.lit(seed), F.col("account").cast("string")).cast("binary"))
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("live"), h))
-    return accounts.withColumn("place", place)
+    cell = [(~F.col("live")).cast("int"), F.substring(h, 1, 2)]
+    return placed(accounts, cell, [F.desc("live"), h, F.col("account")], ("stratum",))
 
 
 def quota_sample(accounts: DataFrame, seed: str, quotas: dict[str, int], total: int, forced: list[int] = ()) -> DataFrame:

@@ -77,11 +77,19 @@ def parameter_weld(folded: DataFrame, observed: DataFrame, fields: list[str]) ->
     return both.select("asset", F.coalesce(first, F.lit("equal")).alias("verdict"))
 
 
-def heartbeat_scan(prices: DataFrame, limit: int, now: int) -> DataFrame:
-    """Per source rows, distinct places, missing times, the longest gap including the open one, and a verdict."""
-    w = Window.partitionBy("source").orderBy("as_of", "log_index")
-    rows = prices.withColumn("gap", F.col("as_of") - F.lag("as_of").over(w))
-    out = rows.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("block", "asset").alias("places"), F.count_if(F.col("as_of").isNull()).alias("missing"), F.greatest(F.max("gap"), F.lit(now) - F.max("as_of")).alias("longest"))
+def heartbeat_scan(prices: DataFrame, limit: int, now: int, step: int = 86_400) -> DataFrame:
+    """Per source rows, distinct places, missing times, the longest gap including the open one, and a verdict.
+
+    Gaps are taken within spans of `step` seconds, and between the last and the first row of spans that follow each other, so
+    a source with very many rows is put in order in parts.
+    """
+    span = F.floor(F.col("as_of") / step).alias("span")
+    inside = prices.select("source", "as_of", span).withColumn("gap", F.col("as_of") - F.lag("as_of").over(Window.partitionBy("source", "span").orderBy("as_of")))
+    spans = inside.filter("as_of is not null").groupBy("source", "span").agg(F.max("gap").alias("gap"), F.min("as_of").alias("first"), F.max("as_of").alias("last"))
+    between = F.col("first") - F.lag("last").over(Window.partitionBy("source").orderBy("span"))
+    longest = spans.withColumn("gap", F.greatest("gap", between)).groupBy("source").agg(F.greatest(F.max("gap"), F.lit(now) - F.max("last")).alias("longest"))
+    out = prices.groupBy("source").agg(F.count("*").alias("n"), F.count_distinct("block", "asset").alias("places"), F.count_if(F.col("as_of").isNull()).alias("missing"))
+    out = out.join(longest, "source", "left").select("source", "n", "places", "missing", "longest")
     return out.withColumn("verdict", F.when(F.col("missing") > 0, "incomplete").when(F.col("longest") > limit, "late").otherwise("ok"))
 
 

@@ -70,10 +70,13 @@ def publication_gaps(prices: DataFrame) -> DataFrame:
 
 
 def nearest_rank(gaps: DataFrame, key: list[str], value: str, percent: int) -> DataFrame:
-    """the value at index floor(n * percent / 100), at most n - 1, of each key's sorted values."""
+    """the value at index floor(n * percent / 100), at most n - 1, of each key's sorted values.  Equal values are counted
+    before they are put in order, so a key with very many rows is one row per value."""
+    counts = gaps.groupBy(*key, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(*key)
-    ranked = gaps.withColumn("rn", F.row_number().over(w.orderBy(value))).withColumn("n", F.count("*").over(w))
-    return ranked.filter(F.col("rn") == F.least(floor_div(F.col("n") * percent, F.lit(100)), F.col("n") - 1) + 1).select(*key, F.col(value).alias("quantile"), "n")
+    ranked = counts.withColumn("_upto", F.sum("_n").over(w.orderBy(F.asc_nulls_first(value)).rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_n").over(w))
+    wanted = F.least(floor_div(F.col("n") * percent, F.lit(100)), F.col("n") - 1) + 1
+    return ranked.filter((F.col("_upto") >= wanted) & (F.col("_upto") - F.col("_n") < wanted)).select(*key, F.col(value).alias("quantile"), "n")
 
 
 def judged_max(gaps: DataFrame, prices: DataFrame, boundary: int) -> DataFrame:

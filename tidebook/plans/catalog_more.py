@@ -13,7 +13,7 @@ from tidebook.operators import sequences as S
 from tidebook.operators import stress as K
 from tidebook.operators import valuation as J
 from tidebook.plans.bindings import query
-from tidebook.plans.catalog_risk import AFTER, POSITIONS, SCENARIOS, SHOCKED, after, positions, scenarios, shocked
+from tidebook.plans.catalog_risk import AFTER, FACTORS, POSITIONS, SHOCKED, after, factors, positions, shocked
 from tidebook.sources import events as E
 from tidebook.sources import tables as T
 
@@ -216,9 +216,9 @@ def _(v):
     return v.position_events.filter("delta is not null").groupBy("account", F.expr("block div 100").alias("batch")).agg(F.sum("delta").alias("moved"), F.count("*").alias("n"))
 
 
-@query("n1_scenarios", f"select scenario, string_agg(axis || ':' || percent, ',' order by axis) as shocks, count(*) as axes from {SCENARIOS} group by scenario")
+@query("n1_scenarios", f"select scenario, string_agg(axis || ':' || percent, ',' order by axis) as shocks, count(*) as axes from {FACTORS} group by scenario")
 def _(v):
-    return scenarios(v).groupBy("scenario").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "axis", "percent"))), ",").alias("shocks"), F.count("*").alias("axes"))
+    return factors(v).groupBy("scenario").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "axis", "percent"))), ",").alias("shocks"), F.count("*").alias("axes"))
 
 
 @query("n1_meta", "select (select count(*) from position_events) as events, (select max(block) from position_events) as newest_block, (select count(*) from prices where not valid) as quarantined, (select count(*) from sweeps where status = 'success') as swept")

@@ -238,10 +238,20 @@ def _(v):
     return shocked(v)
 
 
+FACTORS = "(select 's' || s_suppkey as scenario, 'n' || s_nationkey as axis, 50 + s_suppkey % 70 as percent from supplier union all select 's' || s_suppkey, 'all', 90 from supplier where s_suppkey % 2 = 0)"
+
+
+def factors(v: Views):
+    """A scenario for each supplier, with one axis or two."""
+    key = F.col("s_suppkey")
+    rows = v.table("supplier").select(F.concat(F.lit("s"), key).alias("scenario"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("axis"), (50 + key % 70).cast("long").alias("percent"), key)
+    return rows.drop("s_suppkey").union(rows.filter(key % 2 == 0).select("scenario", F.lit("all"), F.lit(90).cast("long")))
+
+
 @query("k3_rescaled", f"""
-select scenario, grid, axis, cast(100 + (d - (d % 100 + 100) % 100) // 100 as bigint) as percent from (select scenario, grid, axis, (percent - 100) * (grid * 25) as d from {SCENARIOS}, (select unnest(range(0, 5))::bigint as grid))""")
+select scenario, grid, axis, cast(100 + (d - (d % 100 + 100) % 100) // 100 as bigint) as percent from (select scenario, grid, axis, (percent - 100) * (grid * 25) as d from {FACTORS}, (select unnest(range(0, 5))::bigint as grid))""")
 def _(v):
-    return K.rescaled(scenarios(v), v.spark.range(5).select(F.col("id").alias("grid"), (F.col("id") * 25).alias("scale")))
+    return K.rescaled(factors(v), v.spark.range(5).select(F.col("id").alias("grid"), (F.col("id") * 25).alias("scale")))
 
 
 def grid(v: Views):

@@ -197,7 +197,8 @@ FLOORED = BOOK.replace("(collateral - debt) * 1000 // collateral", "((collateral
 
 @query("g4_sorted_book", f"select account, row_number() over (order by refused, headroom nulls last, account) as place from {FLOORED}")
 def _(v):
-    return book(v).select("account", F.row_number().over(Window.orderBy(*G.position_order("debt", "health", False))).cast("long").alias("place"))
+    rows = book(v)
+    return G.placed(rows, [F.col("refused"), G.steps(rows, "headroom")], G.position_order("debt", "health", False)).select("account", "place")
 
 
 @query("g5_at_least", f"select account, status from {BOOK} where not coalesce(status = 'computed' and greatest(debt, collateral) < 5000000, false)")
