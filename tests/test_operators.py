@@ -95,6 +95,43 @@ def test_debts_without_legs_and_unknown_legs_stay_in_the_book(spark, views):
     assert stress.eligible_on_grid(views.legs, views.debts, gone).filter("grid = 0").count() == views.debts.count()
 
 
+def test_wide_positions_on_256_bit_amounts(spark):
+    """Amounts in wads, ray indexes and prices of 1e18, beyond 38 digits, next to ordinary rows, an unknown leg and no legs."""
+    ray, wad = 10**27, 10**18
+    legs = {1: [(3 * 10**30, ray + 7, 2_000 * wad, 7500, 8000), (5, 2 * ray, 3, 5000, 6000)], 2: [(10, ray, 100, 6500, 8000)], 3: [(10**40, ray * 3 // 2, None, 1, 1)], 4: []}
+    debts = {1: (10**33, ray + 1, 4 * wad), 2: (800, ray, 1), 3: (1, ray, 1), 4: (2, ray, 5)}
+    rows = [(a, i, str(x), str(idx), None if p is None else str(p), ltv, th) for a, own in legs.items() for i, (x, idx, p, ltv, th) in enumerate(own)]
+    owed = spark.createDataFrame([(a, "pool", str(x), str(i), str(p)) for a, (x, i, p) in debts.items()], "account long, engine string, shares string, index string, price string")
+    table = spark.createDataFrame(rows, "account long, asset long, amount string, index string, price string, ltv long, threshold long")
+    unit = 10**6
+    got = {r.account: r for r in valuation.wide_positions(table, valuation.wide_debts(owed, unit), unit).collect()}
+    for a, own in legs.items():
+        x, i, p = debts[a]
+        debt = -(-(-(-x * i // ray)) * p // unit)
+        r = got[a]
+        assert int(r.debt) == debt
+        if a == 3:
+            assert r.refusal == "missing_price" and r.collateral is None and r.liquidatable is None and r.eligible is None
+            continue
+        values = [(n * idx // ray * price // unit, ltv, th) for n, idx, price, ltv, th in own]
+        limit, weighted = sum(v * ltv // 10_000 for v, ltv, _ in values), sum(v * th // 10_000 for v, _, th in values)
+        health = (weighted * wad + debt // 2) // debt // 10_000
+        assert (int(r.collateral), int(r.borrow_limit), int(r.weighted), int(r.health)) == (sum(v for v, _, _ in values), limit, weighted, health)
+        assert (r.liquidatable, r.eligible, r.refusal) == (debt > limit, health < 10**14, None)
+
+
+def test_places_are_those_of_one_window(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(500).select("id", F.when(F.col("id") % 7 != 0, F.col("id") * 37 % 101).alias("x"), (F.col("id") % 3).alias("g")).repartition(5)
+    order = [F.asc_nulls_last("x"), F.col("id")]
+    for by in ((), ("g",)):
+        want = {r.id: r.p for r in df.withColumn("p", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).collect()}
+        got = paging.placed(df, [paging.steps(df, "x", 8)], order, by)
+        assert got.columns == ["id", "x", "g", "place"] and {r.id: r.place for r in got.collect()} == want
+    assert paging.placed(df.limit(0), [paging.steps(df.limit(0), "x")], order).count() == 0
+
+
 def test_too_many_scenarios_are_refused(spark, views):
     with pytest.raises(ValueError, match="more than"):
         stress.eligible_on_grid(views.legs, views.debts, spark.range(2000).select(F.col("id").alias("grid"), F.lit(100).cast("long").alias("percent")))

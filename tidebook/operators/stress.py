@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.functions import exact as X
 from tidebook.functions.exact import floor_div, half_decade, headroom_band, headroom_tenths, health_lane
-from tidebook.operators.valuation import leg_values, with_sums
+from tidebook.operators.valuation import _joined, _wide_sums, leg_values, wide_positions, with_sums
 
 #: Scenarios and grid points together, at most; tables beyond are refused, as they are meant to be small.
 MAX_SCENARIOS = 1000
@@ -64,6 +65,19 @@ def waterfall(legs: DataFrame, debts: DataFrame, grid: DataFrame) -> DataFrame:
     )
 
 
+def wide_waterfall(legs: DataFrame, debts: DataFrame, grid: DataFrame, unit: int) -> DataFrame:
+    """K6 in the 256-bit domain: newly and cumulatively eligible accounts, their debt, and refused accounts."""
+    points = _small(grid)
+    rows = legs.join(points).withColumn("price", X.mul_div_floor(F.col("price"), F.col("percent"), F.lit("100")))
+    rows = wide_positions(rows, debts.join(points.select("grid")), unit, ("grid",))
+    w = Window.partitionBy("account").orderBy("grid")
+    held = F.coalesce(F.max(F.col("liquidatable").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    rows = rows.withColumn("held", held).withColumn("newly", F.col("held") - F.coalesce(F.lag("held").over(w), F.lit(0)))
+    rows = rows.withColumn("debt_eligible", F.when(F.col("held") == 1, F.col("debt")).otherwise("0"))
+    sums = rows.groupBy("grid", "engine").agg(F.sum("newly").alias("newly"), F.sum("held").alias("cumulative"), F.count("refusal").alias("refused"), *(c.alias(n) for n, c in _wide_sums("debt_eligible").items()))
+    return _joined(sums, "debt_eligible")
+
+
 def seizable(legs: DataFrame, debts: DataFrame) -> DataFrame:
     """K4: what a liquidator may take: each leg's share of the debt with the leg's bonus, at most the leg.  Nothing of an
     account without legs; null, with the code, of a refused one."""

@@ -64,7 +64,11 @@ class Views:
 
     @cached_property
     def rate_indexes(self) -> DataFrame:
-        days = self.position_events.filter("side <> ''").groupBy("asset", "side", "block").agg(F.sum(F.abs("delta")).alias("q"))
+        """Read off the items alone: a rate needs nothing of the order that an item belongs to."""
+        items = self.table("lineitem").filter("l_returnflag <> 'N'")
+        side = F.when(F.col("l_linestatus") == "F", "debt").otherwise("collateral").alias("side")
+        rows = items.select(F.col("l_partkey").alias("asset"), side, F.datediff("l_shipdate", F.lit(EPOCH_DAY)).cast("long").alias("block"), F.col("l_quantity").cast("long").alias("moved"))
+        days = rows.groupBy("asset", "side", "block").agg(F.sum("moved").alias("q"))
         grown = F.sum("q").over(Window.partitionBy("asset", "side").orderBy("block"))
         return days.select("asset", F.col("side").alias("kind"), "block", (F.lit(1_000_000) + grown).alias("value"))
 
@@ -115,6 +119,17 @@ class Views:
         return total.select("account", F.when(F.col("account") % 3 == 0, "pool").otherwise("debt").alias("engine"), F.expr("t div (4 + account % 40)").alias("debt"))
 
 
+    @cached_property
+    def accounts(self) -> DataFrame:
+        """Engine and debt (as in debts) and sweep status (as in sweeps) of each account, in one pass over the orders."""
+        orders = self.table("orders").groupBy(F.col("o_custkey").alias("account")).agg(F.sum(cents("o_totalprice")).alias("t"), F.max("o_orderdate").alias("last"))
+        key = F.col("account")
+        swept = self.table("customer").select(F.col("c_custkey").alias("account"), F.lit(True).alias("known"))
+        status = F.when(F.col("known"), F.when(F.col("last").isNull(), "never").when(key % 7 == 0, "failed").otherwise("success"))
+        rows = orders.join(swept, "account", "left")
+        return rows.select("account", F.when(key % 3 == 0, "pool").otherwise("debt").alias("engine"), F.expr("t div (4 + account % 40)").alias("debt"), status.alias("status"))
+
+
 SQL_VIEWS: dict[str, str] = {
     "position_events": """
   select case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'pool' else 'debt' end as engine,

@@ -227,7 +227,7 @@ select account, engine, count(*) as legs, cast(sum(amount * price) as bigint) as
 from legs join debts using (account) left join rate using (asset) left join (select account, status from sweeps) s using (account) group by all""")
 def _(v):
     rate = v.rate_indexes.filter("kind = 'collateral' and block <= 2000").groupBy("asset").agg(F.max_by("value", "block").alias("idx"))
-    rows = v.legs.join(v.debts.select("account", "engine"), "account").join(rate, "asset", "left").join(v.sweeps.select("account", "status"), "account", "left")
+    rows = v.legs.join(rate, "asset", "left").join(v.accounts.select("account", "engine", "status"), "account")
     return rows.groupBy("account", "engine").agg(
         F.count("*").alias("legs"), F.sum(F.col("amount") * F.col("price")).alias("value"), F.sum(F.expr("amount * idx div 1000000")).alias("live"),
         F.count_if(F.col("idx").isNull()).alias("without_rate"), F.max("status").alias("status"),

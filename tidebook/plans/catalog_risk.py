@@ -291,6 +291,49 @@ def _(v):
     return K.waterfall(broken_legs(v), v.debts, grid(v))
 
 
+# the same book with shares of 1e8, ray indexes and prices of 1e12: its products have up to 38 digits
+
+UNIT = 10**6
+WIDE_LEGS = "(select account, asset, amount::hugeint * 100000000 as amount, 1000000000000000000000000000 + asset::hugeint * 1000000000000000000000 as idx, price::hugeint * 1000000000000 as price, ltv * 100 as ltv, threshold * 100 as threshold from legs)"
+WIDE_DEBTS = "(select account, engine, ((debt::hugeint * (1000000000000000000000000000 + account::hugeint * 1000000000000000000000) + 999999999999999999999999999) // 1000000000000000000000000000 * 100000000000000000000 + 999999) // 1000000 as debt from debts)"
+
+
+def wide_sql(percent: str, grid: str) -> str:
+    """Every wide debt (at every grid point) with its account's wide sums."""
+    return f"""(select grid, account, engine, debt, coalesce(v, 0) as collateral, coalesce(l, 0) as borrow_limit, coalesce(w, 0) as weighted from {WIDE_DEBTS} cross join {grid} left join (
+  select grid, account, sum(v)::hugeint as v, sum(v * ltv // 10000)::hugeint as l, sum(v * threshold // 10000)::hugeint as w from (
+    select grid, account, ltv, threshold, (amount * idx // 1000000000000000000000000000) * (price * {percent} // 100) // 1000000 as v from {WIDE_LEGS} cross join {grid}) group by all) using (grid, account))"""
+
+
+ONE_POINT, POINTS = "(select 0::bigint as grid)", "(select unnest(range(0, 8))::bigint as grid)"
+# half up by 1e18 in two groups of nine digits, then floor by 1e4
+WIDE_HEALTH = """case when debt > 0 then ((weighted // debt) * 1000000000000000000 + (weighted % debt * 1000000000 // debt) * 1000000000 + (weighted % debt * 1000000000 % debt) * 1000000000 // debt
+  + case when (weighted % debt * 1000000000 % debt) * 1000000000 % debt + debt // 2 >= debt then 1 else 0 end) // 10000 end"""
+
+
+def wide_book(v: Views):
+    ray = lambda c: (F.lit(10**9).cast("decimal(38,0)") * 10**9 * 10**9 + c.cast("decimal(20,0)") * F.lit(10**9).cast("decimal(10,0)") * F.lit(10**12).cast("decimal(13,0)")).cast("decimal(38,0)").cast("string")
+    zeros = lambda c, n: F.when(F.col(c) == 0, "0").otherwise(F.concat(F.col(c).cast("string"), F.lit("0" * n)))
+    legs = v.legs.select("account", "asset", zeros("amount", 8).alias("amount"), ray(F.col("asset")).alias("index"), zeros("price", 12).alias("price"), (F.col("ltv") * 100).alias("ltv"), (F.col("threshold") * 100).alias("threshold"))
+    debts = v.debts.select("account", "engine", F.col("debt").alias("shares"), ray(F.col("account")).alias("index"), F.lit("1" + "0" * 20).alias("price"))
+    return legs, J.wide_debts(debts, UNIT)
+
+
+@query("j1_wide_positions", f"""
+select account, engine, debt::varchar as debt, collateral::varchar as collateral, borrow_limit::varchar as borrow_limit, weighted::varchar as weighted, ({WIDE_HEALTH})::varchar as health, debt > borrow_limit as liquidatable, coalesce(({WIDE_HEALTH}) < 100000000000000, false) as eligible, null::varchar as refusal
+from {wide_sql("100", ONE_POINT)}""")
+def _(v):
+    return J.wide_positions(*wide_book(v), UNIT)
+
+
+@query("k6_wide_waterfall", f"""
+select grid, engine, cast(sum(newly) as bigint) as newly, cast(sum(held) as bigint) as cumulative, sum(held * debt)::hugeint::varchar as debt_eligible, 0::bigint as refused from (
+  select *, held - coalesce(lag(held) over (partition by account order by grid), 0) as newly from (
+    select *, max((debt > borrow_limit)::int) over (partition by account order by grid) as held from {wide_sql("(100 - grid * 10)", POINTS)})) group by grid, engine""")
+def _(v):
+    return K.wide_waterfall(*wide_book(v), grid(v), UNIT)
+
+
 @query("k8_unshocked_bad_debt", f"select engine, bad_debt from {WATERFALL} where grid = 0")
 def _(v):
     return K.waterfall(v.legs, v.debts, grid(v)).filter("grid = 0").select("engine", "bad_debt")
