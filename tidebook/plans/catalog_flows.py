@@ -81,7 +81,7 @@ def _(v):
     return T.sweep_applied(v.legs.select("account", "asset", "amount"), state, sweep_results(v))[0]
 
 
-@query("a8_batch_round_trip", f"select account, engine, debt, collateral, borrow_limit, liquidatable from {POSITIONS}")
+@query("a8_batch_round_trip", f"select account, engine, debt, collateral, borrow_limit, liquidatable, refusal from {POSITIONS}")
 def _(v):
     """Positions written as a batch, adopted by a second write, and read through the manifest."""
     folder = f"{_shared(v)}/batches-{uuid.uuid4().hex}"
