@@ -20,7 +20,7 @@ def _morse(n):
 
 morse = _morse(10)
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, bucket int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, bucket int, target double, source_size long, _size int, row long, doc string"
 
 
 @pytest.fixture(scope="session")
@@ -34,12 +34,12 @@ def hard_rows():
     near = base.split()
     near[50] = "changed"
     texts = [None, "", " \t\n\x0b\x0c\r ", "one", "one two", "one two", base, base, " ".join(near), text(20_000), f"{text(30)} {shared} {text(30)}", f"{shared} {text(10)}", f"{text(5)}\n{shared}", f"{shared} {shared}"]
-    texts += ["UPPER upper Upper", "a\x85b\xa0c   d\x1ce ퟿ 中文 😀 é", "<|im_start|> <|endoftext|> it's IT'S we'll 12 34.5 --", "x" * 5000]
+    texts += ["UPPER upper Upper", "a\x85b\xa0c   d\x1ce ퟿ 中文 😀 é", "<|im_start|> <|endoftext|> it's IT'S we'll 12 34.5 --", "x" * 5000, "0 " * 300_000, "ab" * 300_000]
     texts += [text(rng.randint(1, 80)) for _ in range(30)]
-    rows = [(i, t, "en", rng.choice(["s1", "s2", "é", None]), None, "c", 1) for i, t in enumerate(texts)]
+    rows = [(i, t, "en", rng.choice(["s1", "s2", "é", None]), None, "c", 1, 0.5, 7, 7, i, "d") for i, t in enumerate(texts)]
     rows.append(rows[7])  # a repeated row
-    rows.append((None, base, None, None, None, None, None))
-    rows.append((None, None, None, None, None, None, None))
+    rows.append((None, base, *(None,) * 10))
+    rows.append((None,) * 12)
     return rows
 
 

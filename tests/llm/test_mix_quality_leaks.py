@@ -99,6 +99,15 @@ def test_classifier_on_held_out_rows(spark):
     assert len(kept & set(range(1, 400, 4))) > 95 and len(kept & set(range(0, 400, 4))) < 10
 
 
+def test_each_row_is_kept_or_not_by_its_own_text(spark):
+    docs, labels = labelled(spark)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    more = spark.createDataFrame([(None, texts[4]), (None, texts[5]), (1, texts[8]), (8, texts[1])], docs.schema)
+    kept = [(r.doc_id, r.text) for r in quality.keep_good(docs.union(more), labels).collect()]
+    assert (None, texts[5]) in kept and (8, texts[1]) in kept and (1, texts[1]) in kept
+    assert (None, texts[4]) not in kept and (1, texts[8]) not in kept and (8, texts[8]) not in kept
+
+
 def test_every_row_has_a_score(spark, hard, hard_rows, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, 0), (3, 7, 0), (None, 1, 0), (6, 0, 1), (6, 0, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")
     rows = quality.documents_scored(hard, labels).collect()

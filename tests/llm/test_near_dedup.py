@@ -4,11 +4,14 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tests.llm.conftest import SCHEMA, WORD, ascii_lower, morse
+from tests.llm.conftest import WORD, ascii_lower, morse
 from tidebook.llm import near_dedup
 from tidebook.llm.near_dedup import band_keys, band_width, components, drop_duplicates, link_duplicates, registers, shingle_sets
 
 
+TEXTS = "doc_id long, text string, lang string, source string, n_chars long, chunk string, bucket int"
+
+
 def plain(rows, k, percent):
     sets = {}
     for d, t in rows:
@@ -49,7 +52,7 @@ def test_chain_and_large_group(spark):
     copies = [(1000 + i, " ".join(base[:99] + [f"end{i}"]), None, None, None, None, None) for i in range(150)]
     rows = [(i, " ".join(w), None, None, None, None, None) for i, w in enumerate(chain)] + copies
     want = plain([r[:2] for r in rows], 3, 85)
-    got = {r.doc_id: r.component_id for r in link_duplicates(spark.createDataFrame(rows, SCHEMA), 3, 85).collect()}
+    got = {r.doc_id: r.component_id for r in link_duplicates(spark.createDataFrame(rows, TEXTS), 3, 85).collect()}
     assert got == {d: c for d, (_, c) in want.items()}
 
 
@@ -59,6 +62,14 @@ def test_kept_rows_keep_their_columns(hard, empty):
     assert drop_duplicates(empty).count() == 0 and link_duplicates(empty).count() == 0
 
 
+def test_rows_count_one_by_one(spark):
+    """Copies under one id, under no id, and different texts under one id."""
+    a, b = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
+    rows = [(5, a), (5, a), (None, a), (5, b), (None, b), (None, None), (None, ""), (7, "short")]
+    kept = drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(5, a), (5, b), (None, None), (None, ""), (7, "short")]))
+
+
 def test_edited_copies_of_one_text(spark):
     """Many variants around the threshold: parts, edits on edits, and texts that share one passage only."""
     rng = random.Random(3)
@@ -74,7 +85,7 @@ def test_edited_copies_of_one_text(spark):
     rows = [(i, " ".join(t), None, None, None, None, None) for i, t in enumerate(texts)]
     for k, percent in ((3, 85), (5, 80)):
         want = plain([r[:2] for r in rows], k, percent)
-        got = {r.doc_id: r.component_id for r in link_duplicates(spark.createDataFrame(rows, SCHEMA), k, percent).collect()}
+        got = {r.doc_id: r.component_id for r in link_duplicates(spark.createDataFrame(rows, TEXTS), k, percent).collect()}
         assert got == {d: c for d, (_, c) in want.items()}
 
 
@@ -86,7 +97,7 @@ def test_hubs_fall_into_slots(spark, monkeypatch):
     rows = [(i, " ".join([*base[: rng.randint(88, 100)], f"e{i % 40}"]), None, None, None, None, None) for i in range(300)]
     rows += [(300, morse[0], None, None, None, None, None), (301, morse[1], None, None, None, None, None)]
     want = plain([r[:2] for r in rows], 3, 85)
-    got = link_duplicates(spark.createDataFrame([*rows, rows[3]], SCHEMA), 3, 85).collect()
+    got = link_duplicates(spark.createDataFrame([*rows, rows[3]], TEXTS), 3, 85).collect()
     assert len(got) == 303 and {r.doc_id: r.component_id for r in got} == {d: c for d, (_, c) in want.items()}
 
 

@@ -26,7 +26,7 @@ def test_stages_work_on_what_is_kept(spark, sf):
             leaked = {r.doc_id for r in decontamination.find_leaks(docs, items).collect()}
             assert sorted(ids) == sorted(r.doc_id for r in before if r.doc_id not in leaked)
         elif name == "source_mix":
-            want = [r.doc_id for r in mixing.planned(docs).collect() for _ in range(r._copies)]
+            want = [r.doc_id for r in mixing.planned(mixing.sized(docs)).collect() for _ in range(r.copies)]
             assert sorted(ids) == sorted(want)
         else:
             tokenizer = token_output._tokenizer(token_output.default_tokenizer())

@@ -12,27 +12,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidebook.llm.shared import materialize
+from tidebook.llm.shared import BROADCAST_ROWS, materialize, numbered, unpacked
 
 WEIGHTS = (5, 2, 1)
 #: A source gives at most so many times its size.
 CAP = 3
 #: Documents of a cell, about, beyond which cells are divided further; the order of documents does not depend on it.
 CELL_ROWS = 1_000_000
-#: Up to so many rows of a plan are broadcast to pick texts; beyond, the join is left to Spark.
-BROADCAST_ROWS = 1_000_000
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def words_of(text: str = "text") -> Column:
     """The number of words; null: 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
 
 
 def order_of(doc_id: str = "doc_id", text: str = "text") -> Column:
     """The hash that orders the documents of a size class."""
-    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    return F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text).cast("string"), F.lit(""))).cast("binary"))
 
 
 def _size_class() -> Column:
@@ -104,16 +102,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
 
     The documents are written once under row numbers, so that the plan meets the rows that it was made of.
     """
-    columns = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    numbered = packed.select("doc", F.monotonically_increasing_id().alias("row"), "doc_id", "source", words_of().alias("size"), order_of().alias("hash"))
-    numbered = materialize(numbered, "mix-input")
-    plan = planned(numbered.drop("doc"), weights, cap, seed).filter("copies > 0").select("row", "copies")
-    plan = materialize(plan, "mix-plan")
+    held = numbered(docs, "mix-input", size=words_of("doc.text"), hash=order_of("doc.doc_id", "doc.text"))
+    rows = held.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), "size", "hash")
+    plan = materialize(planned(rows, weights, cap, seed).filter("copies > 0").select("row", "copies"), "mix-plan")
     few = plan.count() <= BROADCAST_ROWS
-    taken = numbered.select("row", "doc").join(F.broadcast(plan) if few else plan, "row")
-    copies = taken.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
-    return copies.select(*(F.col(f"doc.`{c}`").alias(c) for c in columns))
+    taken = held.select("row", "doc").join(F.broadcast(plan) if few else plan, "row")
+    return unpacked(taken.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")))
 
 
 def op8_source_mix(spark, sf_dir: str) -> DataFrame:

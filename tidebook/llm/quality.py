@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import textkit
-from tidebook.llm.shared import materialize
+from tidebook.llm.shared import materialize, numbered, without_rows
 
 FEATURES = 384
 RIDGE = 1e-2
@@ -123,17 +123,17 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS).astype(np.float64)
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and x, the statistics of its text (null: empty)."""
+def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and x, the statistics of its text (null: empty), and the columns `keep`."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = statistics(batch.column("text")).astype(np.float32)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * STATISTICS, pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, *map(batch.column, keep)], ["doc_id", "x", *keep])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(compute, "doc_id long, x array<float>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    return rows.mapInArrow(compute, ", ".join(["doc_id long", "x array<float>", *(f"{c} {t}" for c, t in docs.select(*keep).dtypes)]))
 
 
 def _summed(rows: DataFrame, partial) -> list[np.ndarray]:
@@ -213,8 +213,8 @@ def learn(labelled: DataFrame, calibrate: Column, train_rows: int = TRAIN_ROWS,
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train: Column, calibrate: Column) -> DataFrame:
-    """doc_id and score (0 to 1, higher: label 1 likelier) of every row, empty and null texts too.
+def score_quality(docs: DataFrame, labels: DataFrame, train: Column, calibrate: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score (0 to 1, higher: label 1 likelier) and the columns `keep` of every row, empty and null texts too.
 
     labels has doc_id and quality (0 or 1; several for one document: their majority, ties count as 1; others are
     left out).  train and calibrate are conditions on doc_id: which labels may be used, and which of them calibrate.
@@ -222,30 +222,31 @@ def score_quality(docs: DataFrame, labels: DataFrame, train: Column, calibrate:
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & train)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-    table = materialize(text_statistics(docs), "statistics")
+    table = materialize(text_statistics(docs, keep), "statistics")
     model = learn(table.join(known, "doc_id"), calibrate)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch.column("x"))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch.column("x")))), *map(batch.column, keep)], ["doc_id", "score", *keep])
 
-    return table.mapInArrow(apply, "doc_id long, score double")
+    return table.mapInArrow(apply, ", ".join(["doc_id long", "score double", *(f"{c} {t}" for c, t in table.select(*keep).dtypes)]))
 
 
 def _fold() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
-def documents_scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def documents_scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """score_quality with the folds that the queries use: 0 is held out, 1 calibrates."""
-    return score_quality(docs, labels, _fold() != 0, _fold() == 1)
+    return score_quality(docs, labels, _fold() != 0, _fold() == 1, keep)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least the threshold, with all their columns.  Rows without doc_id are kept."""
-    bad = materialize(documents_scored(docs, labels).filter(F.col("score") < threshold).select("doc_id").filter("doc_id is not null").distinct(), "rejected")
-    few = bad.count() <= TRAIN_ROWS
-    return docs.join(F.broadcast(bad) if few else bad, "doc_id", "left_anti").select(docs.columns)
+    """The rows of docs that score at least the threshold, with all their columns; each row by its own text, also where ids
+    are null or repeated."""
+    held = numbered(docs)
+    rows = held.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
+    return without_rows(held, documents_scored(rows, labels, ("row",)).filter(F.col("score") < threshold).select("row"))
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -80,10 +80,10 @@ _points: dict[int, tuple[Point, Point]] = {}
 
 
 def points(key: int) -> tuple[Point, Point]:
-    """Points for the bytes of words and for words."""
+    """Points for the bytes of words and for words; a process keeps the powers of the last two keys."""
     if key not in _points:
-        if len(_points) > 4:
-            _points.clear()
+        if len(_points) > 1:
+            _points.pop(next(iter(_points)))
         _points[key] = Point(key & ((1 << 60) - 1)), Point(key >> 60)
     return _points[key]
 
