@@ -120,6 +120,7 @@ def test_words_of_the_corpus_are_cheap_and_those_of_secrets_are_not(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     words = secrets.corpus_words(docs)
     assert words == ["correct", "horse", "battery", "number", "staple", "the"]
+    assert secrets.corpus_words(docs, most=4) == words[:4] and secrets.corpus_words(docs, most=1) == words[:1]
     ranks = secrets.ranks_of(words)
     phrase = "correcthorsebatterystaple"
     assert secrets.log10_guesses(phrase, ranks) < secrets.log10_guesses("Xq7$kP2!vT9z", ranks) < secrets.log10_guesses(phrase)

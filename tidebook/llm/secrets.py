@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm import textkit
+from tidebook.llm.shared import materialize
 
 KINDS = ("assign", "access", "hex", "guess")
 
@@ -223,8 +224,12 @@ def corpus_words(docs: DataFrame, most: int = CORPUS_WORDS, least: int = LEAST_D
         if seen:
             yield flush()
 
-    counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()]
+    parts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    counted = materialize(parts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), "corpus-words")
+    # the count that the last word has, so that little more than `most` words are put in order
+    levels = counted.groupBy("n").agg(F.count("*").alias("words")).withColumn("above", F.sum("words").over(Window.orderBy(F.desc("n"))) - F.col("words"))
+    last = levels.filter(F.col("above") < most).agg(F.min("n")).first()[0]
+    return [r.word for r in counted.filter(F.col("n") >= (last or 0)).orderBy(F.desc("n"), "word").limit(most).collect()]
 
 
 def find_secrets(docs: DataFrame, words: list[str] | None = None) -> DataFrame:
