@@ -586,6 +586,48 @@ def _(v):
     return M.hourly(rows).withColumn("hour", F.unix_seconds("hour"))
 
 
+# ---- the same as streams: tables written as files to the shared folder, read file by file, with state and checkpoints there
+
+
+def as_stream(v: Views, rows, files: int, at_once: int):
+    """A stream of a table in so many files, at most at_once of them in a micro-batch, and a folder for its results."""
+    folder = f"{_shared(v)}/stream-{uuid.uuid4().hex}"
+    rows.repartition(files).write.parquet(f"{folder}/in")
+    return v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", at_once).parquet(f"{folder}/in"), folder
+
+
+@query("a4_streamed_upserts", "select account, asset, max(tx * 1000 + log_index * 10 + seq) as version, arg_max(amount, tx * 1000 + log_index * 10 + seq) as amount from position_events group by all")
+def _(v):
+    rows = v.position_events.select("account", "asset", (F.col("tx") * 1000 + F.col("log_index") * 10 + F.col("seq")).alias("version"), "amount")
+    stream, folder = as_stream(v, rows, 6, 2)
+    M.upsert_stream(stream, f"{folder}/table", ["account", "asset"], "version", f"{folder}/checkpoint", buckets=8).awaitTermination()
+    return M.upserted(v.spark, f"{folder}/table", rows.schema)
+
+
+@query("m5_streamed_balances", "select account, asset, cast(sum(delta) as bigint) as amount, max(block) as block from position_events where delta is not null group by all")
+def _(v):
+    """Balances as of the last micro-batch."""
+    rows = v.position_events.select("account", "asset", "delta", "block")
+    stream, folder = as_stream(v, rows, 6, 3)
+    state = M.running_balances(stream)
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{folder}/state/batch={n}")
+    state.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    written = v.spark.read.parquet(f"{folder}/state")
+    return written.filter(F.col("batch") == written.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+@query("m10_streamed_hourly", """
+select epoch(date_trunc('hour', ts))::bigint as hour, event_type, count(*) as n, cast(sum(cast(round(value * 100) as bigint)) as bigint) as total, arg_max(cast(round(value * 100) as bigint), event_id) as newest from events
+where date_trunc('hour', ts) + interval 1 hour <= (select max(ts) from events) - interval 2 hours group by all""")
+def _(v):
+    """Hours that the watermark has closed."""
+    rows = v.table("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    stream, folder = as_stream(v, rows, 4, 4)
+    hours = M.hourly(stream, "2 hours").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
+    hours.trigger(availableNow=True).start().awaitTermination()
+    return v.spark.read.schema(M.hourly(rows).schema).parquet(f"{folder}/out").withColumn("hour", F.unix_seconds("hour"))
+
+
 @query("m11_count_changes", "select asset, coalesce(a, 0) as was, coalesce(b, 0) as now from (select asset, count(*) as a from prices where block < 20000 group by asset) full join (select asset, count(*) as b from prices where block >= 20000 group by asset) using (asset) where coalesce(a, 0) <> coalesce(b, 0)")
 def _(v):
     count = lambda where: v.prices.filter(where).groupBy("asset").agg(F.count("*").alias("n"))
