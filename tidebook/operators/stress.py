@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidebook.functions import exact as X
 from tidebook.functions.exact import floor_div, half_decade, headroom_band, headroom_tenths, health_lane
-from tidebook.operators.valuation import _joined, _wide_sums, leg_values, wide_positions, with_sums
+from tidebook.operators.valuation import _joined, _wide_sums, leg_flaw, leg_values, refused_sums, wide_positions, with_sums
 
 #: Scenarios and grid points together, at most; tables beyond are refused, as they are meant to be small.
 MAX_SCENARIOS = 1000
@@ -43,10 +43,14 @@ def rescaled(factors: DataFrame, grid: DataFrame) -> DataFrame:
 
 def eligible_on_grid(legs: DataFrame, debts: DataFrame, grid: DataFrame) -> DataFrame:
     """For each grid point (grid, percent of prices) and account with a debt: collateral, limit and whether debt is
-    above it; an account without legs has none, one with a leg that cannot be valued is refused."""
-    points = _small(grid)
-    rows = legs.join(points).withColumn("price", floor_div(F.col("price") * F.col("percent"), F.lit(100)))
-    both = with_sums(debts.join(points.select("grid")), leg_values(rows), ("ltv",), ("grid",), collateral=F.sum("value"), borrow_limit=F.sum("limit_value"))
+    above it; an account without legs has none, one with a leg that cannot be valued is refused.
+
+    Legs meet their debts before the grid, so one exchange by account serves the join, the sums and windows per account.
+    """
+    rows = debts.join(legs.withColumn("_leg", F.lit(True)), "account", "left").join(_small(grid)).withColumn("price", floor_div(F.col("price") * F.col("percent"), F.lit(100)))
+    flaw = F.min(F.when(F.col("_leg"), leg_flaw("ltv"))).alias("_flaw")
+    sums = leg_values(rows).groupBy("grid", *debts.columns).agg(flaw, F.sum("value").alias("collateral"), F.sum("limit_value").alias("borrow_limit"))
+    both = refused_sums(sums, ["collateral", "borrow_limit"])
     return both.withColumn("eligible", F.col("debt") > F.col("borrow_limit"))
 
 

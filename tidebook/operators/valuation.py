@@ -41,9 +41,13 @@ def with_sums(debts: DataFrame, legs: DataFrame, params: tuple[str, ...], by: tu
     does a missing debt; the sums of a refused account are null, so no verdict is taken on a part of it.
     """
     rows = legs.withColumn("_flaw", leg_flaw(*params, wide=wide)).groupBy(*by, "account").agg(F.min("_flaw").alias("_flaw"), *(c.alias(n) for n, c in sums.items()))
-    both = debts.join(rows, [*by, "account"], "left")
+    return refused_sums(debts.join(rows, [*by, "account"], "left"), list(sums))
+
+
+def refused_sums(rows: DataFrame, sums: list[str]) -> DataFrame:
+    """Adds the refusal of each account from _flaw and debt; sums of refused accounts are null, missing ones 0."""
     code = F.when(F.col("debt").isNull(), "missing_debt").when(F.col("_flaw").isNotNull(), F.element_at(F.array(*map(F.lit, LEG_CODES)), F.col("_flaw") + 1))
-    both = both.withColumn("refusal", code)
+    both = rows.withColumn("refusal", code)
     return both.withColumns({n: F.when(F.col("refusal").isNull(), F.coalesce(n, F.lit(0))) for n in sums}).drop("_flaw")
 
 
