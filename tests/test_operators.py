@@ -95,6 +95,21 @@ def test_debts_without_legs_and_unknown_legs_stay_in_the_book(spark, views):
     assert stress.eligible_on_grid(views.legs, views.debts, gone).filter("grid = 0").count() == views.debts.count()
 
 
+def test_seizure_shapes_by_hand(spark):
+    """Balance 110 at a bonus of 10 % pays for 100; the last element takes what is left and the bonus on it."""
+    rows = [
+        (1, 1, 110, 100, 10, 110, 10, 200, None), (1, 2, 110, 100, 10, 110, 10, 200, None),  # whole, whole, and the budget just spent
+        (2, 1, 110, 100, 10, 110, 10, 150, None), (2, 2, 110, 100, 10, 55, 5, 150, None),  # whole, then half
+        (3, 1, 110, 100, 10, 0, 0, 0, 110), (4, 1, 110, 100, 10, 0, 0, 0, None),  # drained by a pass before; no such pass
+        (5, 1, 110, 100, 10, 55, 5, 150, None), (5, 2, 110, 100, 10, 110, 10, 150, None),  # the rest is not last
+        (6, 1, 110, 100, 10, 110, 10, 100, None),  # the budget is just what the balance pays for: both fit
+        (7, 1, 110, 7, 5, 110, 6, 7, None),  # what is paid back is rounded down, so the rest would be less than the balance
+    ]
+    df = spark.createDataFrame(rows, "account long, seq long, balance long, price long, percent long, amount long, bonus long, liquidated long, prior long")
+    got = {r.account: r.shape for r in reconcile.seizure_shapes(df).collect()}
+    assert got == {1: "ambiguous", 2: "final", 3: "drained", 4: "unexplained", 5: "unexplained", 6: "ambiguous", 7: "partial"}
+
+
 def test_wide_positions_on_256_bit_amounts(spark):
     """Amounts in wads, ray indexes and prices of 1e18, beyond 38 digits, next to ordinary rows, an unknown leg and no legs."""
     ray, wad = 10**27, 10**18

@@ -112,6 +112,38 @@ def carried_budget(elements: DataFrame, budgets: DataFrame) -> DataFrame:
     return rows.select("account", "asset", "value", F.least("value", "left").alias("taken"), F.when(F.col("left") == 0, "drained").when(F.col("value") <= F.col("left"), "whole").otherwise("partial").alias("shape"))
 
 
+def seizure_shapes(elements: DataFrame, unit: int = 100) -> DataFrame:
+    """Which course explains the amounts of a liquidation pass: (account, elements, shape).
+
+    elements: (account, seq, balance, price, percent of bonus, amount, bonus, liquidated, prior), in order of seq; liquidated is
+    what the pass paid back, prior what earlier passes of the transaction took of the balance, null without one.  An
+    element takes the whole balance, of which the bonus is its share (partial), while what it pays for is less than what is
+    left of the budget, and else what is left and the bonus on it (final).  Shapes: drained (nothing was left by earlier
+    passes), partial (every element), final (the last element only), ambiguous (both fit) and unexplained.  As only the
+    last element may be final, what is left before each is a running sum.
+    """
+    c = F.col
+    net = floor_div(c("balance") * 100, c("percent") + 100)
+    rows = elements.withColumn("net", net).withColumn("credit", floor_div(c("net") * c("price"), F.lit(unit)))
+    w = Window.partitionBy("account").orderBy("seq")
+    before = F.coalesce(F.sum("credit").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("left", F.greatest(F.lit(0), c("liquidated") - before)).withColumn("last", F.lead("seq").over(w).isNull())
+    rows = rows.withColumn("pays", floor_div(c("left") * unit, c("price"))).withColumn("on_it", floor_div(c("pays") * c("percent"), F.lit(100)))
+    whole = (c("amount") == c("balance")) & (c("bonus") == c("balance") - c("net"))
+    nothing = (c("amount") == 0) & (c("bonus") == 0)
+    rest = (c("amount") == c("pays") + c("on_it")) & (c("bonus") == c("on_it"))
+    more_due = c("net") < c("pays")
+    every = lambda x: F.bool_and(F.coalesce(x, F.lit(False)))
+    paid = F.max("liquidated")
+    out = rows.groupBy("account").agg(
+        F.count("*").alias("elements"), ((paid == 0) & every(nothing) & every(c("prior") == c("balance"))).alias("drained"),
+        (every(whole | (nothing & (c("balance") == 0))) & (F.sum(floor_div((c("amount") - c("bonus")) * c("price"), F.lit(unit))) == paid)).alias("partial"),
+        ((paid > 0) & every(F.when(c("last"), ~more_due & rest).otherwise(more_due & whole))).alias("final"),
+    )
+    shape = F.when(c("drained"), "drained").when(c("partial") & c("final"), "ambiguous").when(c("partial"), "partial").when(c("final"), "final").otherwise("unexplained")
+    return out.select("account", "elements", shape.alias("shape"))
+
+
 def flip_causes(witnesses: DataFrame, debts: DataFrame) -> DataFrame:
     """The witness (account, place, amount) in order at which the running sum first exceeds the account's limit."""
     w = Window.partitionBy("account").orderBy("block", "log_index", "seq", "tx")

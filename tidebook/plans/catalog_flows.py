@@ -424,6 +424,40 @@ def _(v):
     return R.carried_budget(v.legs.select("account", "asset", (F.col("amount") * F.col("price")).alias("value")), v.debts.select("account", F.col("debt").alias("budget")))
 
 
+# passes over the legs of each account: whole, with a rest for the last leg, over what is drained, and one that is off by one
+ELEMENTS = """(select account, seq, balance, price, percent, cast(total as bigint) as total, case kind when 2 then 0 when 1 then case when last then pays + pays * percent // 100 else balance end when 3 then balance + (seq = 1)::int else balance end as amount,
+  case kind when 2 then 0 when 1 then case when last then pays * percent // 100 else balance - net end else balance - net end as bonus, case kind when 2 then 0 when 1 then cast(total - max(case when last then credit - credit // 2 end) over (partition by account) as bigint) else cast(total as bigint) end as liquidated,
+  case when kind = 2 then balance end as prior, net, credit, last
+  from (select *, (credit // 2) * 100 // price as pays from (select *, net * price // 100 as credit, sum(net * price // 100) over (partition by account) as total from (
+    select account, account % 4 as kind, row_number() over (partition by account order by asset) as seq, row_number() over (partition by account order by asset) = count(*) over (partition by account) as last, amount * 100 as balance, price, bonus - 100 as percent, amount * 10000 // bonus as net from legs))))"""
+
+
+def elements(v: Views):
+    c = F.col
+    w = Window.partitionBy("account")
+    rows = v.legs.select("account", (c("account") % 4).alias("kind"), F.row_number().over(w.orderBy("asset")).cast("long").alias("seq"), (c("amount") * 100).alias("balance"), "price", (c("bonus") - 100).alias("percent"), F.expr("amount * 10000 div bonus").alias("net"))
+    rows = rows.withColumn("last", c("seq") == F.max("seq").over(w)).withColumn("credit", F.expr("net * price div 100")).withColumn("pays", F.expr("(credit div 2) * 100 div price"))
+    rest = F.max(F.when(c("last"), c("credit") - F.expr("credit div 2"))).over(w)
+    bonus = F.expr("pays * percent div 100")
+    final = (c("kind") == 1) & c("last")
+    total = F.sum("credit").over(w)
+    return rows.select(
+        "account", "seq", "balance", "price", "percent", F.when(c("kind") == 2, 0).when(final, c("pays") + bonus).otherwise(c("balance") + ((c("kind") == 3) & (c("seq") == 1)).cast("long")).alias("amount"),
+        F.when(c("kind") == 2, 0).when(final, bonus).otherwise(c("balance") - c("net")).alias("bonus"), F.when(c("kind") == 2, 0).when(c("kind") == 1, total - rest).otherwise(total).alias("liquidated"), F.when(c("kind") == 2, c("balance")).alias("prior"),
+    )
+
+
+@query("l15_seizure_shapes", f"""
+with e as (select *, greatest(0, liquidated - coalesce(sum(credit) over (partition by account order by seq rows between unbounded preceding and 1 preceding), 0)) as rest from {ELEMENTS}),
+f as (select *, cast(rest * 100 // price as bigint) as pays, cast(rest * 100 // price as bigint) * percent // 100 as on_it from e),
+g as (select account, count(*) as elements, max(liquidated) = 0 and bool_and(amount = 0 and bonus = 0) and bool_and(coalesce(prior = balance, false)) as drained,
+  bool_and((amount = balance and bonus = balance - net) or (amount = 0 and bonus = 0 and balance = 0)) and sum((amount - bonus) * price // 100) = max(liquidated) as partial,
+  max(liquidated) > 0 and bool_and(case when last then net >= pays and amount = pays + on_it and bonus = on_it else net < pays and amount = balance and bonus = balance - net end) as final from f group by account)
+select account, elements, case when drained then 'drained' when partial and final then 'ambiguous' when partial then 'partial' when final then 'final' else 'unexplained' end as shape from g""")
+def _(v):
+    return R.seizure_shapes(elements(v))
+
+
 @query("l16_flip_causes", """
 select account, block, log_index, cast(running as bigint) as running from (select *, row_number() over (partition by account order by block, log_index, seq, tx) as rn from (
   select account, block, log_index, seq, tx, sum(amount) over (partition by account order by block, log_index, seq, tx) as running from position_events) join debts using (account) where running > debt) where rn = 1""")
