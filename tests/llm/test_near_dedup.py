@@ -62,14 +62,6 @@ def test_kept_rows_keep_their_columns(hard, empty):
     assert drop_duplicates(empty).count() == 0 and link_duplicates(empty).count() == 0
 
 
-def test_rows_count_one_by_one(spark):
-    """Copies under one id, under no id, and different texts under one id."""
-    a, b = " ".join(f"w{i}" for i in range(30)), " ".join(f"v{i}" for i in range(30))
-    rows = [(5, a), (5, a), (None, a), (5, b), (None, b), (None, None), (None, ""), (7, "short")]
-    kept = drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(5, a), (5, b), (None, None), (None, ""), (7, "short")]))
-
-
 def test_edited_copies_of_one_text(spark):
     """Many variants around the threshold: parts, edits on edits, and texts that share one passage only."""
     rng = random.Random(3)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm import textkit
-from tidebook.llm.shared import materialize, numbered, without_rows
+from tidebook.llm.shared import materialize
 
 REGISTERS = 256
 #: Chance, at most, that two documents just at the threshold share no band.
@@ -334,16 +334,13 @@ def link_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, lower: bool
 
 
 def drop_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of near-duplicate rows, that of the smallest doc_id (null last, then any); all columns are kept.
+    """The rows of documents of which no earlier doc_id is in the same group; all columns are kept.
 
-    Rows count one by one, also where ids are null or repeated.
+    Rows that share a doc_id are one document and stay or go together; rows without doc_id stay.
     """
-    held = numbered(docs)
-    linked = link_duplicates(held.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")), k, percent)
-    groups = linked.select(F.col("doc_id").alias("row"), "component_id").join(held.select("row", F.col("doc.doc_id").cast("long").alias("id")), "row")
-    groups = materialize(groups, "groups")
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first"))
-    return without_rows(held, groups.select("row").join(first.select(F.col("first.row").alias("row")), "row", "left_anti"))
+    gone = materialize(link_duplicates(docs, k, percent).filter("not kept").select("doc_id").distinct(), "duplicates")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:

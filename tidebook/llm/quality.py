@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import textkit
-from tidebook.llm.shared import materialize, numbered, without_rows
+from tidebook.llm.shared import materialize
 
 FEATURES = 384
 RIDGE = 1e-2
@@ -123,17 +123,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, STATISTICS).astype(np.float64)
 
 
-def text_statistics(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id and x, the statistics of its text (null: empty), and the columns `keep`."""
+def rounded(texts: pa.Array) -> np.ndarray:
+    """statistics() in the precision in which tables keep them."""
+    return statistics(texts).astype(np.float32)
+
+
+def text_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and x, the statistics of its text (null: empty)."""
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = statistics(batch.column("text")).astype(np.float32)
+            x = rounded(batch.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * STATISTICS, pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, *map(batch.column, keep)], ["doc_id", "x", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "x"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
-    return rows.mapInArrow(compute, ", ".join(["doc_id long", "x array<float>", *(f"{c} {t}" for c, t in docs.select(*keep).dtypes)]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(compute, "doc_id long, x array<float>")
 
 
 def _summed(rows: DataFrame, partial) -> list[np.ndarray]:
@@ -172,12 +177,10 @@ def _summed(rows: DataFrame, partial) -> list[np.ndarray]:
     return np.split(flat, np.cumsum(np.frombuffer(blocks[0].sizes, np.int64))[:-1])
 
 
-def learn(labelled: DataFrame, calibrate: Column, train_rows: int = TRAIN_ROWS, features: int = FEATURES, ridge: float = RIDGE, seed: int = 7) -> Model:
-    """A model of (doc_id, x, label): ridge weights from the rows where `calibrate` is not true, calibration from the others."""
+def learn(labelled: DataFrame, calibrate: Column, features: int = FEATURES, ridge: float = RIDGE, seed: int = 7) -> Model:
+    """A model of (doc_id, x, label): ridge weights from the rows where `calibrate` is not true, calibration from the others.
+    What labelled rows are learned from is bounded in known_labels."""
     labelled = materialize(labelled.withColumn("fold", F.coalesce(calibrate, F.lit(False))), "labelled")
-    n = labelled.count()
-    if n > train_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * train_rows / n))
     fit, check = labelled.filter("not fold"), labelled.filter("fold")
     rng = np.random.default_rng(seed)
     model = Model(
@@ -213,40 +216,57 @@ def learn(labelled: DataFrame, calibrate: Column, train_rows: int = TRAIN_ROWS,
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, train: Column, calibrate: Column, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score (0 to 1, higher: label 1 likelier) and the columns `keep` of every row, empty and null texts too.
+def known_labels(labels: DataFrame, train: Column, most: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id and label of the usable labels: quality 0 or 1, the majority of several (ties count as 1); others are left out.
+    Of more than `most` of them, a hash of doc_id picks about as many."""
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & train)
+    known = materialize(known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label")), "labels")
+    n = known.count()
+    return known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * most / n)) if n > most else known
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, train: Column, calibrate: Column) -> DataFrame:
+    """doc_id and score (0 to 1, higher: label 1 likelier) of every row, empty and null texts too.
 
-    labels has doc_id and quality (0 or 1; several for one document: their majority, ties count as 1; others are
-    left out).  train and calibrate are conditions on doc_id: which labels may be used, and which of them calibrate.
-    Without labels every score is about 0.5.  Rows with equal ids are scored one by one; other columns are ignored.
+    labels has doc_id and quality.  train and calibrate are conditions on doc_id: which labels may be used, and which of
+    them calibrate.  Without labels every score is about 0.5.  Rows with equal ids are scored one by one; other columns are
+    ignored.
     """
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & train)
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label"))
-    table = materialize(text_statistics(docs, keep), "statistics")
-    model = learn(table.join(known, "doc_id"), calibrate)
+    table = materialize(text_statistics(docs), "statistics")
+    model = learn(table.join(known_labels(labels, train), "doc_id"), calibrate)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch.column("x")))), *map(batch.column, keep)], ["doc_id", "score", *keep])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(_matrix(batch.column("x"))))], ["doc_id", "score"])
 
-    return table.mapInArrow(apply, ", ".join(["doc_id long", "score double", *(f"{c} {t}" for c, t in table.select(*keep).dtypes)]))
+    return table.mapInArrow(apply, "doc_id long, score double")
 
 
 def _fold() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
 
 
-def documents_scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def documents_scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """score_quality with the folds that the queries use: 0 is held out, 1 calibrates."""
-    return score_quality(docs, labels, _fold() != 0, _fold() == 1, keep)
+    return score_quality(docs, labels, _fold() != 0, _fold() == 1)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least the threshold, with all their columns; each row by its own text, also where ids
-    are null or repeated."""
-    held = numbered(docs)
-    rows = held.select("row", F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"))
-    return without_rows(held, documents_scored(rows, labels, ("row",)).filter(F.col("score") < threshold).select("row"))
+    are null or repeated.
+
+    The model learns from the labelled rows; then all rows are scored and filtered in one pass, without a join.
+    """
+    known = known_labels(labels, _fold() != 0)  # about TRAIN_ROWS rows at most, so they go to all tasks
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id", "left_semi")
+    model = learn(text_statistics(labelled).join(F.broadcast(known), "doc_id"), _fold() == 1)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = model.score(rounded(batch.column("text")).astype(np.float64))
+            yield batch.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op2_quality(spark, sf_dir: str) -> DataFrame:

@@ -71,10 +71,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def numbered(docs: DataFrame, name: str = "numbered", **more: Column) -> DataFrame:
-    """A written table of docs, each row as a struct `doc` under a number `row`, with what `more` names.
-
-    Decisions are taken on the numbers and applied to the same rows, whatever their ids are; see unpacked.
-    """
+    """A written table of docs, each row as a struct `doc` under a number `row`, with what `more` names; see unpacked."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
     return materialize(rows.select("doc", F.monotonically_increasing_id().alias("row"), *(c.alias(k) for k, c in more.items())), name)
 
@@ -84,13 +81,6 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select(*(F.col(f"doc.`{f.name}`").alias(f.name) for f in rows.schema["doc"].dataType.fields))
 
 
-def without_rows(held: DataFrame, gone: DataFrame) -> DataFrame:
-    """The docs of numbered() rows that are not in `gone` (row); up to BROADCAST_ROWS numbers are broadcast."""
-    gone = materialize(gone, "gone")
-    few = gone.count() <= BROADCAST_ROWS
-    return unpacked(held.join(F.broadcast(gone) if few else gone, "row", "left_anti"))
-
-
 def hash_buckets(h: np.ndarray, n: int) -> np.ndarray:
     """The bucket of each 64-bit hash; ascending with the hash."""
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
