@@ -12,6 +12,7 @@ from tidebook.llm.lm_scoring import op5_lm_scoring
 from tidebook.llm.media import op6_media_columns
 from tidebook.llm.mixing import OP8_SQL, op8_source_mix
 from tidebook.llm.near_dedup import op4_near_dedup
+from tidebook.llm.periodic_runs import op11_periodic_runs
 from tidebook.llm.quality import op2_quality
 from tidebook.llm.secrets import op10_secret_scan
 from tidebook.llm.substring_dedup import op7_substring_dedup
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_source_mix,
             op9_chat_format,
             op10_secret_scan,
+            op11_periodic_runs,
         )
     }
 
