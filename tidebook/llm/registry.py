@@ -13,6 +13,7 @@ from tidebook.llm.media import op6_media_columns
 from tidebook.llm.mixing import OP8_SQL, op8_source_mix
 from tidebook.llm.near_dedup import op4_near_dedup
 from tidebook.llm.periodic_runs import op11_periodic_runs
+from tidebook.llm.prefix_trie import OP12_SQL, op12_prefix_trie
 from tidebook.llm.quality import op2_quality
 from tidebook.llm.secrets import op10_secret_scan
 from tidebook.llm.substring_dedup import op7_substring_dedup
@@ -34,9 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_chat_format,
             op10_secret_scan,
             op11_periodic_runs,
+            op12_prefix_trie,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mix": OP8_SQL, "op9_chat_format": OP9_SQL}
+    return {"op8_source_mix": OP8_SQL, "op9_chat_format": OP9_SQL, "op12_prefix_trie": OP12_SQL}
