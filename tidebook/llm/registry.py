@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidebook.llm.chat_format import OP9_SQL, op9_chat_format
 from tidebook.llm.decontamination import op1_decontamination
+from tidebook.llm.html_extraction import op13_html_extraction
 from tidebook.llm.lm_scoring import op5_lm_scoring
 from tidebook.llm.media import op6_media_columns
 from tidebook.llm.mixing import OP8_SQL, op8_source_mix
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_secret_scan,
             op11_periodic_runs,
             op12_prefix_trie,
+            op13_html_extraction,
         )
     }
 
