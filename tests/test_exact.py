@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.functions import exact as X
+from tidebook.functions import wide as W
 
 
 def rows(spark, pairs, names):
@@ -86,15 +87,40 @@ def test_unknown_sources_are_errors(spark):
         spark.range(1).select(X.provenance(F.lit("rumour"))).collect()
 
 
-def test_wide_sums(spark):
-    values = [10**60 + i for i in range(50)] + [0, 7]
-    df = spark.createDataFrame([(str(v),) for v in values], "a string")
-    r = df.agg(X.wide_high("a").alias("h"), X.wide_low("a").alias("l"))
-    with pytest.raises(Exception, match="46 digits"):
-        r.collect()
-    small = [10**40 + i * 10**19 + i for i in range(50)]
-    df = spark.createDataFrame([(str(v),) for v in small], "a string")
-    assert int(df.agg(X.wide_high("a").alias("h"), X.wide_low("a").alias("l")).select(X.scaled_sum(F.col("h"), F.col("l"))).first()[0]) == sum(small)
+def test_wide_sums_of_either_sign(spark):
+    rng = random.Random(3)
+    data = [(i % 7, rng.choice([-1, 1]) * rng.randrange(10 ** rng.randint(1, 160))) for i in range(600)]
+    data += [(8, 5), (8, -5), (9, -(10**159)), (9, 10**159 - 1), (10, -1), (10, -(10**36)), (11, 10**18), (11, -(10**18) + 1), (12, 0)]
+    df = spark.createDataFrame([(k, str(v)) for k, v in data] + [(13, None), (8, None)], "k long, a string").repartition(5)
+    got = {r.k: r.a for r in W.wide_sum(df, ["k"], "a").collect()}
+    want = {k: str(sum(v for j, v in data if j == k)) for k in {k for k, _ in data}}
+    assert got == want | {13: None}
+    assert W.wide_sum(df.limit(0), ["k"], "a").count() == 0
+    with pytest.raises(Exception, match="more than 18 digits"):
+        df.groupBy("k").agg(*W.limb_sums("a", 1).values()).collect()
+
+
+def test_wide_comparisons(spark):
+    rng = random.Random(4)
+    number = lambda: rng.choice([-1, 1, 1]) * rng.randrange(10 ** rng.choice([1, 2, 18, 37, 38, 78]))
+    data = []
+    for _ in range(500):
+        n, d, k = number(), rng.choice([0, abs(number())]), rng.choice([1, 2, 10**40])
+        data.append((n, d, *rng.choice([(number(), abs(number())), (n * k, d * k), (n * k + 1, d * k), (n, 0)])))
+    df = rows(spark, data, ("a", "b", "c", "d"))
+
+    def order(n1, d1, n2, d2):
+        if 0 in (d1, d2):
+            return (d1 == 0) - (d2 == 0)
+        return (n1 * d2 > n2 * d1) - (n1 * d2 < n2 * d1)
+
+    a, b, c, d = map(F.col, "abcd")
+    out = df.select("a", "b", "c", "d", W.compare_ratios(a, b, c, d).alias("r"), W.compare(a, c).alias("o"), W.minimum(a, c).alias("m"), W.floored_gap(a, c).alias("g"), W.negative(a).alias("n")).collect()
+    for r in out:
+        w, x, y, z = (int(r[k]) for k in "abcd")
+        assert (r.r, r.o, int(r.m), int(r.g), int(r.n)) == (order(w, x, y, z), (w > y) - (w < y), min(w, y), max(0, w - y), -w), r
+    none = spark.createDataFrame([(None, "1", "1", "1"), ("1", "-1", "1", "1")], "a string, b string, c string, d string")
+    assert [r[0] for r in none.select(W.compare_ratios(a, b, c, d)).collect()] == [None, None]
 
 
 def test_functions_in_sql(spark):

@@ -83,7 +83,10 @@ def _arrow(f: Callable[..., int | None], n: int):
     def of_three(a: pa.Array, b: pa.Array, c: pa.Array) -> pa.Array:
         return run(a, b, c)
 
-    return arrow_udf({1: of_one, 2: of_two, 3: of_three}[n], "string")
+    def of_four(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        return run(a, b, c, d)
+
+    return arrow_udf({1: of_one, 2: of_two, 3: of_three, 4: of_four}[n], "string")
 
 
 #: Quotients of integers by their rounding.
@@ -165,23 +168,6 @@ def index_growth(index: Column, apy: Column, seconds: Column) -> Column:
     return wide_add(index, _growth(index, apy, seconds))
 
 
-def scaled_sum(high: Column, low: Column) -> Column:
-    """high * 1e18 + low as a decimal string."""
-    return wide_add(Quotient((None, 10**18, 1))(high), low)
-
-
-def wide_low(column: str) -> Column:
-    """Sum of the lower 18 digits of non-negative decimal strings; with wide_high and scaled_sum an exact sum of any width."""
-    return F.sum(F.substring(F.lpad(F.col(column), 96, "0"), 79, 18).cast("decimal(38,0)"))
-
-
-def wide_high(column: str) -> Column:
-    """Sum of the digits above the lower 18, themselves of at most 28 digits; longer values are an error."""
-    c = F.col(column)
-    fits = F.when(F.length(c) <= 46, F.lpad(c, 46, "0")).when(c.isNotNull(), F.raise_error(F.lit("a value has more than 46 digits")))
-    return F.sum(F.substring(fits, 1, 28).cast("decimal(38,0)"))
-
-
 def register(spark: SparkSession) -> None:
     """The wide functions under their names in SQL, on decimal strings."""
     names = (
@@ -237,13 +223,6 @@ def floored_ratio(num: Column, den: Column, scale: int) -> Column:
 # ---- rationals, snaps, caps, labels
 
 
-def compare_ratios(n1: Column, d1: Column, n2: Column, d2: Column) -> Column:
-    """-1, 0 or 1 for n1/d1 against n2/d2, by cross products; numbers of up to 18 digits, d > 0."""
-    wide = lambda c: c.cast("decimal(19,0)")
-    left, right = wide(n1) * wide(d2), wide(n2) * wide(d1)
-    return F.when(left < right, -1).when(left > right, 1).otherwise(0)
-
-
 def stable_snap(price: Column, unit: int = 1_000_000) -> Column:
     """A price strictly within one percent of par is par."""
     return F.when((price > unit * 99 // 100) & (price < unit * 101 // 100), F.lit(unit).cast("long")).otherwise(price)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import exact as X
+from tidebook.functions import wide as W
 from tidebook.functions.exact import ceil_div, floor_div
 
 
@@ -34,21 +35,21 @@ def leg_flaw(*params: str, wide: bool = False) -> Column:
     return F.when(price.isNull(), 0).when(below(price) | (price == ("0" if wide else 0)), 1).when(amount.isNull(), 2).when(below(amount), 3).when(absent, 4)
 
 
-def with_sums(debts: DataFrame, legs: DataFrame, params: tuple[str, ...], by: tuple[str, ...] = (), wide: bool = False, **sums: Column) -> DataFrame:
+def with_sums(debts: DataFrame, legs: DataFrame, params: tuple[str, ...], by: tuple[str, ...] = (), **sums: Column) -> DataFrame:
     """Every debt with sums over its account's legs (and `by`, which debts has too), and refusal.
 
     An account without legs has sums of 0.  A leg without price, amount or weight refuses its account with a code, as
     does a missing debt; the sums of a refused account are null, so no verdict is taken on a part of it.
     """
-    rows = legs.withColumn("_flaw", leg_flaw(*params, wide=wide)).groupBy(*by, "account").agg(F.min("_flaw").alias("_flaw"), *(c.alias(n) for n, c in sums.items()))
+    rows = legs.withColumn("_flaw", leg_flaw(*params)).groupBy(*by, "account").agg(F.min("_flaw").alias("_flaw"), *(c.alias(n) for n, c in sums.items()))
     return refused_sums(debts.join(rows, [*by, "account"], "left"), list(sums))
 
 
-def refused_sums(rows: DataFrame, sums: list[str]) -> DataFrame:
+def refused_sums(rows: DataFrame, sums: list[str], zero: int | str = 0) -> DataFrame:
     """Adds the refusal of each account from _flaw and debt; sums of refused accounts are null, missing ones 0."""
     code = F.when(F.col("debt").isNull(), "missing_debt").when(F.col("_flaw").isNotNull(), F.element_at(F.array(*map(F.lit, LEG_CODES)), F.col("_flaw") + 1))
     both = rows.withColumn("refusal", code)
-    return both.withColumns({n: F.when(F.col("refusal").isNull(), F.coalesce(n, F.lit(0))) for n in sums}).drop("_flaw")
+    return both.withColumns({n: F.when(F.col("refusal").isNull(), F.coalesce(n, F.lit(zero))) for n in sums}).drop("_flaw")
 
 
 def debt_positions(legs: DataFrame, debts: DataFrame) -> DataFrame:
@@ -77,20 +78,10 @@ def pool_positions(legs: DataFrame, debts: DataFrame) -> DataFrame:
     )
 
 
-def _wide_sums(*names: str) -> dict[str, Column]:
-    """Exact sums of decimal strings of any width that occurs, in two parts each (see joined)."""
-    return {f"{n}_{part}": f(n) for n in names for part, f in (("high", X.wide_high), ("low", X.wide_low))}
-
-
-def _joined(rows: DataFrame, *names: str) -> DataFrame:
-    """The sums of _wide_sums as decimal strings."""
-    rows = rows.withColumns({n: X.scaled_sum(F.col(f"{n}_high"), F.col(f"{n}_low")) for n in names})
-    return rows.drop(*(f"{n}_{part}" for n in names for part in ("high", "low")))
-
-
-def wide_above(a: Column, b: Column) -> Column:
-    """a > b for decimal strings of whole numbers from 0 on, without leading zeros."""
-    return (F.length(a) > F.length(b)) | ((F.length(a) == F.length(b)) & (a > b))
+def wide_sums_of(debts: DataFrame, legs: DataFrame, params: tuple[str, ...], names: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """with_sums() of columns of decimal strings: limbs are summed, and put together once per account."""
+    rows = legs.withColumn("_flaw", leg_flaw(*params, wide=True)).groupBy(*by, "account").agg(F.min("_flaw").alias("_flaw"), *(c.alias(n) for name in names for n, c in W.limb_sums(name).items()))
+    return refused_sums(debts.join(W.without_limbs(rows, *names), [*by, "account"], "left"), list(names), "0")
 
 
 def wide_debts(debts: DataFrame, unit: int) -> DataFrame:
@@ -102,7 +93,7 @@ def wide_debts(debts: DataFrame, unit: int) -> DataFrame:
 
 
 def wide_positions(legs: DataFrame, debts: DataFrame, unit: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """J1, J2 in the 256-bit domain: amounts, indexes, prices and results are whole numbers or decimal strings of any width.
+    """J1, J2 in wide integers: amounts, indexes, prices and results are whole numbers or decimal strings of any width.
 
     legs: (account, asset, amount in shares, ray index, price, ltv and threshold in basis points); debts as of wide_debts.
     Every leg is rounded down on its own; the health factor is half up by 1e18 and then floored by 1e4.
@@ -111,13 +102,13 @@ def wide_positions(legs: DataFrame, debts: DataFrame, unit: int, by: tuple[str,
     rows = rows.withColumn("value", X.mul_div_floor(F.col("live"), F.col("price"), F.lit(str(unit))))
     rows = rows.withColumns({"limit": X.percent_mul_floor(F.col("value"), F.col("ltv")), "weight": X.percent_mul_floor(F.col("value"), F.col("threshold"))})
     names = ("value", "limit", "weight")
-    both = _joined(with_sums(debts, rows, ("ltv", "threshold"), by, True, **_wide_sums(*names)), *names)
+    both = wide_sums_of(debts, rows, ("ltv", "threshold"), names, by)
     both = both.withColumn("health", X.health_wad(F.col("weight"), F.col("debt")))
     judged = F.col("refusal").isNull()
-    below = F.coalesce(~wide_above(F.col("health"), F.lit(str(10**14 - 1))), F.lit(False))
+    below = F.coalesce(~(W.compare(F.col("health"), F.lit(str(10**14 - 1))) > 0), F.lit(False))
     return both.select(
         *by, "account", "engine", "debt", F.col("value").alias("collateral"), F.col("limit").alias("borrow_limit"), F.col("weight").alias("weighted"), "health",
-        F.when(judged, wide_above(F.col("debt"), F.col("limit"))).alias("liquidatable"), F.when(judged, below).alias("eligible"), "refusal",
+        F.when(judged, W.compare(F.col("debt"), F.col("limit")) > 0).alias("liquidatable"), F.when(judged, below).alias("eligible"), "refusal",
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import exact as X
+from tidebook.functions import wide as W
 from tidebook.operators import gates as H
 from tidebook.operators import paging as G
 from tidebook.operators import sequences as S
@@ -449,7 +450,7 @@ def _(v):
 
 @query("i7_compare_ratios", f"select account, case when collateral::hugeint * 3 < debt::hugeint * 2 then -1 when collateral::hugeint * 3 > debt::hugeint * 2 then 1 else 0 end as order_ from {BOOK} where collateral is not null")
 def _(v):
-    return book(v).filter("collateral is not null").select("account", X.compare_ratios(F.col("collateral"), F.lit(2), F.col("debt"), F.lit(3)).alias("order_"))
+    return book(v).filter("collateral is not null").select("account", W.compare_ratios(F.col("collateral"), F.lit(2), F.col("debt"), F.lit(3)).alias("order_"))
 
 
 @query("i8_snap_and_cap", "select log_index, case when p > 990000 and p < 1010000 then 1000000 else p end as snapped, least(p, 1200000) as capped, p > 1200000 as bound from (select log_index, price * 137 as p from prices)")
@@ -532,7 +533,31 @@ def _(v):
     return v.prices.select("asset", "source", "block", "log_index", *X.unpack_bits(F.col("price"), {"low": (0, 8), "mid": (8, 4), "flag": (12, 1)}))
 
 
-@query("n4_wide_sum", "select account % 20 as bucket, cast(sum(a) as varchar) as total from (select account, amount::hugeint * 100000000000000000000 as a from position_events) group by all")
+# values of 1 to 160 digits of both signs: the amount repeated; DuckDB sums twelve limbs of 15 digits and carries
+WIDE = "(select account % 50 as bucket, tx % 3 = 0 as below, repeat(amount::varchar, 1 + cast(tx % 20 as int)) as text from position_events)"
+CARRIED = """list_reduce(list_prepend(['', '0'], list_transform(t, lambda x: ['', x::varchar])), lambda a, x: [
+  lpad(((((x[2]::hugeint * {sign} + a[2]::hugeint) % 1000000000000000 + 1000000000000000) % 1000000000000000))::varchar, 15, '0') || a[1],
+  ((x[2]::hugeint * {sign} + a[2]::hugeint - ((x[2]::hugeint * {sign} + a[2]::hugeint) % 1000000000000000 + 1000000000000000) % 1000000000000000) // 1000000000000000)::varchar])"""
+
+
+@query("n4_wide_sum", f"""
+with limbs as (select bucket, i, sum(case when below then -1 else 1 end * substr(lpad(text, 180, '0'), 181 - 15 * (i + 1), 15)::hugeint) as t from {WIDE}, (select unnest(range(0, 12))::int as i) group by all),
+sums as (select bucket, list(t order by i) as t from limbs group by bucket),
+signed as (select bucket, {CARRIED.format(sign=1)} as up, {CARRIED.format(sign=-1)} as down from sums)
+select bucket, case when up[2]::hugeint < 0 then '-' || regexp_replace(down[2] || down[1], '^0+(.)', '\\1') else regexp_replace(up[2] || up[1], '^0+(.)', '\\1') end as total from signed""")
+def _(v):
+    text = F.repeat(F.col("amount").cast("string"), (1 + F.col("tx") % 20).cast("int"))
+    rows = v.position_events.select((F.col("account") % 50).alias("bucket"), F.when(F.col("tx") % 3 == 0, F.concat(F.lit("-"), text)).otherwise(text).alias("total"))
+    return W.wide_sum(rows, ["bucket"], "total")
+
+
+@query("i7_wide_ratios", """
+select tx, log_index, seq, case when d1 = 0 and d2 = 0 then 0 when d1 = 0 then 1 when d2 = 0 then -1 else sign(a::hugeint * 3 * (d2 + 0) - b::hugeint * 3 * d1)::int end as order_
+from (select *, case when tx % 2 = 0 then -amount else amount end as a, case when asset % 2 = 0 then -account * 100 else account * 100 end as b, asset % 5 as d1, account % 7 as d2 from position_events)""")
 def _(v):
-    rows = v.position_events.select((F.col("account") % 20).alias("bucket"), F.concat(F.col("amount").cast("string"), F.lit("0" * 20)).alias("a"))
-    return rows.groupBy("bucket").agg(X.wide_high("a").alias("high"), X.wide_low("a").alias("low")).select("bucket", X.scaled_sum(F.col("high"), F.col("low")).alias("total"))
+    """Both numerators, and both denominators, times one number of 76 digits: the order is that of the short ratios."""
+    wide = lambda c: F.when(c == 0, "0").otherwise(F.concat(c.cast("string"), F.lit("0" * 76)))
+    e, a, b = v.position_events, F.col("amount"), F.col("account") * 100
+    one = wide(F.when(F.col("tx") % 2 == 0, -a).otherwise(a)), wide(F.col("asset") % 5)
+    other = wide(F.when(F.col("asset") % 2 == 0, -b).otherwise(b)), wide(F.col("account") % 7)
+    return e.select("tx", "log_index", "seq", W.compare_ratios(*one, *other).alias("order_"))
