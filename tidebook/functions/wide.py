@@ -39,7 +39,7 @@ def _carried(parts: list[Column], sign: int) -> Column:
     start = F.struct(F.lit("").alias("text"), _whole(0).alias("carry"))
 
     def add(a: Column, t: Column) -> Column:
-        v = _whole(t * sign + a["carry"])
+        v = _whole(_whole(t) * sign + a["carry"])
         rest = F.pmod(v, step)
         return F.struct(F.concat(F.lpad(rest.cast("string"), LIMB, "0"), a["text"]).alias("text"), _whole(_over(v, step)).alias("carry"))
 
@@ -51,9 +51,9 @@ def without_limbs(rows: DataFrame, *columns: str, limbs: int = LIMBS) -> DataFra
     names = {c: [f"_{c}_{i}" for i in range(limbs)] for c in columns}
     text = lambda a: F.regexp_replace(F.concat(a["carry"].cast("string"), a["text"]), "^0+(?=.)", "")
     for c, parts in names.items():
-        rows = rows.withColumn(f"_{c}", _carried([_whole(F.col(p)) for p in parts], 1))
+        rows = rows.withColumn(f"_{c}", _carried([F.coalesce(F.col(p), _whole(0)) for p in parts], 1))
     for c, parts in names.items():
-        minus = _carried([_whole(F.col(p)) for p in parts], -1)
+        minus = _carried([F.coalesce(F.col(p), _whole(0)) for p in parts], -1)
         rows = rows.withColumn(c, F.when(F.col(f"_{c}.carry") >= 0, text(F.col(f"_{c}"))).otherwise(F.concat(F.lit("-"), F.transform(F.array(minus), text)[0])))
         rows = rows.withColumn(c, F.when(F.col(parts[0]).isNotNull(), F.col(c)))
     return rows.drop(*(p for parts in names.values() for p in parts), *(f"_{c}" for c in columns))
