@@ -182,15 +182,7 @@ def test_captured_shape_of_a_borrow(spark):
         E.routed(spark.createDataFrame(log(good), schema), other, strict=True).collect()
 
 
-def test_registry_and_scenario_files(spark, tmp_path):
+def test_registry_files(spark, tmp_path):
     (tmp_path / "feeds.json").write_text('{"assets": [{"chain": "c", "engine": "pool", "address": "0xAB", "symbol": "S", "decimals": 6, "roles": ["debt", "collateral"], "oracle": {"kind": "feed", "heartbeatSeconds": 3600, "graceSeconds": 60}}]}')
     rows = T.registry(spark, str(tmp_path / "feeds.json")).collect()
     assert [(r.address, r.role, r.heartbeat) for r in rows] == [("0xab", "debt", 3600), ("0xab", "collateral", 3600)]
-    one = '{"id": "s1", "version": "1", "shocks": [{"axis": "x", "factor_num": 7, "factor_den": 10}], "propagation": [{"asset": "a", "responds_to": [{"axis": "x"}]}]}'
-    (tmp_path / "s").mkdir()
-    (tmp_path / "s" / "1.json").write_text(one)
-    shocks, responses = T.scenario_files(spark, str(tmp_path / "s"))
-    assert tuple(shocks.first()) == ("s1", "x", 70) and tuple(responses.first()) == ("s1", "a", "x")
-    (tmp_path / "s" / "2.json").write_text(one)
-    with pytest.raises(T.Divergence):
-        T.scenario_files(spark, str(tmp_path / "s"))

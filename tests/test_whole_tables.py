@@ -1,16 +1,7 @@
-"""Queries that once kept a part of their rows return whole tables; their older names with `_whole` are the same queries."""
-
-import pytest
+"""Queries that once kept a part of their rows return whole tables."""
 
 from tidebook.plans.bindings import Views
-from tidebook.plans.catalog import ORACLES, QUERIES
-
-WHOLE = sorted(n for n in QUERIES if n.endswith("_whole"))
-
-
-@pytest.mark.parametrize("name", WHOLE)
-def test_both_names_are_one_query(name):
-    assert len(WHOLE) == 8 and ORACLES[name] == ORACLES[name.removesuffix("_whole")]
+from tidebook.plans.catalog import QUERIES
 
 
 def test_every_account_and_block_is_there(spark, sf):

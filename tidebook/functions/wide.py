@@ -7,8 +7,12 @@ digits decide, use decimals where the products fit 38 digits, and Python integer
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from tidebook.functions.exact import _arrow, _over, _whole
 
@@ -17,6 +21,11 @@ LIMB = 18
 LIMBS = 9
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _magnitude(c: Column) -> Column:
     return F.ltrim(c, F.lit("-"))
 
@@ -121,3 +130,15 @@ def compare_ratios(n1: Column, d1: Column, n2: Column, d2: Column) -> Column:
     open_ = finite & decided.isNull() & ~fits
     rest = _arrow(_products, 4)(*(F.when(open_, c) for c in (n1, d1, n2, d2)))
     return F.when(known, F.coalesce(decided, F.when(fits, small).otherwise(rest.cast("int")))).cast("int")
+
+
+def product(numbers: Column) -> Column:
+    """The product of an array of positive whole numbers, as a decimal string; 1 for an empty array."""
+    texts = F.transform(numbers, lambda x: x.cast("string"))
+    digits = F.aggregate(texts, F.lit(0), lambda n, x: n + F.length(x))
+    small = F.aggregate(texts, _whole(1), lambda a, x: (a * _whole(x)).cast("decimal(38,0)")).cast("string")
+    return F.when(digits <= 37, small).otherwise(arrow_udf(_product, "string")(F.when(digits > 37, F.array_join(texts, ","))))
+
+
+def _product(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else str(math.prod(map(int, t.split(",")))) for t in texts.to_pylist()], pa.string())

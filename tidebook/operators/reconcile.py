@@ -181,9 +181,9 @@ def composition(links: DataFrame, depth: int = 16) -> DataFrame:
 
 
 def eligibility_change(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Verdicts at two price sets."""
-    both = before.select("account", F.col("liquidatable").alias("b")).join(after.select("account", F.col("liquidatable").alias("a")), "account")
-    return both.select("account", F.when(F.col("a") & ~F.col("b"), "became").when(~F.col("a") & F.col("b"), "ceased").when(F.col("a"), "stayed").otherwise("never").alias("label"))
+    """Verdicts at the prices of each scenario against those before."""
+    both = before.select("account", F.col("liquidatable").alias("b")).join(after.select("scenario", "account", F.col("liquidatable").alias("a")), "account")
+    return both.select("scenario", "account", F.when(F.col("a") & ~F.col("b"), "became").when(~F.col("a") & F.col("b"), "ceased").when(F.col("a"), "stayed").otherwise("never").alias("label"))
 
 
 def selected_cohort(positions: DataFrame, multi: DataFrame, seed: str, healthy: int, several: int, nearest: int, rest: int) -> DataFrame:

@@ -5,7 +5,7 @@ Scenarios and grids are tables of a few dozen rows that are multiplied with the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions import exact as X
@@ -25,21 +25,52 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df)
 
 
-def shocked(prices: DataFrame, responses: DataFrame, factors: DataFrame, par: int | None = None) -> DataFrame:
-    """Prices times the factors (percent) of every axis that the asset responds to, in order of axes, each
-    product rounded down; assets without a response are held flat and say so; near par they snap to it."""
-    factor = responses.join(_small(factors), "axis").groupBy("scenario", "asset").agg(F.array_sort(F.collect_list(F.struct("axis", "percent"))).alias("shocks"))
-    rows = prices.join(_small(factors.select("scenario").distinct())).join(factor, ["scenario", "asset"], "left")
-    moved = F.aggregate(F.coalesce("shocks", F.array().cast("array<struct<axis:string,percent:bigint>>")), F.col("price"), lambda p, s: F.call_function("div", p * s["percent"], F.lit(100).cast("long")))
-    if par:
-        moved = F.when((moved > par * 99 // 100) & (moved < par * 101 // 100), F.lit(par).cast("long")).otherwise(moved)
-    return rows.select("scenario", "asset", "price", moved.alias("shocked"), F.col("shocks").isNull().alias("held_flat"))
+def shocked(prices: DataFrame, responses: DataFrame, factors: DataFrame, unit: int = 1_000_000) -> DataFrame:
+    """Prices moved by scenarios, and why each is what it is.
+
+    prices: (asset, price, and cap if there is one; longs, or decimal strings of any width); responses: (asset, axis,
+    stable_snap, base_snap, and scenario if they differ between scenarios); factors: (scenario, axis, num, den).  The
+    factors of all axes that an asset responds to are multiplied as exact rationals, and the price is rounded down once.
+    A stable snaps to the unit strictly within a hundredth of it; over a stable base, the factor that counts is that of
+    the snapped base.  A cap binds upward.  An asset without response is held flat and says so.
+    """
+    names = factors.select("scenario").distinct()
+    known = responses if "scenario" in responses.columns else responses.join(_small(names))
+    moves = known.join(_small(factors), ["scenario", "axis"], "left").groupBy("scenario", "asset").agg(
+        F.collect_list("num").alias("nums"), F.collect_list("den").alias("dens"), F.bool_or("stable_snap").alias("stable"), F.bool_or("base_snap").alias("over_stable"),
+    )
+    moves = moves.select("scenario", "asset", W.product(F.col("nums")).alias("num"), W.product(F.col("dens")).alias("den"), "stable", "over_stable", F.lit(True).alias("answers"))
+    base = X.mul_div_floor(F.when(F.col("over_stable"), F.lit(str(unit))), F.col("num"), F.col("den"))
+    near = lambda b: (W.compare(b, F.lit(str(unit * 99 // 100))) > 0) & (W.compare(b, F.lit(str(unit * 101 // 100))) < 0)
+    moves = moves.withColumn("base", base).withColumn("base_snapped", F.coalesce(W.let(F.col("base"), near), F.lit(False)))
+    wide = dict(prices.dtypes)["price"] == "string"
+    rows = prices.join(_small(names)).join(moves, ["scenario", "asset"], "left")
+    par, low, high = (F.lit(str(x)) if wide else F.lit(x).cast("long") for x in (unit, unit * 99 // 100, unit * 101 // 100))
+    above = (lambda a, b: W.compare(a, b) > 0) if wide else (lambda a, b: a > b)
+    typed = (lambda c: c) if wide else (lambda c: c.cast("long"))
+    cap = F.col("cap") if "cap" in prices.columns else F.lit(None).cast("string" if wide else "long")
+
+    def judged(moved: Column, base_snapped: Column) -> Column:
+        snapped = F.coalesce(F.col("stable") & above(moved, low) & above(high, moved), F.lit(False))
+        value = F.when(snapped, par).otherwise(moved)
+        bound = F.coalesce(F.col("answers") & above(value, cap), F.lit(False))
+        return F.struct(F.when(bound, cap).otherwise(value).alias("shocked"), snapped.alias("snapped"), base_snapped.alias("base_snapped"), bound.alias("cap_bound"))
+
+    moved = X.mul_div_floor(F.col("price"), F.when(F.col("base_snapped"), F.lit(str(unit))).otherwise(F.coalesce("base", "num")), F.when(F.col("over_stable"), F.lit(str(unit))).otherwise(F.col("den")))
+    out = rows.withColumn("_", W.let(F.coalesce(typed(moved), F.col("price")), lambda m: judged(m, F.coalesce("base_snapped", F.lit(False)))))
+    return out.select("scenario", "asset", "price", F.col("_.shocked").alias("shocked"), F.col("answers").isNull().alias("held_flat"), "_.snapped", "_.base_snapped", "_.cap_bound")
 
 
 def rescaled(factors: DataFrame, grid: DataFrame) -> DataFrame:
-    """K3: a scenario at each grid point: every factor's distance from 100 times the point's percent."""
-    rows = factors.join(_small(grid))
-    return rows.select("scenario", "grid", "axis", (F.lit(100) + floor_div((F.col("percent") - 100) * F.col("scale"), F.lit(100))).alias("percent"))
+    """K3: each scenario's one shock with the factor of every grid point (grid, num, den) instead of its own.
+
+    A scenario with several shocks has no single factor: it is refused, in one row without a grid point."""
+    ones = factors.groupBy("scenario").agg(F.min("axis").alias("axis"), F.count("*").alias("n"))
+    bad = (F.col("num") <= 0) | (F.col("den") <= 0)
+    points = grid.withColumn("num", F.when(bad, F.raise_error(F.lit("a grid factor is not positive")).cast("long")).otherwise(F.col("num")))
+    rows = ones.where("n = 1").join(_small(points)).select("scenario", "grid", "axis", "num", "den", F.lit(None).cast("string").alias("refusal"))
+    none = F.lit(None).cast("long")
+    return rows.unionByName(ones.where("n > 1").select("scenario", none.alias("grid"), F.lit(None).cast("string").alias("axis"), none.alias("num"), none.alias("den"), F.lit("several_shocks").alias("refusal")))
 
 
 def eligible_on_grid(legs: DataFrame, debts: DataFrame, grid: DataFrame) -> DataFrame:
@@ -123,10 +154,10 @@ def health_histogram(positions: DataFrame, lanes: DataFrame) -> DataFrame:
     return positions.select("engine").distinct().join(_small(lanes)).join(counts, ["engine", "lane"], "left").fillna(0, ["n"])
 
 
-def measure(positions: DataFrame) -> DataFrame:
-    """Accounts, totals, eligible, at risk and bad debt per engine."""
+def measure(positions: DataFrame, *by: str) -> DataFrame:
+    """Accounts, totals, eligible, at risk and bad debt per engine, and by what `by` names."""
     liquid = F.col("liquidatable").cast("long")
-    return positions.groupBy("engine").agg(
+    return positions.groupBy(*by, "engine").agg(
         F.count("*").alias("accounts"), F.sum("collateral").alias("collateral"), F.sum("debt").alias("debt"), F.sum(liquid).alias("eligible"),
         F.sum(liquid * F.col("debt")).alias("debt_eligible"), F.sum(liquid * F.col("collateral")).alias("at_risk"), F.sum(liquid * F.greatest(F.lit(0), F.col("debt") - F.col("collateral"))).alias("bad_debt"),
     )
@@ -147,9 +178,9 @@ def crossings(cells: DataFrame, edge: int) -> DataFrame:
 
 
 def flips(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Four counts that close: to eligible, to healthy, stayed eligible, stayed healthy."""
-    both = before.select("account", "engine", F.col("liquidatable").alias("b")).join(after.select("account", F.col("liquidatable").alias("a")), "account")
-    return both.groupBy("engine").agg(F.count_if(~F.col("b") & F.col("a")).alias("to_eligible"), F.count_if(F.col("b") & ~F.col("a")).alias("to_healthy"), F.count_if(F.col("b") & F.col("a")).alias("stayed_eligible"), F.count_if(~F.col("b") & ~F.col("a")).alias("stayed_healthy"), F.count("*").alias("accounts"))
+    """Four counts for each scenario and engine that close: to eligible, to healthy, stayed eligible, stayed healthy."""
+    both = before.select("account", "engine", F.col("liquidatable").alias("b")).join(after.select("scenario", "account", F.col("liquidatable").alias("a")), "account")
+    return both.groupBy("scenario", "engine").agg(F.count_if(~F.col("b") & F.col("a")).alias("to_eligible"), F.count_if(F.col("b") & ~F.col("a")).alias("to_healthy"), F.count_if(F.col("b") & F.col("a")).alias("stayed_eligible"), F.count_if(~F.col("b") & ~F.col("a")).alias("stayed_healthy"), F.count("*").alias("accounts"))
 
 
 def reach(audit: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from tidebook.plans.bindings import Views, query
 from tidebook.plans.catalog_ledger import CONTROL, control, pins
 from tidebook.plans.catalog_risk import AFTER, POSITIONS, after, positions
 from tidebook.sources import events as E
+from tidebook.sources import scenarios as S
 from tidebook.sources import tables as T
 from tidebook.streaming import jobs as M
 
@@ -131,20 +132,71 @@ def _(v):
     return T.registry(v.spark, folder)
 
 
-@query("a12_scenarios", """
-select 's' || s_suppkey as scenario, 'n' || s_nationkey as axis, cast((50 + s_suppkey % 50) * 100 // 100 as bigint) as percent, 'a' || s_suppkey * k as asset from supplier, (select unnest([1, 2])::bigint as k) where k = 1 or s_suppkey % 2 = 0""")
-def _(v):
-    """Scenario files of five hundred scenarios each, written from `supplier` and read back."""
-    key, axis = F.col("s_suppkey"), F.concat(F.lit("n"), F.col("s_nationkey"))
-    answers = lambda k: F.struct(F.concat(F.lit("a"), key * k).alias("asset"), F.array(F.struct(axis.alias("axis"))).alias("responds_to"))
-    one = F.struct(
-        F.concat(F.lit("s"), key).alias("id"), F.lit("1").alias("version"), F.array(F.struct(axis.alias("axis"), (50 + key % 50).alias("factor_num"), F.lit(100).alias("factor_den"))).alias("shocks"),
-        F.when(key % 2 == 0, F.array(answers(1), answers(2))).otherwise(F.array(answers(1))).alias("propagation"),
-    )
+HEX = "'0x' || lpad(lower(to_hex({})), 40, '0')"
+DENOMINATOR = "case s_suppkey % 4 when 0 then 1000 when 1 then 7 when 2 then 100 else 1000000000000000000 end"
+
+
+def scenario_definitions(v: Views):
+    """Scenarios of each supplier as JSON objects: one shock with a denominator of 7, 100, 1000 or 10**18, and at times a
+    second axis, a market realization, or a projection."""
+    key = F.col("s_suppkey")
+    hex_ = lambda k: F.concat(F.lit("0x"), F.lpad(F.hex(k), 40, "0"))
+    den = F.when(key % 4 == 0, 1000).when(key % 4 == 1, 7).when(key % 4 == 2, 100).otherwise(10**18).cast("long")
+    shock = lambda axis, asset, num, den: F.struct(F.lit(axis).alias("axis"), asset.alias("asset"), num.alias("factor_num"), den.alias("factor_den"))
+    none = F.lit(None).cast("string")
+    first, second = shock("asset_usd", hex_(key), F.expr("995 + s_suppkey"), den), shock("eth_usd", none, F.lit(9).cast("long"), F.lit(10).cast("long"))
+    two = key % 3 == 0
+    axis = lambda name, asset: F.struct(F.lit(name).alias("axis"), asset.alias("asset"))
+    answers = lambda k, axes: F.struct(hex_(k).alias("asset"), F.lit(1).alias("chain_id"), axes.alias("responds_to"))
+    own = axis("asset_usd", hex_(key))
+    rows = F.array(answers(key, F.array(own)), answers(key + 1_000_000, F.when(two, F.array(own, axis("eth_usd", none))).otherwise(F.array(own))))
+    market = F.when(key % 5 == 0, F.array(F.struct(hex_(key).alias("asset"), F.lit(1).alias("chain_id"), F.concat(F.lit("9"), key.cast("string"), F.lit("0" * 15)).alias("market_over_oracle_wad"))))
+    per_second = F.expr("cast((cast(10000000000000000 as decimal(20,0)) * (1 + s_suppkey % 300) - (cast(10000000000000000 as decimal(20,0)) * (1 + s_suppkey % 300)) % 31536000) / 31536000 as decimal(38,0))").cast("string")
+    projection = F.when(key % 7 == 0, F.struct((1 + key % 300).alias("annual_delta_bps"), per_second.alias("apy_delta_per_second_100e18"), F.array(F.lit(86400), (key + 1) * 3600).alias("horizons_seconds")))
+    text = {n: F.lit(n) for n in ("version", "label", "description", "path_assumption")}
+    one = F.struct(F.concat(F.lit("s"), key).alias("id"), *(c.alias(n) for n, c in text.items()), F.array(F.lit("pool")).alias("engines"), F.array(F.lit("all else")).alias("out_of_model"), F.when(two, F.array(first, second)).otherwise(F.array(first)).alias("shocks"), rows.alias("propagation"), market.alias("market_realizations"), projection.alias("projection"))
+    return v.table("supplier").select("s_suppkey", F.to_json(one).alias("value"))
+
+
+def scenario_folder(v: Views, rows):
+    """Files of five hundred definitions each."""
     folder = f"{_shared(v)}/scenarios-{uuid.uuid4().hex}"
-    v.table("supplier").groupBy(F.expr("s_suppkey div 500").alias("file")).agg(F.to_json(F.collect_list(one)).alias("value")).select("value").write.option("maxRecordsPerFile", 1).text(folder)
-    shocks, responses = T.scenario_files(v.spark, folder)
-    return shocks.join(responses, ["scenario", "axis"])
+    lists = rows.groupBy(F.expr("s_suppkey div 500").alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value"))
+    lists.select("value").repartition(F.col("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    return folder
+
+
+OWN, OTHER = HEX.format("s_suppkey"), HEX.format("s_suppkey + 1000000")
+
+
+@query("a12_scenarios", f"""
+with s as (select *, 's' || s_suppkey as scenario, {OWN} as own, {OTHER} as other from supplier)
+select scenario, 'shock' as kind, 'asset_usd|' || own as name, (995 + s_suppkey)::varchar as value, ({DENOMINATOR})::varchar as over_ from s
+union all select scenario, 'shock', 'eth_usd|', '9', '10' from s where s_suppkey % 3 = 0
+union all select scenario, 'response', own, 'asset_usd|' || own, '1' from s union all select scenario, 'response', other, 'asset_usd|' || own, '1' from s union all select scenario, 'response', other, 'eth_usd|', '1' from s where s_suppkey % 3 = 0
+union all select scenario, 'market', own, '9' || s_suppkey || '000000000000000', '1' from s where s_suppkey % 5 = 0
+union all select scenario, 'projection', (1 + s_suppkey % 300)::varchar, (10000000000000000::hugeint * (1 + s_suppkey % 300) // 31536000)::varchar, h::varchar from s, lateral (select unnest([86400, (s_suppkey + 1) * 3600]) as h) where s_suppkey % 7 = 0""")
+def _(v):
+    """All tables of the scenario files, on one shape."""
+    s = S.scenario_files(v.spark, scenario_folder(v, scenario_definitions(v)))
+    part = lambda df, kind, name, value, over: df.select("scenario", F.lit(kind).alias("kind"), *(F.col(c).cast("string").alias(n) for c, n in ((name, "name"), (value, "value"), (over, "over_"))))
+    out = part(s.shocks, "shock", "axis", "num", "den").unionByName(part(s.responses, "response", "asset", "axis", "chain"))
+    return out.unionByName(part(s.market, "market", "asset", "ratio", "chain")).unionByName(part(s.projections, "projection", "annual_bps", "per_second", "horizon"))
+
+
+@query("a12_refused_scenarios", """
+select 's' || s_suppkey as scenario, case s_suppkey % 8 when 1 then 'shocks: unknown field' when 2 then 'shocks: missing field' when 3 then 'shocks: factor not positive' when 4 then 'scenario: unknown field' when 5 then 'wrong type' when 6 then 'shocks: nothing responds' when 7 then 'propagation: bad axis' end as flaws
+from supplier where s_suppkey % 8 <> 0""")
+def _(v):
+    """The definitions, most of them spoiled in one of seven ways."""
+    key, value = F.col("s_suppkey"), F.col("value")
+    swap = lambda pattern, to: F.regexp_replace(value, pattern, to)
+    spoiled = F.when(key % 8 == 1, swap('"factor_num"', '"factor":1,"factor_num"')).when(key % 8 == 2, swap('"factor_den":[0-9]+', '"asset":null')).when(key % 8 == 3, swap('"factor_num":[0-9]+', '"factor_num":0'))
+    spoiled = spoiled.when(key % 8 == 4, swap("^.", '{"more":1,')).when(key % 8 == 5, swap('"factor_num":[0-9]+', '"factor_num":0.8')).when(key % 8 == 6, swap('"responds_to":', '"symbol":"x","responds_to":'))
+    spoiled = spoiled.when(key % 8 == 7, swap('"responds_to":\\[', '"responds_to":[{"axis":"moon"},'))
+    spoiled = F.when(key % 8 == 6, F.regexp_replace(spoiled, '"axis":"asset_usd","asset":"0x0(.{39})","factor_num"', '"axis":"asset_usd","asset":"0x1$1","factor_num"')).otherwise(spoiled)
+    rows = scenario_definitions(v).withColumn("value", F.coalesce(spoiled, value))
+    return S.scenario_flaws(v.spark, scenario_folder(v, rows)).select("scenario", F.array_join("flaws", ", ").alias("flaws"))
 
 
 @query("a13_filtered_legs", "select account, asset, amount from balances where engine = 'pool' and source = 'event' and side = 'debt' and updated_block <= 1500 and amount > 0")
@@ -169,7 +221,6 @@ A17 = "select engine, account, asset, block, delta from position_events where bl
 
 
 @query("a17_consistent_inputs", A17)
-@query("a17_consistent_inputs_whole", A17)
 def _(v):
     bounds = v.spark.sql("select * from values ('pool', 1200L), ('debt', 900L) as t(engine, bound)")
     return T.consistent_inputs({"events": v.position_events}, bounds)["events"].select("engine", "account", "asset", "block", "delta")
@@ -482,7 +533,6 @@ L19 = "select engine, account, asset, side, amount, amount + case when account %
 
 
 @query("l19_golden", L19)
-@query("l19_golden_whole", L19)
 def _(v):
     key = ["engine", "account", "asset", "side"]
     rows = v.balances.select(*key, "amount")
@@ -502,9 +552,9 @@ def _(v):
 
 
 @query("l24_eligibility_change", f"""
-select account, case when a and not b then 'became' when not a and b then 'ceased' when a then 'stayed' else 'never' end as label from (select account, liquidatable as b from {POSITIONS}) join (select account, liquidatable as a from {AFTER} where scenario = 'storm') using (account)""")
+select scenario, account, case when a and not b then 'became' when not a and b then 'ceased' when a then 'stayed' else 'never' end as label from (select account, liquidatable as b from {POSITIONS}) join (select scenario, account, liquidatable as a from {AFTER}) using (account)""")
 def _(v):
-    return R.eligibility_change(positions(v), after(v).filter("scenario = 'storm'"))
+    return R.eligibility_change(positions(v), after(v))
 
 
 @query("l25_residue_weld", """
@@ -548,7 +598,6 @@ M1 = f"select {EVENTS} from position_events where block <= (select max(block) -
 
 
 @query("m1_confirmed", M1)
-@query("m1_confirmed_whole", M1)
 def _(v):
     return M.confirmed(v.position_events, v.position_events.select("block"), 200).select(*EVENTS.split(", "))
 

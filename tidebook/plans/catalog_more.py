@@ -201,7 +201,6 @@ N1_ADDRESS = f"select p.account, engine, debt, collateral, borrow_limit, liquida
 
 
 @query("n1_address", N1_ADDRESS)
-@query("n1_address_whole", N1_ADDRESS)
 def _(v):
     legs = v.legs.groupBy("account").agg(F.count("*").alias("legs"))
     return positions(v).join(legs, "account", "left").fillna(0, ["legs"])
@@ -211,14 +210,13 @@ N1_HISTORY = "select account, block // 100 as batch, cast(sum(delta) as bigint)
 
 
 @query("n1_history", N1_HISTORY)
-@query("n1_history_whole", N1_HISTORY)
 def _(v):
     return v.position_events.filter("delta is not null").groupBy("account", F.expr("block div 100").alias("batch")).agg(F.sum("delta").alias("moved"), F.count("*").alias("n"))
 
 
-@query("n1_scenarios", f"select scenario, string_agg(axis || ':' || percent, ',' order by axis) as shocks, count(*) as axes from {FACTORS} group by scenario")
+@query("n1_scenarios", f"select scenario, string_agg(axis || ':' || num || '/' || den, ',' order by axis) as shocks, count(*) as axes from {FACTORS} group by scenario")
 def _(v):
-    return factors(v).groupBy("scenario").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "axis", "percent"))), ",").alias("shocks"), F.count("*").alias("axes"))
+    return factors(v).groupBy("scenario").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.col("axis"), F.lit(":"), F.col("num"), F.lit("/"), F.col("den")))), ",").alias("shocks"), F.count("*").alias("axes"))
 
 
 @query("n1_meta", "select (select count(*) from position_events) as events, (select max(block) from position_events) as newest_block, (select count(*) from prices where not valid) as quarantined, (select count(*) from sweeps where status = 'success') as swept")
@@ -235,7 +233,6 @@ N1_PARAMS = "select asset, block, log_index, ltv, threshold, bonus from param_hi
 
 
 @query("n1_params", N1_PARAMS)
-@query("n1_params_whole", N1_PARAMS)
 def _(v):
     return v.param_history
 

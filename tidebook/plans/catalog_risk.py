@@ -207,51 +207,71 @@ def _(v):
 
 # ---- K
 
-SCENARIOS = "(select * from (values ('calm', 'east', 95), ('storm', 'east', 60), ('storm', 'west', 80), ('par', 'north', 100)) t(scenario, axis, percent))"
+SCENARIO_ROWS = "('calm', 'east', 95, 100), ('storm', 'east', 3, 5), ('storm', 'west', 6, 7), ('par', 'north', 1, 1), ('depeg', 'north', 995, 1000), ('fine', 'west', 999999999999999999, 1000000000000000000)"
+SCENARIOS = f"(select * from (values {SCENARIO_ROWS}) t(scenario, axis, num, den))"
 RESPONSES = "(select p_partkey as asset, case p_partkey % 4 when 0 then 'east' when 1 then 'west' else 'north' end as axis from part where p_partkey % 4 < 3 union all select p_partkey, 'west' from part where p_partkey % 4 = 0)"
 
 
 def scenarios(v: Views):
-    return v.spark.sql("select scenario, axis, cast(percent as bigint) percent from values ('calm', 'east', 95), ('storm', 'east', 60), ('storm', 'west', 80), ('par', 'north', 100) as t(scenario, axis, percent)")
+    return v.spark.sql(f"select scenario, axis, cast(num as bigint) num, cast(den as bigint) den from values {SCENARIO_ROWS} as t(scenario, axis, num, den)")
 
 
 def shocked(v: Views):
     part = v.table("part")
     k = F.col("p_partkey")
     responses = part.filter(k % 4 < 3).select(k.alias("asset"), F.when(k % 4 == 0, "east").when(k % 4 == 1, "west").otherwise("north").alias("axis")).union(part.filter(k % 4 == 0).select(k, F.lit("west")))
-    prices = part.select(k.alias("asset"), F.round(F.col("p_retailprice") * 100).cast("long").alias("price"))
+    responses = responses.withColumns({"stable_snap": F.col("asset") % 5 == 0, "base_snap": F.col("asset") % 5 == 1})
+    prices = part.select(k.alias("asset"), F.round(F.col("p_retailprice") * 100).cast("long").alias("price"), F.when(k % 13 == 0, 100_000).cast("long").alias("cap"))
     return K.shocked(prices, responses, scenarios(v), 90_000)
 
 
-SHOCKED = f"""(select scenario, asset, price, case when m > 89100 and m < 90900 then 90000 else m end as shocked, e is null and w is null and n is null as held_flat from (
-  select *, case when w is null then case when n is null then p1 else p1 * n // 100 end when n is null then p1 * w // 100 else (p1 * n // 100) * w // 100 end as m from (
-    select *, case when e is null then price else price * e // 100 end as p1 from (
-      select s.scenario, p_partkey as asset, cast(round(p_retailprice * 100) as bigint) as price,
-        (select percent from {SCENARIOS} f join {RESPONSES} r using (axis) where f.scenario = s.scenario and r.asset = p_partkey and axis = 'east') as e,
-        (select percent from {SCENARIOS} f join {RESPONSES} r using (axis) where f.scenario = s.scenario and r.asset = p_partkey and axis = 'west') as w,
-        (select percent from {SCENARIOS} f join {RESPONSES} r using (axis) where f.scenario = s.scenario and r.asset = p_partkey and axis = 'north') as n
-      from part, (select distinct scenario from {SCENARIOS}) s))))"""
+SHOCKED = f"""(select scenario, asset, price, case when cap_bound then 100000 else m end as shocked, held_flat, snapped, base_snapped, cap_bound from (
+  select *, not held_flat and asset % 13 = 0 and m > 100000 as cap_bound from (
+    select *, case when snapped then 90000 else raw end as m from (
+      select *, not held_flat and asset % 5 = 0 and raw > 89100 and raw < 90900 as snapped from (
+        select *, case when held_flat then price when asset % 5 = 1 then (price * case when base_snapped then 90000 else 90000::hugeint * num // den end // 90000)::bigint else (price::hugeint * num // den)::bigint end as raw from (
+          select *, not held_flat and asset % 5 = 1 and 90000::hugeint * num // den > 89100 and 90000::hugeint * num // den < 90900 as base_snapped from (
+            select s.scenario, p_partkey as asset, cast(round(p_retailprice * 100) as bigint) as price, p_partkey % 4 = 3 as held_flat,
+              coalesce((select list_reduce(list(num::hugeint), lambda a, b: a * b) from {SCENARIOS} f join {RESPONSES} r using (axis) where f.scenario = s.scenario and r.asset = p_partkey), 1) as num,
+              coalesce((select list_reduce(list(den::hugeint), lambda a, b: a * b) from {SCENARIOS} f join {RESPONSES} r using (axis) where f.scenario = s.scenario and r.asset = p_partkey), 1) as den
+            from part, (select distinct scenario from {SCENARIOS}) s)))))))"""
 
 
-@query("k1_shocked", f"select scenario, asset, price, cast(shocked as bigint) as shocked, held_flat from {SHOCKED}")
+@query("k1_shocked", f"select * from {SHOCKED}")
 def _(v):
     return shocked(v)
 
 
-FACTORS = "(select 's' || s_suppkey as scenario, 'n' || s_nationkey as axis, 50 + s_suppkey % 70 as percent from supplier union all select 's' || s_suppkey, 'all', 90 from supplier where s_suppkey % 2 = 0)"
+@query("k1_wide_shocked", f"""
+select scenario, asset, (case when r is null then p else p * n // d end)::varchar as shocked from (
+  select scenario, asset, round(p_retailprice * 100)::bigint::hugeint as p, case when axis = 1 then 3 when axis = 2 then 6 end as n, case when axis = 1 then 7 when axis = 2 then 1000 end as d, axis as r
+  from (select 'w' || k as scenario, p_partkey as asset, p_retailprice, case when p_partkey % 3 < 2 then k end as axis from part, (select unnest([1, 2]) as k)))""")
+def _(v):
+    """Prices and factors of 60 digits more: numerators and denominators grow alike, so the result is that of short ones."""
+    k, long = F.col("p_partkey"), "0" * 60
+    part = v.table("part")
+    factors = v.spark.sql(f"select * from values ('w1', 'x1', '3{long}', '7{long}'), ('w2', 'x2', '6{long}', '1000{long}') as t(scenario, axis, num, den)")
+    answers = part.filter(k % 3 < 2).select(k.alias("asset"), F.explode(F.array(F.lit("x1"), F.lit("x2"))).alias("axis"), F.lit(False).alias("stable_snap"), F.lit(False).alias("base_snap"))
+    prices = part.select(k.alias("asset"), F.round(F.col("p_retailprice") * 100).cast("long").cast("string").alias("price"))
+    return K.shocked(prices, answers, factors).select("scenario", "asset", "shocked")
+
+
+FACTORS = "(select 's' || s_suppkey as scenario, 'n' || s_nationkey as axis, 50 + s_suppkey % 70 as num, 90 + s_suppkey % 17 as den from supplier union all select 's' || s_suppkey, 'all', 9, 10 from supplier where s_suppkey % 2 = 0)"
 
 
 def factors(v: Views):
     """A scenario for each supplier, with one axis or two."""
     key = F.col("s_suppkey")
-    rows = v.table("supplier").select(F.concat(F.lit("s"), key).alias("scenario"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("axis"), (50 + key % 70).cast("long").alias("percent"), key)
-    return rows.drop("s_suppkey").union(rows.filter(key % 2 == 0).select("scenario", F.lit("all"), F.lit(90).cast("long")))
+    rows = v.table("supplier").select(F.concat(F.lit("s"), key).alias("scenario"), F.concat(F.lit("n"), F.col("s_nationkey")).alias("axis"), (50 + key % 70).cast("long").alias("num"), (90 + key % 17).cast("long").alias("den"), key)
+    return rows.drop("s_suppkey").union(rows.filter(key % 2 == 0).select("scenario", F.lit("all"), F.lit(9).cast("long"), F.lit(10).cast("long")))
 
 
 @query("k3_rescaled", f"""
-select scenario, grid, axis, cast(100 + (d - (d % 100 + 100) % 100) // 100 as bigint) as percent from (select scenario, grid, axis, (percent - 100) * (grid * 25) as d from {FACTORS}, (select unnest(range(0, 5))::bigint as grid))""")
+with n as (select scenario, min(axis) as axis, count(*) as n from {FACTORS} group by scenario)
+select scenario, grid, axis, 1000 - grid * 3 as num, 7::bigint as den, null::varchar as refusal from n, (select unnest(range(0, 5))::bigint as grid) where n = 1
+union all select scenario, null, null, null, null, 'several_shocks' from n where n > 1""")
 def _(v):
-    return K.rescaled(factors(v), v.spark.range(5).select(F.col("id").alias("grid"), (F.col("id") * 25).alias("scale")))
+    return K.rescaled(factors(v), v.spark.range(5).select(F.col("id").alias("grid"), (1000 - F.col("id") * 3).alias("num"), F.lit(7).cast("long").alias("den")))
 
 
 def grid(v: Views):
@@ -426,10 +446,10 @@ def after(v: Views):
 
 
 @query("k13_flips", f"""
-select engine, count(*) filter (not b and a) as to_eligible, count(*) filter (b and not a) as to_healthy, count(*) filter (b and a) as stayed_eligible, count(*) filter (not b and not a) as stayed_healthy, count(*) as accounts
-from (select account, engine, liquidatable as b from {POSITIONS}) join (select account, liquidatable as a from {AFTER} where scenario = 'storm') using (account) group by engine""")
+select scenario, engine, count(*) filter (not b and a) as to_eligible, count(*) filter (b and not a) as to_healthy, count(*) filter (b and a) as stayed_eligible, count(*) filter (not b and not a) as stayed_healthy, count(*) as accounts
+from (select account, engine, liquidatable as b from {POSITIONS}) join (select scenario, account, liquidatable as a from {AFTER}) using (account) group by scenario, engine""")
 def _(v):
-    return K.flips(positions(v), after(v).filter("scenario = 'storm'"))
+    return K.flips(positions(v), after(v))
 
 
 @query("k14_reach", f"select scenario, count(*) filter (not held_flat and shocked <> price) as moved, count(*) filter (held_flat) as held, count(*) filter (not held_flat and shocked = price) as unmoved from {SHOCKED} group by scenario")
@@ -441,12 +461,7 @@ def _(v):
 with b as (select engine, {MEASURE} from {POSITIONS} group by engine), a as (select scenario, engine, {MEASURE} from {AFTER} group by all)
 select scenario, engine, a.eligible - b.eligible as eligible_delta, a.debt_eligible - b.debt_eligible as debt_delta, a.bad_debt - b.bad_debt as bad_delta, cast(floor(((a.debt_eligible - b.debt_eligible)::hugeint * 1000)::double / b.debt) as bigint) as tenths from a join b using (engine)""")
 def _(v):
-    rows = after(v)
-    by = None
-    for r in ("calm", "par", "storm"):
-        m = K.measure(rows.filter(F.col("scenario") == r)).withColumn("scenario", F.lit(r))
-        by = m if by is None else by.unionByName(m)
-    return K.set_summary(K.measure(positions(v)), by)
+    return K.set_summary(K.measure(positions(v)), K.measure(after(v), "scenario"))
 
 
 @query("k17_bad_debt_rate", f"select engine, case when debt_eligible > 0 then 'rate' when bad_debt > 0 then 'contradiction' else 'undefined' end as state, case when debt_eligible > 0 then cast(bad_debt::hugeint * 1000 // debt_eligible as bigint) end as tenths from (select engine, {MEASURE} from {POSITIONS} group by engine)")
@@ -463,6 +478,5 @@ def _(v):
 
 
 @query("k20_address_stress", f"select scenario, account, engine, debt, collateral, liquidatable from {AFTER}")
-@query("k20_address_stress_whole", f"select scenario, account, engine, debt, collateral, liquidatable from {AFTER}")
 def _(v):
     return after(v).select("scenario", "account", "engine", "debt", "collateral", "liquidatable")

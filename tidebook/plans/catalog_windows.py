@@ -304,7 +304,6 @@ select batch, batch % 6 <> 0 and len(es) = 2 as complete, case when len(es) = 2
 
 
 @query("h1_batch_complete", H1)
-@query("h1_batch_complete_whole", H1)
 def _(v):
     rows = v.position_events.select(F.expr("block div 100").alias("batch"), "engine", F.col("amount").alias("debt"))
     declared = rows.groupBy("batch").agg((F.count("*") + F.when(F.col("batch") % 6 == 0, 1).otherwise(0)).alias("declared"), F.sum("debt").alias("declared_debt"))

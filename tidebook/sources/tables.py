@@ -141,19 +141,6 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("chain", "engine", F.lower("address").alias("address"), "symbol", "decimals", F.explode_outer("roles").alias("role"), F.col("oracle.kind").alias("oracle"), F.col("oracle.heartbeatSeconds").alias("heartbeat"), F.col("oracle.graceSeconds").alias("grace"))
 
 
-def scenario_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(scenario, axis, percent of the factor) and (scenario, asset, axis) of scenario files; an id that occurs twice
-    is an error."""
-    schema = "id string, version string, shocks array<struct<axis:string,factor_num:bigint,factor_den:bigint>>, propagation array<struct<asset:string,responds_to:array<struct<axis:string>>>>"
-    rows = spark.read.schema(schema).json(path, multiLine=True)
-    twice = rows.groupBy("id").count().filter("count > 1").first()
-    if twice:
-        raise Divergence(f"scenario {twice.id} is there twice")
-    shocks = rows.select(F.col("id").alias("scenario"), F.explode("shocks").alias("s")).select("scenario", "s.axis", (F.col("s.factor_num") * 100 / F.col("s.factor_den")).cast("long").alias("percent"))
-    responses = rows.select(F.col("id").alias("scenario"), F.explode("propagation").alias("p")).select("scenario", "p.asset", F.explode("p.responds_to").alias("r")).select("scenario", "asset", "r.axis")
-    return shocks, responses
-
-
 def filtered_legs(balances: DataFrame, engine: str, source: str, side: str, pin: int) -> DataFrame:
     """Positive balances at or below a pin."""
     return balances.filter((F.col("engine") == engine) & (F.col("source") == source) & (F.col("side") == side) & (F.col("updated_block") <= pin) & (F.col("amount") > 0)).orderBy("account", "asset")
