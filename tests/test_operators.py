@@ -193,11 +193,22 @@ def test_epoch_gate_reasons(spark):
     assert {r.engine: r.reason for r in gates.epoch_gate(required, cursors, epochs).collect()} == {"a": "ok", "b": "wrong_chain", "c": "no_cursor", "d": "unacknowledged"}
 
 
-def test_composition_refuses_cycles(spark):
+def test_composition_names_cycles(spark):
     links = spark.createDataFrame([(1, 2), (2, 3)], "asset long, base long")
     assert {r.asset: (r.root, r.steps) for r in reconcile.composition(links).collect()} == {1: (3, 2), 2: (3, 1)}
-    with pytest.raises(ValueError, match="cycle"):
-        reconcile.composition(links.union(spark.createDataFrame([(3, 1)], links.schema)))
+    ring = links.union(spark.createDataFrame([(3, 1), (9, 1), (7, 7), (5, 6)], links.schema))
+    assert {r.asset: (r.root, r.steps, r.cyclic) for r in reconcile.composition(ring).collect()} == dict.fromkeys((1, 2, 3, 7, 9), (None, None, True)) | {5: (6, 1, False)}
+    with pytest.raises(ValueError, match="two bases"):
+        reconcile.composition(links.union(spark.createDataFrame([(1, 3)], links.schema)))
+    assert reconcile.composition(links.limit(0)).count() == 0
+
+
+def test_long_compositions_double(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(reconcile, "written", lambda df, name, f=reconcile.written: rounds.append(1) or f(df, name))
+    links = spark.range(1000).select(F.col("id").alias("asset"), (F.col("id") + 1).alias("base"))
+    assert {(r.asset, r.root, r.steps) for r in reconcile.composition(links).collect()} == {(i, 1000, 1000 - i) for i in range(1000)}
+    assert len(rounds) <= 12  # the links, ten doublings, and one that finds no more
 
 
 def test_report_counts_and_shows_violations(spark):

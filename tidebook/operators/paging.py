@@ -124,10 +124,12 @@ def usable_anchors(anchors: DataFrame, neutralized: DataFrame, below: int, n: in
 
 
 def retained(anchors: DataFrame, protected: DataFrame, newest: int) -> DataFrame:
-    """The newest anchors of each engine, and protected ones."""
-    ranked = anchors.withColumn("_r", F.row_number().over(Window.partitionBy("engine").orderBy(F.desc("block"))))
-    kept = ranked.filter(F.col("_r") <= newest).drop("_r")
-    return kept.union(ranked.filter(F.col("_r") > newest).drop("_r").join(protected.select("block").distinct(), "block", "left_semi").select(kept.columns))
+    """The newest anchors of each engine, and protected ones; anchors are one row per engine and block.
+
+    The rank has a limit per group, so a task sorts no more than it keeps; the protected ones are found by their block alone."""
+    rank = F.row_number().over(Window.partitionBy("engine").orderBy(F.desc("block")))
+    kept = anchors.withColumn("_r", rank).filter(F.col("_r") <= newest).drop("_r")
+    return kept.union(anchors.join(protected.select("block").distinct(), "block", "left_semi").select(anchors.columns)).distinct()
 
 
 def account_history(rows: DataFrame, n: int) -> DataFrame:
@@ -135,9 +137,10 @@ def account_history(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_r", F.dense_rank().over(Window.partitionBy("account").orderBy(F.desc("batch")))).filter(F.col("_r") <= n).drop("_r")
 
 
-def series_range(rows: DataFrame, where: Column, order: list[str], n: int) -> DataFrame:
-    """G15."""
-    return rows.filter(where).orderBy(*order).limit(n)
+def series_range(rows: DataFrame, ranges: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
+    """Of each series that is asked for (key, low, high), its first n rows within the range of blocks, ends included."""
+    inside = rows.join(ranges, key).filter(F.col("block").between(F.col("low"), F.col("high"))).drop("low", "high")
+    return inside.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_r") <= n).drop("_r")
 
 
 def replayed_sample(listed: DataFrame, population: DataFrame, quotas: dict[str, int]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.exact import floor_div
+from tidebook.sources.shared import written
 
 
 def token_comparison(derived: DataFrame, observed: DataFrame, unit: int) -> DataFrame:
@@ -165,19 +166,27 @@ def golden(sums: DataFrame, vectors: DataFrame, key: list[str]) -> DataFrame:
     return vectors.join(sums, key, "left").withColumn("ok", F.col("amount").eqNullSafe(F.col("expected")))
 
 
-def composition(links: DataFrame, depth: int = 16) -> DataFrame:
-    """For each asset its root and how many steps away it is, by self-joins; a longer path than depth is an error.
+def composition(links: DataFrame) -> DataFrame:
+    """For each asset (asset, base) the root of its chain of bases, how many steps away it is, and whether it has none.
 
-    Cycles do not end, so they are errors, too.
+    Paths double in each round: what an asset reaches is joined with what that reaches, so n rounds follow 2**n steps.  No
+    chain without a cycle is longer than there are assets; what has not ended after as many steps leads into a cycle, and
+    has neither root nor steps.  An asset with two bases is an error.
     """
     links = links.select("asset", "base")
-    paths = links.select("asset", F.col("base").alias("root"), F.lit(1).alias("steps"))
-    for _ in range(depth):
-        longer = paths.join(links.withColumnRenamed("asset", "root"), "root")
-        if longer.isEmpty():
-            return paths
-        paths = paths.join(links.select(F.col("asset").alias("root"), F.col("base").alias("next")), "root", "left").select("asset", F.coalesce("next", "root").alias("root"), (F.col("steps") + F.col("next").isNotNull().cast("int")).alias("steps"))
-    raise ValueError("a path is too long or a cycle")
+    if not links.groupBy("asset").count().where("count > 1").isEmpty():
+        raise ValueError("an asset has two bases")
+    paths = written(links.select("asset", F.col("base").alias("root"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("done")), "paths")
+    for _ in range(paths.count().bit_length() + 1):
+        if paths.where("not done").isEmpty():
+            break
+        on = paths.select(F.col("asset").alias("root"), F.col("root").alias("_root"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
+        more = paths.where("not done").join(on, "root", "left")
+        ends = F.col("_root").isNull()
+        longer = more.select("asset", F.coalesce("_root", "root").alias("root"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), (ends | F.col("_done")).alias("done"))
+        paths = written(paths.where("done").unionByName(longer), "paths")
+    cyclic = ~F.col("done")
+    return paths.select("asset", F.when(~cyclic, F.col("root")).alias("root"), F.when(~cyclic, F.col("steps")).alias("steps"), cyclic.alias("cyclic"))
 
 
 def eligibility_change(before: DataFrame, after: DataFrame) -> DataFrame:

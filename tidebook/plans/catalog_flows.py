@@ -16,6 +16,8 @@ from tidebook.plans.catalog_risk import AFTER, POSITIONS, after, positions
 from tidebook.sources import events as E
 from tidebook.sources import scenarios as S
 from tidebook.sources import tables as T
+from tidebook.sources import windows as W
+from tidebook.sources.shared import shared_folder
 from tidebook.streaming import jobs as M
 
 EVENTS = "tx, log_index, seq, engine, account, asset, block, event_type, amount"
@@ -24,16 +26,36 @@ EVENTS = "tx, log_index, seq, engine, account, asset, block, event_type, amount"
 # ---- A
 
 
-@query("a1_log_scan", f"select {EVENTS} from position_events where asset in (3, 17, 42, 99) and block between 300 and 1500")
+def ledger_of(v: Views) -> str:
+    """The ledger of all position events, by chain (their engine) and bucket of blocks, appended in two batches that share
+    rows; its folder.  A log's place in its block is its transaction, its number there, and its place among equals."""
+    folder = f"{_shared(v)}/ledger-{uuid.uuid4().hex}"
+    at = F.col("tx") * 1000 + F.col("log_index") * 10 + F.col("seq")
+    rows = v.position_events.select(F.col("engine").alias("chain"), "block", at.alias("log_index"), "account", "asset", "event_type", "amount")
+    W.append_log(rows.filter("block < 1300"), folder, span=100)
+    W.append_log(rows.filter("block >= 900"), folder, span=100)
+    return folder
+
+
+@query("a1_log_scan", """
+select engine as chain, block, tx * 1000 + log_index * 10 + seq as log_index, account, asset, event_type, amount from position_events
+where asset in (select p_partkey from part where p_size > 25) and block between (select min(block) + 100 from position_events) and (select max(block) - 100 from position_events)""")
+def _(v):
+    """Logs of the larger parts, but for the first and last hundred blocks."""
+    low, high = v.position_events.agg(F.min("block") + 100, F.max("block") - 100).first()
+    return W.scan_log(v.spark, ledger_of(v), v.table("part").filter("p_size > 25").select("p_partkey"), low, high, span=100, column="asset")
+
+
+@query("a2_appended", "select engine as chain, block, tx * 1000 + log_index * 10 + seq as log_index, account, asset, event_type, amount from position_events")
 def _(v):
-    return T.log_scan(v.position_events, [3, 17, 42, 99], 300, 1500, "asset").select(*EVENTS.split(", "))
+    return v.spark.read.parquet(ledger_of(v)).drop("bucket")
 
 
-@query("a2_new_rows", f"select {EVENTS} from position_events where block >= 1000 and block < 1300")
+@query("a2_new_rows", f"select {EVENTS} from position_events where block >= 1000")
 def _(v):
+    """What the ledger lacks of a batch with repeats, when it has the blocks before 1000."""
     e = v.position_events.select(*EVENTS.split(", "))
-    batch = e.filter("block >= 900 and block < 1300")
-    return T.new_rows(batch.union(batch.filter("asset % 3 = 0")), e.filter("block < 1000"), ["tx", "log_index", "seq"])
+    return T.new_rows(e.union(e.filter("asset % 3 = 0")), e.filter("block < 1000"), ["tx", "log_index", "seq"])
 
 
 @query("a4_newest_wins", "select account, max(block) as block, arg_max(amount, block * 100000000 + tx * 100 + log_index * 10 + seq) as amount from (select * from position_events where side = 'debt') group by account")
@@ -95,12 +117,18 @@ def _(v):
 
 
 def _shared(v: Views) -> str:
-    folder = v.spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not v.spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = v.spark.conf.get("spark.sql.warehouse.dir")
-    return folder.rstrip("/")
+    return shared_folder(v.spark)
+
+
+@query("a8_retained_batches", "select 's' || k as key, count(*) as n, sum(o_custkey * k)::bigint as total from orders, (select unnest([3, 4, 5]) as k) group by k")
+def _(v):
+    """Of five batches of orders, the three that a retention of three keeps."""
+    folder = f"{_shared(v)}/kept-{uuid.uuid4().hex}"
+    orders = v.table("orders").select("o_orderkey", "o_custkey")
+    for k in range(1, 6):
+        T.write_batch(folder, f"s{k}", {"orders": orders.withColumn("o_custkey", F.col("o_custkey") * k)}, keep=3)
+    rows = v.spark.read.option("basePath", f"{folder}/orders").parquet(f"{folder}/orders/*")
+    return rows.groupBy("batch").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("total")).join(T.manifests(v.spark, folder).select("batch", "key"), "batch").drop("batch")
 
 
 @query("a10_filled", "select log_index, coalesce(case when log_index % 4 <> 0 then as_of end, case when log_index % 8 = 0 or log_index % 3 = 1 then block end) as as_of from prices")
@@ -518,13 +546,13 @@ def _(v):
 
 def baskets(v: Views):
     sums = lambda where: v.position_events.filter(f"delta is not null and {where}").groupBy("account", "asset").agg(F.sum("delta").alias("amount"))
-    later = sums("block < 2000").withColumn("amount", F.col("amount") + F.when(F.col("asset") % 10 == 0, 3).when(F.col("asset") % 10 == 1, -2).otherwise(0))
-    return sums("block < 1500"), later, v.position_events.filter("delta is not null and block >= 1500 and block < 2000").select("account", "asset", "delta")
+    later = sums("true").withColumn("amount", F.col("amount") + F.when(F.col("asset") % 10 == 0, 3).when(F.col("asset") % 10 == 1, -2).otherwise(0))
+    return sums("block < 1500"), later, v.position_events.filter("delta is not null and block >= 1500").select("account", "asset", "delta")
 
 
 @query("l17_basket_continuity", """
 select account, asset, cast(r as bigint) as rest, case when r > 0 then 'refused' when r < 0 then 'outflow' else 'continuous' end as verdict from (
-  select account, asset, case asset % 10 when 0 then 3 when 1 then -2 else 0 end as r from (select distinct account, asset from position_events where delta is not null and block < 2000))""")
+  select account, asset, case asset % 10 when 0 then 3 when 1 then -2 else 0 end as r from (select distinct account, asset from position_events where delta is not null))""")
 def _(v):
     return R.basket_continuity(*baskets(v))
 
@@ -540,10 +568,14 @@ def _(v):
 
 
 @query("l20_composition", """
-with recursive links as (select p_partkey as asset, p_partkey // 3 as base from part where p_partkey > 0), walk as (select asset, base as root, 1 as steps from links union all select w.asset, l.base, w.steps + 1 from walk w join links l on l.asset = w.root)
-select asset, arg_max(root, steps) as root, cast(max(steps) as int) as steps from walk group by asset""")
-def _(v):
-    return R.composition(v.table("part").filter("p_partkey > 0").select(F.col("p_partkey").alias("asset"), F.expr("p_partkey div 3").alias("base")))
+with recursive links as (select p_partkey as asset, case when p_partkey % 1000 = 999 then p_partkey - 5 else p_partkey + 1 end as base from part where p_partkey % 500 <> 250),
+walk as (select asset, base as root, 1::bigint as steps from links union all select w.asset, l.base, w.steps + 1 from walk w join links l on l.asset = w.root where w.steps < 1100),
+ends as (select asset, arg_max(root, steps) as root, max(steps) as steps from walk group by asset)
+select asset, case when steps < 1100 then root end as root, case when steps < 1100 then steps end as steps, steps >= 1100 as cyclic from ends""")
+def _(v):
+    """Chains of up to 750 assets; those after the 250th of a thousand end in a cycle of six."""
+    k = F.col("p_partkey")
+    return R.composition(v.table("part").filter("p_partkey % 500 <> 250").select(k.alias("asset"), F.when(k % 1000 == 999, k - 5).otherwise(k + 1).alias("base")))
 
 
 @query("l23_presence", "select account, bool_or(delta = 1) as residue, bool_or(amount between 990000 and 1010000) as near_par from position_events group by account")

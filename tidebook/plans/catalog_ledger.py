@@ -200,9 +200,9 @@ def _(v):
     return J.with_defaults(v.table("customer").select(F.col("c_custkey").alias("account")), v.sweeps.filter("engine = 'pool'").select("account", "status", "attempts"), ["account"], {"status": "unknown", "attempts": 0})
 
 
-@query("d8_restrict", "select * from prices where asset in (select n_nationkey from nation) and block < 3000")
+@query("d8_restrict", "select * from prices where asset in (select p_partkey from part where p_size > 25)")
 def _(v):
-    return J.restrict(v.prices.filter("block < 3000"), v.table("nation").select(F.col("n_nationkey").cast("long").alias("asset")), ["asset"])
+    return J.restrict(v.prices, v.table("part").filter("p_size > 25").select(F.col("p_partkey").alias("asset")), ["asset"])
 
 
 @query("d9_attached", """

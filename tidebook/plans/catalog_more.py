@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -16,26 +19,51 @@ from tidebook.plans.bindings import query
 from tidebook.plans.catalog_risk import AFTER, FACTORS, POSITIONS, SHOCKED, after, factors, positions, shocked
 from tidebook.sources import events as E
 from tidebook.sources import tables as T
+from tidebook.sources import windows as W
+from tidebook.sources.shared import shared_folder
+
+
+def windows_applied(v: Views) -> str:
+    """Every engine's events and rates, applied in three windows of blocks, the second of them twice; the folder."""
+    folder = f"{shared_folder(v.spark)}/windows-{uuid.uuid4().hex}"
+    events = v.position_events.select("engine", "tx", "log_index", "seq", "account", "asset", "side", "block", "delta").persist()
+    rates = v.rate_indexes.select("asset", "kind", "block", "value").persist()
+    low, high = events.union(rates.select(F.lit(None).cast("string"), *[F.lit(None)] * 6, "block", F.lit(None))).agg(F.min("block"), F.max("block")).first()
+    cuts = [low - 1, low + (high - low) // 3, low + 2 * (high - low) // 3, high]
+    for engine in sorted(r.engine for r in events.select("engine").distinct().collect()):
+        for after, through in [(cuts[0], cuts[1]), (cuts[1], cuts[2]), (cuts[1], cuts[2]), (cuts[2], cuts[3])]:
+            inside = F.col("block").between(after + 1, through)
+            W.apply_window(folder, engine, events.filter(inside & (F.col("engine") == engine)).drop("engine"), rates.filter(inside), after, through, after + 1, compact=2)
+    events.unpersist()
+    rates.unpersist()
+    return folder
+
+
+@query("a3_window_apply", "select engine, account, asset, side, cast(sum(delta) as bigint) as amount, max(block) as updated_block from position_events where delta is not null group by all")
+def _(v):
+    """Balances as of the last commit of each engine."""
+    folder = windows_applied(v)
+    one = lambda e: W.balances_of(v.spark, folder, e).withColumn("engine", F.lit(e))
+    return functools.reduce(lambda a, b: a.unionByName(b), [one(r.engine) for r in W.cursors(v.spark, folder).collect()])
 
 
-@query("a3_window_apply", "select engine, account, asset, side, cast(sum(delta) as bigint) as amount, max(block) as updated_block from position_events where block < 1400 and delta is not null and side <> '' group by all")
+@query("a3_cursors", """
+with b as (select min(block) as low, max(block) as high from (select block from position_events union all select block from rate_indexes))
+select engine, 3::bigint as windows, high as through, low as covered_from from (select distinct engine from position_events), b""")
 def _(v):
-    """Balances after a window is applied to a ledger of which a part is replayed."""
-    e = v.position_events.filter("block < 1400").select("engine", "tx", "log_index", "seq", "account", "asset", "side", "block", "delta")
-    known = e.filter("block < 1000")
-    fresh = T.new_rows(e.filter("block >= 800"), known, ["tx", "log_index", "seq"])
-    return L.balance_fold(known.unionByName(fresh))
+    return W.cursors(v.spark, windows_applied(v))
 
 
 @query("a9_param_append", "select asset, block, log_index, ltv, threshold, bonus from param_history where block >= 700")
 def _(v):
+    """What the ledger lacks of all rows, when it has those before block 700."""
     rows = v.param_history
-    return T.new_rows(rows.filter("block >= 600"), rows.filter("block < 700"), ["asset", "block", "log_index"])
+    return T.new_rows(rows, rows.filter("block < 700"), ["asset", "block", "log_index"])
 
 
-@query("a18_merged_observations", "select distinct asset, source, block, log_index, price from prices where block < 5000")
+@query("a18_merged_observations", "select distinct asset, source, block, log_index, price from prices")
 def _(v):
-    rows = v.prices.filter("block < 5000").select("asset", "source", "block", "log_index", "price")
+    rows = v.prices.select("asset", "source", "block", "log_index", "price")
     return T.new_rows(rows.union(rows), rows.limit(0), ["asset", "source", "block", "log_index"])
 
 

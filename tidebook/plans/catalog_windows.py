@@ -282,9 +282,13 @@ def _(v):
     return G.account_history(rows, 3)
 
 
-@query("g15_series_range", "select asset, source, block, price from prices where asset = 5 and block between 1000 and 40000 order by block, log_index limit 200")
+@query("g15_series_range", """
+select asset, source, block, price from (select *, row_number() over (partition by asset, source order by block, log_index) as r
+  from prices join (select asset, source, min(block) + 1000 as low, max(block) as high from prices group by all) using (asset, source) where block between low and high) where r <= 200""")
 def _(v):
-    return G.series_range(v.prices, (F.col("asset") == 5) & F.col("block").between(1000, 40000), ["block", "log_index"], 200).select("asset", "source", "block", "price")
+    """Every series from a thousand minutes after its first price on."""
+    ranges = v.prices.groupBy("asset", "source").agg((F.min("block") + 1000).alias("low"), F.max("block").alias("high"))
+    return G.series_range(v.prices, ranges, ["asset", "source"], ["block", "log_index"], 200).select("asset", "source", "block", "price")
 
 
 @query("g16_replayed_sample", f"""

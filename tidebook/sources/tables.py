@@ -12,16 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from tidebook.sources.shared import children, removed
+
 
 class Divergence(ValueError):
     """Rows with a known key and another content."""
 
 
-def log_scan(logs: DataFrame, addresses: list[int], low: int, high: int, column: str = "address") -> DataFrame:
-    """A1: logs of some addresses in a range of blocks, in order; the filters reach the scan."""
-    return logs.filter(F.col(column).isin(addresses) & F.col("block").between(low, high)).orderBy("block", "log_index")
-
-
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at a path, or no rows if nothing was written yet."""
     try:
@@ -40,11 +37,12 @@ def new_rows(batch: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame
     """The rows of a batch that are not there yet, equal repeats once.  Divergence within the batch or
     against the table is raised before anything is returned."""
     columns = batch.columns
-    rows = batch.dropDuplicates().withColumn("_c", _content(columns, key))
-    both = rows.select(*key, "_c").union(existing.withColumn("_c", _content(columns, key)).join(rows.select(*key).distinct(), key, "left_semi").select(*key, "_c"))
-    if not both.groupBy(*key).agg(F.count_distinct("_c").alias("n")).filter("n > 1").isEmpty():
+    known = existing.select(*key, _content(columns, key).alias("_k"))
+    met = batch.dropDuplicates().withColumn("_c", _content(columns, key)).join(known, key, "left")
+    other = F.max(F.coalesce(F.col("_k") != F.col("_c"), F.lit(False)))
+    if not met.groupBy(*key).agg(F.count_distinct("_c").alias("n"), other.alias("other")).where("n > 1 or other").isEmpty():
         raise Divergence(f"rows with a known key of {key} have another content")
-    return rows.join(existing.select(*key), key, "left_anti").select(columns)
+    return met.where("_k is null").select(columns)
 
 
 def append(batch: DataFrame, path: str, key: list[str]) -> int:
@@ -93,8 +91,11 @@ def sweep_applied(balances: DataFrame, state: DataFrame, results: DataFrame) ->
 def write_batch(folder: str, key: str, tables: dict[str, DataFrame], keep: int = 5000) -> str:
     """Writes the children of a batch and then its manifest with their counts; the batch id.
 
-    A batch with the same key that is there already is adopted.  Readers take batches from manifests().
+    A batch with the same key that is there already is adopted.  Readers take batches from manifests().  Then the batches
+    beyond the newest `keep` are removed (see pruned); a retention of less than one batch is refused.
     """
+    if keep < 1:
+        raise ValueError("at least one batch is kept")
     spark = next(iter(tables.values())).sparkSession
     known = manifests(spark, folder).filter(F.col("key") == key).select("batch").first()
     if known:
@@ -107,15 +108,37 @@ def write_batch(folder: str, key: str, tables: dict[str, DataFrame], keep: int =
         counts[name] = spark.read.schema(df.schema).parquet(path).count()
     order = (manifests(spark, folder).agg(F.max("seq")).first()[0] or 0) + 1
     spark.createDataFrame([(batch, key, order, counts)], MANIFEST).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    pruned(spark, folder, keep)
     return batch
 
 
+def pruned(spark: SparkSession, folder: str, keep: int) -> int:
+    """Removes batches beyond the newest `keep`; how many.
+
+    First a tombstone of each is written, from which on readers see none of it, then its folders go.  A run that ends in
+    between leaves folders without a reader; the next run removes them, too.
+    """
+    if keep < 1:
+        raise ValueError("at least one batch is kept")
+    beyond = manifests(spark, folder).withColumn("_r", F.row_number().over(Window.orderBy(F.desc("seq")))).where(F.col("_r") > keep).select("batch")
+    n = beyond.count()
+    if n:
+        beyond.coalesce(1).write.mode("append").parquet(f"{folder}/tombstones")
+    gone = {f"batch={r.batch}" for r in read_or_empty(spark, f"{folder}/tombstones", "batch string").collect()}
+    for table in children(spark, folder):
+        for name in children(spark, f"{folder}/{table}"):
+            if name in gone:
+                removed(spark, f"{folder}/{table}/{name}")
+    return n
+
+
 MANIFEST = "batch string, key string, seq long, counts map<string,bigint>"
 
 
 def manifests(spark: SparkSession, folder: str, newest: int | None = None) -> DataFrame:
-    """Complete batches, or the newest of them."""
+    """Complete batches that were not removed, or the newest of them."""
     rows = read_or_empty(spark, f"{folder}/manifest", spark.createDataFrame([], MANIFEST).schema)
+    rows = rows.join(read_or_empty(spark, f"{folder}/tombstones", "batch string"), "batch", "left_anti")
     return rows.orderBy(F.desc("seq")).limit(newest) if newest else rows
 
 
