@@ -120,24 +120,10 @@ def test_an_unacknowledged_rewind_closes_the_gate(spark, tmp_path):
     assert spark.read.parquet(target).count() == 1
 
 
-def test_streamed_fold_equals_the_batch_fold(spark, views, tmp_path):
-    rows = views.position_events.filter("account < 12").select("account", (F.col("asset") % 3).alias("asset"), "block", "log_index", (F.col("tx") * 10 + F.col("seq")).alias("seq"), "event_type", "delta")
-    for i, (low, high) in enumerate([(0, 900), (900, 1600), (1600, 9999)]):
-        rows.filter(f"block >= {low} and block < {high}").coalesce(1).write.parquet(str(tmp_path / f"in/part={i}"))
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/part=*"))
-    out = M.write_off_fold(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    out.awaitTermination()
-    final = lambda df: sorted((r.account, r.asset, r.n, r.last) for r in df.groupBy("account", "asset").agg(F.count("*").alias("n"), F.max_by("balance", F.struct("block", "log_index")).alias("last")).collect())
-    batch = M.write_off_fold_batch(rows)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    assert [x[:3] for x in final(got)] == [x[:3] for x in final(batch)]
-    assert got.agg(F.sum("moved")).first()[0] == batch.agg(F.sum("moved")).first()[0]
-
-
 def test_write_off_takes_the_balance_of_its_moment(spark):
     rows = [(1, 1, 1, 1, 0, "borrow", 10), (1, 1, 2, 1, 0, "record", None), (1, 1, 3, 1, 0, "borrow", 4), (1, 1, 3, 2, 0, "repay", -1), (1, 1, 9, 1, 0, "record", None)]
     df = spark.createDataFrame(rows, "account long, asset long, block long, log_index long, seq long, event_type string, delta long")
-    got = [(r.moved, r.balance) for r in M.write_off_fold_batch(df).orderBy("block", "log_index").collect()]
+    got = [(r.moved, r.balance) for r in M.write_off_fold(df).orderBy("block", "log_index").collect()]
     assert got == [(10, 10), (-10, 0), (4, 4), (-1, 3), (-3, 0)]
 
 

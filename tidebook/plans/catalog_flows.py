@@ -19,6 +19,7 @@ from tidebook.sources import tables as T
 from tidebook.sources import windows as W
 from tidebook.sources.shared import shared_folder
 from tidebook.streaming import jobs as M
+from tidebook.streaming import ordered as O
 
 EVENTS = "tx, log_index, seq, engine, account, asset, block, event_type, amount"
 
@@ -650,15 +651,38 @@ def _(v):
     return M.running_balances(v.position_events)
 
 
-@query("c6_write_off_fold", """
+WRITE_OFFS = """
 with recursive o as (select account, asset % 10 as asset, block, log_index, event_type, delta, row_number() over (partition by account, asset % 10 order by block, log_index, tx * 10 + seq) as rn from position_events),
 r as (select account, asset, block, log_index, rn, case event_type when 'record' then 0 else delta end as moved, case event_type when 'record' then 0 else delta end as balance from o where rn = 1 union all
   select o.account, o.asset, o.block, o.log_index, o.rn, case o.event_type when 'record' then -r.balance else o.delta end, case o.event_type when 'record' then 0 else r.balance + o.delta end
   from r join o on o.account = r.account and o.asset = r.asset and o.rn = r.rn + 1)
-select account, asset, block, log_index, moved, balance from r""")
+select account, asset, block, log_index, moved, balance from r"""
+
+
+def write_offs(v: Views):
+    return v.position_events.select("account", (F.col("asset") % 10).alias("asset"), "block", "log_index", (F.col("tx") * 10 + F.col("seq")).alias("seq"), "event_type", "delta")
+
+
+@query("c6_write_off_fold", WRITE_OFFS)
+def _(v):
+    return M.write_off_fold(write_offs(v))
+
+
+@query("m5_ordered_fold", WRITE_OFFS)
 def _(v):
-    rows = v.position_events.select("account", (F.col("asset") % 10).alias("asset"), "block", "log_index", (F.col("tx") * 10 + F.col("seq")).alias("seq"), "event_type", "delta")
-    return M.write_off_fold_batch(rows)
+    """The same as a stream of files whose rows are up to three hundred blocks out of order, with a restart in between."""
+    folder, at = f"{_shared(v)}/stream-{uuid.uuid4().hex}", F.expr("(block + seq % 4 * 100) div 900")
+    rows = write_offs(v)
+    last = rows.agg(F.max(at)).first()[0] or 0
+    stream = lambda: v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    for i in range(last + 1):
+        rows.filter(at == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        if i == last // 2:
+            O.ordered_fold_stream(stream(), f"{folder}/out", f"{folder}/checkpoint", 300)
+    end = v.spark.sql(f"select -1L account, -1L asset, 10000000L block, 0L log_index, 0L seq, '{O.HEARTBEAT}' event_type, cast(null as bigint) delta")
+    end.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    O.ordered_fold_stream(stream(), f"{folder}/out", f"{folder}/checkpoint", 300)
+    return O.folded(v.spark, f"{folder}/out")
 
 
 @query("m4_retracted", """

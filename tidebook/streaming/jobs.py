@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -110,46 +109,18 @@ def running_balances(events: DataFrame) -> DataFrame:
 
 
 def write_off_fold(events: DataFrame) -> DataFrame:
-    """Ordered state per account and asset: a write-off row takes what the balance is at that moment.
+    """Per account and asset, what each row moves and the balance after it; a record row takes what the balance is.
 
-    Events of a key arrive in order of blocks over micro-batches; within one they are ordered here.
+    A record sets the balance to 0, so a balance is the running sum of deltas less what that sum was at the last record:
+    windows of one order, hence one exchange and one sort.  streaming.ordered has the same fold on a stream.
     """
-    schema = "account long, asset long, block long, log_index long, moved long, balance long"
-
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        balance = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(["block", "log_index", "seq"])
-        out = []
-        for r in rows.itertuples():
-            moved = -balance if r.event_type == "record" else int(r.delta)
-            balance += moved
-            out.append((*key, r.block, r.log_index, moved, balance))
-        state.update((balance,))
-        yield pd.DataFrame(out, columns=["account", "asset", "block", "log_index", "moved", "balance"])
-
-    return events.groupBy("account", "asset").applyInPandasWithState(fold, schema, "balance long", "append", "NoTimeout")
-
-
-def write_off_fold_batch(events: DataFrame) -> DataFrame:
-    """The same fold on a table, streaming in order through sorted partitions."""
-    import pyarrow as pa
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, balance = None, 0
-        for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("account", "asset", "event_type", "delta")]
-            moved, balances = [], []
-            for account, asset, kind, delta in zip(*cols, strict=True):
-                if (account, asset) != own:
-                    own, balance = (account, asset), 0
-                step = -balance if kind == "record" else delta
-                balance += step
-                moved.append(step)
-                balances.append(balance)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("account", "asset", "block", "log_index")] + [pa.array(moved, pa.int64()), pa.array(balances, pa.int64())], ["account", "asset", "block", "log_index", "moved", "balance"])
-
-    ordered = events.repartition("account", "asset").sortWithinPartitions("account", "asset", "block", "log_index", "seq")
-    return ordered.mapInArrow(fold, "account long, asset long, block long, log_index long, moved long, balance long")
+    w = Window.partitionBy("account", "asset").orderBy("block", "log_index", "seq")
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    record = F.col("event_type") == "record"
+    rows = events.withColumn("_sum", F.sum(F.when(record, 0).otherwise(F.col("delta"))).over(upto))
+    rows = rows.withColumn("balance", F.col("_sum") - F.coalesce(F.last(F.when(record, F.col("_sum")), ignorenulls=True).over(upto), F.lit(0)))
+    moved = F.when(record, -F.coalesce(F.lag("balance").over(w), F.lit(0))).otherwise(F.col("delta"))
+    return rows.select("account", "asset", "block", "log_index", moved.alias("moved"), "balance")
 
 
 def neutralized(prices: DataFrame, anchors: DataFrame, boundary: int) -> DataFrame:
