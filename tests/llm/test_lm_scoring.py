@@ -119,5 +119,11 @@ def test_trie_finds_what_it_holds():
         assert (words == word[rank == r]).all() and (codes == pair_codes[rank == r]).all()
     none = Trie(build(*(np.zeros(0, np.uint64),) * 5, bits))
     assert none.find_pair(np.array([0, -1]), np.array([0, 9], np.uint64))[0].tolist() == [-1, -1]
+    # a query reads its context's pointers: with those of another trie, the same words are not found
+    moved = Trie(build(first, pairs, pair_codes, triples, triple_codes, bits))
+    moved.begins, moved.thirds = (Trie(build(first, pairs[:0], pair_codes[:0], triples[:0], triple_codes[:0], bits)).begins,) * 2
+    assert (moved.find_pair(rank, word)[0] == -1).all()
+    # values are relative to their contexts, so a level spans far less than context << bits
+    assert int(trie.triples.at(np.array([len(triples) - 1]))[0]) < len(pairs) << bits and trie.triples.width < bits
     x = np.array([0.0, -1.5, -9.25])
     assert np.abs(log10_of(quantise(x)) - x).max() < 1 / 4096
