@@ -13,6 +13,7 @@ from tidebook.operators import valuation as J
 from tidebook.plans.bindings import Views, query
 from tidebook.plans.catalog_ledger import CONTROL, control, pins
 from tidebook.plans.catalog_risk import AFTER, POSITIONS, after, positions
+from tidebook.sources import calldata as C
 from tidebook.sources import events as E
 from tidebook.sources import scenarios as S
 from tidebook.sources import tables as T
@@ -378,6 +379,44 @@ def _(v):
     return E.seizures(logs).drop("log_index")
 
 
+SELECTORS = {"0a1b2c3d": 1, "4e5f6071": 0}
+
+
+def calls(v: Views):
+    """A call for each account with its legs as seeds, of either function."""
+    w = lambda c: F.lpad(F.hex(c), 64, "0")
+    rows = v.legs.groupBy("account").agg(F.array_sort(F.collect_list(F.struct("asset", "amount"))).alias("s"))
+    n, number = F.size("s"), lambda x: F.lpad(F.hex(x), 64, "0")
+    # amount * 2**64 + amount is a word of more than 64 bits
+    message = F.concat(w(F.lit(64)), w(96 + 32 * n), w(n), F.array_join(F.transform("s", lambda x: number(x["asset"])), ""), w(n), F.array_join(F.transform("s", lambda x: F.concat(F.lpad(F.hex(x["amount"]), 48, "0"), F.lpad(F.hex(x["amount"]), 16, "0"))), ""))
+    size = 160 + 64 * n - 32
+    struct = lambda message: F.concat(w(F.lit(1)), w(F.lit(2)), w(F.lit(3)), w(F.lit(4)), w(F.lit(5)), w(F.lit(9 * 32)), w(9 * 32 + 32 + size), w(F.lit(6)), w(F.lit(7)), w(F.lit(0) + size), message, w(F.lit(0)))
+    rows = rows.withColumn("message", message)
+    first = F.concat(F.lit("0a1b2c3d"), w(F.lit(8)), w(F.lit(96)), w(96 + 11 * 32 + size), struct(F.col("message")), w(F.lit(0)))
+    other = F.concat(F.lit("4e5f6071"), w(F.lit(32)), struct(F.col("message")))
+    return rows.select(F.col("account").alias("tx"), F.when(F.col("account") % 2 == 0, first).otherwise(other).alias("hex"), "message")
+
+
+@query("b9_calldata_seeds", f"select account as tx, cast(row_number() over (partition by account order by asset) - 1 as int) as seq, {ADDRESS.format('asset')} as account, (amount::hugeint * 18446744073709551616 + amount)::varchar as amount from legs")
+def _(v):
+    return C.seeds(calls(v).select("tx", F.unhex("hex").alias("input")), SELECTORS)
+
+
+@query("b9_refused_calldata", """
+select account as tx, case account % 9 when 1 then 'unknown selector' when 2 then 'offset of accounts' when 3 then 'offset of amounts' when 4 then 'lengths differ' when 5 then 'message out of range' when 6 then 'dirty address' when 7 then 'bad offset' else 'no selector' end as flaw
+from (select distinct account from legs) where account % 9 <> 0""")
+def _(v):
+    """The calls, eight of nine spoiled."""
+    k, text, m = F.col("tx") % 9, F.col("hex"), F.col("message")
+    w = lambda c: F.lpad(F.hex(c), 64, "0")
+    put = lambda at, n, what: F.concat(F.substring(text, F.lit(1), at - 1), what, F.substring(text, at + n, F.length(text)))
+    begin = F.instr(text, m)  # where the message stands
+    n = (F.length(m) - 256) / 128
+    spoiled = F.when(k == 1, put(F.lit(1), 8, F.lit("ffffffff"))).when(k == 2, put(begin, 64, w(F.lit(96)))).when(k == 3, put(begin + 64, 64, w(F.lit(64)))).when(k == 4, put((begin + 192 + n * 64).cast("int"), 64, w(F.lit(60000))))
+    spoiled = spoiled.when(k == 5, F.substring(text, F.lit(1), begin + 100)).when(k == 6, put(begin + 192, 2, F.lit("01"))).when(k == 7, put(F.lit(9) + F.when(F.col("tx") % 2 == 0, 64).otherwise(0), 64, F.lit("f" * 64))).when(k == 8, F.lit("0a1b2c"))
+    return C.refused(calls(v).select("tx", F.unhex(F.coalesce(spoiled, text)).alias("input")), SELECTORS)
+
+
 @query("b9_seeds", "select account as tx, cast(row_number() over (partition by account order by asset) - 1 as int) as seq, asset as account, amount from legs")
 def _(v):
     rows = v.legs.groupBy("account").agg(F.array_sort(F.collect_list(F.struct("asset", "amount"))).alias("s"))
