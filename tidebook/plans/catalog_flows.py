@@ -413,7 +413,7 @@ def _(v):
     begin = F.instr(text, m)  # where the message stands
     n = (F.length(m) - 256) / 128
     spoiled = F.when(k == 1, put(F.lit(1), 8, F.lit("ffffffff"))).when(k == 2, put(begin, 64, w(F.lit(96)))).when(k == 3, put(begin + 64, 64, w(F.lit(64)))).when(k == 4, put((begin + 192 + n * 64).cast("int"), 64, w(F.lit(60000))))
-    spoiled = spoiled.when(k == 5, F.substring(text, F.lit(1), begin + 100)).when(k == 6, put(begin + 192, 2, F.lit("01"))).when(k == 7, put(F.lit(9) + F.when(F.col("tx") % 2 == 0, 64).otherwise(0), 64, F.lit("f" * 64))).when(k == 8, F.lit("0a1b2c"))
+    spoiled = spoiled.when(k == 5, F.substring(text, F.lit(1), begin + 99)).when(k == 6, put(begin + 192, 2, F.lit("01"))).when(k == 7, put(F.lit(9) + F.when(F.col("tx") % 2 == 0, 64).otherwise(0), 64, F.lit("f" * 64))).when(k == 8, F.lit("0a1b2c"))
     return C.refused(calls(v).select("tx", F.unhex(F.coalesce(spoiled, text)).alias("input")), SELECTORS)
 
 
