@@ -16,6 +16,8 @@ from tidebook.llm.shared import materialize
 WORD = r"[^\x20\x09-\x0D]+"
 #: End lists are kept in pieces of conversations whose ids agree but for so many low bits, hence of at most 4,096 ids.
 PIECE_BITS = 12
+#: So many nodes at most that many sequences share are broadcast.
+MOST_HEAVY = 50_000
 #: Rebuilt conversations begin with turns of the conversation whose id is the next lower multiple of this.
 FAMILY = 20
 
@@ -72,6 +74,15 @@ def prefixes(turns: DataFrame) -> DataFrame:
     return materialize(out, "trie-prefixes")
 
 
+def with_members(seqs: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows of sequences with owner and n_convs of their node.  A node that more than one in MOST_HEAVY of all rows stand for,
+    as the root, is broadcast, of which there are MOST_HEAVY at most; so no task gets all rows of such a node."""
+    least = max(1000, seqs.count() // MOST_HEAVY)
+    met = seqs.join(F.broadcast(members.where(F.col("n") > least).drop("n")), "node", "left")
+    rest = met.where("owner is null").drop("owner", "n_convs").join(members.where(F.col("n") <= least).drop("n"), "node")
+    return met.where("owner is not null").unionByName(rest)
+
+
 def prefix_nodes(table: DataFrame) -> DataFrame:
     """The nodes of the trie over prefixes(): node, above, depth, conv_id (smallest member), parent_conv_id, n_convs,
     n_children, n_leaves, saved_tokens.
@@ -90,10 +101,10 @@ def prefix_nodes(table: DataFrame) -> DataFrame:
     ends = F.col("node") == F.col("whole")
     inner = seqs.where(~ends).select("node").distinct()
     leaves = seqs.where(ends).join(inner, "node", "left_anti").select("whole", F.lit(1).alias("leaf"))
-    members = seqs.groupBy("node").agg(F.min("least").alias("owner"), F.sum("weight").alias("n_convs"))
+    members = seqs.groupBy("node").agg(F.min("least").alias("owner"), F.sum("weight").alias("n_convs"), F.count("*").alias("n"))
     along = Window.partitionBy("whole")
     owned = F.col("least") == F.col("owner")
-    rows = seqs.join(members, "node").join(leaves, "whole", "left").select(
+    rows = with_members(seqs, members).join(leaves, "whole", "left").select(
         "*", owned.alias("owned"), F.sum(F.when(owned, F.col("words")).otherwise(0)).over(along).alias("own"), F.lag("owner").over(along.orderBy("depth")).alias("parent"),
     )
     once = F.sum("own") + F.sum(F.when(F.col("owned"), F.col("rest") - F.col("own")).otherwise(0))
