@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidebook.operators import joins, ledger
 from tidebook.operators import reconcile as R
 from tidebook.operators import valuation as J
+from tidebook.operators.replay import replayed_causes
 from tidebook.plans.bindings import Views, query
 from tidebook.plans.catalog_ledger import CONTROL, control, pins
 from tidebook.plans.catalog_risk import AFTER, POSITIONS, after, positions
@@ -584,6 +585,47 @@ def _(v):
     return R.flip_causes(v.position_events.select("account", "block", "log_index", "seq", "tx", "amount"), v.debts.select("account", "debt"))
 
 
+# an account's events in order, as writes of one block: index updates, settings, seizures, borrows and repayments
+WITNESSES = """(select account, rn, asset, kind, case kind when 'index' then 1000000 + account % 7 when 'config' then (asset * 7 + rn) % 90 when 'seizure' then 1 + asset % 30 else amount end as x,
+  case kind when 'index' then 1000000 + rn * 40000 when 'seizure' then amount // 2 end as y from (
+    select *, case when rn % 5 = 0 then 'index' when asset % 11 = 0 then 'seizure' when event_type = 'record' then 'config' else event_type end as kind from (
+      select account, asset, event_type, amount, row_number() over (partition by account order by block, log_index, seq, tx) as rn from position_events)))"""
+
+
+@query("l16_replayed_causes", f"""
+with recursive w as {WITNESSES},
+b as (select account, list({{'asset': asset, 'amount': amount, 'price': price, 'ltv': ltv}} order by asset) as legs from legs group by account),
+i as (select account, arg_min(x, rn) as idx from w where kind = 'index' group by account),
+s as (select account, debt as shares, coalesce(idx, 1000000) as idx, coalesce(legs, []) as legs from debts left join b using (account) left join i using (account)),
+r as (
+  select account, 0::bigint as rn, shares, idx, legs, shares * idx // 1000000 > coalesce(list_sum(list_transform(legs, lambda l: l.amount * l.price * l.ltv // 100)), 0) as now, null::bigint as cause, null::varchar as kind, 0::bigint as reversals, 0::bigint as applied, 0::bigint as notes from s
+  union all
+  select account, rn, shares, idx, legs, case when hit then cur else now end, case when hit and not now and cur then rn when hit and now and not cur then null else cause end, case when hit and not now and cur then wkind when hit and now and not cur then null else kind end,
+    reversals + case when hit and now and not cur then 1 else 0 end, applied + hit::int, notes + more from (
+    select *, shares * idx // 1000000 > coalesce(list_sum(list_transform(legs, lambda l: l.amount * l.price * l.ltv // 100)), 0) as cur from (
+      select q.account, q.rn, q.now, q.cause, q.kind, q.wkind, q.reversals, q.applied, q.notes, q.hit,
+        case when q.wkind = 'index' then q.y else q.idx end as idx,
+        case when not q.hit then q.shares when q.wkind = 'borrow' then q.shares + q.x when q.wkind = 'repay' then greatest(0, q.shares - q.x) when q.wkind = 'seizure' then greatest(0, q.shares - q.y) else q.shares end as shares,
+        case when q.hit and q.wkind = 'config' then list_transform(q.legs, lambda l: {{'asset': l.asset, 'amount': l.amount, 'price': l.price, 'ltv': case when l.asset = q.asset then q.x else l.ltv end}})
+             when q.hit and q.wkind = 'seizure' then list_transform(q.legs, lambda l: {{'asset': l.asset, 'amount': case when l.asset = q.asset then l.amount - q.x else l.amount end, 'price': l.price, 'ltv': l.ltv}}) else q.legs end as legs,
+        case when q.wkind = 'seizure' and not q.hit or q.hit and (q.wkind = 'repay' and q.x > q.shares or q.wkind = 'seizure' and q.y > q.shares) then 1 else 0 end as more
+      from (select r.account, r.shares, r.idx, r.legs, r.now, r.cause, r.kind, r.reversals, r.applied, r.notes, w.rn, w.asset, w.x, w.y, w.kind as wkind,
+          case w.kind when 'config' then len(list_filter(r.legs, lambda l: l.asset = w.asset)) > 0 when 'seizure' then len(list_filter(r.legs, lambda l: l.asset = w.asset and l.amount >= w.x)) > 0 else true end as hit
+        from r join w on w.account = r.account and w.rn = r.rn + 1) q)))
+select f.account as case, s.shares * s.idx // 1000000 > coalesce(list_sum(list_transform(s.legs, lambda l: l.amount * l.price * l.ltv // 100)), 0) as eligible_before, true as complete, f.cause is not null as proven, f.cause, f.kind, f.reversals, f.applied, f.notes
+from (select * from r qualify row_number() over (partition by account order by rn desc) = 1) f join s using (account)""")
+def _(v):
+    w = Window.partitionBy("account").orderBy("block", "log_index", "seq", "tx")
+    e = v.position_events.select("account", "asset", "event_type", "amount", F.row_number().over(w).cast("long").alias("place"))
+    e = e.withColumn("kind", F.when(F.col("place") % 5 == 0, "index").when(F.col("asset") % 11 == 0, "seizure").when(F.col("event_type") == "record", "config").otherwise(F.col("event_type")))
+    k = F.col("kind")
+    x = F.when(k == "index", 1_000_000 + F.col("account") % 7).when(k == "config", (F.col("asset") * 7 + F.col("place")) % 90).when(k == "seizure", 1 + F.col("asset") % 30).otherwise(F.col("amount"))
+    y = F.when(k == "index", 1_000_000 + F.col("place") * 40_000).when(k == "seizure", F.expr("amount div 2"))
+    witnesses = e.select(F.col("account").alias("case"), "place", "kind", "asset", x.alias("x"), y.alias("y"))
+    states = v.debts.select(F.col("account").alias("case"), F.col("debt").alias("shares"), F.lit(1_000_000).alias("index"))
+    return replayed_causes(states, v.legs.select(F.col("account").alias("case"), "asset", "amount", "price", F.col("ltv").alias("weight")), witnesses)
+
+
 def baskets(v: Views):
     sums = lambda where: v.position_events.filter(f"delta is not null and {where}").groupBy("account", "asset").agg(F.sum("delta").alias("amount"))
     later = sums("true").withColumn("amount", F.col("amount") + F.when(F.col("asset") % 10 == 0, 3).when(F.col("asset") % 10 == 1, -2).otherwise(0))
