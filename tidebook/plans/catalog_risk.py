@@ -8,6 +8,7 @@ from tidebook.functions import exact as X
 from tidebook.operators import aggregates as A
 from tidebook.operators import stress as K
 from tidebook.operators import valuation as J
+from tidebook.operators import wide_book as B
 from tidebook.plans.bindings import Views, query
 from tidebook.plans.catalog_ledger import ENGINE_SQL, engines
 
@@ -354,6 +355,44 @@ def _(v):
     return K.wide_waterfall(*wide_book(v), grid(v), UNIT)
 
 
+# the same book with amounts of 1e8 and prices of 1e2 over a unit of 1e5: values of up to 16 digits, products of up to 38
+BIG_LEGS = """(select account, asset, amount::hugeint * 100000000 as amount, price::hugeint * 100 as price, threshold::hugeint * 1000000000000000000 as threshold, case when asset % 7 > 0 then bonus::hugeint end as bonus, case when asset % 3 = 0 then (90 - asset % 7)::hugeint * 10000000000000000 + 1 end as ratio,
+  amount::hugeint * price * 10000000000 // 100000 as value from legs)"""
+BIG_SUMS = f"""(select account, engine, debt, coalesce(value, 0) as value, coalesce(l, 0) as l, coalesce(s, 0) as s, coalesce(r, 0) as r, coalesce(z, 0) as z, coalesce(w, 0) as w from (select account, engine, debt::hugeint * 100000 as debt from debts) left join (
+  select account, sum(value)::hugeint as value, sum(value * threshold // 100000000000000000000)::hugeint as l, sum(least(value, owed * value * coalesce(bonus, 1) // (total * case when bonus is null then 1 else 100 end)))::hugeint as s,
+    sum(value * case when bonus is null then 1 else 100 end // coalesce(bonus, 1))::hugeint as r, sum(value * coalesce(ratio, 1000000000000000000) // 1000000000000000000)::hugeint as z, sum(value * coalesce(ratio, 1000000000000000000))::hugeint as w
+  from (select *, sum(value) over (partition by account)::hugeint as total from {BIG_LEGS}) join (select account, debt::hugeint * 100000 as owed from debts) using (account) group by account) using (account))"""
+LIQUIDATED = f"""(select account, engine, debt, debt > l as liquidatable, s as seizable, r as recoverable, case when debt > l then greatest(0, debt - r) else 0 end as bad_debt, z as realizable,
+  greatest(0, debt - z) as market_bad_debt from {BIG_SUMS})"""
+
+
+def big_book(v: Views):
+    zeros = lambda c, n: F.when(F.col(c) == 0, "0").otherwise(F.concat(F.col(c).cast("string"), F.lit("0" * n)))
+    asset = F.col("asset")
+    ratio = F.when(asset % 3 == 0, F.concat((90 - asset % 7).cast("string"), F.lit("0" * 15 + "1")))
+    legs = v.legs.select(
+        "account", "asset", zeros("amount", 8).alias("amount"), zeros("price", 2).alias("price"), F.lit("100000").alias("unit"), zeros("threshold", 18).alias("threshold"),
+        F.when(asset % 7 > 0, F.col("bonus")).alias("bonus_num"), F.when(asset % 7 > 0, 100).alias("bonus_den"), ratio.alias("ratio"),
+    )
+    return legs, v.debts.withColumn("debt", zeros("debt", 5))
+
+
+@query("j2_wide_positions", f"select account, engine, debt::varchar as debt, value::varchar as collateral, l::varchar as borrow_limit, debt > l as liquidatable, null::varchar as refusal from {BIG_SUMS}")
+def _(v):
+    return B.debt_positions(*big_book(v))
+
+
+@query("k5_wide_liquidations", f"select account, engine, debt::varchar as debt, liquidatable, seizable::varchar as seizable, recoverable::varchar as recoverable, bad_debt::varchar as bad_debt, realizable::varchar as realizable, market_bad_debt::varchar as market_bad_debt, null::varchar as refusal from {LIQUIDATED}")
+def _(v):
+    """Without the columns whose products have more than 38 digits; tests hold those against Python's integers."""
+    return B.liquidations(*big_book(v)).drop("market", "shortfall")
+
+
+@query("k7_wide_shortfall", f"select engine, count(*) filter (liquidatable) as liquidatable, count(*) filter (liquidatable and market_bad_debt > 0) as insolvent, 0::bigint as refused, coalesce(sum(market_bad_debt) filter (liquidatable), 0)::hugeint::varchar as market_bad_debt from {LIQUIDATED} group by engine")
+def _(v):
+    return B.shortfall(B.liquidations(*big_book(v))).drop("shortfall")
+
+
 @query("k8_unshocked_bad_debt", f"select engine, bad_debt from {WATERFALL} where grid = 0")
 def _(v):
     return K.waterfall(v.legs, v.debts, grid(v)).filter("grid = 0").select("engine", "bad_debt")
