@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 
 from tests.llm.conftest import WORD
+from tidebook.llm import prefix_trie
 from tidebook.llm.prefix_trie import end_lists, op12_prefix_trie, prefix_nodes, prefixes, rebuilt, turns_of
 
 SCHEMA = "conv_id long, turn long, role string, text string, node string, depth long"
@@ -63,6 +64,14 @@ def test_query_equals_brute_force(spark, tmp_path, seed):
     assert got == plain(rows)
 
 
+@pytest.mark.parametrize("least", [0, 3])
+def test_nodes_of_many_sequences_are_split_off(spark, tmp_path, monkeypatch, least):
+    monkeypatch.setattr(prefix_trie, "LEAST_HEAVY", least)
+    rows = rows_of(random.Random(3), families=2)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted((tuple(r) for r in op12_prefix_trie(spark, str(tmp_path)).collect()), key=str) == plain(rows)
+
+
 def test_copies_and_a_long_conversation(spark):
     same = [(c, t, "user", f"t {t}") for c in range(1000, 1300) for t in range(6)]
     long = [(7, t, "user", f"word {t % 5}") for t in range(3000)]

@@ -18,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 PIECE_BITS = 12
 #: So many nodes at most that many sequences share are broadcast.
 MOST_HEAVY = 50_000
+#: Nodes of fewer sequences never are.
+LEAST_HEAVY = 1000
 #: Rebuilt conversations begin with turns of the conversation whose id is the next lower multiple of this.
 FAMILY = 20
 
@@ -77,7 +79,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
 def with_members(seqs: DataFrame, members: DataFrame) -> DataFrame:
     """Rows of sequences with owner and n_convs of their node.  A node that more than one in MOST_HEAVY of all rows stand for,
     as the root, is broadcast, of which there are MOST_HEAVY at most; so no task gets all rows of such a node."""
-    least = max(1000, seqs.count() // MOST_HEAVY)
+    least = max(LEAST_HEAVY, seqs.count() // MOST_HEAVY)
     met = seqs.join(F.broadcast(members.where(F.col("n") > least).drop("n")), "node", "left")
     rest = met.where("owner is null").drop("owner", "n_convs").join(members.where(F.col("n") <= least).drop("n"), "node")
     return met.where("owner is not null").unionByName(rest)
