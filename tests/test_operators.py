@@ -215,3 +215,12 @@ def test_report_counts_and_shows_violations(spark):
     bad = spark.range(7).toDF("k")
     rows = {r.check_name: r for r in reconcile.integrity_report({"none": bad.limit(0), "seven": bad}, 2).collect()}
     assert rows["none"].violations == 0 and rows["seven"].violations == 7 and len(rows["seven"].details.split("\n")) == 2
+
+
+def test_digests_tell_rows_apart(spark):
+    schema = "k long, a string, b string"
+    of = lambda rows: {r.k: (r.digest, r.n) for r in aggregates.digest(spark.createDataFrame(rows, schema).repartition(3), ["a", "b"], ["k"]).collect()}
+    one = of([(1, "x|y", "z"), (2, "x", "y|z"), (3, None, "z"), (4, "~", "z"), (5, "x", None), (6, "x", ""), (7, "a", "b"), (7, "a", "b"), (8, "a", "b")])
+    assert len({d for d, _ in one.values()}) == 8 and one[7][1] == 2
+    rows = [(1, str(i), None) for i in range(300)]
+    assert of(rows) == of(rows[::-1]) != of(rows[1:])

@@ -381,9 +381,12 @@ def _(v):
     return A.repair_exposure(v.prices, v.prices.filter("source = 'view'"), 20000)
 
 
-@query("e21_digest", """
-select account, sha256(string_agg(line, chr(10) order by line)) as digest, count(*) as n from (
-  select account, concat_ws('|', tx, log_index, seq, asset, coalesce(delta::varchar, '~')) as line from position_events) group by account""")
+LENGTHS = " || ".join(f"coalesce(length({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("tx", "log_index", "seq", "asset", "delta"))
+
+
+@query("e21_digest", f"""
+with h as (select account, sha256({LENGTHS}) as h from position_events), p as (select account, left(h, 3) as p, sha256(string_agg(h, chr(10) order by h)) as d, count(*) as n from h group by account, p)
+select account, sha256(string_agg(d, chr(10) order by p)) as digest, sum(n)::bigint as n from p group by account""")
 def _(v):
     return A.digest(v.position_events, ["tx", "log_index", "seq", "asset", "delta"], ["account"])
 
