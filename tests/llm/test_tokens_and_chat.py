@@ -106,6 +106,19 @@ def test_turns_are_found_by_their_control_strings(spark):
         chat_format.read_turns(spark.createDataFrame(halves[:2], formatted.schema).coalesce(1)).collect()
 
 
+def test_stored_chats_read_back_alike(spark):
+    """A conversation of many turns, one of a very long text, and small ones, through a stored table of several files."""
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t} <|im_end|>") for t in range(3000)]
+    rows += [(2, 0, "user", "long <| " * 200_000), (2, 1, "assistant", "x" * 1_000_000), *(t for t in TURNS if t[0] != 1 and t[0] != 2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    formatted = chat_format.format_turns(df)
+    key = lambda r: (r[0] is None, r)
+    stored = sorted(map(tuple, chat_format.read_turns(chat_format.stored_turns(formatted)).collect()), key=key)
+    assert stored == sorted(map(tuple, chat_format.read_turns(formatted).collect()), key=key)
+    assert stored[0][1] == 3000 and stored[1][3] == 1_000_000
+
+
 def test_empty_conversations(spark):
     df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.read_turns(chat_format.format_turns(df)).count() == 0
+    assert chat_format.read_turns(chat_format.stored_turns(chat_format.format_turns(df))).count() == 0

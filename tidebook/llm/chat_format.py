@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebook.llm.shared import materialize
+
 
 @dataclass(frozen=True)
 class Template:
@@ -123,6 +125,13 @@ class _Conversation:
         return [self.conv_id, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.valid]
 
 
+def stored_turns(formatted: DataFrame) -> DataFrame:
+    """Formatted turns written to the shared folder and read back, in order within their conversations again, as files
+    are read in pieces and in any order."""
+    table = materialize(formatted, "chat")
+    return table.repartition("conv_id").sortWithinPartitions("conv_id", "pos")
+
+
 def read_turns(formatted: DataFrame, template: Template = CHATML) -> DataFrame:
     """Reads formatted turns (in order, as format_turns gives them) back: one row per conversation.
 
@@ -163,11 +172,11 @@ _PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
-    """All `conversations` and one, -1, whose texts try to forge turns, formatted and read back; rows that the table has
-    under -1 are turns of the same conversation."""
+    """All `conversations` and one, -1, whose texts try to forge turns, formatted, stored, and read back from the stored
+    table; rows that `conversations` has under -1 are turns of the same conversation."""
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     probe = spark.sql(f"select -1L conv_id, turn, role, '{_PROBE}' text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)")
-    return read_turns(format_turns(table.unionByName(probe)))
+    return read_turns(stored_turns(format_turns(table.unionByName(probe))))
 
 
 OP9_SQL = r"""
