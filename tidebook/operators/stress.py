@@ -34,9 +34,10 @@ def shocked(prices: DataFrame, responses: DataFrame, factors: DataFrame, unit: i
     A stable snaps to the unit strictly within a hundredth of it; over a stable base, the factor that counts is that of
     the snapped base.  A cap binds upward.  An asset without response is held flat and says so.
     """
-    names = factors.select("scenario").distinct()
-    known = responses if "scenario" in responses.columns else responses.join(_small(names))
-    moves = known.join(_small(factors), ["scenario", "axis"], "left").groupBy("scenario", "asset").agg(
+    factors = _small(factors)
+    names = F.broadcast(factors.select("scenario").distinct())  # no more of them than factors
+    known = responses if "scenario" in responses.columns else responses.join(names)
+    moves = known.join(factors, ["scenario", "axis"], "left").groupBy("scenario", "asset").agg(
         F.collect_list("num").alias("nums"), F.collect_list("den").alias("dens"), F.bool_or("stable_snap").alias("stable"), F.bool_or("base_snap").alias("over_stable"),
     )
     moves = moves.select("scenario", "asset", W.product(F.col("nums")).alias("num"), W.product(F.col("dens")).alias("den"), "stable", "over_stable", F.lit(True).alias("answers"))
@@ -44,7 +45,7 @@ def shocked(prices: DataFrame, responses: DataFrame, factors: DataFrame, unit: i
     near = lambda b: (W.compare(b, F.lit(str(unit * 99 // 100))) > 0) & (W.compare(b, F.lit(str(unit * 101 // 100))) < 0)
     moves = moves.withColumn("base", base).withColumn("base_snapped", F.coalesce(W.let(F.col("base"), near), F.lit(False)))
     wide = dict(prices.dtypes)["price"] == "string"
-    rows = prices.join(_small(names)).join(moves, ["scenario", "asset"], "left")
+    rows = prices.join(names).join(moves, ["scenario", "asset"], "left")
     par, low, high = (F.lit(str(x)) if wide else F.lit(x).cast("long") for x in (unit, unit * 99 // 100, unit * 101 // 100))
     above = (lambda a, b: W.compare(a, b) > 0) if wide else (lambda a, b: a > b)
     typed = (lambda c: c) if wide else (lambda c: c.cast("long"))
