@@ -5,6 +5,7 @@ from tidebook.operators import gates, joins, ledger
 from tidebook.plans.bindings import Views
 from tidebook.sources import events as E
 from tidebook.sources import tables as T
+from tidebook.sources.shared import children
 from tidebook.streaming import jobs as M
 
 KEY = ["tx", "log_index", "seq"]
@@ -103,6 +104,12 @@ def test_upserts_keep_the_newest(spark, tmp_path):
     assert sorted(map(tuple, M.upserted(spark, table, schema).collect())) == want
     M.upsert_stream(stream, table, ["k"], "version", str(tmp_path / "c"), buckets=4).awaitTermination()
     assert sorted(map(tuple, M.upserted(spark, table, schema).collect())) == [(1, 3, "c"), (2, 9, "new"), (3, 1, "d")]
+    for i in range(4):  # what older states alone need goes
+        spark.createDataFrame([(2, 10 + i, "x"), (4 + i, 1, "y")], schema).coalesce(1).write.mode("append").parquet(source)
+    M.upsert_stream(stream, table, ["k"], "version", str(tmp_path / "c"), buckets=4).awaitTermination()
+    assert {r.k: r.value for r in M.upserted(spark, table, schema).collect()} == {1: "c", 2: "x", 3: "d"} | dict.fromkeys(range(4, 8), "y")
+    lying = [b for d in children(spark, f"{table}/data") for b in children(spark, f"{table}/data/{d}") if b.startswith("_bucket")]
+    assert len(lying) <= 2 * 4 and len([x for x in children(spark, f"{table}/manifest") if x.startswith("batch")]) == 2
 
 
 def test_an_unacknowledged_rewind_closes_the_gate(spark, tmp_path):

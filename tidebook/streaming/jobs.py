@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidebook.sources.shared import children, removed
 from tidebook.sources.tables import append, newest_wins, read_or_empty
 
 
@@ -71,6 +72,7 @@ def upsert_stream(rows: DataFrame, path: str, key: list[str], version: str, chec
 
     Keys fall into buckets; a micro-batch rewrites the buckets that it touches and then writes a manifest of where each
     bucket lies, so readers (see upserted) find whole states only, and a repeated micro-batch writes the same folders.
+    Folders that the last two states don't need are removed then.
     The manifest names the stream's checkpoint: a stream with another one is refused, as its numbers begin anew.
     """
 
@@ -91,10 +93,25 @@ def upsert_stream(rows: DataFrame, path: str, key: list[str], version: str, chec
         base |= dict.fromkeys(touched, number)
         rows = [(b, f, checkpoint) for b, f in sorted(base.items())] or [(-1, number, checkpoint)]
         spark.createDataFrame(rows, "bucket int, folder long, checkpoint string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={number}")
+        _swept(spark, path, number)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _swept(spark: SparkSession, path: str, number: int) -> None:
+    """Removes what neither the state of this micro-batch nor that before it needs; readers of older states are behind."""
+    log = read_or_empty(spark, f"{path}/manifest", _MANIFEST)
+    needed = {(r.folder, r.bucket) for r in log.filter(F.col("batch").between(number - 1, number)).collect()}
+    for batch in children(spark, f"{path}/data"):
+        buckets = [b for b in children(spark, f"{path}/data/{batch}") if b.startswith("_bucket=")]
+        old = [b for b in buckets if (int(batch.split("=")[1]), int(b.split("=")[1])) not in needed]
+        for b in old if len(old) < len(buckets) else [""]:
+            removed(spark, f"{path}/data/{batch}/{b}".rstrip("/"))
+    for batch in children(spark, f"{path}/manifest"):
+        if batch.startswith("batch=") and int(batch.split("=")[1]) < number - 1:
+            removed(spark, f"{path}/manifest/{batch}")
+
+
 def upserted(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table that upsert_stream keeps, as of its last complete micro-batch."""
     log = read_or_empty(spark, f"{path}/manifest", _MANIFEST)
