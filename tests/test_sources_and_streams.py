@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidebook.operators import gates, joins, ledger
 from tidebook.plans.bindings import Views
 from tidebook.plans.catalog import ORACLES, QUERIES
+from tidebook.plans.catalog_flows import kinds, raw_logs
 from tidebook.sources import events as E
 from tidebook.sources import tables as T
 from tidebook.sources.shared import children
@@ -216,3 +217,9 @@ def test_answers_of_zero(spark, sf, tmp_path, name):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events = events.withColumn("value", F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("value"))).withColumn("user_id", F.when(F.col("event_id") == 0, 0).otherwise(F.col("user_id")))
     assert equals_sql(spark, other_tables(spark, tmp_path, sf, events=events), name)
+
+
+def test_logs_are_not_exchanged_by_topic(spark, views):
+    """A topic can have most logs: routing them by an exchange gives one task all of them."""
+    plan = E.routed(raw_logs(views), kinds(views))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

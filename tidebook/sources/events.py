@@ -137,10 +137,15 @@ def fields_of(layout: str) -> list[tuple[str, str, bool]]:
     return out
 
 
+#: Registries of up to so many topics are broadcast.
+BROADCAST_TOPICS = 100_000
+
+
 def routed(logs: DataFrame, registry: DataFrame, strict: bool = False) -> DataFrame:
     """B1, B2: logs with their event kind from the registry (engine, topic0, kind); unknown topics are skipped, or, if
-    strict, an error."""
+    strict, an error.  Logs stay where they are: a topic can have most of them, so none are exchanged by it."""
     keyed = logs.withColumn("topic0", F.element_at("topics", 1))
+    registry = F.broadcast(registry) if registry.limit(BROADCAST_TOPICS + 1).count() <= BROADCAST_TOPICS else registry
     if not strict:
         return keyed.join(registry, ["engine", "topic0"])
     known = keyed.join(registry, ["engine", "topic0"], "left")
