@@ -59,6 +59,16 @@ def test_refusals_name_the_first_reason(spark):
     assert got == {1: ("missing_price", 5), 2: ("negative", 1), 3: ("missing_param", 1), 4: ("duplicate", 1)}
 
 
+def test_refusals_in_the_order_of_the_sql(spark, tmp_path):
+    """j3_refusals goes by k: an asset beyond a million outweighs the reason."""
+    rows = [(1, 2_000_000, 1, None, 50), (1, 3, 1, 0, 50), (2, 7, 1, 5, None), (2, 1_500_007, -1, 5, 50)]
+    df = spark.createDataFrame(rows, "account long, asset long, amount long, price long, threshold long")
+    k = (F.col("rank") - F.when(F.col("rank") > 2, 1).otherwise(0)) * 1_000_000 + F.col("asset")
+    got = lambda *order: {r.account: (r.refusal_code, r.refusal_asset, r.legs_refused) for r in valuation.refusals(df, *order).collect()}
+    assert got(k) == {1: ("bad_price", 3, 2), 2: ("missing_param", 7, 2)}
+    assert got() == {1: ("missing_price", 2_000_000, 2), 2: ("negative", 1_500_007, 2)}
+
+
 def test_debt_at_the_limit_is_not_liquidatable(spark):
     legs = spark.createDataFrame([(1, 1, 10, 100, 65, 80, 105), (2, 1, 10, 100, 65, 80, 105)], "account long, asset long, amount long, price long, ltv long, threshold long, bonus long")
     debts = spark.createDataFrame([(1, "debt", 650), (2, "debt", 651), (3, "debt", 1), (4, "debt", 0)], "account long, engine string, debt long")
