@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebook.operators import stress
+from tidebook.plans.bindings import Views
+from tidebook.plans.catalog import QUERIES
+from tidebook.plans.catalog_risk import factors as factors_of
 from tidebook.sources import scenarios as S
 from tidebook.sources.tables import Divergence
 
@@ -140,3 +143,12 @@ def test_rescaling_needs_one_shock_and_positive_factors(spark):
     assert got == sorted([("one", 0, "x", 1, 1, None), ("one", 1, "x", 995, 1000, None), ("two", None, None, None, None, "several_shocks")], key=str)
     with pytest.raises(Exception, match="not positive"):
         stress.rescaled(factors, spark.createDataFrame([(0, 0, 1)], "grid long, num long, den long")).collect()
+
+
+def test_scaled_factors_of_all_shocks_and_grid_points(spark, sf):
+    factors = spark.createDataFrame([("one", "x", 9, 10), ("two", "x", 3, 7), ("two", "y", 1, 2)], "scenario string, axis string, num long, den long")
+    grid = spark.createDataFrame([(0, 0), (1, 50)], "grid long, percent long")
+    got = sorted(map(tuple, stress.scaled(factors, grid).collect()))
+    assert got == [("one", 0, "x", 1000, 1000), ("one", 1, "x", 950, 1000), ("two", 0, "x", 700, 700), ("two", 0, "y", 200, 200), ("two", 1, "x", 500, 700), ("two", 1, "y", 150, 200)]
+    n = factors_of(Views(spark, sf)).count()
+    assert n and QUERIES["k3_rescaled"](spark, sf).count() == 5 * n
