@@ -1,5 +1,7 @@
 import random
+import time
 
+from tidebook.sources.shared import children
 from tidebook.streaming import jobs as M
 from tidebook.streaming import ordered as O
 
@@ -49,3 +51,25 @@ def test_a_rewind_discards_what_waits(spark, tmp_path):
     put(spark, str(tmp_path / "in"), again)
     put(spark, str(tmp_path / "in"), [(-1, -1, 10_000, 0, 0, O.HEARTBEAT, None)])
     assert run(spark, tmp_path, delay=100) == plain(spark, [r for r in data if r[2] <= 25] + again)
+
+
+def test_balances_over_many_small_batches(spark, tmp_path, monkeypatch):
+    """Balances are compacted on the way, and what older states need alone is removed."""
+    monkeypatch.setattr(O, "COMPACT", 3)
+    data = rows(24, 4)
+    for i in range(0, len(data), 8):
+        put(spark, str(tmp_path / "in"), data[i : i + 8])
+        run(spark, tmp_path, delay=3)
+    put(spark, str(tmp_path / "in"), [(-1, -1, 10_000, 0, 0, O.HEARTBEAT, None)])
+    assert run(spark, tmp_path, delay=3) == plain(spark, data)
+    assert children(spark, str(tmp_path / "out" / "state" / "waiting")) == ["batch=5", "batch=6"]
+    assert len(children(spark, str(tmp_path / "out" / "state" / "balances"))) <= 4
+
+
+def test_work_does_not_grow_with_calls_per_account(spark, tmp_path):
+    """Fifty thousand accounts: state by account took a call into Python for each, some minutes here."""
+    spark.range(50_000).selectExpr("id as account", "0L as asset", "1L as block", "0L as log_index", "0L as seq", "'borrow' as event_type", "id as delta").coalesce(1).write.parquet(str(tmp_path / "in"))
+    put(spark, str(tmp_path / "in"), [(-1, -1, 10_000, 0, 0, O.HEARTBEAT, None)])
+    began = time.monotonic()
+    assert len(run(spark, tmp_path)) == 50_000
+    assert time.monotonic() - began < 60

@@ -131,13 +131,18 @@ def write_off_fold(events: DataFrame) -> DataFrame:
     A record sets the balance to 0, so a balance is the running sum of deltas less what that sum was at the last record:
     windows of one order, hence one exchange and one sort.  streaming.ordered has the same fold on a stream.
     """
+    return folded_rows(events.withColumn("_before", F.lit(0)), "_before").drop("seq")
+
+
+def folded_rows(events: DataFrame, before: str) -> DataFrame:
+    """write_off_fold() of events that carry the balance before the first of their account and asset (null: 0), with seq."""
     w = Window.partitionBy("account", "asset").orderBy("block", "log_index", "seq")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    record = F.col("event_type") == "record"
+    record, start = F.col("event_type") == "record", F.coalesce(before, F.lit(0)).cast("long")
     rows = events.withColumn("_sum", F.sum(F.when(record, 0).otherwise(F.col("delta"))).over(upto))
-    rows = rows.withColumn("balance", F.col("_sum") - F.coalesce(F.last(F.when(record, F.col("_sum")), ignorenulls=True).over(upto), F.lit(0)))
-    moved = F.when(record, -F.coalesce(F.lag("balance").over(w), F.lit(0))).otherwise(F.col("delta"))
-    return rows.select("account", "asset", "block", "log_index", moved.alias("moved"), "balance")
+    rows = rows.withColumn("balance", F.col("_sum") - F.coalesce(F.last(F.when(record, F.col("_sum")), ignorenulls=True).over(upto), -start))
+    moved = F.when(record, -F.coalesce(F.lag("balance").over(w), start)).otherwise(F.col("delta"))
+    return rows.select("account", "asset", "block", "log_index", "seq", moved.alias("moved"), "balance")
 
 
 def neutralized(prices: DataFrame, anchors: DataFrame, boundary: int) -> DataFrame:
