@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import textkit
-from tidebook.llm.shared import materialize
+from tidebook.llm.shared import materialize, release
 
 TILE_TOKENS, COVERAGE = 3, 0.8
 #: Bytes of benchmark texts that one pass holds.
@@ -227,6 +227,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: int = TILE_TOKENS,
         held = spark.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 found = leaks(batch.column("text"), held.value)
                 at = pa.array([f[0] for f in found], pa.int64())
@@ -250,6 +251,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, least: int = TILE_TOKEN
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            release()
             for batch in batches:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[f[0] for f in leaks(batch.column("text"), held.value)]] = False

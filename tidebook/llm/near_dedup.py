@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm import textkit
-from tidebook.llm.shared import materialize
+from tidebook.llm.shared import materialize, release
 
 REGISTERS = 256
 #: Chance, at most, that two documents just at the threshold share no band.
@@ -107,6 +107,7 @@ def sketches(docs: DataFrame, k: int, width: int, key: int, lower: bool = True)
     """doc_id, n_shingles, a 128-bit digest of the set (d1, d2), registers and band keys; the last four null for no shingles."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for first, end, data, offsets in textkit.slices(batch.column("text")):
                 texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), end - first, [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
@@ -149,6 +150,7 @@ def likely(pairs: DataFrame, regs: DataFrame, share: float, fit: bool = True) ->
     floor = share - MARGIN * (share * (1 - share) / REGISTERS) ** 0.5
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
             j = ((a == b).mean(axis=1) - COLLISION) / (1 - COLLISION)
@@ -175,6 +177,7 @@ def compared(pairs: DataFrame, docs: DataFrame, k: int, key: int, lower: bool =
     texts = materialize(texts.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "candidate-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         now, own = None, []
         for batch in batches:
             rows: list[tuple] = []

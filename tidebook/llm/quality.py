@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebook.llm import textkit
-from tidebook.llm.shared import materialize
+from tidebook.llm.shared import materialize, release
 
 FEATURES = 384
 RIDGE = 1e-2
@@ -262,6 +262,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = learn(text_statistics(labelled).join(F.broadcast(known), "doc_id"), _fold() == 1)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             scores = model.score(rounded(batch.column("text")).astype(np.float64))
             yield batch.filter(pa.array(scores >= threshold))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.llm import elias_fano, textkit
-from tidebook.llm.shared import materialize
+from tidebook.llm.shared import materialize, release
 
 END_ID = 1
 #: A shard is closed when it has this many ids.
@@ -31,7 +31,7 @@ BROADCAST_SHARDS = 1_000_000
 #: Documents whose boundaries are selected at once.
 READ_DOCS = 4096
 #: Pieces of words whose ids a task remembers.
-CACHE = 300_000
+CACHE = 100_000
 
 SHARD = "bucket long, shard long, n_docs long, n_ids long, width int, doc_ids binary, null_ids binary, low_bits int, low binary, high binary, samples binary, ids binary"
 
@@ -124,6 +124,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     width = 2 if max(_tokenizer(path).get_vocab_size(with_added_tokens=True), end_id + 1) <= 1 << 16 else 4
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         encoder = TextEncoder(path, width)
         close = array(encoder.kind, [end_id]).tobytes()
         for batch in batches:
@@ -146,6 +147,7 @@ def write_shards(docs: DataFrame, tokenizer: str | None = None, shard_ids: int =
     cuts = tuple(sorted(set(cuts or ())))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         now, shard = None, 0
         ids: list[bytes] = []
         doc_ids: list[int | None] = []
@@ -199,6 +201,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     """One row per document from the shards: doc_id, start, n_tokens, ids_crc32 (over 4-byte little-endian ids)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             for r in range(batch.num_rows):
                 x = {c: batch.column(c)[r].as_py() for c in batch.schema.names}
