@@ -223,3 +223,12 @@ def test_logs_are_not_exchanged_by_topic(spark, views):
     """A topic can have most logs: routing them by an exchange gives one task all of them."""
     plan = E.routed(raw_logs(views), kinds(views))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_events_are_not_exchanged_by_engine(spark):
+    epochs = spark.range(4).selectExpr("'pool' as engine", "id as epoch", "5L as target")
+    acks = spark.range(4).selectExpr("'pool' as engine", "1L as acked")
+    out = M.retracted(spark.range(20).selectExpr("'pool' as engine", "id as block"), epochs, acks.limit(1))
+    assert sorted(r.block for r in out.collect()) == [0, 1, 2, 3, 4, 5]
+    side = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in side

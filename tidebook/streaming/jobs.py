@@ -48,8 +48,9 @@ def unacknowledged(epochs: DataFrame, acks: DataFrame) -> DataFrame:
 
 
 def retracted(events: DataFrame, epochs: DataFrame, acks: DataFrame) -> DataFrame:
-    """M4: the rows that stand; those above the target of an unacknowledged rewind of their engine are out."""
-    return events.join(unacknowledged(epochs, acks), "engine", "left").filter("target is null or block <= target").drop("target")
+    """M4: the rows that stand; those above the target of an unacknowledged rewind of their engine are out.  Targets, one row
+    per engine, go to the events, as one engine has nearly all of these."""
+    return events.join(F.broadcast(unacknowledged(epochs, acks)), "engine", "left").filter("target is null or block <= target").drop("target")
 
 
 def rewind_gate(spark: SparkSession, control: str) -> Callable[[], bool]:
