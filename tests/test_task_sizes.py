@@ -23,3 +23,15 @@ def test_repeated_orders_make_places_of_their_own(spark, sf, tmp_path):
     assert events.count() > spark.read.parquet(f"{sf}/lineitem.parquet").count()
     places = events.groupBy("tx", "log_index").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("d"), F.min("seq").alias("low"), F.max("seq").alias("high"))
     assert places.where("n <> d or low <> 0 or high <> n - 1").isEmpty()
+
+
+def test_wide_quotients_use_no_decimals(spark):
+    from tidebook.functions import exact as X
+
+    rows = spark.sql("select * from values (5L, 3L), (-5L, 3L), (7L, 0L), (null, 2L), (123456789012L, 987654321L) as t(a, b)")
+    got = rows.select("a", "b", X.ray_div_half_up(F.col("a"), F.col("b")).alias("near"), X.percent_mul_floor(F.col("a"), F.col("b")).alias("part"))
+    assert "decimal(38" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for r in got.collect():
+        known = r.a is not None and r.b
+        assert r.near == (str((r.a * 10**27 + r.b // 2) // r.b) if known else None)
+        assert r.part == (None if r.a is None else str(r.a * r.b // 10_000))
