@@ -35,3 +35,14 @@ def test_wide_quotients_use_no_decimals(spark):
         known = r.a is not None and r.b
         assert r.near == (str((r.a * 10**27 + r.b // 2) // r.b) if known else None)
         assert r.part == (None if r.a is None else str(r.a * r.b // 10_000))
+
+
+def test_paths_are_not_sent_to_the_driver(spark, monkeypatch):
+    from tidebook.operators import reconcile as R
+
+    plans, write = [], R.written
+    monkeypatch.setattr(R, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    links = spark.range(1, 200).select(F.col("id").alias("asset"), (F.col("id") - 1).alias("base"))
+    got = {r.asset: (r.root, r.steps) for r in R.composition(links).collect()}
+    assert got == {i: (0, i) for i in range(1, 200)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
