@@ -46,3 +46,41 @@ def test_paths_are_not_sent_to_the_driver(spark, monkeypatch):
     got = {r.asset: (r.root, r.steps) for r in R.composition(links).collect()}
     assert got == {i: (0, i) for i in range(1, 200)}
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_wide_sums_are_folded_over_sorted_rows(spark):
+    """Also over a join by the group, whose rows adaptive execution deals anew."""
+    from tidebook.functions import wide as W
+
+    rows = spark.range(3000).select((F.col("id") % 7).alias("account"), F.concat((F.col("id") - 1500).cast("string"), F.lit("0" * 170)).alias("x"), F.when(F.col("id") % 7 == 3, (F.col("id") % 5).cast("int")).alias("flaw"))
+    names = spark.range(6).select(F.col("id").alias("account"), F.lit("2").alias("y"))
+    got = W.folded(rows.join(names, "account"), ["account"], ["x", "y"], lambda x, y: (x * y, None), 2, "flaw").collect()
+    want = {a: sum((i - 1500) * 2 * 10**170 for i in range(3000) if i % 7 == a) for a in range(6)}
+    assert {r.account: (r.flaw, r._sums) for r in got} == {a: (0 if a == 3 else None, [str(s), None]) for a, s in want.items()} and len(got) == 6
+
+
+def test_a_leg_is_valued_once_for_all_grid_points(spark):
+    from tidebook.operators import stress
+
+    ray = "1" + "0" * 27
+    legs = spark.createDataFrame([(1, 7, "10", ray, "100", 5000, 6000), (2, 7, "10", ray, "1", 5000, 6000)], "account long, asset long, amount string, index string, price string, ltv long, threshold long")
+    debts = spark.createDataFrame([(1, "pool", "300"), (2, "pool", "6"), (3, "pool", "5"), (4, "pool", None)], "account long, engine string, debt string")
+    grid = spark.createDataFrame([(0, 100), (1, 50)], "grid long, percent long")
+    out = stress.wide_waterfall(legs, debts, grid, 1)
+    got = [tuple(r) for r in out.orderBy("grid").select("grid", "newly", "cumulative", "refused", "debt_eligible").collect()]
+    # the second account's price falls to 0 at the second point, which refuses it, but it stays held
+    assert got == [(0, 2, 2, 1, "11"), (1, 1, 3, 2, "311")]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_ratio_order_of_a_table_is_that_of_its_terms(spark):
+    from tidebook.functions import wide as W
+
+    big = 10**60
+    terms = [(big + 1, 3, big, 3), (big, 3, big + 1, 3), (-big, 7, -big - 1, 7), (big * 2, 4, big, 2), (9 * 10**40, 1, 8, 10**30), (0, 1, -5, 2), (5, 0, 6, 0), (1, 2, None, 3), (1, -2, 1, 3), (10**18 - 1, 10**18, 10**17, 10**17)]
+    rows = spark.createDataFrame([[None if x is None else str(x) for x in t] for t in terms], "a string, b string, c string, d string")
+    out = W.with_ratio_order(rows, "r", *map(F.col, "abcd"))
+    want = [1, -1, 1, 0, 1, 1, 0, None, None, -1]
+    assert [r.r for r in out.collect()] == want == [r.r for r in rows.select(W.compare_ratios(*map(F.col, "abcd")).alias("r")).collect()]
+    assert "decimal" not in out._jdf.queryExecution().optimizedPlan().toString() and out.columns == ["a", "b", "c", "d", "r"]

@@ -1,7 +1,7 @@
 """Positions of the debt engine, and what liquidations of them recover, in whole numbers of any width.
 
 Amounts, prices, debts and results are decimal strings (or whole numbers, as far as they go).  Legs are rounded down one by
-one; sums are taken by limbs, so no width is a limit.  An account with a leg that cannot be valued is refused.
+one; sums are taken on Python integers, so no width is a limit.  An account with a leg that cannot be valued is refused.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ from tidebook.operators.valuation import wide_sums_of
 WAD, PERCENT = 10**18, 100 * 10**18
 
 _product = X.Quotient((None, None, 1))
-_share = X.Quotient((None, None, None, None))
 
 
-def valued(legs: DataFrame) -> DataFrame:
-    """Adds the value of each leg: floor(amount * price / unit)."""
-    return legs.withColumn("value", X.mul_div_floor(F.col("amount"), F.col("price"), F.col("unit")))
+def _value(amount, price, unit):
+    """floor(amount * price / unit); None without one of them."""
+    return None if None in (amount, price) or not unit else amount * price // unit
+
+
+def _over(x, by):
+    return None if x is None or not by else x // by
 
 
 def debt_positions(legs: DataFrame, debts: DataFrame) -> DataFrame:
@@ -29,8 +32,12 @@ def debt_positions(legs: DataFrame, debts: DataFrame) -> DataFrame:
 
     legs: (account, asset, amount, price, unit of the asset, threshold in 1e18 per percent); debts: (account, engine, debt).
     """
-    rows = valued(legs).withColumn("limit", X.mul_div_floor(F.col("value"), F.col("threshold"), F.lit(str(PERCENT))))
-    both = wide_sums_of(debts, rows, ("threshold",), ("value", "limit"))
+
+    def values(amount, price, unit, threshold):
+        value = _value(amount, price, unit)
+        return value, None if None in (value, threshold) else value * threshold // PERCENT
+
+    both = wide_sums_of(debts, legs, ("threshold",), ["amount", "price", "unit", "threshold"], values, ["value", "limit"])
     return both.select("account", "engine", "debt", F.col("value").alias("collateral"), F.col("limit").alias("borrow_limit"), F.when(F.col("refusal").isNull(), W.compare(F.col("debt"), F.col("limit")) > 0).alias("liquidatable"), "refusal")
 
 
@@ -44,16 +51,20 @@ def liquidations(legs: DataFrame, debts: DataFrame) -> DataFrame:
     lost by it; market_bad_debt, what the realizable leaves of the debt.  Each quotient is rounded down.
     """
     num, den = F.coalesce(F.col("bonus_num").cast("string"), F.lit("1")), F.coalesce(F.col("bonus_den").cast("string"), F.lit("1"))
-    rows = valued(legs).withColumn("bonus_num", num).withColumn("bonus_den", den).withColumn("ratio", F.coalesce(F.col("ratio").cast("string"), F.lit(str(WAD))))
-    totals = W.without_limbs(rows.groupBy("account").agg(*(c.alias(n) for n, c in W.limb_sums("value").items())), "value").select("account", F.col("value").alias("total"))
-    rows = rows.join(totals, "account").join(debts.select("account", F.col("debt").cast("string").alias("owed")), "account")
-    value = F.col("value")
-    rows = rows.withColumn("wanted", _share(F.col("owed"), value, F.col("bonus_num"), _product(F.col("total"), F.col("bonus_den"))))
-    rows = rows.select(
-        "account", "asset", "amount", "price", "threshold", "value", F.coalesce(W.minimum(value, F.col("wanted")), F.lit("0")).alias("seizable"), X.mul_div_floor(value, F.col("bonus_den"), F.col("bonus_num")).alias("recoverable"),
-        X.mul_div_floor(value, F.col("threshold"), F.lit(str(PERCENT))).alias("limit"), X.mul_div_floor(value, F.col("ratio"), F.lit(str(WAD))).alias("realizable"), _product(value, F.col("ratio")).alias("weighted"),
-    )
-    both = wide_sums_of(debts, rows, ("threshold",), ("value", "seizable", "recoverable", "limit", "realizable", "weighted"))
+    rows = legs.withColumn("bonus_num", num).withColumn("bonus_den", den).withColumn("ratio", F.coalesce(F.col("ratio").cast("string"), F.lit(str(WAD))))
+    totals = W.folded(rows.withColumn("_none", F.lit(None).cast("int")), ["account"], ["amount", "price", "unit"], lambda *leg: (_value(*leg),), 1, "_none")
+    rows = rows.join(totals.select("account", F.col("_sums")[0].alias("total")), "account").join(debts.select("account", F.col("debt").cast("string").alias("owed")), "account")
+
+    def values(amount, price, unit, threshold, num, den, ratio, total, owed):
+        value = _value(amount, price, unit)
+        if value is None:
+            return None, 0, None, None, None, None
+        wanted = None if None in (total, owed) else _over(owed * value * num, total * den)
+        weighted = value * ratio
+        return value, 0 if wanted is None else min(value, wanted), _over(value * den, num), None if threshold is None else value * threshold // PERCENT, weighted // WAD, weighted
+
+    inputs = ["amount", "price", "unit", "threshold", "bonus_num", "bonus_den", "ratio", "total", "owed"]
+    both = wide_sums_of(debts, rows, ("threshold",), inputs, values, ["value", "seizable", "recoverable", "limit", "realizable", "weighted"])
     market = F.coalesce(X.mul_div_floor(F.col("seizable"), F.col("weighted"), _product(F.col("value"), F.lit(str(WAD)))), F.lit("0"))
     fine = F.col("refusal").isNull()
     both = both.withColumn("market", F.when(fine, market)).withColumn("liquidatable", F.when(fine, W.compare(F.col("debt"), F.col("limit")) > 0))

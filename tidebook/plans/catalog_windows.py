@@ -563,4 +563,4 @@ def _(v):
     e, a, b = v.position_events, F.col("amount"), F.col("account") * 100
     one = wide(F.when(F.col("tx") % 2 == 0, -a).otherwise(a)), wide(F.col("asset") % 5)
     other = wide(F.when(F.col("asset") % 2 == 0, -b).otherwise(b)), wide(F.col("account") % 7)
-    return e.select("tx", "log_index", "seq", W.compare_ratios(*one, *other).alias("order_"))
+    return W.with_ratio_order(e, "order_", *one, *other).select("tx", "log_index", "seq", "order_")
