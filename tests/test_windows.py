@@ -34,6 +34,20 @@ def test_appends_read_only_the_buckets_of_their_batch(spark, tmp_path, monkeypat
     assert W.append_log(logs(spark, range(0, 1001, 7)), path, span=100) == 0 and W.append_log(logs(spark, [3, 500, 990], chain="d"), path, span=100) == 6
 
 
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    path, asked = str(tmp_path / "ledger"), []
+    monkeypatch.setattr(W, "_in_buckets", lambda rows, f=W._in_buckets: asked.append(rows.columns) or f(rows))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50000")
+    try:
+        rows = spark.range(20_000).select(F.lit("c").alias("chain"), (F.col("id") % 90).alias("block"), F.col("id").alias("log_index"), F.sha2(F.col("id").cast("string"), 256).alias("address"), F.col("id").alias("amount"))
+        assert W.append_log(rows, path, 100, 8) == 20_000 and W.append_log(rows, path, 100, 8) == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = [f for f in children(spark, f"{path}/chain=c/bucket=0") if f.endswith(".parquet")]
+    assert len(files) > 2 and spark.read.parquet(path).distinct().count() == 20_000
+    assert asked == [["chain", "bucket"]]  # so a batch's other columns are not computed for it
+
+
 def test_scans_prune_by_block(spark, tmp_path):
     path = str(tmp_path / "ledger")
     W.append_log(logs(spark, range(300)).unionByName(logs(spark, range(300), chain="d")), path, span=50)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from tidebook.sources.shared import children
+from tidebook.sources.shared import children, dealt
 from tidebook.sources.tables import Divergence, _content, read_or_empty
 
 #: Blocks of a bucket.
@@ -37,19 +37,22 @@ def _in_buckets(rows: DataFrame) -> Column:
     return functools.reduce(lambda a, b: a | b, parts, F.lit(False))
 
 
-def append_log(batch: DataFrame, path: str, span: int = SPAN) -> int:
+def append_log(batch: DataFrame, path: str, span: int = SPAN, tasks: int | None = None) -> int:
     """A2: appends the rows of a batch that the ledger at a path lacks; how many there were.
 
     A row's key is its place (chain, block, log_index).  Equal rows are one; a known key with other content is an error,
     and then nothing is written.  The ledger lies in folders by chain and bucket of blocks, and only the buckets of the
-    batch are read, once, so a batch costs the same whatever the ledger holds.
+    batch are read, once, so a batch costs the same whatever the ledger holds.  Batch and known rows are exchanged once, by
+    key, over so many tasks; what is new goes once more to the buckets, of which a large one is written by several tasks.
     """
     spark = batch.sparkSession
-    rows = batch.dropDuplicates().withColumn("bucket", _bucket(span))
+    rows = dealt(batch, tasks, *LOG_KEY).dropDuplicates().withColumn("bucket", _bucket(span))
     rows = rows.withColumn("_c", _content(batch.columns, LOG_KEY))
     try:
         there = spark.read.parquet(path).select(*batch.columns, "bucket")
-        known = there.where(_in_buckets(rows)).select(*LOG_KEY, _content(batch.columns, LOG_KEY).alias("_k"))
+        # repeats make no other buckets, so the columns of a place are enough
+        known = there.where(_in_buckets(batch.select("chain", _bucket(span).alias("bucket")))).select(batch.columns)
+        known = dealt(known, tasks, *LOG_KEY).select(*LOG_KEY, _content(batch.columns, LOG_KEY).alias("_k"))
         met = rows.join(known, LOG_KEY, "left").persist()
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
@@ -62,7 +65,7 @@ def append_log(batch: DataFrame, path: str, span: int = SPAN) -> int:
         fresh = met.where("_k is null").drop("_c", "_k")
         n = fresh.count()
         if n:
-            fresh.repartition("chain", "bucket").write.mode("append").partitionBy("chain", "bucket").parquet(path)
+            fresh.hint("rebalance", "chain", "bucket").write.mode("append").partitionBy("chain", "bucket").parquet(path)
         return n
     finally:
         met.unpersist()
