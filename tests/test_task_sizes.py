@@ -99,3 +99,12 @@ def test_new_rows_are_exchanged_once_over_the_tasks_asked_for(spark):
     assert sorted(r.a for r in got.collect()) == list(range(400, 1000))
     found = exchanges(T.new_rows(rows.union(rows), rows.where("a < 400"), ["a", "b"], 7))
     assert len(found) == 2 and all(", 7), REPARTITION_BY_NUM" in x for x in found)
+
+
+def test_orphans_of_parents_that_hardly_repeat_need_no_aggregation(spark):
+    from tidebook.operators import joins
+
+    rows, parents = spark.range(20).withColumn("x", F.col("id") * 2), spark.createDataFrame([(3,), (3,), (7,), (None,)], "id long")
+    got = joins.orphans(rows, parents, ["id"], unique=True)
+    assert sorted(r.id for r in got.collect()) == [i for i in range(20) if i not in (3, 7)]
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()

@@ -15,9 +15,11 @@ def mismatches(derived: DataFrame, stored: DataFrame, key: list[str], value: str
     return both.filter(~F.col("derived").eqNullSafe(F.col("stored")))
 
 
-def orphans(rows: DataFrame, parents: DataFrame, key: list[str]) -> DataFrame:
-    """Rows without a parent."""
-    return rows.join(parents.select(*key).distinct(), key, "left_anti")
+def orphans(rows: DataFrame, parents: DataFrame, key: list[str], unique: bool = False) -> DataFrame:
+    """Rows without a parent.  Where parents hardly repeat (unique), they are not made distinct before they are
+    exchanged; the rows are the same."""
+    parents = parents.select(*key)
+    return rows.join(parents if unique else parents.distinct(), key, "left_anti")
 
 
 def newest_within(rows: DataFrame, bounds: DataFrame, key: list[str], bound_key: list[str]) -> DataFrame:

@@ -162,7 +162,7 @@ def _(v):
 @query("d2_orphans", "select tx, log_index, seq from position_events where tx not in (select o_orderkey from orders where o_orderstatus = 'F')")
 def _(v):
     logs = v.table("orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("tx"))
-    return J.orphans(v.position_events, logs, ["tx"]).select("tx", "log_index", "seq")
+    return J.orphans(v.position_events, logs, ["tx"], unique=True).select("tx", "log_index", "seq")
 
 
 BOUNDS = "(select 'debt' as kind, 1400 as bound union all select 'collateral', 900)"
