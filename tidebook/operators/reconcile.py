@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidebook.functions.exact import floor_div
-from tidebook.sources.shared import written
+from tidebook.sources.shared import dealt, written
 
 
 def token_comparison(derived: DataFrame, observed: DataFrame, unit: int) -> DataFrame:
@@ -94,11 +94,12 @@ def heartbeat_scan(prices: DataFrame, limit: int, now: int, step: int = 86_400)
     return out.withColumn("verdict", F.when(F.col("missing") > 0, "incomplete").when(F.col("longest") > limit, "late").otherwise("ok"))
 
 
-def liquidation_facts(events: DataFrame) -> DataFrame:
-    """Repayments with the balance before and after, earlier ones of the transaction, and the next one's block."""
+def liquidation_facts(events: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Repayments with the balance before and after, earlier ones of the transaction, and the next one's block; events
+    are exchanged once, over so many tasks."""
     key = ["engine", "account", "asset", "side"]
     w = Window.partitionBy(*key).orderBy("block", "log_index", "seq", "tx")
-    rows = events.filter("delta is not null").withColumn("after", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = dealt(events.filter("delta is not null"), tasks, *key).withColumn("after", F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.filter("event_type = 'repay'").withColumn("next_block", F.lead("block").over(w)).withColumn("earlier", F.row_number().over(Window.partitionBy("tx", *key).orderBy("block", "log_index", "seq")) - 1)
     return rows.select(*key, "tx", "block", "log_index", "seq", (F.col("after") - F.col("delta")).alias("before"), "after", "next_block", F.col("earlier").cast("long").alias("earlier"))
 
