@@ -108,3 +108,16 @@ def test_orphans_of_parents_that_hardly_repeat_need_no_aggregation(spark):
     got = joins.orphans(rows, parents, ["id"], unique=True)
     assert sorted(r.id for r in got.collect()) == [i for i in range(20) if i not in (3, 7)]
     assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_windows_are_exchanged_once_over_the_tasks_asked_for(spark, sf):
+    from tidebook.operators import joins, reconcile
+
+    events = spark.createDataFrame([("pool", 1, 2, "debt", 7, b, 0, 0, 5 - b, "repay") for b in range(9)], "engine string, account long, asset long, side string, tx long, block long, log_index long, seq long, delta long, event_type string")
+    history = spark.createDataFrame([(2, 3, 0, 11), (2, 5, 0, None)], "asset long, block long, log_index long, bonus long")
+    facts = reconcile.liquidation_facts(events, 7)
+    assert [(r.earlier, r.after) for r in facts.orderBy("block").collect()] == [(b, sum(5 - x for x in range(b + 1))) for b in range(9)]
+    bonus = joins.as_of(events, history, ["asset"], "bonus", ["block", "log_index"], 7)
+    assert [r.bonus for r in bonus.orderBy("block").collect()] == [None] * 3 + [11] * 6
+    for df in (reconcile.liquidation_facts(events, 7), joins.as_of(events, history, ["asset"], "bonus", ["block", "log_index"], 7)):
+        assert [", 7), REPARTITION_BY_NUM" in x for x in exchanges(df)] == [True]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebook.sources.shared import dealt
+
 
 def mismatches(derived: DataFrame, stored: DataFrame, key: list[str], value: str = "amount") -> DataFrame:
     """Keys at which two tables differ, null-safe: derived and stored values."""
@@ -28,10 +30,11 @@ def newest_within(rows: DataFrame, bounds: DataFrame, key: list[str], bound_key:
     return kept.groupBy(*key).agg(F.max("block").alias("block"), F.max_by("value", "block").alias("value"))
 
 
-def as_of(events: DataFrame, history: DataFrame, key: list[str], value: str, order: list[str]) -> DataFrame:
-    """Each event with the last non-null value of its key at or before it, in one pass over the union."""
+def as_of(events: DataFrame, history: DataFrame, key: list[str], value: str, order: list[str], tasks: int | None = None) -> DataFrame:
+    """Each event with the last non-null value of its key at or before it, in one pass over the union, which is exchanged
+    over so many tasks."""
     marked = history.select(*key, *order, F.col(value).alias("_value"), F.lit(0).alias("_kind"))
-    both = events.withColumn("_kind", F.lit(1)).unionByName(marked, allowMissingColumns=True)
+    both = dealt(events.withColumn("_kind", F.lit(1)).unionByName(marked, allowMissingColumns=True), tasks, *key)
     before = Window.partitionBy(*key).orderBy(*order, "_kind").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("_value", F.last("_value", ignorenulls=True).over(before)).filter("_kind = 1").drop("_kind").withColumnRenamed("_value", value)
 

@@ -179,7 +179,7 @@ select tx, log_index, seq, asset, block, (select arg_max(bonus, p.block * 10 + p
 from position_events e where event_type = 'repay'""")
 def _(v):
     events = v.position_events.filter("event_type = 'repay'").select("tx", "log_index", "seq", "asset", "block")
-    return J.as_of(events, v.param_history, ["asset"], "bonus", ["block", "log_index"])
+    return J.as_of(events, v.param_history, ["asset"], "bonus", ["block", "log_index"], v.tasks)
 
 
 @query("d5_own_clock", """
