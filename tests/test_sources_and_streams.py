@@ -115,6 +115,18 @@ def test_upserts_keep_the_newest(spark, tmp_path):
     assert len(lying) <= 2 * 4 and len([x for x in children(spark, f"{table}/manifest") if x.startswith("batch")]) == 2
 
 
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "t")
+    rows = spark.range(200_000).select((F.col("id") % 100_000).alias("k"), F.col("id").alias("version"))
+    rows.repartition(2).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    M.upsert_stream(stream, table, ["k"], "version", str(tmp_path / "c"), buckets=1).awaitTermination()
+    assert same(M.upserted(spark, table, rows.schema), rows.where("version >= 100000"))
+    assert len([f for f in children(spark, f"{table}/data/batch=1/_bucket=0") if f.endswith(".parquet")]) > 1
+    assert spark.conf.get("spark.sql.shuffle.partitions") == usual
+
+
 def test_an_unacknowledged_rewind_closes_the_gate(spark, tmp_path):
     control, source, target = (str(tmp_path / x) for x in ("control", "in", "out"))
     rows = spark.createDataFrame([(1, 5)], "k long, block long")

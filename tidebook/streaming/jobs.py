@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidebook.sources.shared import children, removed
+from tidebook.sources.shared import children, removed, tasks_for
 from tidebook.sources.tables import append, newest_wins, read_or_empty
 
 
@@ -71,14 +71,17 @@ _MANIFEST = "bucket int, folder long, checkpoint string, batch long"
 def upsert_stream(rows: DataFrame, path: str, key: list[str], version: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
     """Keeps the newest row of each key.
 
-    Keys fall into buckets; a micro-batch rewrites the buckets that it touches and then writes a manifest of where each
-    bucket lies, so readers (see upserted) find whole states only, and a repeated micro-batch writes the same folders.
+    Keys fall into buckets; a micro-batch rewrites the buckets that it touches, each by several tasks if it is large, over
+    tasks whose number grows with the rows, and then writes a manifest of where each bucket lies, so readers (see upserted) find whole states only, and a repeated micro-batch writes the same folders.
     Folders that the last two states don't need are removed then.
     The manifest names the stream's checkpoint: a stream with another one is refused, as its numbers begin anew.
     """
 
+    usual = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
+
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark = batch.sparkSession  # of the stream alone, so its number of shuffle partitions can follow each micro-batch
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
         log = read_or_empty(spark, f"{path}/manifest", _MANIFEST)
         if not log.filter(F.col("checkpoint") != checkpoint).isEmpty():
             raise ValueError(f"{path} belongs to a stream with another checkpoint")
@@ -86,11 +89,15 @@ def upsert_stream(rows: DataFrame, path: str, key: list[str], version: str, chec
         if not base and not log.filter(F.col("batch") < number).isEmpty():
             raise ValueError(f"the state before batch {number} is not there")
         placed = batch.withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-        touched = [r[0] for r in placed.select("_bucket").distinct().collect()]
+        sizes = {r[0]: r[1] for r in placed.groupBy("_bucket").count().collect()}
+        touched = list(sizes)
         known = [f"{path}/data/batch={base[b]}/_bucket={b}" for b in touched if b in base]
         before = spark.read.schema(batch.schema).parquet(*known) if known else spark.createDataFrame([], batch.schema)
+        tasks = tasks_for(spark, sum(sizes.values()) + before.count())
+        ways = -(-tasks // max(1, len(touched)))
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
         merged = newest_wins(before, batch, key, version).withColumn("_bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
-        merged.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/batch={number}")
+        merged.repartition(tasks, F.col("_bucket"), F.pmod(F.hash(*key), F.lit(ways))).write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/data/batch={number}")
         base |= dict.fromkeys(touched, number)
         rows = [(b, f, checkpoint) for b, f in sorted(base.items())] or [(-1, number, checkpoint)]
         spark.createDataFrame(rows, "bucket int, folder long, checkpoint string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/batch={number}")
