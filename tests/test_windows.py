@@ -140,3 +140,20 @@ def test_retention_keeps_the_newest_batches(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     assert T.pruned(spark, folder, 3) == 0 and f"batch={batches[3]}" not in children(spark, f"{folder}/a")
     assert T.write_batch(folder, "k3", {"a": spark.range(1)}, keep=3) not in batches  # the key of a removed batch is free
+
+
+def test_a_replay_is_compared_in_one_pass_with_repeats(spark):
+    rows = spark.createDataFrame([(1, None), (1, None), (2, 5)], "a long, b long")
+    assert not W._differ(rows, rows.orderBy(F.desc("a")))
+    assert W._differ(rows, rows.distinct()) and W._differ(rows.distinct(), rows) and W._differ(rows, rows.limit(0))
+
+
+def test_a_window_is_applied_from_its_own_folder(spark, sf, monkeypatch):
+    from tidebook.plans.bindings import Views
+    from tidebook.plans.catalog_more import windows_applied
+
+    plans = []
+    apply = lambda folder, engine, events, rates, *rest, **named: plans.append(events._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(W, "apply_window", apply)
+    windows_applied(Views(spark, sf))
+    assert len(plans) == 8 and all("PartitionFilters: [isnotnull(_window" in p and "Exchange" not in p for p in plans)

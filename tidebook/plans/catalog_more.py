@@ -20,22 +20,24 @@ from tidebook.plans.catalog_risk import AFTER, FACTORS, POSITIONS, SHOCKED, afte
 from tidebook.sources import events as E
 from tidebook.sources import tables as T
 from tidebook.sources import windows as W
-from tidebook.sources.shared import shared_folder
+from tidebook.sources.shared import shared_folder, written
 
 
 def windows_applied(v: Views) -> str:
-    """Every engine's events and rates, applied in three windows of blocks, the second of them twice; the folder."""
+    """Every engine's events and rates, applied in three windows of blocks, the second of them twice; the folder.
+
+    Both tables are written once, in folders by engine and window, so that a window is applied by reading its own rows.
+    """
     folder = f"{shared_folder(v.spark)}/windows-{uuid.uuid4().hex}"
-    events = v.position_events.select("engine", "tx", "log_index", "seq", "account", "asset", "side", "block", "delta").persist()
-    rates = v.rate_indexes.select("asset", "kind", "block", "value").persist()
-    low, high = events.union(rates.select(F.lit(None).cast("string"), *[F.lit(None)] * 6, "block", F.lit(None))).agg(F.min("block"), F.max("block")).first()
+    low, high = v.position_events.select("block").union(v.rate_indexes.select("block")).agg(F.min("block"), F.max("block")).first()
     cuts = [low - 1, low + (high - low) // 3, low + 2 * (high - low) // 3, high]
+    window = F.when(F.col("block") <= cuts[1], 0).when(F.col("block") <= cuts[2], 1).otherwise(2).alias("_window")
+    events = written(v.position_events.select("engine", "tx", "log_index", "seq", "account", "asset", "side", "block", "delta", window), "window-events", "engine", "_window")
+    rates = written(v.rate_indexes.select("asset", "kind", "block", "value", window), "window-rates", "_window")
     for engine in sorted(r.engine for r in events.select("engine").distinct().collect()):
-        for after, through in [(cuts[0], cuts[1]), (cuts[1], cuts[2]), (cuts[1], cuts[2]), (cuts[2], cuts[3])]:
-            inside = F.col("block").between(after + 1, through)
-            W.apply_window(folder, engine, events.filter(inside & (F.col("engine") == engine)).drop("engine"), rates.filter(inside), after, through, after + 1, compact=2)
-    events.unpersist()
-    rates.unpersist()
+        for i in (0, 1, 1, 2):
+            inside = (F.col("_window") == i) & F.col("block").between(cuts[i] + 1, cuts[i + 1])
+            W.apply_window(folder, engine, events.filter(inside & (F.col("engine") == engine)).drop("engine", "_window"), rates.filter(inside).drop("_window"), cuts[i], cuts[i + 1], cuts[i] + 1, compact=2)
     return folder
 
 
