@@ -34,6 +34,18 @@ def test_pieces_equal_whole_texts():
         assert np.frombuffer(encoder.encode(text.encode()), "<u2").tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_early_pieces_stay_remembered_until_others_prevail(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE", 3)
+    encoder = token_output.TextEncoder(token_output.default_tokenizer(), 2)
+    plain = encoder.encode(b"the cat sat on the mat").hex()
+    assert list(encoder.pieces) == ["the", "cat", "sat"]
+    for i in range(token_output.RENEWED * 3 - 2):
+        assert list(encoder.pieces) == ["the", "cat", "sat"]
+        encoder.encode(b"mat")
+    assert not encoder.pieces
+    assert encoder.encode(b"the cat sat on the mat").hex() == plain and len(encoder.pieces) == 3
+
+
 @pytest.mark.parametrize("shard_ids", [1, 100, 1 << 20])
 def test_shards_round_trip(hard, hard_rows, shard_ids):
     tokenizer = token_output._tokenizer(token_output.default_tokenizer())

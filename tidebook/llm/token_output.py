@@ -30,8 +30,8 @@ SHARD_IDS = 1 << 20
 BROADCAST_SHARDS = 1_000_000
 #: Documents whose boundaries are selected at once.
 READ_DOCS = 4096
-#: Pieces of words whose ids a task remembers.
-CACHE = 100_000
+#: Pieces of words whose ids a task remembers: the first ones that it meets, until so many times as many were not among them.
+CACHE, RENEWED = 150_000, 10
 
 SHARD = "bucket long, shard long, n_docs long, n_ids long, width int, doc_ids binary, null_ids binary, low_bits int, low binary, high binary, samples binary, ids binary"
 
@@ -53,23 +53,30 @@ _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Printable ASCII and the precomposed letters U+00C0-U+00FF, for which lower case and letters are plain.
 _LETTERS = r"\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 _PLAIN = re.compile(rf"[\x20\x09-\x0D!-~{_LETTERS}]*")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\x20\x09-\x0D]+")
+#: The pieces of plain text; the most frequent kinds are tried first, as no two but the last two begin alike.
+_PIECE = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|'(?:[stmd]|re|ve|ll)|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\x20\x09-\x0D]+")
 
 
 class Pieces(dict):
-    """Ids of pieces of lower-case plain text, as bytes; each is coded when it is first asked for."""
+    """Ids of pieces of lower-case plain text, as bytes; each is coded when it is first asked for, and remembered while there
+    is room: of pieces that come late most come once."""
 
     def __init__(self, tokenizer, kind: str):
         from tokenizers import pre_tokenizers
 
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = str.maketrans({chr(c): level.pre_tokenize_str(chr(c))[0][0] for c in (*range(33, 127), *range(0xC0, 0x100))})
-        self.tokenize, self.kind = tokenizer.model.tokenize, kind
+        self.tokenize, self.kind, self.left_out = tokenizer.model.tokenize, kind, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self[piece] = array(self.kind, [t.id for t in self.tokenize(piece.translate(self.as_bytes))]).tobytes()
+        ids = array(self.kind, [t.id for t in self.tokenize(piece.translate(self.as_bytes))]).tobytes()
+        if len(self) < CACHE:
+            self[piece] = ids
+        else:
+            self.left_out += 1
+            if self.left_out >= RENEWED * CACHE:
+                self.clear()
+                self.left_out = 0
         return ids
 
 
