@@ -129,3 +129,22 @@ def test_functions_in_sql(spark):
     assert int(r.x) == 10**41 * 3 // 7
     r = spark.sql("select ray_mul_half_up('5', '100000000000000000000000000') as a, health_wad('3', '7') as b, index_growth('1000000', '31709791983', '3600') as c, wide_add('1', '-2') as d, wad_div_floor('1', '0') as e").first()
     assert (r.a, int(r.b), int(r.c), r.d, r.e) == ("1", (3 * 10**18 + 3) // 7 // 10_000, 10**6 + 10**6 * 31709791983 * 3600 // 10**20, "-1", None)
+
+
+def test_sql_functions_use_python_only_where_longs_end(spark):
+    X.register(spark)
+    values = ["0", "1", "7", "10", "99999999", "123456789", "999999999999999999", "1" + "0" * 30, "-5", "-" + "9" * 20, None]
+    cases = [(a, b, d) for a in values for b in values for d in ("1", "2", "7", "0", "999999999999999999", "-3", "1" + "0" * 20, None)]
+    rows = spark.createDataFrame(cases, "a string, b string, d string")
+    calls = {n: f"{n}({', '.join('abd'[i] if getattr(X, n).columns == 3 or i == 0 else 'd' if n in by_d else 'b' for i in range(getattr(X, n).columns))})" for by_d in [("ray_div_floor", "ray_div_ceil", "ray_div_half_up", "wad_div_floor", "wad_div_half_up", "health_wad")] for n in (*by_d, "mul_div_floor", "mul_div_ceil", "ray_mul_ceil", "percent_mul_floor", "percent_mul_half_up")}
+    got = rows.selectExpr("a", "b", "d", "wide_add(a, b) as total", *(f"{c} as {n}" for n, c in calls.items())).collect()
+    for r in got:
+        number = {x: None if r[x] is None else int(r[x]) for x in "abd"}
+        assert r.total == (None if None in (number["a"], number["b"]) else str(number["a"] + number["b"]))
+        for n, c in calls.items():
+            args = [number[x] for x in c[c.index("(") + 1 : -1].split(", ")]
+            want = None if None in args else getattr(X, n).exact(*args)
+            assert r[n] == (None if want is None else str(want)), (n, args)
+    small = spark.sql("select mul_div_ceil(cast(id as string), '3', '10') as x from range(5)")
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert " div " in plan and "mul_div_ceil_wide" in plan and [r.x for r in small.collect()] == ["0", "1", "1", "1", "2"]
